@@ -24,6 +24,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower case, with ASCII punctuation as spaces.
+PLAIN = _LOWER.copy()
+PLAIN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 
 #: Bytes of text handled at once inside a task.
 BLOCK_BYTES = 4 << 20
@@ -89,11 +92,11 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words(text: pa.Array, lower: bool = False) -> Words:
-    """Split a text column and hash its words; lower: A-Z count as a-z."""
+def words(text: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Split a text column and hash its words; lower: A-Z count as a-z; plain: ASCII punctuation parts words, too."""
     data, off = text_bytes(text)
-    if lower:
-        data = _LOWER[data]
+    if lower or plain:
+        data = (PLAIN if plain else _LOWER)[data]
     n = len(data)
     inside = np.zeros(n + 1, bool)
     inside[:n] = ~_SPACE[data]
