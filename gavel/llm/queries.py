@@ -38,6 +38,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gavel.llm.recompression import dedup
+
+    return dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False, digests=True)
+
+
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gavel.llm.audio import features, store_text
 

@@ -19,7 +19,7 @@ import re
 import numpy as np
 
 #: Units whose ids a worker keeps.
-CACHE_UNITS = 900_000
+CACHE_UNITS = 1_300_000
 #: Units given to the library in one text.
 _TOGETHER = 200
 _UNITS = re.compile(r"\s*\S+|\s+")
@@ -80,10 +80,12 @@ class Encoder:
     def _keys(self, text: str) -> list[str] | None:
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\x01" + keys[0]
-        if len(text.split()) == len(keys) and not _ODD.search(text) and "" not in keys and "\n" not in keys and "\x01" not in keys:
-            return keys
+        # Printable text has no white space but the space, and none of the marks.
+        if text.replace("\n", " ").isprintable():
+            keys = text.replace("\n", " \n").split(" ")
+            if "" not in keys and "\n" not in keys:
+                keys[0] = "\x01" + keys[0]
+                return keys
         return None if _ODD.search(text) else ["\x01" + u for u in _UNITS.findall(text)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -101,10 +103,11 @@ class Encoder:
                 flat += keys
         got = list(map(self.known.get, flat))
         if None in got:
-            new = list(dict.fromkeys(k for k, g in zip(flat, got, strict=True) if g is None))
-            self._learn(new)
-            get = self.known.get
-            got = [get(k) if g is None else g for k, g in zip(flat, got, strict=True)]
+            new = [i for i, g in enumerate(got) if g is None]
+            self._learn(list(dict.fromkeys([flat[i] for i in new])))
+            known = self.known
+            for i in new:
+                got[i] = known[flat[i]]
         for i, a, b in spans:
             out[i] = b"".join(got[a:b])
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
