@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,54 +89,73 @@ def seeds(items: list[tuple[int | None, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return all_h[order], owner[order]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, item_words, covered_words, coverage, tiles) of each document and the items it holds."""
+def _passes(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator:
+    """The benchmark's items, in broadcast blocks of bounded size."""
     spark = docs.sparkSession
     n_blocks = 1 + int(benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // (2 * block_words)  # a word and its space have two characters at least
-    found = None
     for block in range(n_blocks):
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).toArrow()
         w = words(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), plain=True)
         items = [(i, w.hash[a:b]) for i, a, b in zip(rows.column("item_id").to_pylist(), w.first[:-1], w.first[1:], strict=True)]
-        part = _scan(docs, spark.sparkContext.broadcast((items, *seeds(items))), coverage)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _scan(docs: DataFrame, held, coverage: float) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seed, owner = held.value
-        for batch in batches:
-            out: list[tuple] = []
-            for a, b in blocks(batch.column("text")):
-                part = batch.slice(a, b - a)
-                w = words(part.column("text"), plain=True)
-                h, doc = rolled(w.hash, LEAST), w.doc()
-                inside = doc[: len(h)] == doc[LEAST - 1 :] if len(h) else np.zeros(0, bool)
-                at = np.searchsorted(seed, h) if len(seed) else np.zeros(len(h), np.int64)
-                hits = np.flatnonzero(inside & (seed[np.minimum(at, len(seed) - 1)] == h)) if len(seed) else np.zeros(0, np.int64)
-                places: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for p, lo, hi in zip(hits.tolist(), at[hits].tolist(), np.searchsorted(seed, h[hits], "right").tolist(), strict=True):
-                    for k in owner[lo:hi].tolist():
-                        places[int(doc[p]), k].append(p)
-                for (d, k), where in places.items():
-                    item = items[k][1]
-                    # Tiles lie inside runs of seed places; runs are kept apart by a word that no item has.
-                    runs = np.split(np.array(where), np.flatnonzero(np.diff(where) > 1) + 1)
-                    if sum(len(r) + LEAST - 1 for r in runs) < coverage * len(item):
-                        continue
-                    pieces = [np.append(w.hash[r[0] : r[-1] + LEAST], np.uint64(0)) for r in runs]
-                    tiles = tile(np.concatenate(pieces), item)
-                    covered = sum(n for _, _, n in tiles)
-                    if covered >= coverage * len(item):
-                        out.append((part.column("doc_id")[d].as_py(), items[k][0], len(item), covered, covered / len(item), len(tiles)))
-            cols = zip(*out, strict=True) if out else ((),) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "item_words", "covered_words", "coverage", "tiles"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles long")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; rows of a null doc_id are judged together, like any id."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.lit(True).alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+        yield spark.sparkContext.broadcast((items, *seeds(items)))
+
+
+def found_in(text: pa.Array, held: tuple, coverage: float) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, item's words, covered words, tiles) of the rows of a text column that hold an item."""
+    items, seed, owner = held
+    out: list[tuple[int, int, int, int, int]] = []
+    for a, b in blocks(text) if len(seed) else ():
+        w = words(text.slice(a, b - a), plain=True)
+        h, doc = rolled(w.hash, LEAST), w.doc()
+        inside = doc[: len(h)] == doc[LEAST - 1 :] if len(h) else np.zeros(0, bool)
+        at = np.searchsorted(seed, h)
+        hits = np.flatnonzero(inside & (seed[np.minimum(at, len(seed) - 1)] == h))
+        places: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for p, lo, hi in zip(hits.tolist(), at[hits].tolist(), np.searchsorted(seed, h[hits], "right").tolist(), strict=True):
+            for k in owner[lo:hi].tolist():
+                places[int(doc[p]), k].append(p)
+        for (d, k), where in sorted(places.items()):
+            item = items[k][1]
+            # Tiles lie inside runs of seed places; runs are kept apart by a word that no item has.
+            runs = np.split(np.array(where), np.flatnonzero(np.diff(where) > 1) + 1)
+            if sum(len(r) + LEAST - 1 for r in runs) < coverage * len(item):
+                continue
+            tiles = tile(np.concatenate([np.append(w.hash[r[0] : r[-1] + LEAST], np.uint64(0)) for r in runs]), item)
+            covered = sum(n for _, _, n in tiles)
+            if covered >= coverage * len(item):
+                out.append((a + d, k, len(item), covered, len(tiles)))
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, item_words, covered_words, coverage, tiles) of each document and the items it holds."""
+
+    def scan(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(batch.column("doc_id")[d].as_py(), held.value[0][k][0], n, c, c / n, t) for d, k, n, c, t in found_in(batch.column("text"), held.value, coverage)]
+                cols = zip(*rows, strict=True) if rows else ((),) * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "item_words", "covered_words", "coverage", "tiles"])
+
+        return run
+
+    parts = [docs.select("doc_id", "text").mapInArrow(scan(held), "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles long") for held in _passes(docs, benchmark, block_words)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows that hold an item; all columns pass through."""
+    at = docs.columns.index("text")
+
+    def keep(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(len(batch), bool)
+                stays[[f[0] for f in found_in(batch.column(at), held.value, coverage)]] = False
+                yield batch.filter(pa.array(stays))
+
+        return run
+
+    for held in _passes(docs, benchmark, block_words):
+        docs = docs.mapInArrow(keep(held), docs.schema)
+    return docs

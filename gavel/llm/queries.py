@@ -56,6 +56,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gavel.llm.jaccard import groups
+
+    return groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gavel.llm.quality import fit, held_out, score
 
