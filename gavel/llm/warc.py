@@ -1,6 +1,6 @@
 """WARC bundles with random access: records in independent Zstandard frames, a footer seek table and a record index.
 
-Records are dealt by page_id into bundles. Inside a bundle, consecutive records
+Each task writes its records, sorted by page_id, into bundles. Inside a bundle, consecutive records
 share a frame of about `FRAME_BYTES`; the frames are followed by one skippable
 frame with each frame's compressed and plain size (the public seekable format),
 so a reader fetches the footer, then one frame. The index maps a record's id to
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.store import fresh_path, width
+from gavel.llm.store import fresh_path
 
 # Fixed values of the public formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -104,8 +104,8 @@ def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return pages.select("page_id", "url", "html", digest.alias("d0")).join(follow, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("d0") == F.col("d")), "left").select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
 
 
-def write_bundles(records: DataFrame, path: str, parts: int, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
-    """Write roles() as bundles at path, dealt to `parts` tasks."""
+def write_bundles(records: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
+    """Write roles() as bundles at path, in the partitions that the join of roles left."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,8 +141,8 @@ def write_bundles(records: DataFrame, path: str, parts: int, frame_bytes: int =
         if frames:
             yield flush()
 
-    dealt = records.repartition(parts, F.xxhash64("page_id")).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "html")
-    dealt.mapInArrow(write, _BUNDLE).write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path)
+    ordered = records.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "html")
+    ordered.mapInArrow(write, _BUNDLE).write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
@@ -192,5 +192,5 @@ def fetch(bundles: DataFrame, page_ids: DataFrame) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """Write pages (page_id, url, html) to bundles in the shared folder; return read_bundles of them."""
     path = fresh_path(pages.sparkSession, "warc")
-    write_bundles(roles(pages), path, width(pages))
+    write_bundles(roles(pages), path)
     return read_bundles(pages.sparkSession.read.schema(_BUNDLE).parquet(path))
