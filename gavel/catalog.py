@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from gavel.registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "flagship"
-_MODULES: list[str] = []
+MODULES = ["feature_queries", "explore_queries"]
+
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"gavel.plans.{m}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
