@@ -7,7 +7,7 @@ from importlib import import_module
 from gavel.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "flagship"
-MODULES = ["feature_queries", "explore_queries", "market_queries", "bidding_queries", "metric_queries"]
+MODULES = ["feature_queries", "explore_queries", "market_queries", "bidding_queries", "metric_queries", "debias_queries", "source_queries", "stream_queries"]
 
 
 def _load() -> None:

@@ -40,12 +40,12 @@ def _lookup(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 def add_slot_features(df: DataFrame) -> DataFrame:
     """area, its log, aspect ratio (height 0 counts as 1) and size group; other pairs are `other`, null sides `unknown`."""
-    groups = _lookup(df, [(w, h, g) for (w, h), g in SLOT_GROUPS.items()], "slotwidth int, slotheight int, g string")
+    groups = _lookup(df, [(w, h, g) for (w, h), g in SLOT_GROUPS.items()], "slotwidth int, slotheight int, _group string")
     area = F.col("slotwidth").cast("double") * F.col("slotheight")
     height = F.when(F.col("slotheight") == 0, 1).otherwise(F.col("slotheight"))
     out = df.withColumns({"slot_area": area, "slot_area_log": F.log1p(area), "slot_aspect_ratio": F.bround(F.col("slotwidth") / height.cast("double"), 2)}).join(groups, ["slotwidth", "slotheight"], "left")
-    group = F.when(F.col("slotwidth").isNull() | F.col("slotheight").isNull(), "unknown").otherwise(F.coalesce("g", F.lit("other")))
-    return out.withColumn("slot_size_group", group).drop("g")
+    group = F.when(F.col("slotwidth").isNull() | F.col("slotheight").isNull(), "unknown").otherwise(F.coalesce("_group", F.lit("other")))
+    return out.withColumn("slot_size_group", group).drop("_group")
 
 
 def add_bid_floor_ratio(df: DataFrame) -> DataFrame:
@@ -157,8 +157,8 @@ def one_hot(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 def add_taxonomy(df: DataFrame) -> DataFrame:
     """F16: campaign kind and its code in the sorted list of kinds; unknown and -1 for other advertisers."""
     kinds = sorted(set(TAXONOMY.values()))
-    dim = _lookup(df, [(a, k, kinds.index(k)) for a, k in TAXONOMY.items()], "advertiser int, t string, tc int")
-    return df.join(dim, "advertiser", "left").withColumns({"taxonomy": F.coalesce("t", F.lit("unknown")), "taxonomy_code": F.coalesce("tc", F.lit(-1))}).drop("t", "tc")
+    dim = _lookup(df, [(a, k, kinds.index(k)) for a, k in TAXONOMY.items()], "advertiser int, _kind string, _code int")
+    return df.join(dim, "advertiser", "left").withColumns({"taxonomy": F.coalesce("_kind", F.lit("unknown")), "taxonomy_code": F.coalesce("_code", F.lit(-1))}).drop("_kind", "_code")
 
 
 def quality_flags(df: DataFrame, least: int = 20, top: int = 10) -> DataFrame:
