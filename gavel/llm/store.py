@@ -59,12 +59,16 @@ _OPEN = zstandard.ZstdDecompressor()
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending unsigned 64-bit values as compressed byte planes of their gaps."""
     x = np.asarray(x, np.uint64)
+    if not len(x):
+        return bytes(8)
     gaps = np.diff(x, prepend=np.uint64(0))
     return len(x).to_bytes(8, "little") + _PRESS.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
     planes = np.frombuffer(_OPEN.decompress(blob[8:]), np.uint8).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
@@ -72,6 +76,8 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 def pack(x: np.ndarray) -> bytes:
     """An array as compressed byte planes; its dtype is the reader's to know."""
     x = np.ascontiguousarray(x)
+    if not len(x):
+        return bytes(8)
     return len(x).to_bytes(8, "little") + _PRESS.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
