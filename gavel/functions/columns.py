@@ -78,7 +78,8 @@ def wilson(k: C, n: C, z: float = 1.959964) -> tuple[Column, Column]:
     p = col(k) / m
     middle = (p + z * z / (2 * m)) / (1 + z * z / m)
     half = z / (1 + z * z / m) * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
-    return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
+    some = col(n) > 0
+    return F.when(some, F.greatest(middle - half, F.lit(0.0))), F.when(some, F.least(middle + half, F.lit(1.0)))
 
 
 def effect_label(d: C) -> Column:
