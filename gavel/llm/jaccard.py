@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm.components import components
 from gavel.llm.recompression import _cut
-from gavel.llm.store import chunk_of, pack, pack_sorted, stored, unpack, unpack_sorted, width
+from gavel.llm.store import chunk_of, pack, pack_sorted, settle, settled, settled_pair, stored, unpack, unpack_sorted, width
 from gavel.llm.words import blocks, rolled, words
 
 _CHUNK = "_chunk_"
@@ -188,10 +188,10 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
             rows.append((int(ids[i]), int(sizes[i]), int(sizes[i] - need[i] + 1 - alone[i]), shared.astype("<u8").tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 4, schema, strict=True)], schema=schema)
 
-    counted = docs.groupBy(_CHUNK).cogroup(rows.groupBy("chunk")).applyInArrow(emit, "bucket int, chunk int, names binary, times binary")
-    replies = counted.groupBy("bucket").applyInArrow(classify, "doc long, sig1 long, sig2 long, bucket int, chunk int, classes binary")
+    counted = docs.groupBy(_CHUNK).cogroup(rows.groupBy("chunk")).applyInArrow(settled_pair(emit), "bucket int, chunk int, names binary, times binary")
+    replies = counted.groupBy("bucket").applyInArrow(settled(classify), "doc long, sig1 long, sig2 long, bucket int, chunk int, classes binary")
     both = replies.unionByName(rows, allowMissingColumns=True)
-    return docs.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(choose, "doc long, n int, short int, tokens binary")
+    return docs.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(settled_pair(choose), "doc long, n int, short int, tokens binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _search(similar: int):
     return run
 
 
-def list_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+def list_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, similar: int, parts: int) -> DataFrame:
     """Pairs left to verify in lists that hold several groups.
 
     A list is searched by classes of size (neighbouring ones only can link) and, where a class is large, by
@@ -251,7 +251,8 @@ def list_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, similar:
     # Block i meets blocks j >= i: it is the left side there (-1), the right side (1), or both (0).
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", "at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum((F.col("block") - F.col("other")).cast("double")).cast("int").alias("side"), "doc", "n", "label")
-    dealt = dealt.join(sets.mapInArrow(_bitmaps, "doc long, alone int, bitmap binary"), "doc")
+    # Blocks are short in bytes and long in work: they are dealt to all tasks.
+    dealt = dealt.join(sets.mapInArrow(_bitmaps, "doc long, alone int, bitmap binary"), "doc").repartition(parts, "token", "at", "i", "j")
     return dealt.groupBy("token", "at", "i", "j").applyInArrow(_search(similar), "a long, b long").distinct()
 
 
@@ -267,6 +268,7 @@ def groups(docs: DataFrame, size: int = 4, similar: int = 85) -> DataFrame:
                 sets, first = shingle_sets(pa.Table.from_batches([part]), size)
                 s1, s2 = _signatures(sets, first)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column(_CHUNK), pa.array(np.diff(first)), pa.array(s1), pa.array(s2)], ["doc_id", "chunk", "n_shingles", "sig1", "sig2"])
+        settle()
 
     signed = stored(base.mapInArrow(sign, "doc_id long, chunk int, n_shingles long, sig1 long, sig2 long"), "signatures").withColumn("doc", F.coalesce("doc_id", F.lit(_NULL)))
     alike = signed.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "chunk")).alias("r")).select("sig1", "sig2", F.col("r.doc").alias("rep"), F.col("r.chunk").alias("chunk"))
@@ -278,7 +280,7 @@ def groups(docs: DataFrame, size: int = 4, similar: int = 85) -> DataFrame:
     first = stored(verified(merged, sets, similar), "links")
     labels = sets.select("doc").distinct().join(components(first), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("label", "doc").alias("label"))
     labels = stored(labels, "labels")
-    second = verified(list_pairs(postings, labels, sets, similar).withColumn("merged", F.lit(1).cast("long")), sets, similar)
+    second = verified(list_pairs(postings, labels, sets, similar, n).withColumn("merged", F.lit(1).cast("long")), sets, similar)
     placed = signed.join(alike.select("sig1", "sig2", "rep"), ["sig1", "sig2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc")))
     # A doc_id whose rows have different sets ties those sets.
     several = placed.where("n_shingles > 0").groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,3 +100,34 @@ def bits(x: np.ndarray) -> bytes:
 
 def unbits(blob: bytes) -> np.ndarray:
     return np.unpackbits(unpack(blob[:-8], "u1"))[: int.from_bytes(blob[-8:], "little")].astype(bool)
+
+
+def settle() -> None:
+    """Give freed memory back to the system: Python workers wait for their next task, and a waiting worker should be small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def settled(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f of one group, then settle()."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            settle()
+
+    return run
+
+
+def settled_pair(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """f of two groups, then settle()."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            settle()
+
+    return run

@@ -29,7 +29,7 @@ PLAIN = _LOWER.copy()
 PLAIN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 
 #: Bytes of text handled at once inside a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,11 +41,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; those for a usual block are kept."""
+    usual = max(n, 1) <= BLOCK_BYTES + 1
+    if usual and int(base) in _POWERS:
+        return _POWERS[int(base)][:n]
+    out = np.full(BLOCK_BYTES + 1 if usual else n, base, np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)[:n]
+    out = np.cumprod(out, dtype=np.uint64)
+    if usual:
+        _POWERS[int(base)] = out
+    return out[:n]
 
 
 @dataclass
