@@ -1,7 +1,7 @@
 """Every registered query outside the llm subpackage against its SQL twin, or for rows where it has none."""
 
 import pytest
-from conftest import SF, same
+from tests.conftest import SF, same
 
 from gavel import catalog
 
