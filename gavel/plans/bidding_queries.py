@@ -75,8 +75,9 @@ def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves are a few hundred rows and are used several times each, so they are kept."""
     df = bids(spark, sf_dir)
-    return b.strategies(_won(spark, sf_dir), model(df, "adexchange"), _overall(df))
+    return b.strategies(_won(spark, sf_dir), model(df, "adexchange").cache(), _overall(df).cache())
 
 
 _OVERALL = km_sql("season * 0").replace("season * 0,", "0 AS z,").replace("PARTITION BY season * 0 ORDER", "ORDER").replace("SELECT season * 0", "SELECT z")
