@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gavel.llm.store import bits, chunk_of, pack, pack_sorted, unbits, unpack, unpack_sorted, width
+from gavel.llm.store import bits, chunk_of, pack, pack_sorted, settled, settled_pair, unbits, unpack, unpack_sorted, width
 from gavel.llm.words import Words, blocks, joined, mix, rolled, words
 
 WINDOW = 20
@@ -261,10 +261,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, digests: bo
         return out
 
     answer = "bucket int, chunk int, kind int, bits binary"
-    shared = base.select("doc_id", "text", _CHUNK).groupBy(_CHUNK).applyInArrow(emit_names, _BLOCK_SQL).groupBy("bucket").applyInArrow(share, answer)
-    asked = base.select("doc_id", "text", _CHUNK).groupBy(_CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(emit_windows, _BLOCK_SQL)
-    dated = asked.groupBy("bucket").applyInArrow(date, answer)
-    return base.groupBy(_CHUNK).cogroup(dated.groupBy("chunk")).applyInArrow(remove, StructType(fields))
+    shared = base.select("doc_id", "text", _CHUNK).groupBy(_CHUNK).applyInArrow(settled(emit_names), _BLOCK_SQL).groupBy("bucket").applyInArrow(settled(share), answer)
+    asked = base.select("doc_id", "text", _CHUNK).groupBy(_CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(settled_pair(emit_windows), _BLOCK_SQL)
+    dated = asked.groupBy("bucket").applyInArrow(settled(date), answer)
+    return base.groupBy(_CHUNK).cogroup(dated.groupBy("chunk")).applyInArrow(settled_pair(remove), StructType(fields))
 
 
 def _answers(bucket: pa.ChunkedArray, chunk: pa.ChunkedArray, kind: int, answers: list[bytes]) -> pa.Table:

@@ -3,7 +3,7 @@
 A unit is a run of white space with the word after it. Both public vocabularies
 cut text at such places whatever stands around, so a text's ids are its units'
 ids one after another. Each worker process keeps the ids of units it has met
-(at most `CACHE_UNITS`, then it starts anew) and hands only new ones to the
+(at most `CACHE_UNITS` young and as many older ones) and hands only new ones to the
 library, many at once. Texts with characters for which white space is a matter
 of definition go to the library whole.
 
@@ -18,11 +18,13 @@ import re
 
 import numpy as np
 
-#: Units whose ids a worker keeps.
-CACHE_UNITS = 1_300_000
+#: Units whose ids a worker keeps in each of two generations; units met again move to the younger one.
+CACHE_UNITS = 350_000
 #: Units given to the library in one text.
 _TOGETHER = 200
 _UNITS = re.compile(r"\s*\S+|\s+")
+#: Punctuation that is a unit of its own behind a letter, in any number.
+_BEHIND = ".,!?;:$*%&#|-()\""
 _ODD = re.compile("[\x01\x1c-\x1f]")
 
 
@@ -46,20 +48,53 @@ class Encoder:
             raise ValueError("this vocabulary has no single id for the mark between units")
         self.end = mark[0]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.line = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, key: str) -> tuple[bool, str, str]:
+        """(after a line break, unit, punctuation behind it): both vocabularies cut at these places, so the ids of a key are those of its parts."""
+        base = key.rstrip(_BEHIND)
+        if len(base) < len(key) and (not base or not base[-1].isalpha() or base[-1] > "\u024f" or base[-1] == "\u0130"):  # \u0130 is two characters in lower case
+            base = key
+        tail = key[len(base) :]
+        if self.spaced:
+            return (True, "\x01" + base[1:], tail) if base[:1] == "\n" and len(base) > 1 else (False, base, tail)
+        return False, base.lower() if base.isascii() else base, tail
+
     def _learn(self, keys: list[str]) -> None:
         if len(self.known) + len(keys) > CACHE_UNITS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
+        older = self.older
+        self.known.update([(k, older[k]) for k in keys if k in older])
+        keys = [k for k in keys if k not in self.known]
+        parts = [self._parts(k) for k in keys]
+        known = self.known
+        known.update([(x, older[x]) for _, x, _ in parts if x not in known and x in older])
+        self._ask([x for x in dict.fromkeys([x for _, x, _ in parts]) if x not in known])
+        ends = [t for t in {t for _, _, t in parts} if t not in self.tails]
+        self.tails.update(zip(ends, self._whole(ends), strict=True))
+        for k, (line, base, tail) in zip(keys, parts, strict=True):
+            known[k] = (self.line if line else b"") + known[base] + self.tails[tail]
+
+    def _ask(self, keys: list[str]) -> None:
+        """Learn units from the library, many in one text, with a mark between them."""
         bar = self.mark.strip(" ")
-        # A unit in the middle of a text has to begin as it does there: with a space, or after a dropped one.
-        safe = [k for k in keys if bar not in k and k[:1] != "\x01"]
-        prefix = " " if self.spaced else ""
-        for at in range(0, len(safe), 20 * _TOGETHER):
-            part = safe[at : at + 20 * _TOGETHER]
-            lines = [self.mark.join([prefix + k for k in part[i : i + _TOGETHER]]) for i in range(0, len(part), _TOGETHER)]
+        plain = [k for k in keys if bar not in k and k[:1] != "\x01"]
+        # Units at the start of a text or line: the mark before them is a line break, too.
+        starts = [k for k in keys if k[:1] == "\x01" and k[1:].isalnum()] if self.spaced else []
+        self._together(plain, " " if self.spaced else "", 0)
+        self._together(starts, "", 1)
+        odd = [k for k in keys if bar in k or k[:1] == "\x01" and not (self.spaced and k[1:].isalnum())]
+        self.known.update(zip(odd, self._whole(list(map(self._unit, odd))), strict=True))
+
+    def _together(self, keys: list[str], before: str, skip: int) -> None:
+        for at in range(0, len(keys), 20 * _TOGETHER):
+            part = keys[at : at + 20 * _TOGETHER]
+            lines = [self.mark.join([before + k[skip:] for k in part[i : i + _TOGETHER]]) for i in range(0, len(part), _TOGETHER)]
             flat: list[int] = []
             for e in self.plain.encode_batch_fast(lines, add_special_tokens=False):
                 flat += e.ids
@@ -68,8 +103,6 @@ class Encoder:
             raw = ids.tobytes()
             ends = (2 * np.flatnonzero(ids == self.end)).tolist()
             self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *[e + 2 for e in ends[:-1]]], ends, strict=True)], strict=True))
-        odd = [k for k in keys if bar in k or k[:1] == "\x01"]
-        self.known.update(zip(odd, self._whole(list(map(self._unit, odd))), strict=True))
 
     def _unit(self, key: str) -> str:
         """The text of a unit: keys of words after one space leave it out; \\x01 marks other units."""

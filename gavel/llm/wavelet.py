@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavel.llm.store import fresh_path, width
+from gavel.llm.store import fresh_path, settle, width
 from gavel.llm.tokens import encoder
 from gavel.llm.words import blocks
 
@@ -48,7 +48,10 @@ class WaveletMatrix:
         for b in range(BITS - 1, -1, -1):
             ones = (at & np.uint16(1 << b)).astype(bool)
             planes.append(press.compress(np.packbits(ones).tobytes()))
-            at = np.concatenate([at[~ones], at[ones]])
+            # Arrow filters by bit masks, which is faster than by bytes.
+            held = pa.array(at)
+            parts = [held.filter(pa.Array.from_buffers(pa.bool_(), len(at), [None, pa.py_buffer(np.packbits(m, bitorder="little"))])) for m in (~ones, ones)]
+            at = np.concatenate([p.to_numpy() for p in parts])
         return cls(len(ids), planes)
 
     def _bits(self, level: int) -> np.ndarray:
@@ -121,8 +124,8 @@ class WaveletMatrix:
             ones = self._bits(level)
             up = np.empty(self.n, np.uint16)
             zeros = self.n - int(np.count_nonzero(ones))
-            up[~ones] = at[:zeros]
-            up[ones] = at[zeros:] | np.uint16(1 << (BITS - 1 - level))
+            up[np.flatnonzero(~ones)] = at[:zeros]
+            up[np.flatnonzero(ones)] = at[zeros:] | np.uint16(1 << (BITS - 1 - level))
             at = up
         return at
 
@@ -184,6 +187,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str, shard
                         doc_ids, held, size, seq = [], [], 0, seq + 1
         if held:
             yield flush()
+        doc_ids, held = [], []
+        settle()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(width(docs), F.col("doc_id").asc_nulls_first())
     ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(write, _SHARD).write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path)
