@@ -49,7 +49,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
                         for col, v in zip(out, (doc_id, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        settle()
+        settle(forget=False)
 
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECE)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -102,8 +103,14 @@ def unbits(blob: bytes) -> np.ndarray:
     return np.unpackbits(unpack(blob[:-8], "u1"))[: int.from_bytes(blob[-8:], "little")].astype(bool)
 
 
-def settle() -> None:
-    """Give freed memory back to the system: Python workers wait for their next task, and a waiting worker should be small."""
+def settle(forget: bool = True) -> None:
+    """Give freed memory back to the system: Python workers wait for their next task, and a waiting worker should be small.
+
+    forget: also drop what an encoder has kept in this worker.
+    """
+    tokens = sys.modules.get("gavel.llm.tokens")
+    if forget and tokens:
+        tokens._LOADED.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str, shard
         if held:
             yield flush()
         doc_ids, held = [], []
-        settle()
+        settle(forget=False)
 
     ordered = docs.select("doc_id", "text").repartitionByRange(width(docs), F.col("doc_id").asc_nulls_first())
     ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(write, _SHARD).write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path)
