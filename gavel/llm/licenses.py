@@ -4,9 +4,11 @@ A text is made canonical: lower case; lines that state a copyright dropped;
 everything but letters and digits a space; equivalent spellings made one. Its
 SHA-256 is looked up among those of known licences by a hash join. Each
 document is looked up as one text, and so is each of its lines, as notices
-stand on lines of their own. The list of known licences is fixed and short, so
-its side of the join is broadcast; a caller's own list is joined as Spark sees
-fit.
+stand on lines of their own, and each block of lines that begins as an entire
+licence text does and is as long: a wrapped licence above code or prose. The
+list of known licences is fixed and short, so its side of the join is
+broadcast; a caller's own list is joined as Spark sees fit, and looked up by
+text and line, as digests don't tell how a text begins.
 
 Defined results: null texts match nothing, and neither do texts that have no
 letter or digit; a document gives one row for each (licence, scope) with the
@@ -16,9 +18,14 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.llm.license_forms import bodies, titles
+
 # Equivalent spellings, from public licence matching guidelines; the first is made the second.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
@@ -106,29 +113,96 @@ def canonical(text: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[ \n]+", " "))
+    """Canonical text on one line; spellings of two words may have stood across a line break."""
+    out = F.trim(F.regexp_replace(text, "[ \n]+", " "))
+    for a, b in SPELLINGS:
+        if " " in a:
+            out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+#: Words by which the beginning of an entire text is found.
+HEAD_WORDS = 5
+
+
+def _canonical_lines(spark: SparkSession, texts: list[str]) -> list[str]:
+    quoted = ", ".join("({}, '{}')".format(i, t.replace("\\", "\\\\").replace("'", "\\'")) for i, t in enumerate(texts))
+    rows = spark.sql(f"SELECT * FROM VALUES {quoted} AS texts(i, text)").select("i", one_line(canonical(F.col("text"))).alias("t")).collect()
+    return [r.t for r in sorted(rows, key=lambda r: r.i)]
+
+
+@cache
+def _entire(spark: SparkSession) -> list[tuple[str, str]]:
+    """(licence, canonical line) of entire texts without titles."""
+    made = bodies(TEXTS)
+    return sorted(set(zip((k for k, _ in made), _canonical_lines(spark, [t for _, t in made]), strict=True)))
+
+
+@cache
+def _known_digests(spark: SparkSession) -> list[tuple[str, str]]:
+    """(licence, digest) of entire texts, of those below a title and of notices."""
+    entire, notices = _entire(spark), known_texts()
+    under = [(k, name) for k, names in titles(NAMES).items() for name in names]
+    lines = _canonical_lines(spark, [t for _, t in notices] + [t for _, t in under])
+    found = entire + list(zip((k for k, _ in notices), lines, strict=False))
+    found += [(k, f"{title} {t}") for (k, _), title in zip(under, lines[len(notices) :], strict=True) for j, t in entire if j == k]
+    return sorted({(k, hashlib.sha256(t.encode()).hexdigest()) for k, t in found})
+
+
+def block_forms(spark: SparkSession) -> list[tuple[str, int, tuple[int, ...]]]:
+    """(beginning, length) of entire texts, each with the lengths of the licence's texts that it begins with: where one of them ends a line, it stands for the longer one, so that a place counts once."""
+    texts = _entire(spark)
+    return sorted({(" ".join(x.split(" ")[:HEAD_WORDS]), len(x), tuple(sorted(len(y) for j, y in texts if j == k and x.startswith(f"{y} ")))) for k, x in texts})
+
+
+def _blocks(spark: SparkSession, t: Column) -> Column:
+    """Array of the blocks of lines in canonical text that begin and end as an entire licence text may."""
+    forms = block_forms(spark)
+    longest = max(n for _, n, _ in forms) + 2
+    begins = f"(?:{'|'.join(sorted({x.replace(' ', '[ \n]+') for x, _, _ in forms}))})(?![^ \n])"
+    known_forms = F.array(*(F.struct(F.lit(x).alias("head"), F.lit(n).alias("n"), F.array(*map(F.lit, less)).cast("array<int>").alias("less")) for x, n, less in forms))
+    flat = F.regexp_replace(t, " *\n[ \n]*", "\n")
+    for a, b in SPELLINGS:
+        if " " in a:
+            flat = F.replace(F.replace(flat, F.lit(a.replace(" ", "\n")), F.lit(b)), F.lit(a), F.lit(b))
+
+    def block(parts: Column, i: Column) -> Column:
+        rest = F.rtrim(F.substring(F.array_join(F.slice(parts, i, F.size(parts)), "\n"), 1, longest))
+        first = lambda n: F.translate(rest.substr(F.lit(1), n), "\n", " ")
+        ends = lambda n: (F.length(rest) >= n) & rest.substr(n + F.lit(1), F.lit(1)).isin("\n", "")
+        fit = F.filter(known_forms, lambda x: ends(x["n"]) & (first(F.length(x["head"])) == x["head"]) & ~F.exists(x["less"], ends))
+        return F.transform(fit, lambda x: first(x["n"]))
+
+    found = F.transform(F.array(F.split(flat, f"\n(?={begins})")), lambda p: F.flatten(F.transform(F.slice(F.sequence(F.lit(1), F.size(p)), 2, F.size(p)), lambda i: block(p, i))))[0]
+    return F.when(t.rlike(f"\n *{begins}"), found).otherwise(F.array().cast("array<string>"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, scope, digest) of each document's whole text and of each of its lines; empty texts have none."""
+def digests(docs: DataFrame, blocks: bool = True) -> DataFrame:
+    """(doc_id, scope, digest) of each document's whole text, of each of its lines and of what may be an entire licence in it; empty texts have none."""
     made = docs.where("text is not null").select("doc_id", canonical(F.col("text")).alias("t"))
-    lines = F.transform(F.split("t", "\n"), lambda x: F.struct(F.lit("line").alias("scope"), F.trim(x).alias("text")))
-    whole = F.array(F.struct(F.lit("text").alias("scope"), one_line(F.col("t")).alias("text")))
-    units = made.select("doc_id", F.explode(F.concat(whole, lines)).alias("u")).where("u.text <> ''")
+    unit = lambda scope, text: F.struct(F.lit(scope).alias("scope"), text.alias("text"))
+    parts = [F.array(unit("text", one_line(F.col("t")))), F.transform(F.split("t", "\n"), lambda x: unit("line", F.trim(x)))]
+    if blocks:
+        parts.append(F.transform(_blocks(docs.sparkSession, F.col("t")), lambda x: unit("block", x)))
+    units = made.select("doc_id", F.explode(F.concat(*parts)).alias("u")).where("u.text <> ''")
     return units.select("doc_id", "u.scope", F.sha2("u.text", 256).alias("digest"))
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_id, digest) of known licences."""
-    quoted = ", ".join("('{}', '{}')".format(k, t.replace("\\", "\\\\").replace("'", "\\'")) for k, t in texts or known_texts())
-    table = spark.sql(f"SELECT * FROM VALUES {quoted} AS known(license_id, text)")
-    return table.select("license_id", F.sha2(one_line(canonical(F.col("text"))), 256).alias("digest")).distinct()
+    if texts:
+        lines = _canonical_lines(spark, [t for _, t in texts])
+        rows = sorted({(k, hashlib.sha256(t.encode()).hexdigest()) for (k, _), t in zip(texts, lines, strict=True)})
+    else:
+        rows = _known_digests(spark)
+    quoted = ", ".join("('{}', '{}')".format(k.replace("\\", "\\\\").replace("'", "\\'"), d) for k, d in rows)
+    return spark.sql(f"SELECT * FROM VALUES {quoted} AS known(license_id, digest)")
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
-    """(doc_id, license_id, scope, n): documents whose whole text, or n of whose lines, are a known licence."""
+    """(doc_id, license_id, scope, n): documents whose whole text, or n of whose lines or blocks, are a known licence."""
     table = F.broadcast(known(docs.sparkSession)) if licenses is None else licenses
-    return digests(docs).join(table, "digest").groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n"))
+    return digests(docs, licenses is None).join(table, "digest").groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n"))
 
 
 def _sql_canonical(text: str) -> str:

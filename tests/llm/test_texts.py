@@ -189,3 +189,45 @@ def test_models_of_odd_rows(spark, odd_rows, module):
         model = module.fit(docs, lab)
         assert module.score(docs, model).count() == len(odd_rows)
     assert module.score(shape(spark, []), module.fit(shape(spark, []), labels)).count() == 0
+
+
+def test_entire_licenses(spark):
+    """Entire texts with titles, and wrapped ones within code and prose."""
+    import textwrap
+    from pathlib import Path
+
+    from gavel.llm import license_forms
+
+    mit = licenses.TEXTS["MIT"]
+    cut = [mit.index("The above copyright notice"), mit.index("THE SOFTWARE IS")]
+    wrapped = "\n\n".join(textwrap.fill(x, 70) for x in (mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]))
+    comment = "\n".join(f"# {x}".rstrip() for x in wrapped.split("\n"))
+    by = dict(license_forms.bodies(licenses.TEXTS))
+    bsd = textwrap.fill(next(x for k, x in license_forms.bodies(licenses.TEXTS) if k == "BSD-3-Clause" and "1. Redis" in x and "COPYRIGHT OWNER OR" in x and "the copyright holder nor the names of its" in x), 70)
+    bsd = bsd.replace("COPYRIGHT OWNER", "COPYRIGHT\nOWNER").replace("2. Redis", "\n\n2. Redis")
+    published = {p.stem: p.read_text() for p in (Path(license_forms.__file__).parent / "license_texts").glob("*.txt")}
+    assert len(published) == 6 and set(by) | {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-4.0"} == set(licenses.NAMES)
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2024 Somebody\n\n{mit}"),
+        (2, f"import os\n\n{comment}\n#\nimport sys\nprint('x')\n"),
+        (3, f"Some prose before.\n\n{wrapped}\n\nMore prose.\n\n{wrapped}"),
+        (4, f"/*\n * Copyright (c) 2020, X\n * All rights reserved.\n *\n{textwrap.indent(bsd, ' * ')}\n */\nint main;"),
+        (5, f"BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n{bsd}"),
+        (6, f"prose\n{textwrap.fill(by['Unlicense'], 60)}\n"),
+        (7, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n\nx = 1"),
+        (8, f"{wrapped} and more on the last line"),
+        (9, wrapped.replace("without limitation the rights", "no limitation the rights")),
+        (None, f"x\n{wrapped}"),
+    ]
+    rows += [(20 + i, text) for i, (_, text) in enumerate(sorted(published.items()))]
+    rows += [(30 + i, f"prose\n{text}\ncode") for i, (_, text) in enumerate(sorted(published.items()))]
+    rows += [(40, rows[1][1]), (40, rows[1][1])]
+    got = {(r.doc_id, r.license_id, r.scope, r.n) for r in licenses.scan(shape(spark, rows)).collect()}
+    wants = {(1, "MIT", "text", 1), (1, "MIT", "block", 1), (2, "MIT", "block", 1), (3, "MIT", "block", 2), (4, "BSD-3-Clause", "block", 1), (5, "BSD-3-Clause", "text", 1), (6, "Unlicense", "block", 1), (7, "MPL-2.0", "block", 1), (None, "MIT", "block", 1), (40, "MIT", "block", 2)}
+    wants |= {(20 + i, k, "text", 1) for i, k in enumerate(sorted(published))}
+    assert wants <= got, wants - got
+    assert {(d, k) for d, k, s, _ in got if s == "block" and d and d >= 30 and d < 40} >= {(30 + i, k) for i, k in enumerate(sorted(published))}
+    assert not any(d in (8, 9) for d, *_ in got)
+    forms = [(x, n) for x, n, _ in licenses.block_forms(spark)]
+    assert len(forms) == len(set(forms))
+    assert not {k for d, k, s, _ in got if d and d < 20 and s == "block"} - {"MIT", "BSD-3-Clause", "Unlicense", "MPL-2.0"}
