@@ -5,8 +5,9 @@ Samples are centred, resampled by 2/3 with a windowed-sinc polyphase bank,
 cut into frames of 256 with a hop of 128, and turned into 32 log-mel levels in
 half-decibel steps (one byte each). Frames are active from an energy of the
 median plus `HIGH_DB` until one below the median plus `LOW_DB`. Levels are
-stored as fixed-shape Arrow tensors (64 frames x 32 bands, the last padded
-with zeros), each with the time span it covers.
+stored in the shared folder as fixed-shape Arrow tensors (64 frames x 32
+bands, the last padded with zeros), each with the time span it covers, and
+`feature` is derived from what is read back.
 
 A document's features are computed from its samples alone with the same array
 shapes wherever it stands, so equal media have equal features.
@@ -154,29 +155,70 @@ def store_text(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(fill, "doc_id long, n_bytes long, media binary"), "media", compression="zstd", **{"parquet.block.size": str(16 << 20)})
 
 
-def features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
-    """Per row of (doc_id, n_bytes, media): digests of what was read back, active segments in ms, and with keep_tensors the Arrow stream of its tensors."""
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("segments", pa.list_(pa.list_(pa.float64())))]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, segments array<array<double>>"
-    if keep_tensors:
-        fields.append(("tensors", pa.binary()))
-        schema += ", tensors binary"
+_FIELDS = [("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string")]
+_SEGMENTS = ("segments", pa.list_(pa.list_(pa.float64())), "array<array<double>>")
+_TENSORS = ("tensors", pa.binary(), "binary")
+
+
+def _schema(fields: list[tuple[str, pa.DataType, str]]) -> str:
+    return ", ".join(f"{n} {t}" for n, _, t in fields)
+
+
+def store_features(media: DataFrame) -> DataFrame:
+    """Per row of (doc_id, n_bytes, media), in the shared folder: digests of what was read back, active segments in ms, the Arrow stream of its tensors."""
+    fields = [*_FIELDS, _SEGMENTS, _TENSORS]
+
+    def made(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t, _) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _, _ in fields])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, n_bytes, item in zip(batch.column("doc_id"), batch.column("n_bytes"), batch.column("media"), strict=True):
                 data = item.as_py()
                 payload = wav_samples(data)
                 levels, energy = log_mel(payload)
-                active = segments(energy)
-                digest = hashlib.sha256(levels.tobytes() + repr(active).encode()).hexdigest()
-                row = [doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), digest, len(levels), [[_ms(a), _ms(b)] for a, b in active]]
-                rows.append(row + [tensors(levels)] * keep_tensors)
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
-                    rows = []
+                spans = [[_ms(a), _ms(b)] for a, b in segments(energy)]
+                rows.append([doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), spans, tensors(levels)])
+                held += len(rows[-1][-1])
+                if held > 16 << 20 or len(rows) == 1000:
+                    yield made(rows)
+                    rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+                yield made(rows)
+
+    return stored(media.select("doc_id", "n_bytes", "media").mapInArrow(compute, _schema(fields)), "tensors", compression="zstd", **{"parquet.block.size": str(16 << 20)})
+
+
+def stored_levels(stream: bytes) -> np.ndarray:
+    """The levels that tensors() was given."""
+    table = pa.ipc.open_stream(stream).read_all()
+    full = table.column("tensor").combine_chunks().to_numpy_ndarray()
+    return full.reshape(-1, BANDS)[: _frame(table.column("end_ms")[-1].as_py())]
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(compute, schema)
+
+def _frame(ms: float) -> int:
+    return round(ms / _ms(1))
+
+
+def from_stored(table: DataFrame, keep_tensors: bool = True) -> DataFrame:
+    """store_features() with `feature`, a digest of the stored tensors and segments, and their number of frames."""
+    fields = [*_FIELDS, ("feature", pa.string(), "string"), ("n_frames", pa.int64(), "long"), _SEGMENTS] + [_TENSORS] * keep_tensors
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest, frames = [], []
+            for stream, spans in zip(batch.column("tensors"), batch.column("segments").to_pylist(), strict=True):
+                levels = stored_levels(stream.as_py())
+                active = [(_frame(a), _frame(b)) for a, b in spans]
+                digest.append(hashlib.sha256(levels.tobytes() + repr(active).encode()).hexdigest())
+                frames.append(len(levels))
+            made = {"feature": pa.array(digest, pa.string()), "n_frames": pa.array(frames, pa.int64())}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n, _, _ in fields], [n for n, _, _ in fields])
+
+    return table.mapInArrow(derive, _schema(fields))
+
+
+def features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
+    """Per row of (doc_id, n_bytes, media): digests of what was read back, active segments in ms, the digest of the stored features, and with keep_tensors the Arrow stream of its tensors."""
+    return from_stored(store_features(media), keep_tensors)

@@ -231,3 +231,31 @@ def test_entire_licenses(spark):
     forms = [(x, n) for x, n, _ in licenses.block_forms(spark)]
     assert len(forms) == len(set(forms))
     assert not {k for d, k, s, _ in got if d and d < 20 and s == "block"} - {"MIT", "BSD-3-Clause", "Unlicense", "MPL-2.0"}
+
+
+def test_stored_tensors(spark):
+    """The query writes tensors of every document, and `feature` is that of what was written."""
+    from pathlib import Path
+
+    from gavel.llm import store
+
+    folder = Path(store.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("tensors-*"))
+    got = queries.queries()["op5_audio_features"](spark, SF).toPandas().set_index("doc_id")
+    (path,) = set(folder.glob("tensors-*")) - before
+    rows = {r.doc_id: r for r in spark.read.parquet(str(path)).collect()}
+    assert len(rows) == len(got) > 0 and set(rows) == set(got.index)
+    for text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        raw = (text.text or "").encode()
+        levels, energy = audio.log_mel(raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" "))
+        row, r = rows[text.doc_id], got.loc[text.doc_id]
+        table = pa.ipc.open_stream(row.tensors).read_all()
+        assert (audio.stored_levels(row.tensors) == levels).all() and len(levels) == r.n_frames
+        assert table.column("start_ms").to_pylist() == [1024.0 * i for i in range(table.num_rows)] and table.column("end_ms")[-1].as_py() == 16.0 * len(levels)
+        active = audio.segments(energy)
+        assert row.segments == [[16.0 * a, 16.0 * b] for a, b in active]
+        assert r.feature == hashlib.sha256(levels.tobytes() + repr(active).encode()).hexdigest()
+    one = spark.createDataFrame([rows[min(rows)]], spark.read.parquet(str(path)).schema)
+    other = one.drop("tensors").crossJoin(spark.createDataFrame([(bytearray(audio.tensors(np.ones((3, 32), np.uint8))),)], "tensors binary"))
+    assert audio.from_stored(one).first().feature == got.loc[min(rows)].feature != audio.from_stored(other).first().feature
+    assert audio.stored_levels(audio.tensors(np.zeros((0, 32), np.uint8))).shape == (0, 32)
