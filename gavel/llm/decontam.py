@@ -6,15 +6,16 @@ for each (document, item) that shares one, tiling marks the longest common runs
 of unmarked words, each word of either side once: Karp-Rabin hashes of the
 current length find matches, the longest are marked first, and the length falls
 to `LEAST`. A document is contaminated by an item when tiles cover at least
-`COVERAGE` of the item's words, wherever and in whatever order they stand.
+`COVERAGE` of the item's words, wherever and in whatever order they stand. An item of fewer than
+`LEAST` words is found where it is all the words of a line or of a document.
 
 Items travel to the tasks in blocks of at most `BLOCK_WORDS` words, one pass
 over the documents for each block, so what is broadcast is bounded and every
 item is used.
 
-Defined results: null or empty texts and texts of fewer than `LEAST` words
-share no seed; so do such items; repeated documents or items give repeated
-rows; empty tables give no rows; other columns are not read.
+Defined results: null or empty texts hold no item, and items without words are
+in no text; texts of fewer than `LEAST` words share no seed; repeated documents or items give repeated rows; empty tables give
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.words import blocks, rolled, words
+from gavel.llm.words import Words, blocks, rolled, words
 
 LEAST = 5
 COVERAGE = 0.5
@@ -89,6 +90,31 @@ def seeds(items: list[tuple[int | None, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return all_h[order], owner[order]
 
 
+def short_items(items: list[tuple[int | None, np.ndarray]]) -> dict[int, dict[bytes, list[int]]]:
+    """Items of fewer than `LEAST` words: by length, then by their words' hashes."""
+    found: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for k, (_, x) in enumerate(items):
+        if 0 < len(x) < LEAST:
+            found[len(x)][x.tobytes()].append(k)
+    return {n: dict(x) for n, x in found.items()}
+
+
+def _short_found(w: Words, short: dict[int, dict[bytes, list[int]]]) -> list[tuple[int, int]]:
+    """(document of the block, item) where a short item is all the words of a line or document."""
+    doc, line = w.doc(), np.searchsorted(np.flatnonzero(w.data == 0x0A), w.begin)
+    found = set()
+    for unit in (doc, line):
+        edge = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(unit, prepend=-1))
+        size = np.diff(edge, append=len(doc))
+        for n, known in short.items():
+            at = edge[size == n]
+            h = rolled(w.hash, n)
+            seed = np.concatenate([rolled(np.frombuffer(x, np.uint64), n) for x in known])
+            for p in at[np.isin(h[at], seed)].tolist():
+                found.update((int(doc[p]), k) for k in known.get(w.hash[p : p + n].tobytes(), ()))
+    return sorted(found)
+
+
 def _passes(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator:
     """The benchmark's items, in broadcast blocks of bounded size."""
     spark = docs.sparkSession
@@ -97,15 +123,19 @@ def _passes(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).toArrow()
         w = words(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), plain=True)
         items = [(i, w.hash[a:b]) for i, a, b in zip(rows.column("item_id").to_pylist(), w.first[:-1], w.first[1:], strict=True)]
-        yield spark.sparkContext.broadcast((items, *seeds(items)))
+        yield spark.sparkContext.broadcast((items, *seeds(items), short_items(items)))
 
 
 def found_in(text: pa.Array, held: tuple, coverage: float) -> list[tuple[int, int, int, int, int]]:
     """(row, item, item's words, covered words, tiles) of the rows of a text column that hold an item."""
-    items, seed, owner = held
+    items, seed, owner, short = held
     out: list[tuple[int, int, int, int, int]] = []
-    for a, b in blocks(text) if len(seed) else ():
+    for a, b in blocks(text) if len(seed) or short else ():
         w = words(text.slice(a, b - a), plain=True)
+        if short:
+            out += [(a + d, k, len(items[k][1]), len(items[k][1]), 1) for d, k in _short_found(w, short)]
+        if not len(seed):
+            continue
         h, doc = rolled(w.hash, LEAST), w.doc()
         inside = doc[: len(h)] == doc[LEAST - 1 :] if len(h) else np.zeros(0, bool)
         at = np.searchsorted(seed, h)

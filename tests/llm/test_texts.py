@@ -259,3 +259,18 @@ def test_stored_tensors(spark):
     other = one.drop("tensors").crossJoin(spark.createDataFrame([(bytearray(audio.tensors(np.ones((3, 32), np.uint8))),)], "tensors binary"))
     assert audio.from_stored(one).first().feature == got.loc[min(rows)].feature != audio.from_stored(other).first().feature
     assert audio.stored_levels(audio.tensors(np.zeros((0, 32), np.uint8))).shape == (0, 32)
+
+
+def test_short_items(spark):
+    """Items of one to four words are found as whole documents and lines only."""
+    items = [(1, "Yes!"), (2, "so it goes"), (3, "one two three four"), (4, "one two three four five"), (5, "..."), (6, "yes"), (7, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "YES"), (2, "yes and no"), (3, "before\r\n  so it, goes.\r\nafter"), (4, "so it\ngoes"), (5, "and so it goes on"), (6, "one two three four"), (7, "one two three four five"), (8, "a\nyes\nb\nyes"), (9, None), (10, ""), (11, "x so\nit goes"), (12, "so it"), (13, "goes"), (None, "yes")]
+    one = {(1, 1, 1), (1, 6, 1), (8, 1, 1), (8, 6, 1), (None, 1, 1), (None, 6, 1), (3, 2, 3), (4, 2, 3), (6, 3, 4), (7, 4, 5)}
+    docs = shape(spark, rows)
+    got = [(r.doc_id, r.item_id, r.covered_words) for r in decontam.contaminated(docs.coalesce(1), bench).collect()]
+    assert set(got) == one and len(got) == len(one)
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {2, 5, 9, 10, 11, 12, 13}
+    only = bench.where("item_id = 2")
+    assert {(r.doc_id, r.item_id, r.tiles, r.coverage) for r in decontam.contaminated(docs, only).collect()} == {(3, 2, 1, 1.0), (4, 2, 1, 1.0)}
+    assert decontam.contaminated(docs.where("doc_id in (9, 10)"), bench).count() == 0
