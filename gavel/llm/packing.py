@@ -37,18 +37,20 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
     """Encode (doc_id, text), end each text with end_id, and cut what is longer than capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], "<u2").tobytes()
+        enc = encoder(vocabulary)
         for batch in batches:
             for a, b in blocks(batch.column("text")):
                 rows = batch.slice(a, b - a)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), enc.encode(rows.column("text").to_pylist()), strict=True):
-                    wide = np.frombuffer(ids + end, "<u2").astype("<u4")
-                    for k, at in enumerate(range(0, len(wide), capacity)):
-                        part = wide[at : at + capacity]
-                        for col, v in zip(out, (doc_id, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                ids, first = enc.encode(rows.column("text"), end_id)
+                wide = memoryview(ids.astype("<u4"))
+                size = np.diff(first)
+                n = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(size[doc] - start, capacity)
+                crc = [zlib.crc32(wide[x : x + k]) for x, k in zip((first[doc] + start).tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
         settle(forget=False)
 
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECE)

@@ -2,16 +2,20 @@
 
 Every whole text is encoded, ended with `end_id`, and written in ascending
 doc_id order (nulls first, ties by text) as shards of about `SHARD_TOKENS`
-ids. A shard is one compressed byte string: sixteen bit planes (one from each
-bit of the ids, most significant first, each plane stably partitioned by the
-one before) and the documents' ids and lengths. `WaveletMatrix` answers access,
-rank, select, count and occurrence queries from that string alone; its rank
-directory is counted when a plane is opened. Spark writes the strings as a
-Parquet table in the shared folder, so a lost executor's shards are written
-again by the commit protocol.
+ids. A shard is one byte string: the documents' ids and lengths, and sixteen
+bit planes (one from each bit of the ids, most significant first, each plane
+stably partitioned by the one before). A plane is cut into blocks of
+`BLOCK_BITS`, each a Zstandard frame of its own; the file holds a directory of
+the frames' ends and of the ones before each block, which is the rank directory
+and, searched by halves, the select directory. `WaveletMatrix` answers access,
+rank, select, count and occurrence queries from that string alone and opens
+only the blocks that a query touches. Spark writes the strings as a Parquet
+table in the shared folder, so a lost executor's shards are written again by
+the commit protocol.
 
 Defined results: a null or empty text is `end_id` alone; an empty table gives
-no shards and no rows; repeated rows are kept; other columns are not read.
+no shards and no rows; repeated rows are kept; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -32,65 +36,104 @@ from gavel.llm.words import blocks
 
 SHARD_TOKENS = 4_000_000
 BITS = 16
+BLOCK_BITS = 1 << 16
+#: Ids of each shard that are also read by access, and one by rank, when it is read back.
+_PROBES = 8
+
+
+class Plane:
+    """Bits in blocks, each compressed by itself: frames one after another, their ends, and the ones before each block with a closing total."""
+
+    def __init__(self, n: int, before: np.ndarray, ends: np.ndarray, frames: bytes | memoryview) -> None:
+        self.n, self.before, self.ends, self.frames = n, before, ends, frames
+        self.zeros = n - int(before[-1])
+        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def build(cls, ones: np.ndarray) -> Plane:
+        packed, press = np.packbits(ones), zstandard.ZstdCompressor(level=1)
+        starts = np.arange(0, len(packed), BLOCK_BITS // 8)
+        counts = np.add.reduceat(np.bitwise_count(packed), starts, dtype=np.int64) if len(starts) else starts
+        frames = [press.compress(packed[a : a + BLOCK_BITS // 8]) for a in starts.tolist()]
+        return cls(len(ones), np.append(0, np.cumsum(counts)), np.cumsum([len(f) for f in frames]).astype(np.int64), b"".join(frames))
+
+    def _frame(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.frames[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])])
+
+    def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's bytes, and the ones in the plane before each byte with a closing total."""
+        if k not in self._open:
+            raw = np.frombuffer(self._frame(k), np.uint8)
+            self._open[k] = raw, self.before[k] + np.append(0, np.cumsum(np.bitwise_count(raw), dtype=np.int64))
+        return self._open[k]
+
+    def bits(self) -> np.ndarray:
+        """All bits."""
+        raw = b"".join([self._frame(k) for k in range(len(self.ends))])
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
+
+    def get(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits at positions i (0 at the end), and the ones before them."""
+        bit, ones = np.zeros(len(i), np.int64), np.full(len(i), self.before[-1])
+        owner = i // BLOCK_BITS
+        for k in np.unique(owner[i < self.n]).tolist():
+            at = np.flatnonzero((owner == k) & (i < self.n))
+            raw, before = self.block(k)
+            byte, place = (i[at] - k * BLOCK_BITS) >> 3, (i[at] & 7).astype(np.uint8)
+            held = raw[byte]
+            bit[at] = (held >> (np.uint8(7) - place)) & 1
+            ones[at] = before[byte] + np.bitwise_count((held.astype(np.uint16) >> (8 - place.astype(np.uint16))).astype(np.uint8))
+        return bit, ones
+
+    def select(self, value: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the k-th (from 0) bits that are value: the block by the directory, then the byte by its counts."""
+        edges = np.minimum(np.arange(len(self.before)) * BLOCK_BITS, self.n)
+        counts = self.before if value else edges - self.before
+        owner, out = np.searchsorted(counts, k, "right") - 1, np.zeros(len(k), np.int64)
+        for b in np.unique(owner).tolist():
+            at = np.flatnonzero(owner == b)
+            raw, before = self.block(b)
+            inside = before if value else b * BLOCK_BITS + 8 * np.arange(len(before)) - before
+            byte = np.searchsorted(inside, k[at], "right") - 1
+            left = k[at] - inside[byte]
+            rows = np.unpackbits(raw[byte][:, None], axis=1) == value
+            out[at] = b * BLOCK_BITS + 8 * byte + np.argmax(np.cumsum(rows, axis=1) == (left + 1)[:, None], axis=1)
+        return out
 
 
 class WaveletMatrix:
     """A sequence of ids below 2**16 as bit planes with rank and select."""
 
-    def __init__(self, n: int, planes: list[bytes]) -> None:
-        self.n, self.packed = n, planes
-        self._open: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    def __init__(self, n: int, planes: list[Plane]) -> None:
+        self.n, self.planes = n, planes
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        at = np.ascontiguousarray(ids, np.uint16)
-        press, planes = zstandard.ZstdCompressor(level=1), []
+        at, planes = np.ascontiguousarray(ids, np.uint16), []
         for b in range(BITS - 1, -1, -1):
             ones = (at & np.uint16(1 << b)).astype(bool)
-            planes.append(press.compress(np.packbits(ones).tobytes()))
+            planes.append(Plane.build(ones))
             # Arrow filters by bit masks, which is faster than by bytes.
             held = pa.array(at)
             parts = [held.filter(pa.Array.from_buffers(pa.bool_(), len(at), [None, pa.py_buffer(np.packbits(m, bitorder="little"))])) for m in (~ones, ones)]
             at = np.concatenate([p.to_numpy() for p in parts])
         return cls(len(ids), planes)
 
-    def _bits(self, level: int) -> np.ndarray:
-        raw = zstandard.ZstdDecompressor().decompress(self.packed[level])
-        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
-
-    def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Packed bits, ones before each byte, and the number of zeros."""
-        if level not in self._open:
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[level]), np.uint8)
-            before = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum(np.bitwise_count(raw), out=before[1:])
-            self._open[level] = raw, before, self.n - int(before[-1])
-        return self._open[level]
-
-    def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
-        """Ones before position i of a plane."""
-        raw, before, _ = self._plane(level)
-        byte, bit = i >> 3, i & 7
-        part = np.where(bit > 0, raw[np.minimum(byte, len(raw) - 1)] >> (8 - bit).astype(np.uint8) % 8, 0) if len(raw) else np.zeros_like(i)
-        return before[byte] + np.bitwise_count(part.astype(np.uint8))
-
     def access(self, i: np.ndarray) -> np.ndarray:
         """The ids at positions i."""
         i = np.asarray(i, np.int64)
         out = np.zeros(len(i), np.int64)
-        for level in range(BITS):
-            raw, _, zeros = self._plane(level)
-            one = (raw[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1
-            ones = self._ones(level, i)
-            i = np.where(one == 1, zeros + ones, i - ones)
-            out = out << 1 | one
+        for plane in self.planes:
+            bit, ones = plane.get(i)
+            i = np.where(bit == 1, plane.zeros + ones, i - ones)
+            out = out << 1 | bit
         return out
 
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         span = np.array([lo, hi], np.int64)
-        for level in range(BITS):
-            ones = self._ones(level, span)
-            span = self._plane(level)[2] + ones if value >> (BITS - 1 - level) & 1 else span - ones
+        for level, plane in enumerate(self.planes):
+            ones = plane.get(span)[1]
+            span = plane.zeros + ones if value >> (BITS - 1 - level) & 1 else span - ones
         return int(span[0]), int(span[1])
 
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
@@ -108,10 +151,8 @@ class WaveletMatrix:
         if len(at) and (at.min() < a or at.max() >= b):
             raise IndexError("there are fewer occurrences")
         for level in range(BITS - 1, -1, -1):
-            raw, before, zeros = self._plane(level)
-            held = np.unpackbits(raw, count=self.n)
-            one = value >> (BITS - 1 - level) & 1
-            at = np.flatnonzero(held == one)[at - (zeros if one else 0)]
+            plane, one = self.planes[level], value >> (BITS - 1 - level) & 1
+            at = plane.select(one, at - plane.zeros if one else at)
         return at
 
     def occurrences(self, value: int) -> np.ndarray:
@@ -121,37 +162,42 @@ class WaveletMatrix:
         """All ids, from the last plane up."""
         at = np.zeros(self.n, np.uint16)
         for level in range(BITS - 1, -1, -1):
-            ones = self._bits(level)
+            plane = self.planes[level]
+            ones = plane.bits()
             up = np.empty(self.n, np.uint16)
-            zeros = self.n - int(np.count_nonzero(ones))
-            up[np.flatnonzero(~ones)] = at[:zeros]
-            up[np.flatnonzero(ones)] = at[zeros:] | np.uint16(1 << (BITS - 1 - level))
+            up[np.flatnonzero(~ones)] = at[: plane.zeros]
+            up[np.flatnonzero(ones)] = at[plane.zeros :] | np.uint16(1 << (BITS - 1 - level))
             at = up
         return at
 
 
 def write_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """The shard file: a head, documents (id, known or null, length), then the planes."""
+    """The shard file: a head, the planes' directories, documents (id, known or null, length), then the planes' frames."""
     known = np.array([d is not None for d in doc_ids], bool)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
     table = zstandard.ZstdCompressor(level=1).compress(docs.tobytes() + known.tobytes() + lengths.astype("<u4").tobytes())
-    planes = WaveletMatrix.build(ids).packed
-    sizes = [len(table), *map(len, planes)]
-    return struct.pack(f"<4sQQ{len(sizes)}Q", b"GWM1", len(docs), len(ids), *sizes) + table + b"".join(planes)
+    planes = WaveletMatrix.build(ids).planes
+    directory = b"".join([np.concatenate([p.before, p.ends]).astype("<u4").tobytes() for p in planes])
+    sizes = [len(table), *[len(p.frames) for p in planes]]
+    return struct.pack(f"<4sQQ{len(sizes)}Q", b"GWM2", len(docs), len(ids), *sizes) + directory + table + b"".join([p.frames for p in planes])
 
 
 def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     """A shard's documents, their lengths and its wavelet matrix."""
     magic, n_docs, n, *sizes = struct.unpack_from(f"<4sQQ{BITS + 1}Q", blob)
-    if magic != b"GWM1":
+    if magic != b"GWM2":
         raise ValueError("not a wavelet shard")
-    ends = np.cumsum([20 + 8 * (BITS + 1), *sizes]).tolist()
+    head, blocks_each = 20 + 8 * (BITS + 1), -(-n // BLOCK_BITS)
+    each = 2 * blocks_each + 1
+    directory = np.frombuffer(blob, "<u4", BITS * each, head).astype(np.int64).reshape(BITS, each)
+    ends = np.cumsum([head + 4 * BITS * each, *sizes]).tolist()
     table = zstandard.ZstdDecompressor().decompress(blob[ends[0] : ends[1]])
     docs = np.frombuffer(table, "<i8", n_docs)
     known = np.frombuffer(table, bool, n_docs, 8 * n_docs)
     lengths = np.frombuffer(table, "<u4", n_docs, 9 * n_docs).astype(np.int64)
     ids = [d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)]
-    return ids, lengths, WaveletMatrix(n, [blob[a:b] for a, b in zip(ends[1:-1], ends[2:], strict=True)])
+    view = memoryview(blob)
+    return ids, lengths, WaveletMatrix(n, [Plane(n, row[: blocks_each + 1], row[blocks_each + 1 :], view[a:b]) for row, a, b in zip(directory, ends[1:-1], ends[2:], strict=True)])
 
 
 _SHARD = "part int, seq int, n_docs long, n_tokens long, shard binary"
@@ -164,24 +210,29 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str, shard
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        enc, end = encoder(vocabulary), np.array([end_id], "<u2").tobytes()
+        enc = encoder(vocabulary)
         doc_ids: list = []
-        held: list[bytes] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2")
-            lengths = np.array([len(x) // 2 for x in held], np.int64)
-            row = {"part": [part], "seq": [seq], "n_docs": [len(held)], "n_tokens": [len(ids)], "shard": [write_shard(doc_ids, lengths, ids)]}
+            lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = {"part": [part], "seq": [seq], "n_docs": [len(lengths)], "n_tokens": [len(ids)], "shard": [write_shard(doc_ids, lengths, ids)]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("shard", pa.binary())]))
 
         for batch in batches:
             for a, b in blocks(batch.column("text")):
                 rows = batch.slice(a, b - a)
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), enc.encode(rows.column("text").to_pylist()), strict=True):
-                    doc_ids.append(doc_id)
-                    held.append(ids + end)
-                    size += len(ids) // 2 + 1
+                ids, first = enc.encode(rows.column("text"), end_id)
+                own, done = rows.column("doc_id").to_pylist(), 0
+                while done < len(own):
+                    # As many texts as fill the shard.
+                    stop = min(len(own), int(np.searchsorted(first, first[done] + shard_tokens - size)))
+                    stop = max(stop, done + 1)
+                    doc_ids += own[done:stop]
+                    held.append((np.diff(first[done : stop + 1]), ids[first[done] : first[stop]]))
+                    size += int(first[stop] - first[done])
+                    done = stop
                     if size >= shard_tokens:
                         yield flush()
                         doc_ids, held, size, seq = [], [], 0, seq + 1
@@ -202,6 +253,9 @@ def read_tokens(shards: DataFrame) -> DataFrame:
             for part, seq, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "shard")), strict=True):
                 doc_ids, lengths, matrix = read_shard(blob)
                 ids = matrix.decode()
+                at = np.linspace(0, len(ids) - 1, _PROBES).astype(np.int64)
+                if (matrix.access(at) != ids[at]).any() or matrix.rank(int(ids[-1]), int(at[1])) != np.count_nonzero(ids[: at[1]] == ids[-1]):
+                    raise ValueError("a shard's directory disagrees with its planes")
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -20,12 +20,14 @@ import pyarrow.compute as pc
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64)
+_TABLE32 = np.random.default_rng(20260102).integers(1, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Lower case, with ASCII punctuation as spaces.
-PLAIN = _LOWER.copy()
+PLAIN = LOWER.copy()
 PLAIN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 
 #: Bytes of text handled at once inside a task.
@@ -101,11 +103,8 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words(text: pa.Array, lower: bool = False, plain: bool = False) -> Words:
-    """Split a text column and hash its words; lower: A-Z count as a-z; plain: ASCII punctuation parts words, too."""
-    data, off = text_bytes(text)
-    if lower or plain:
-        data = (PLAIN if plain else _LOWER)[data]
+def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte bounds of the words of texts, and the index of each text's first word with a closing total."""
     n = len(data)
     inside = np.zeros(n + 1, bool)
     inside[:n] = ~_SPACE[data]
@@ -116,11 +115,34 @@ def words(text: pa.Array, lower: bool = False, plain: bool = False) -> Words:
     begin = np.flatnonzero(starts)
     ends = inside[:n] & ~inside[1:]
     ends[cut - 1] = inside[cut - 1]
-    end = np.flatnonzero(ends) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(_P, n), out=total[1:])
-    h = mix((total[end] - total[begin]) * powers(_P_INV, n)[begin] + (end - begin).astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
-    return Words(data, begin, end, h, np.searchsorted(begin, off))
+    return begin, np.flatnonzero(ends) + 1, np.searchsorted(begin, off)
+
+
+def hash_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of bytes from which range_hash takes those of any range."""
+    wide, narrow = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint32)
+    np.cumsum(_TABLE[data] * powers(_P, len(data)), out=wide[1:])
+    np.cumsum(_TABLE32[data] * powers(_P, len(data)).astype(np.uint32), out=narrow[1:])
+    return wide, narrow
+
+
+def range_hash(wide: np.ndarray, narrow: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of hash of each range of bytes."""
+    back = powers(_P_INV, len(wide))[begin]
+    length = (end - begin).astype(np.uint64)
+    return mix((wide[end] - wide[begin]) * back + length), (narrow[end] - narrow[begin]) * back.astype(np.uint32) + length.astype(np.uint32)
+
+
+def words(text: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Split a text column and hash its words; lower: A-Z count as a-z; plain: ASCII punctuation parts words, too."""
+    data, off = text_bytes(text)
+    if lower or plain:
+        data = (PLAIN if plain else LOWER)[data]
+    begin, end, first = word_bounds(data, off)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * powers(_P, len(data)), out=total[1:])
+    h = mix((total[end] - total[begin]) * powers(_P_INV, len(data))[begin] + (end - begin).astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
+    return Words(data, begin, end, h, first)
 
 
 def rolled(h: np.ndarray, size: int) -> np.ndarray:

@@ -2,10 +2,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gavel.llm import tokens
 from gavel.llm.packing import pack, plan_rounds
 from gavel.llm.tokens import Encoder
 from gavel.llm.wavelet import WaveletMatrix, lookup, read_shard, token_output, write_shard, write_tokens
@@ -24,7 +26,17 @@ def ids_of(encoder, texts):
 @given(st.lists(TEXT, max_size=4))
 def test_units_equal_whole_texts(texts):
     for e in ENCODERS:
-        assert [np.frombuffer(b, "<u2").tolist() for b in e.encode(texts)] == [x.tolist() for x in ids_of(e, texts)]
+        ids, first = e.encode(pa.array(texts, pa.string()), end=7)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [[*x.tolist(), 7] for x in ids_of(e, texts)]
+
+
+def test_long_texts_and_full_tables(monkeypatch):
+    text = "".join(f"word{i % 5003}{'  ' if i % 97 == 0 else ' '}Other-{i}, \n" if i % 3 else f"x{i} " for i in range(200_000))
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 50_000)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(public_tokenizers.path(name))
+        assert e.encode(pa.array([text]))[0].tolist() == ids_of(e, [text])[0].tolist()
+        assert e.encode(pa.array([text[:900_000], None, text[50_000:60_000]]))[0].tolist() == np.concatenate(ids_of(e, [text[:900_000], text[50_000:60_000]])).tolist()
 
 
 @settings(max_examples=60, deadline=None)
