@@ -1,29 +1,37 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous rounds.
 
-Sizes are whole numbers of at most `capacity`, so the range-sorted documents
-and the range-sorted gaps are runs: (size, ranks) with at most `capacity` sizes
-however large the corpus is. A round is one successor sweep over the two sorted
-lists of runs: each open gap takes the largest piece left that fits it, a piece
-wanted by several gaps goes to those of lowest rank, and gaps shrink by what
-they took. When no piece fits a gap, as many sequences open as the tokens left
-fill, with the largest pieces. Rounds repeat until no piece is left. Runs split
-only at sweeps, so the plan's size follows `capacity` and the rounds, not the
-pieces. Spark cuts the pieces, counts sizes, ranks the pieces of each size
-(by blocks, so that one very common size is no hot group) and looks every
-piece's (size, rank) up in the plan.
+Pieces are counted by size first, so the sorted pieces and the sorted gaps are
+runs (size, first rank or sequence, count): at most `capacity` of each however
+large the corpus is. A round is one Spark job over the runs. The runs are dealt
+by ranges of size; each range sweeps its own two sorted lists, each gap taking
+the largest piece left that fits it, and gaps that want one piece being served
+by rank. What a range leaves over (gaps without pieces, pieces without gaps)
+meets in a second sweep over all ranges. Gaps shrink by what they took; when no
+piece fits a gap, as many sequences open as the tokens left fill, with the
+largest pieces. The round's runs and matches are written to the shared folder,
+from where the next round reads them, until no piece is left. Spark then ranks
+the pieces of each size (by blocks, so that one very common size is no hot
+group) and looks every piece's (size, rank) up in the matches.
+
+Runs split only at sweeps, at most once for each gap run and piece run, so the
+matches are at most 2 * capacity rows a round and are broadcast; rounds follow
+capacity, not the number of pieces.
 
 Defined results: a null or empty text is its end id alone, one piece; an empty
-table gives no rows; repeated rows are packed each; only (doc_id, text) are read.
+table gives no rows; repeated rows are packed each; only (doc_id, text) are
+read, so that other columns' names don't matter.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gavel.llm.store import settle, stored
@@ -56,46 +64,108 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECE)
 
 
-def plan_rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Place counts[size] pieces of each size: rows (size, first rank, last rank + 1, first sequence, offset).
+Run = tuple[int, int, int]  # size, first rank or sequence, count
+_STATE = "kind int, size int, first long, count long, sequence long, offset int"
+_PIECES, _GAPS, _SHRUNK, _MATCHES = range(4)
+#: Ranges of size that sweep by themselves.
+RANGES = 8
 
-    Pieces of ranks first.. go to sequences first sequence.., one each, at offset.
+
+def sweep(pieces: list[Run], gaps: list[Run], capacity: int) -> tuple[list[Run], list[Run], list[Run], list[tuple[int, int, int, int, int]]]:
+    """One pass over sorted runs: each gap takes the largest piece left that fits it.
+
+    Gives the runs left of pieces and of gaps, the shrunk gaps, and the matches (size, first rank, count, first sequence, offset).
     """
-    left = sorted((s, 0, c) for s, c in counts.items() if c)  # runs of pieces: size, rank, count
-    gaps: list[tuple[int, int, int]] = []  # runs of sequences: gap, first sequence, count
-    plan: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    while left:
-        stack: list[tuple[int, int, int]] = []
-        at, after, moved = 0, [], False
-        for gap, first, n in sorted(gaps):
-            while at < len(left) and left[at][0] <= gap:
-                stack.append(left[at])
-                at += 1
-            while n and stack:
-                size, rank, c = stack.pop()
-                m = min(n, c)
-                plan.append((size, rank, rank + m, first, capacity - gap))
-                after.append((gap - size, first, m))
-                if c > m:
-                    stack.append((size, rank + m, c - m))
-                first, n, moved = first + m, n - m, True
-            if n:
-                after.append((gap, first, n))
-        left = stack + left[at:]
-        if not moved and left:
-            want = max(-(-sum(s * c for s, _, c in left) // capacity), sum(c for s, _, c in left if 2 * s > capacity))
-            while want and left:
-                size, rank, c = left.pop()
-                m = min(want, c)
-                plan.append((size, rank, rank + m, opened, 0))
-                after.append((capacity - size, opened, m))
-                if c > m:
-                    left.append((size, rank + m, c - m))
-                opened, want = opened + m, want - m
-        least = left[0][0] if left else capacity + 1
-        gaps = [g for g in after if g[0] >= least]
-    return np.array(sorted(plan), np.int64).reshape(-1, 5)
+    left, at, stack = sorted(pieces), 0, []
+    idle, shrunk, matches = [], [], []
+    for gap, first, n in sorted(gaps):
+        while at < len(left) and left[at][0] <= gap:
+            stack.append(left[at])
+            at += 1
+        while n and stack:
+            size, rank, c = stack.pop()
+            m = min(n, c)
+            matches.append((size, rank, m, first, capacity - gap))
+            shrunk.append((gap - size, first, m))
+            if c > m:
+                stack.append((size, rank + m, c - m))
+            first, n = first + m, n - m
+        if n:
+            idle.append((gap, first, n))
+    return stack + left[at:], idle, shrunk, matches
+
+
+def opened(pieces: list[Run], first: int, capacity: int) -> tuple[list[Run], list[Run], list[tuple[int, int, int, int, int]]]:
+    """Open as many sequences as the pieces' tokens fill, or their large pieces need, with the largest pieces: pieces left, gaps, matches."""
+    left, gaps, matches = sorted(pieces), [], []
+    want = max(-(-sum(s * c for s, _, c in left) // capacity), sum(c for s, _, c in left if 2 * s > capacity))
+    while want and left:
+        size, rank, c = left.pop()
+        m = min(want, c)
+        matches.append((size, rank, m, first, 0))
+        gaps.append((capacity - size, first, m))
+        if c > m:
+            left.append((size, rank + m, c - m))
+        first, want = first + m, want - m
+    return left, gaps, matches
+
+
+def _runs(table: pa.Table, kind: int) -> list[Run]:
+    own = table.filter(pc.equal(table.column("kind"), kind))
+    return list(zip(*(own.column(c).to_pylist() for c in ("size", "first", "count")), strict=True))
+
+
+def _rows(parts: list[tuple[int, list[tuple]]]) -> pa.Table:
+    rows = [(kind, *r, *(() if kind == _MATCHES else (None, None))) for kind, runs in parts for r in runs]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 6, types, strict=True)], ["kind", "size", "first", "count", "sequence", "offset"])
+
+
+def _sweep_range(capacity: int):
+    """A range's own sweep."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pieces, gaps, shrunk, matches = sweep(_runs(table, _PIECES), _runs(table, _GAPS), capacity)
+        return _rows([(_PIECES, pieces), (_GAPS, gaps), (_SHRUNK, shrunk), (_MATCHES, matches)])
+
+    return run
+
+
+def _sweep_rest(capacity: int, sequences: int):
+    """The sweep over what the ranges left, and new sequences where nothing fits; gaps below all pieces close."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        done = table.filter(pc.equal(table.column("kind"), _MATCHES))
+        pieces, gaps, shrunk, matches = sweep(_runs(table, _PIECES), _runs(table, _GAPS), capacity)
+        gaps += shrunk + _runs(table, _SHRUNK)
+        if pieces and not matches and not len(done):
+            pieces, fresh, matches = opened(pieces, sequences, capacity)
+            gaps += fresh
+        least = min((p[0] for p in pieces), default=capacity + 1)
+        yield from done.to_batches()
+        yield from _rows([(_PIECES, pieces), (_GAPS, [g for g in gaps if g[0] >= least]), (_MATCHES, matches)]).to_batches()
+
+    return run
+
+
+def matched(counts: DataFrame, capacity: int) -> DataFrame:
+    """Matches (size, first, count, sequence, offset) that place counts (size, count) pieces of each size: ranks first.. go to sequences sequence.., one each, at offset."""
+    spark = counts.sparkSession
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("sequence", "long"), ("offset", "int"))]
+    state = stored(counts.select(F.lit(_PIECES).alias("kind"), F.col("size").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), F.col("count").cast("long").alias("count"), *nothing), "runs")
+    rounds, pieces_left, sequences = [], None, 0
+    while pieces_left is None or pieces_left:
+        watch = Observation()
+        ranges = state.where(F.col("kind") < _MATCHES).groupBy(F.floor(F.col("size") * RANGES / (capacity + 1)).alias("range"))
+        swept = ranges.applyInArrow(_sweep_range(capacity), _STATE).repartition(1).mapInArrow(_sweep_rest(capacity, sequences), _STATE)
+        state = stored(swept.observe(watch, F.count(F.when(F.col("kind") == _PIECES, 1)).alias("pieces"), F.max(F.when(F.col("kind") == _MATCHES, F.col("sequence") + F.col("count"))).alias("sequences")), "runs")
+        rounds.append(state)
+        pieces_left, sequences = watch.get["pieces"], max(sequences, watch.get["sequences"] or 0)
+    return functools.reduce(DataFrame.unionByName, rounds).where(F.col("kind") == _MATCHES).select("size", "first", "count", "sequence", "offset")
 
 
 def ranked(pieces: DataFrame, blocks_each: int) -> DataFrame:
@@ -112,8 +182,8 @@ def ranked(pieces: DataFrame, blocks_each: int) -> DataFrame:
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
     """Give each piece (length of at most capacity) its sequence_id and offset there."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    plan = spark.sparkContext.broadcast(plan_rounds(counts, capacity))
+    matches = matched(pieces.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("count")), capacity)
+    plan = spark.sparkContext.broadcast(np.array(sorted(map(tuple, matches.collect())), np.int64).reshape(-1, 5))  # at most 2 * capacity rows a round
     names = [f.name for f in pieces.schema]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

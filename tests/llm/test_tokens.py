@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gavel.llm import tokens
-from gavel.llm.packing import pack, plan_rounds
+from gavel.llm.packing import matched, opened, pack, sweep
 from gavel.llm.tokens import Encoder
 from gavel.llm.wavelet import WaveletMatrix, lookup, read_shard, token_output, write_shard, write_tokens
 
@@ -72,13 +72,26 @@ def test_lookup_in_shards(spark, tmp_path):
     assert {r.doc_id: r.n for r in got.itertuples()} == {i: n for i, n in want.items() if n}
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(1, 50), st.integers(0, 40), max_size=20))
-def test_plan_places_every_piece_once(counts):
-    plan = plan_rounds(counts, 50)
+def plan_in_ranges(counts, capacity, ranges=4):
+    """The rounds of `matched`, with plain loops in place of Spark."""
+    pieces, gaps, plan, sequences = [(s, 0, c) for s, c in counts.items() if c], [], [], 0
+    while pieces:
+        parts = [sweep(*[[r for r in runs if r[0] * ranges // (capacity + 1) == k] for runs in (pieces, gaps)], capacity) for k in range(ranges)]
+        rest = sweep(*[[r for p in parts for r in p[i]] for i in (0, 1)], capacity)
+        found = [m for p in [*parts, rest] for m in p[3]]
+        gaps = rest[1] + [g for p in [*parts, rest] for g in p[2]]
+        pieces = rest[0]
+        if not found:
+            pieces, gaps, found = opened(pieces, sequences, capacity)
+        sequences = max([sequences, *[m[3] + m[2] for m in found]])
+        plan += found
+    return plan
+
+
+def check_plan(plan, counts, capacity):
     fill: dict[int, list[tuple[int, int]]] = {}
-    for size, lo, hi, sequence, offset in plan.tolist():
-        for k in range(hi - lo):
+    for size, _, n, sequence, offset in plan:
+        for k in range(n):
             fill.setdefault(sequence + k, []).append((offset, size))
     seen: dict[int, int] = {}
     for parts in fill.values():
@@ -87,7 +100,7 @@ def test_plan_places_every_piece_once(counts):
             assert offset == at
             at += size
             seen[size] = seen.get(size, 0) + 1
-        assert at <= 50
+        assert at <= capacity
     assert seen == {s: c for s, c in counts.items() if c}
     # Not worse than best-fit decreasing, by more than a few.
     gaps: list[int] = []
@@ -95,10 +108,24 @@ def test_plan_places_every_piece_once(counts):
         fits = [g for g in gaps if g >= size]
         if fits:
             gaps.remove(min(fits))
-        gaps.append((min(fits) if fits else 50) - size)
+        gaps.append((min(fits) if fits else capacity) - size)
     assert len(fill) <= 1.1 * len(gaps) + 2
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(0, 40), max_size=20), st.integers(1, 6))
+def test_plan_places_every_piece_once(counts, ranges):
+    check_plan(plan_in_ranges(counts, 50, ranges), counts, 50)
+    # Ranges change who sweeps, not what is matched.
+    assert sorted(plan_in_ranges(counts, 50, ranges)) == sorted(plan_in_ranges(counts, 50, 1))
+
+
+def test_rounds_in_spark(spark):
+    counts = {s: 1 + s * 7 % 11 for s in range(1, 50, 3)}
+    got = matched(spark.createDataFrame(list(counts.items()), "size int, count long"), 50).collect()
+    assert sorted(map(tuple, got)) == sorted(plan_in_ranges(counts, 50, 1))
+
+
 def test_packing(spark, odd_rows):
     got = pack(shape(spark, odd_rows), public_tokenizers.path("word_bpe_49k.json"), 0, 2048).toPandas()
     want = []
