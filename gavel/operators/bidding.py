@@ -21,6 +21,11 @@ def value(p: Column | str, cpc: float = CPC) -> Column:
     return col(p) * cpc
 
 
+def value_cpm(cpm: float) -> Column:
+    """B1: value of an impression sold by the thousand, the same for each."""
+    return F.lit(cpm / 1000)
+
+
 def value_cpa(p_ctr: Column | str, p_cvr: Column | str, cpa: float) -> Column:
     """B2."""
     return col(p_ctr) * col(p_cvr) * cpa

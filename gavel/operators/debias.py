@@ -10,6 +10,7 @@ from gavel.functions.tails import ks_p
 from gavel.operators import metrics
 from gavel.operators.explore import ks
 from gavel.operators.features import bin_right_closed, quantile_edges
+from gavel.operators.order import add_sums_before
 
 FEATURES = ["slotprice", "bidprice", "hour", "region", "slotwidth", "slotheight"]
 
@@ -154,12 +155,9 @@ def bias_summary(df: DataFrame, outcome: str = "click", p: str = "e") -> DataFra
 
 def propensity_correlation(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """Pearson and average-rank Spearman correlation of two score columns; scores are counted before they are ranked."""
-    from pyspark.sql import Window
-
     def ranks(c: str) -> DataFrame:
         g = df.groupBy(*keys, c).agg(F.count("*").alias("_n"))
-        run = F.sum("_n").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return g.select(*keys, c, (run - (F.col("_n") - 1) / 2).alias(f"{c}_rank"))
+        return add_sums_before(g, c, ["_n"], keys).select(*keys, c, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(f"{c}_rank"))
 
     both = df.join(ranks(a), [*keys, a]).join(ranks(b), [*keys, b])
     return both.groupBy(*keys).agg(F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"), F.avg(((F.col(a) > 0.1) & (F.col(a) < 0.9) & (F.col(b) > 0.001)).cast("int")).alias("joint_overlap"))

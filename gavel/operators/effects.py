@@ -88,6 +88,13 @@ def effect_summary(df: DataFrame, *keys: str, effect: str = "cate") -> DataFrame
     return df.groupBy(*keys).agg(F.avg(effect).alias("mean"), F.stddev_samp(effect).alias("std"), F.count("*").alias("n"))
 
 
+def effect_pivot(df: DataFrame, row: str = "adexchange", effect: str = "cate") -> DataFrame:
+    """Mean effect by row key and quarter of the day, as columns q0 to q3."""
+    quarter = F.least(F.floor(F.col("hour") / 6), F.lit(3)).cast("int")
+    wide = df.withColumn("_q", quarter).groupBy(row).pivot("_q", [0, 1, 2, 3]).agg(F.avg(effect))
+    return wide.select(row, *[F.col(str(k)).alias(f"q{k}") for k in range(4)])
+
+
 def dr_learner(df: DataFrame, outcome: str, features: list[str] = FEATURES) -> DataFrame:
     """Doubly robust pseudo-outcomes with a cross-fitted propensity clipped at 0.01, regressed by trees. Honest-forest intervals are not reproduced; bootstrap the mean instead."""
     from pyspark.ml.regression import GBTRegressor

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.columns import guarded
+from gavel.operators.order import add_place, add_sums_before
 
 
 def funnel(df: DataFrame, *keys: str) -> DataFrame:
@@ -91,12 +92,17 @@ def shares(df: DataFrame, key: str, within: list[str] | None = None, name: str =
 
 
 def pareto(df: DataFrame, key: str, level: float = 0.8) -> DataFrame:
-    """Keys by falling count with their cumulative share; `reach`: keys needed for the level. Groups are counted first, so the ordered window holds keys only."""
+    """Keys by falling count with their cumulative share; `reach`: keys needed for the level.
+
+    Keys are counted first, then placed by ranges of (count, key), and cumulated by blocks of places.
+    """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = Window.partitionBy()
-    order = Window.orderBy(F.desc("n"), key).rowsBetween(Window.unboundedPreceding, 0)
-    got = counts.withColumns({"cumulative": F.sum("n").over(order) / F.sum("n").over(total)})
-    return got.withColumn("reach", F.sum((F.col("cumulative") < level).cast("int")).over(total) + 1)
+    ranked = add_place(counts.withColumn("_down", -F.col("n")), ["_down", key], "_place")
+    run = add_sums_before(ranked, "_place", ["n"])
+    total = counts.agg(F.sum("n").alias("_all"))
+    got = run.crossJoin(F.broadcast(total)).select(key, "n", ((F.col("n_before") + F.col("n")) / F.col("_all")).alias("cumulative"))
+    reach = got.agg((F.count_if(F.col("cumulative") < level) + 1).alias("reach"))
+    return got.crossJoin(F.broadcast(reach))
 
 
 def top_keys(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -130,9 +136,11 @@ def total_variation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def ks(df: DataFrame, group: Column, value: str, *keys: str) -> DataFrame:
     """Largest distance of the distributions of value in the rows of group 1 and group 0; values are counted before windows run."""
     g = df.withColumn("_g", group.cast("int")).where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum("_g").alias("_a"), F.sum(1 - F.col("_g")).alias("_b"))
-    run, total = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    gap = F.abs(F.sum("_a").over(run) / F.sum("_a").over(total) - F.sum("_b").over(run) / F.sum("_b").over(total))
-    return g.select(*keys, gap.alias("_d"), "_a", "_b").groupBy(*keys).agg(F.max("_d").alias("ks"), F.sum("_a").alias("n1"), F.sum("_b").alias("n0"))
+    run = add_sums_before(g, value, ["_a", "_b"], keys)
+    total = g.groupBy(*keys).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n0"))
+    both = run.join(F.broadcast(total), list(keys)) if keys else run.crossJoin(F.broadcast(total))
+    gap = F.abs((F.col("_a_before") + F.col("_a")) / F.col("n1") - (F.col("_b_before") + F.col("_b")) / F.col("n0"))
+    return both.groupBy(*keys, "n1", "n0").agg(F.max(gap).alias("ks")).select(*keys, "ks", "n1", "n0")
 
 
 # --- user tags -------------------------------------------------------------

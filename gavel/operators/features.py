@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gavel.functions.columns import bid_floor_ratio, col, fold, guarded, hash_bucket, is_peak, ts_hour, ts_minute, uniform, weekday
+from gavel.operators.order import add_place, below, lowest, quantiles, rows_at
 
-# Slot sizes and their groups.
+# Slot sizes (width, height) and their groups.
 SLOT_GROUPS = {
-    (120, 600): "skyscraper", (160, 600): "skyscraper", (200, 200): "square", (250, 250): "square", (300, 250): "rectangle",
-    (300, 600): "skyscraper", (336, 280): "rectangle", (468, 60): "banner", (728, 90): "leaderboard", (950, 90): "leaderboard",
-    (960, 90): "leaderboard", (970, 90): "leaderboard", (1000, 90): "leaderboard", (320, 50): "mobile",
+    (120, 600): "skyscraper", (160, 600): "skyscraper", (300, 600): "skyscraper",
+    (200, 200): "square", (250, 250): "square",
+    (300, 250): "medium_rectangle", (336, 280): "medium_rectangle",
+    (300, 50): "mobile", (320, 50): "mobile", (320, 100): "mobile",
+    (468, 60): "banner",
+    (728, 90): "leaderboard", (970, 90): "leaderboard", (970, 250): "leaderboard",
 }
-# Advertisers and their campaign kinds.
-TAXONOMY = {1458: "ecommerce", 2259: "milk", 2261: "telecom", 2821: "footwear", 2997: "mobile_app", 3358: "software", 3386: "ecommerce", 3427: "oil", 3476: "tire"}
+# Advertisers and their campaign kinds, and the kinds' codes.
+TAXONOMY = {1458: "branding", 2259: "retargeting", 2261: "branding", 2821: "retargeting", 2997: "branding", 3358: "retargeting", 3386: "branding", 3427: "branding", 3476: "mixed"}
+TAXONOMY_CODES = {"branding": 0, "retargeting": 1, "mixed": 2}
 CATEGORICAL = ["region", "city", "adexchange", "slotwidth", "slotheight", "slotvisibility", "slotformat", "advertiser", "hour", "minute", "weekday", "is_weekend", "is_peak_hour"]
 NUMERICAL = ["slotprice", "bidprice", "hour_sin", "hour_cos", "slot_area", "slot_area_log", "slot_aspect_ratio", "bid_floor_ratio"]
 
@@ -67,8 +73,7 @@ def add_frequency(df: DataFrame, key: str, fit_on: DataFrame | None = None) -> D
 
 def quantile_edges(df: DataFrame, value: str, qs: list[float]) -> list[float]:
     """Distinct exact quantiles, ascending: as many values as qs at most."""
-    got = df.agg(F.percentile(value, F.array(*map(F.lit, qs)))).first()[0]
-    return sorted(set(got or []))
+    return sorted({r["edge"] for r in quantiles(df, value, qs).collect()})
 
 
 def bin_right_closed(value: Column, edges: list[float]) -> Column:
@@ -134,12 +139,12 @@ def zero_fill(df: DataFrame, columns: list[str]) -> DataFrame:
 def code_strings(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """<c>_code, places of strings in the sorted list of all values of fit_on; null and unseen are -1.
 
-    Values are counted before they are ordered, so the single ordered window holds distinct values only.
+    Values are made distinct before they are ordered, and ordered by ranges.
     """
     for c in columns:
         values = (df if fit_on is None else fit_on).select(c).where(F.col(c).isNotNull()).distinct()
-        codes = values.select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias(f"{c}_code"))
-        df = df.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+        codes = add_place(values, [c], "_code")
+        df = df.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce("_code", F.lit(-1)).cast("int")).drop("_code")
     return df
 
 
@@ -155,9 +160,8 @@ def one_hot(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 
 
 def add_taxonomy(df: DataFrame) -> DataFrame:
-    """F16: campaign kind and its code in the sorted list of kinds; unknown and -1 for other advertisers."""
-    kinds = sorted(set(TAXONOMY.values()))
-    dim = _lookup(df, [(a, k, kinds.index(k)) for a, k in TAXONOMY.items()], "advertiser int, _kind string, _code int")
+    """F16: campaign kind and its code; unknown and -1 for other advertisers."""
+    dim = _lookup(df, [(a, k, TAXONOMY_CODES[k]) for a, k in TAXONOMY.items()], "advertiser int, _kind string, _code int")
     return df.join(dim, "advertiser", "left").withColumns({"taxonomy": F.coalesce("_kind", F.lit("unknown")), "taxonomy_code": F.coalesce("_code", F.lit(-1))}).drop("_kind", "_code")
 
 
@@ -176,21 +180,14 @@ def quality_flags(df: DataFrame, least: int = 20, top: int = 10) -> DataFrame:
 def split_temporal(df: DataFrame, order: list[str], train: float = 0.7, val: float = 0.15) -> DataFrame:
     """`split` by place in time, cut at whole numbers of n times the shares.
 
-    Rows are range-partitioned by time; partition sizes give each row its exact place without one task holding all rows.
+    The order keys at the two cuts are found over the key columns alone; rows are then compared with them where they
+    are, without a shuffle. order should tell rows apart: rows of equal keys stay together.
     """
-    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_pid", F.spark_partition_id())
-    place = placed(spread, order)
     n = df.count()
     a, b = int(n * train), int(n * (train + val))
-    return place.withColumn("split", F.when(F.col("_at") < a, "train").when(F.col("_at") < b, "val").otherwise("test")).drop("_at")
-
-
-def placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of range-partitioned df (with _pid) with their place `_at` from 0 in the order of the whole table."""
-    sizes = df.groupBy("_pid").agg(F.count("*").alias("_n"))
-    base = sizes.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1
-    return df.withColumn("_in", inside).join(F.broadcast(base), "_pid").withColumn("_at", F.col("_base") + F.col("_in")).drop("_pid", "_in", "_base")
+    cuts = rows_at(df, order, [a, b])
+    before = lambda at: below(df, order, cuts[at]) if at in cuts else F.lit(True)
+    return df.withColumn("split", F.when(before(a), "train").when(before(b), "val").otherwise("test"))
 
 
 def split_days(df: DataFrame, train: list[int], val: list[int], test: list[int]) -> DataFrame:
@@ -199,10 +196,36 @@ def split_days(df: DataFrame, train: list[int], val: list[int], test: list[int])
     return df.where(F.col("day").isin(train + val + test)).withColumn("split", named)
 
 
+def _first_at(n: int, share: float) -> int:
+    """The first whole number i with i / n of at least share."""
+    i = max(0, int(n * share) - 1)
+    while i < n and i / n < share:
+        i += 1
+    return i
+
+
 def split_by_group(df: DataFrame, group: str, order: list[str], train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """`split` by place in time within each group."""
-    part = (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / F.count("*").over(Window.partitionBy(group))
-    return df.withColumn("_f", part).withColumn("split", F.when(F.col("_f") < train, "train").when(F.col("_f") < round(train + val, 9), "val").otherwise("test")).drop("_f")
+    """`split` by place in time within each group.
+
+    As in split_temporal, the keys at each group's cuts are found over key columns alone, however large a group is;
+    the cuts, a row for each group, are joined back. Groups are few: their sizes and cuts pass through the driver.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.col(group).asc_nulls_first()).collect()
+    places, at = [], 0
+    for r in sizes:
+        # A cut behind the group's last row is no place of the group.
+        places.append([at + i if i < r["n"] else None for i in (_first_at(r["n"], train), _first_at(r["n"], round(train + val, 9)))])
+        at += r["n"]
+    keys = [group, *[c for c in order if c != group]]
+    found = rows_at(df, keys, [p for pair in places for p in pair if p is not None])
+    fields = [f for f in df.select(*keys[1:]).schema.fields]
+    cut = StructType([StructField(f.name, f.dataType) for f in fields])
+    schema = StructType([StructField("_g", df.schema[group].dataType), StructField("_a", cut), StructField("_b", cut)])
+    rows = [(r[group], *[None if p is None else tuple(found[p][c] for c in keys[1:]) for p in pair]) for r, pair in zip(sizes, places, strict=True)]
+    cuts = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # one row for each group
+    own = F.struct(*keys[1:])
+    named = F.when(F.col("_a").isNull() | (own < F.col("_a")), "train").when(F.col("_b").isNull() | (own < F.col("_b")), "val").otherwise("test")
+    return df.join(cuts, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("split", named).drop("_g", "_a", "_b")
 
 
 def vocabulary_audit(df: DataFrame, column: str) -> DataFrame:
@@ -223,7 +246,7 @@ def keep_positives(df: DataFrame, label: str, n: int, key: str = "bidid", seed:
     """All positives, and negatives of the lowest hash up to n rows."""
     positives = df.where(F.col(label) == 1)
     rest = max(0, n - positives.count())
-    return positives.unionByName(df.where(F.col(label) == 0).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rest))
+    return positives.unionByName(lowest(df.where(F.col(label) == 0), F.xxhash64(key, F.lit(seed)), key, rest))
 
 
 def add_fold(df: DataFrame, k: int, key: str = "bidid", label: str | None = None, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.columns import cross_entropy, fold
 from gavel.operators.features import bin_right_closed, quantile_edges
+from gavel.operators.order import quantiles
 
 _RANGES = 4096
 
@@ -47,7 +48,7 @@ def roc_points(df: DataFrame, *keys: str, y: str = "click", p: str = "p") -> Dat
 
 def histogram(df: DataFrame, *keys: str, p: str = "p", bins: int = 20, top: float = 0.995) -> DataFrame:
     """Scores up to a quantile in equal bins."""
-    edge = df.groupBy(*keys).agg(F.percentile(p, F.lit(top)).alias("_top"))
+    edge = quantiles(df, p, [top], keys).select(*keys, F.col("edge").alias("_top"))
     rows = df.join(F.broadcast(edge), list(keys)) if keys else df.crossJoin(F.broadcast(edge))
     at = F.least(F.floor(F.col(p) * bins / F.col("_top")), F.lit(bins - 1)).cast("int")
     return rows.where(F.col(p) <= F.col("_top")).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
@@ -67,6 +68,17 @@ def ece(df: DataFrame, *keys: str, y: str = "click", p: str = "p", n: int = 10)
     return both.select(*keys, (F.coalesce("_g", F.lit(0.0)) / F.col("_t")).alias("ece"))
 
 
+def mean_gap(df: DataFrame, *keys: str, y: str = "click", p: str = "p", n: int = 10) -> DataFrame:
+    """M5: unweighted mean of the gaps of non-empty equal bins."""
+    return equal_width(df, *keys, y=y, p=p, n=n).groupBy(*keys).agg(F.avg(F.abs(F.col("mean_p") - F.col("mean_y"))).alias("mean_gap"), F.count("*").alias("n_bins"))
+
+
+def slice_summary(table: DataFrame) -> DataFrame:
+    """M9: over a table of slices, the largest and the row-weighted mean absolute bias."""
+    size = F.abs("bias")
+    return table.agg(F.max(size).alias("max_bias"), (F.sum(F.col("n") * size) / F.sum("n")).alias("weighted_bias"), F.count("*").alias("n_slices"))
+
+
 def ieb(y: str = "click", p: str = "p") -> Column:
     """M3: relative difference of means, by an aggregate."""
     return F.abs(F.avg(p) - F.avg(y)) / F.greatest(F.avg(y), F.lit(1e-8))
@@ -127,7 +139,11 @@ def by_group(df: DataFrame, key: str, y: str = "click", p: str = "p") -> DataFra
 
 
 def isotonic(train: DataFrame, df: DataFrame, y: str = "click", p: str = "p", out: str = "calibrated", weight: str | None = None) -> DataFrame:
-    """A monotone map fitted on train and applied to df, clipped outside train's scores."""
+    """A monotone map fitted on train and applied to df, clipped outside train's scores.
+
+    Scores are counted first; Spark pools adjacent ones inside ranges before it pools the ranges' blocks, so what meets
+    in one place are the blocks of the ranges, not the rows or scores.
+    """
     from pyspark.ml.regression import IsotonicRegression
 
     cells = train.groupBy(F.col(p).alias("_x")).agg((F.sum(F.col(y) * F.col(weight)) / F.sum(weight) if weight else F.avg(F.col(y).cast("double"))).alias("_y"), (F.sum(weight) if weight else F.count("*")).cast("double").alias("_w"))
@@ -188,6 +204,12 @@ def segment_cross_fit(df: DataFrame, segment: str, k: int = 5, least: int = 50,
     return out.withColumn("calibrated", F.coalesce("own", "calibrated")).drop("own", "_f", "_x")
 
 
+def feature_ranks(df: DataFrame, p: str, features: list[str]) -> DataFrame:
+    """A model's features ranked by the size of their correlation with its scores: feature, rank."""
+    strengths = df.agg(*[F.abs(F.corr(c, p)).alias(c) for c in features]).unpivot([], features, "feature", "strength")
+    return strengths.select("feature", F.rank().over(Window.orderBy(F.desc("strength"))).alias("rank"))  # one row for each feature
+
+
 def average_ranks(df: DataFrame, *columns: str) -> DataFrame:
     """<c>_rank, average ranks of a small table's columns."""
     for c in columns:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.operators import bidding as b
 from gavel.operators import market as m
-from gavel.operators.features import TAXONOMY, add_taxonomy
+from gavel.operators.features import add_taxonomy
 from gavel.plans.market_queries import _MODEL, km_sql, model
 from gavel.registry import query, r6
 from gavel.tables import BIDS_CTE, bids, scores
@@ -31,6 +31,12 @@ def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(b.value_summary(scores(bids(spark, sf_dir)).withColumn("v", b.value("p", CPC)), 100.0, "model"))
 
 
+@query("b1_cpm_value", "SELECT advertiser, round(avg(80000.0 / 1000), 6) AS value, round(sum(80000.0 / 1000 - payprice), 4) AS surplus FROM bids WHERE win = 1 GROUP BY 1")
+def b1_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    won = bids(spark, sf_dir).where("win = 1").withColumn("v", b.value_cpm(80_000.0))
+    return r6(won.groupBy("advertiser").agg(F.avg("v").alias("value"), F.round(F.sum(F.col("v") - F.col("payprice")), 4).alias("surplus")))
+
+
 @query("b2_cpa_value", "SELECT advertiser, round(avg(p_a * p_b * 5000.0), 6) AS mean FROM bids GROUP BY 1")
 def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(bids(spark, sf_dir).groupBy("advertiser").agg(F.avg(b.value_cpa("p_a", "p_b", 5000.0)).alias("mean")))
@@ -225,11 +231,11 @@ def b32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(s.select("hour", "adexchange", tier.alias("tier"), F.least(F.greatest(1 - 0.5 * F.col("std") / F.col("mean"), F.lit(0.5)), F.lit(0.95)).alias("by_variation")))
 
 
-@query("b33_integrated_bids", ", t AS (SELECT *, CASE advertiser " + " ".join(f"WHEN {a} THEN '{k}'" for a, k in TAXONOMY.items()) + f" ELSE 'unknown' END AS taxonomy FROM bids), sp AS (SELECT advertiser, sum(payprice) AS spent FROM bids GROUP BY 1), x AS (SELECT bidid, p_a*{CPC} AS v, slotprice, greatest(1000000 - spent, 0) AS rest, CASE WHEN taxonomy = 'ecommerce' THEN 0.9 ELSE 0.8 END AS shade FROM t JOIN sp USING (advertiser)) SELECT bidid, round(CASE WHEN greatest(v*shade*0.95, slotprice) > rest THEN 0 ELSE greatest(v*shade*0.95, slotprice) END, 6) AS bid FROM x")
+@query("b33_integrated_bids", ", t AS (SELECT *, CASE WHEN advertiser IN (2821, 3358, 2259) THEN 'retargeting' ELSE 'other' END AS taxonomy FROM bids)" + f", sp AS (SELECT advertiser, sum(payprice) AS spent FROM bids GROUP BY 1), x AS (SELECT bidid, p_a*{CPC} AS v, slotprice, greatest(1000000 - spent, 0) AS rest, CASE WHEN taxonomy = 'retargeting' THEN 0.9 ELSE 0.8 END AS shade FROM t JOIN sp USING (advertiser)) SELECT bidid, round(CASE WHEN greatest(v*shade*0.95, slotprice) > rest THEN 0 ELSE greatest(v*shade*0.95, slotprice) END, 6) AS bid FROM x")
 def b33(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = add_taxonomy(bids(spark, sf_dir).withColumn("v", b.value("p_a", CPC)))
     spent = df.groupBy("advertiser").agg(F.greatest(1_000_000 - F.sum("payprice"), F.lit(0)).alias("rest"))
-    bid = F.greatest(F.col("v") * F.when(F.col("taxonomy") == "ecommerce", 0.9).otherwise(0.8) * 0.95, F.col("slotprice").cast("double"))
+    bid = F.greatest(F.col("v") * F.when(F.col("taxonomy") == "retargeting", 0.9).otherwise(0.8) * 0.95, F.col("slotprice").cast("double"))
     return r6(df.join(spent, "advertiser").select("bidid", F.when(bid > F.col("rest"), 0.0).otherwise(bid).alias("bid")))
 
 

@@ -182,7 +182,7 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-_MAPPED = f"""{_T}, sm AS (SELECT stratum, {_D('win')} AS tw, {_D('payment')} AS tp, {_D('surplus')} AS ts, count(*) AS n FROM ar GROUP BY 1 HAVING count(*) FILTER (arm = 1) >= 5 AND count(*) FILTER (arm = 0) >= 5), av AS (SELECT sum(n*tw)/sum(n) AS aw, sum(n*tp)/sum(n) AS ap, sum(n*ts)/sum(n) AS s0 FROM sm), ma AS (SELECT ar.taxonomy, ar.adexchange, v, coalesce(tw, aw) AS tau_win, coalesce(tp, ap) AS tau_payment, coalesce(ts, s0) AS tau_surplus FROM ar CROSS JOIN av LEFT JOIN sm ON ar.stratum = sm.stratum)"""
+_MAPPED = f"""{_T}, sm AS (SELECT stratum, {_D('win')} AS tw, {_D('payment')} AS tp, {_D('surplus')} AS ts, count(*) AS n FROM ar GROUP BY 1 HAVING count(*) FILTER (arm = 1) >= 5 AND count(*) FILTER (arm = 0) >= 5), av AS (SELECT sum(n*tw)/sum(n) AS aw, sum(n*tp)/sum(n) AS ap, sum(n*ts)/sum(n) AS s0 FROM sm), ma AS (SELECT ar.taxonomy, ar.adexchange, ar.hour, v, coalesce(tw, aw) AS tau_win, coalesce(tp, ap) AS tau_payment, coalesce(ts, s0) AS tau_surplus FROM ar CROSS JOIN av LEFT JOIN sm ON ar.stratum = sm.stratum)"""
 
 
 @query("c7_decomposition", f"{_MAPPED} SELECT round(corr(tau_surplus, v*tau_win - tau_payment), 6) AS correlation, round(avg(abs(tau_surplus - (v*tau_win - tau_payment))), 4) AS mae, round(avg(tau_surplus - (v*tau_win - tau_payment)), 4) AS bias FROM ma")
@@ -201,6 +201,11 @@ def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(c.effect_summary(_mapped(spark, sf_dir), "taxonomy", "adexchange", effect="tau_surplus"), 4)
 
 
+@query("c9_effect_pivot", f"{_MAPPED} SELECT adexchange, " + ", ".join(f"round(avg(CASE WHEN least(hour // 6, 3) = {k} THEN tau_surplus END), 4) AS q{k}" for k in range(4)) + " FROM ma GROUP BY 1")
+def c9_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(c.effect_pivot(_mapped(spark, sf_dir), effect="tau_surplus"), 4)
+
+
 @query("c10_dr_learner")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(c.effect_summary(c.dr_learner(_arms(spark, sf_dir), "surplus"), "taxonomy"), 4)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gavel.functions.columns import ratio, ts_seconds
 from gavel.operators import explore as e
 from gavel.operators import features as f
+from gavel.operators.order import quantiles
 from gavel.plans.feature_queries import _GROUP, _KIND, _WD
 from gavel.registry import query, r6
 from gavel.tables import bids
@@ -221,7 +222,7 @@ def e28(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e29_quartile_composition", ", q AS (SELECT quantile_cont(p_a, 0.25) AS lo, quantile_cont(p_a, 0.75) AS hi FROM bids) SELECT grp, adexchange, CAST(count(*) AS BIGINT) AS n, round(avg(slotprice), 6) AS mean_floor FROM (SELECT CASE WHEN p_a <= lo THEN 'low' WHEN p_a >= hi THEN 'high' END AS grp, adexchange, slotprice FROM bids, q) WHERE grp IS NOT NULL GROUP BY 1, 2")
 def e29(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bids(spark, sf_dir)
-    q = df.agg(F.percentile("p_a", F.lit(0.25)).alias("lo"), F.percentile("p_a", F.lit(0.75)).alias("hi"))
+    q = quantiles(df, "p_a", [0.25, 0.75]).agg(F.min("edge").alias("lo"), F.max("edge").alias("hi"))
     grp = F.when(F.col("p_a") <= F.col("lo"), "low").when(F.col("p_a") >= F.col("hi"), "high")
     return r6(df.crossJoin(F.broadcast(q)).withColumn("grp", grp).where("grp is not null").groupBy("grp", "adexchange").agg(F.count("*").alias("n"), F.avg("slotprice").alias("mean_floor")))
 

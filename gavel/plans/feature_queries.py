@@ -10,8 +10,13 @@ from gavel.operators import features as f
 from gavel.registry import query, r6
 from gavel.tables import bids, scores
 
-_GROUP = "CASE " + " ".join(f"WHEN slotwidth = {w} AND slotheight = {h} THEN '{g}'" for (w, h), g in f.SLOT_GROUPS.items()) + " ELSE 'other' END"
-_KIND = "CASE advertiser " + " ".join(f"WHEN {a} THEN '{k}'" for a, k in f.TAXONOMY.items()) + " ELSE 'unknown' END"
+_GROUP = """CASE WHEN (slotwidth = 728 AND slotheight = 90) OR (slotwidth = 970 AND slotheight IN (90, 250)) THEN 'leaderboard'
+  WHEN (slotwidth = 300 AND slotheight = 250) OR (slotwidth = 336 AND slotheight = 280) THEN 'medium_rectangle'
+  WHEN slotheight = 600 AND slotwidth IN (120, 160, 300) THEN 'skyscraper'
+  WHEN (slotwidth = 250 AND slotheight = 250) OR (slotwidth = 200 AND slotheight = 200) THEN 'square'
+  WHEN (slotwidth = 320 AND slotheight IN (50, 100)) OR (slotwidth = 300 AND slotheight = 50) THEN 'mobile'
+  WHEN slotwidth = 468 AND slotheight = 60 THEN 'banner' ELSE 'other' END"""
+_KIND = "CASE WHEN advertiser IN (2821, 3358, 2259) THEN 'retargeting' WHEN advertiser IN (1458, 3386, 3427, 2261, 2997) THEN 'branding' WHEN advertiser = 3476 THEN 'mixed' ELSE 'unknown' END"
 _WD = "CAST(isodow(try_strptime(substr(timestamp, 1, 8), '%Y%m%d')) - 1 AS INT)"
 _KEY = ["advertiser", "season", "day", "hour", "minute", "bidid"]
 _SPLIT = """, fr AS (SELECT *, (row_number() OVER (PARTITION BY advertiser ORDER BY season, day, hour, minute, bidid) - 1) / CAST(count(*) OVER (PARTITION BY advertiser) AS DOUBLE) AS fraction FROM bids),
@@ -94,17 +99,19 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("bidid", "domain_code", F.greatest("domain_code", F.lit(0)).alias("clipped"), "slotvisibility")
 
 
-@query("f15_one_hot")
+@query("f15_one_hot", "SELECT bidid, " + ", ".join(f"CAST({c} = {v} AS DOUBLE) AS {c}_{v}" for c, v in (("adexchange", 1), ("adexchange", 2), ("adexchange", 3), ("slotformat", 0), ("slotformat", 1), ("slotformat", 5))) + ", CAST(slotprice AS DOUBLE) AS slotprice, CAST(bidprice AS DOUBLE) AS bidprice FROM bids")
 def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     hot = f.one_hot(bids(spark, sf_dir), ["adexchange", "slotformat"], ["slotprice", "bidprice"])
-    return hot.select("bidid", vector_to_array("features").alias("features"))
+    names = ["adexchange_1", "adexchange_2", "adexchange_3", "slotformat_0", "slotformat_1", "slotformat_5", "slotprice", "bidprice"]
+    flat = hot.select("bidid", vector_to_array("features").alias("x"))
+    return flat.select("bidid", *[F.col("x")[k].alias(n) for k, n in enumerate(names)])
 
 
-@query("f16_taxonomy", f", t AS (SELECT bidid, {_KIND} AS taxonomy FROM bids) SELECT taxonomy, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1")
+@query("f16_taxonomy", f", t AS (SELECT bidid, {_KIND} AS taxonomy FROM bids) SELECT taxonomy, CASE taxonomy WHEN 'branding' THEN 0 WHEN 'retargeting' THEN 1 WHEN 'mixed' THEN 2 ELSE -1 END AS taxonomy_code, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1, 2")
 def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.add_taxonomy(bids(spark, sf_dir)).groupBy("taxonomy").agg(F.count("*").alias("n"))
+    return f.add_taxonomy(bids(spark, sf_dir)).groupBy("taxonomy", "taxonomy_code").agg(F.count("*").alias("n"))
 
 
 @query("f17_quality_flags", ", d AS (SELECT domain, count(*) AS n, sum(win) AS w, sum(click) AS c FROM bids WHERE domain IS NOT NULL GROUP BY 1), l AS (SELECT domain FROM d ORDER BY n DESC, domain LIMIT 10) SELECT bidid, CASE WHEN n >= 20 AND w = 0 THEN 'zero_win' WHEN w >= 20 AND c = 0 THEN 'zero_click' ELSE 'normal' END AS domain_tier, CAST(slotformat = 5 AS INT) AS is_popup, CAST(slotvisibility = 255 AS INT) AS visibility_unknown, CAST(win = 1 AND slotprice > 0 AND payprice = slotprice AS INT) AS floor_binding, CASE WHEN l.domain IS NOT NULL THEN bids.domain ELSE 'other' END AS domain_group FROM bids LEFT JOIN d ON bids.domain = d.domain LEFT JOIN l ON bids.domain = l.domain")
@@ -131,9 +138,9 @@ def f20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(won.groupBy("model").agg(F.avg(cross_entropy("p", "click")).alias("bce"), F.avg(cross_entropy("p", "click", pos_weight=5.0)).alias("weighted"), F.avg(cross_entropy("p", "click", focal_gamma=2.0)).alias("focal")))
 
 
-@query("p1_temporal_split", ", o AS (SELECT *, row_number() OVER (ORDER BY timestamp, bidid) - 1 AS plc, count(*) OVER () AS n FROM bids) SELECT bidid, CASE WHEN plc < floor(n*0.7) THEN 'train' WHEN plc < floor(n*0.85) THEN 'val' ELSE 'test' END AS split FROM o")
+@query("p1_temporal_split", ", o AS (SELECT *, row_number() OVER (ORDER BY timestamp, bidid) - 1 AS plc, count(*) OVER () AS n FROM bids) SELECT bidid, CASE WHEN plc < floor(n*0.7) THEN 'train' WHEN plc < floor(n*0.85) THEN 'val' ELSE 'test' END AS split, bidprice, domain FROM o")
 def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.split_temporal(bids(spark, sf_dir).select("bidid", "timestamp"), ["timestamp", "bidid"]).select("bidid", "split")
+    return f.split_temporal(bids(spark, sf_dir), ["timestamp", "bidid"]).select("bidid", "split", "bidprice", "domain")
 
 
 @query("p2_split_by_days", "SELECT split, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN day % 10 IN (1, 2, 3, 4) THEN 'train' WHEN day % 10 IN (5, 6) THEN 'val' WHEN day % 10 IN (7, 8) THEN 'test' END AS split FROM bids) WHERE split IS NOT NULL GROUP BY 1")
@@ -159,7 +166,7 @@ def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got
 
 
-@query("p6_keep_positives")
+@query("p6_keep_positives", "SELECT click, CASE WHEN click = 1 THEN count(*) ELSE least(count(*), greatest(0, 3000 - (SELECT count(*) FROM bids WHERE click = 1))) END AS n FROM bids GROUP BY 1")
 def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.keep_positives(bids(spark, sf_dir), "click", 3_000).groupBy("click").agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.operators import metrics as m
+from gavel.operators.order import add_place
 from gavel.registry import query, r6
 from gavel.tables import bids, scores
 
@@ -40,6 +41,11 @@ def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.bundle(_won(spark, sf_dir), "model", cut=0.03))
 
 
+@query("m5_mean_gap", f"{_SC}, g AS (SELECT model, floor(p*100) AS b, abs(avg(p) - avg(click)) AS gap FROM sc WHERE p < 1 GROUP BY 1, 2) SELECT model, round(avg(gap), 6) AS mean_gap, CAST(count(*) AS BIGINT) AS n_bins FROM g GROUP BY 1")
+def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(m.mean_gap(_won(spark, sf_dir), "model", n=100))
+
+
 def _edges_sql(p: str, src: str) -> str:
     return f", ed AS (SELECT list_sort(list_distinct(quantile_cont({p}, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e FROM {src})"
 
@@ -63,6 +69,11 @@ def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.slices(_won(spark, sf_dir).where("model = 'p_a'"), "advertiser"))
 
 
+@query("m9_slice_summary", f"{_SC}, g AS (SELECT advertiser, count(*) AS n, abs(avg(p) - avg(click)) AS bias FROM sc WHERE model = 'p_a' GROUP BY 1) SELECT round(max(bias), 6) AS max_bias, round(sum(n*bias)/sum(n), 6) AS weighted_bias, CAST(count(*) AS BIGINT) AS n_slices FROM g")
+def m9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(m.slice_summary(m.slices(_won(spark, sf_dir).where("model = 'p_a'"), "advertiser")))
+
+
 @query("m10_m17_summary", f"{_reliability_sql('model')} SELECT model, round(sum(n*abs(bias))/sum(n), 6) AS quantile_ece, round(max(abs(bias)), 6) AS max_bias, CAST(count(*) AS BIGINT) AS n_bins, CAST(count(*) FILTER (mean_p / nullif(mean_y, 0) < 0.8) AS BIGINT) AS under, CAST(count(*) FILTER (mean_p / nullif(mean_y, 0) > 1.25) AS BIGINT) AS over, CAST(count(*) FILTER (bias > 0) AS BIGINT) AS positive, CAST(count(*) FILTER (bias < 0) AS BIGINT) AS negative FROM rt GROUP BY 1")
 def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = m.reliability(_won(spark, sf_dir), "model")
@@ -169,3 +180,23 @@ def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out)
 
 
+_RANKED = """, c AS (SELECT abs(corr(hour, {p})) AS hour, abs(corr(slotprice, {p})) AS slotprice, abs(corr(bidprice, {p})) AS bidprice, abs(corr(region, {p})) AS region FROM bids), l AS (UNPIVOT c ON hour, slotprice, bidprice, region INTO NAME feature VALUE strength)"""
+
+
+@query("x3_model_ranks", ", a AS (WITH z AS (SELECT 1)" + _RANKED.format(p="p_a") + " SELECT feature, rank() OVER (ORDER BY strength DESC) AS rk FROM l), b AS (WITH z AS (SELECT 1)" + _RANKED.format(p="p_b") + " SELECT feature, rank() OVER (ORDER BY strength DESC) AS rk FROM l) SELECT a.feature, CAST(a.rk AS INT) AS rank_a, CAST(b.rk AS INT) AS rank_b, CAST(abs(a.rk - b.rk) AS INT) AS apart FROM a JOIN b ON a.feature = b.feature")
+def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' tables of ranked features, joined by feature."""
+    df = bids(spark, sf_dir)
+    a, b = (m.feature_ranks(df, p, ["hour", "slotprice", "bidprice", "region"]) for p in ("p_a", "p_b"))
+    both = a.withColumnRenamed("rank", "rank_a").join(b.withColumnRenamed("rank", "rank_b"), "feature")
+    return both.select("feature", "rank_a", "rank_b", F.abs(F.col("rank_a") - F.col("rank_b")).alias("apart"))
+
+
+@query("x4_aligned_predictions", ", o AS (SELECT click, p_b, row_number() OVER (ORDER BY timestamp, bidid) AS plc FROM bids), q AS (SELECT click AS other, p_a, row_number() OVER (ORDER BY timestamp, bidid) AS plc FROM bids) SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(click) AS BIGINT) AS labels, CAST(sum(other) AS BIGINT) AS stored_labels, round(sum(p_a*click), 6) AS score_on_clicks, round(corr(p_a, p_b), 6) AS correlation FROM o JOIN q USING (plc)")
+def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's scores, stored by position, beside the rows that they belong to; equal label sums show that they are aligned."""
+    df, order = bids(spark, sf_dir), ["timestamp", "bidid"]
+    stored = add_place(df.select(*order, "click", "p_a"), order, "place").select("place", F.col("click").alias("other"), "p_a")
+    rows = add_place(df.select(*order, "click", "p_b"), order, "place")
+    both = rows.join(stored, "place")
+    return r6(both.agg(F.count("*").alias("n"), F.sum("click").alias("labels"), F.sum("other").alias("stored_labels"), F.sum(F.col("p_a") * F.col("click")).alias("score_on_clicks"), F.corr("p_a", "p_b").alias("correlation")))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.operators import metrics as m
 from gavel.operators.explore import add_tags, tag_vocabulary
+from gavel.plans.explore_queries import _VOCAB
 from gavel.plans.feature_queries import _SPLIT, _splits
+from gavel.plans.metric_queries import _SC, auc_sql
 from gavel.registry import query, r6
 from gavel.sources import logs as s
-from gavel.tables import bids
+from gavel.tables import bids, scores
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -42,9 +45,13 @@ def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.validate(bids(spark, sf_dir), s.UNIFIED)
 
 
-@query("s7_sample")
+@query("s7_sample", "SELECT CAST(least(count(*), 1000) AS BIGINT) AS n, CAST(least(count(*), 1000) AS BIGINT) AS distinct_bids, CAST(0 AS BIGINT) AS strangers FROM bids")
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.sample(bids(spark, sf_dir), 1_000)
+    """The sample's size, its distinct bids, and those of its rows that the table lacks; which rows are drawn is the hash's."""
+    df = bids(spark, sf_dir)
+    got = s.sample(df, 1_000)
+    strange = got.join(df.select("bidid"), "bidid", "left_anti").agg(F.count("*").alias("strangers"))
+    return got.agg(F.count("*").alias("n"), F.count_distinct("bidid").alias("distinct_bids")).crossJoin(F.broadcast(strange))
 
 
 @query("s8_manifest", f"{_SPLIT}, mf AS (SELECT split, count(*) AS n, count(*) FILTER (click > win) AS cw, avg(win) AS wr, sum(click) / CAST(nullif(sum(win), 0) AS DOUBLE) AS ctr FROM splits GROUP BY 1) SELECT split, CAST(n AS BIGINT) AS rows, CAST(0 AS BIGINT) AS bad_labels, CAST(cw AS BIGINT) AS click_over_win, round(wr, 6) AS win_rate, round(ctr, 6) AS ctr, CAST(0 AS INT) AS missing, CASE WHEN cw > 0 OR wr NOT BETWEEN 0.1 AND 0.9 OR ctr NOT BETWEEN 0 AND 0.2 THEN 'warn' ELSE 'ok' END AS verdict FROM mf")
@@ -71,17 +78,17 @@ def s8f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.file_digests(spark, f"{path}/rows").select("length", "sha256")
 
 
-@query("s11_results", "SELECT 'p_a' AS model, 'nested' AS type, 'won' AS context, round(avg(p_a), 6) AS auc FROM bids UNION ALL SELECT 'p_b', 'flat', NULL, round(avg(p_b), 6) FROM bids")
+@query("s11_results", f"{_SC}{auc_sql('model')} SELECT model, CASE model WHEN 'p_a' THEN 'nested' ELSE 'flat' END AS type, CASE model WHEN 'p_a' THEN 'won' END AS context, round(auc, 6) AS auc FROM au")
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result files of two forms; a mean stands for the metric, as only the forms matter here."""
-    df = bids(spark, sf_dir)
+    """The AUC of two models by way of result files of two forms."""
+    table = m.auc(scores(bids(spark, sf_dir)).where("win = 1"), "model").withColumn("auc", F.round("auc", 6))
     a, b = s.fresh(spark, "nested"), s.fresh(spark, "flat")
-    s.write_results(df.agg(F.round(F.avg("p_a"), 6).alias("auc")).select(F.lit("p_a").alias("model"), F.lit("won").alias("context"), F.struct("auc").alias("metrics")), a)
-    s.write_results(df.agg(F.round(F.avg("p_b"), 6).alias("auc")).select(F.lit("p_b").alias("model_name"), "auc"), b)
+    s.write_results(table.where("model = 'p_a'").select("model", F.lit("won").alias("context"), F.struct("auc").alias("metrics")), a)
+    s.write_results(table.where("model = 'p_b'").select(F.col("model").alias("model_name"), "auc"), b)
     return s.load_results(spark, a, b).select("model", "type", "context", "auc")
 
 
-@query("s12_vocabulary_table")
+@query("s12_vocabulary_table", f"{_VOCAB} SELECT tag, CAST(n AS BIGINT) AS n, CAST(idx AS INT) AS idx FROM vo WHERE idx <= 20")
 def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = s.fresh(spark, "vocabulary")
     tag_vocabulary(add_tags(bids(spark, sf_dir)), 20, 5).write.parquet(path)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from gavel.operators.order import lowest
+
 _INTS = {"region", "city", "adexchange", "slotwidth", "slotheight", "slotvisibility", "slotformat", "slotprice", "bidprice", "advertiser", "payprice"}
 BID_COLUMNS = ["bidid", "timestamp", "ipinyouid", "useragent", "ip", "region", "city", "adexchange", "domain", "url", "urlid", "slotid", "slotwidth", "slotheight", "slotvisibility", "slotformat", "slotprice", "creative", "bidprice", "advertiser", "usertag"]
 EVENT_COLUMNS = ["bidid", "timestamp", "logtype", *BID_COLUMNS[2:], "payprice", "keypageurl"]
@@ -17,8 +19,11 @@ _HOME: dict[str, str] = {}
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """An unused path in the cluster's shared folder (a local one where none is set)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _HOME.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    """An unused path in the cluster's shared folder. One machine may do without; a cluster must name one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    top = top or _HOME.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -71,7 +76,7 @@ def validate(df: DataFrame, required: list[str]) -> DataFrame:
 
 def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """N rows of the lowest hash."""
-    return df.orderBy(F.xxhash64("bidid", F.lit(seed)), "bidid").limit(n)
+    return lowest(df, F.xxhash64("bidid", F.lit(seed)), "bidid", n)
 
 
 def manifest(df: DataFrame, split: str, expected: int | None, required: list[str], win_band: tuple[float, float] = (0.1, 0.9), ctr_band: tuple[float, float] = (0.0, 0.2), limit: float = 1e-4) -> DataFrame:
