@@ -2,21 +2,27 @@
 
 A document's set is its distinct word shingles. Two documents link when their
 sets' intersection is at least `similar` percent of their union. Equal sets are
-one (the smallest doc_id stands for all). Then:
+one node. Then:
 
 1. Inverted list lengths. Chunks exchange packed blocks of their distinct
-   shingles and their numbers; each gets back every shingle's class: alone,
-   short, middling or long list.
-2. T-occurrence bound. A document must share T = ceil(similar * n) of its n
+   shingles and their numbers (see `exchange`); each gets back every shingle's
+   class: alone, short, middling or long list.
+2. T-occurrence bound. A set must share T = ceil(similar * n) of its n
    shingles with any partner, so one with fewer than T shared shingles has
-   none. Of the others, all lists but the T - 1 longest are short ones
-   (DivideSkip): a partner stands in at least one of them.
-3. Merge of the short lists. Every list pairs its documents with its smallest
-   one; a pair's entries are merged, and the rest of the sets is probed by
-   binary search for the exact overlap. Verified links give first groups.
-4. Lists that still hold several groups are searched whole, in blocks: pairs
-   of different groups that sizes and parity bitmaps (a lower bound of the
-   symmetric difference) do not rule out are verified likewise.
+   none. Of the others, in the order of list classes, all lists but the T - 1
+   longest are its short ones (DivideSkip): a partner stands in one of them.
+3. Merge of the short lists. Every list is met at its smallest node, its head;
+   a set's lists are merged by head, which counts how often each head occurs.
+   As all sets use one order of lists, the intersection is at most that count
+   (with those of smaller heads, whose lists may hold the head, too) and the
+   longer of the two rests; heads that can't reach the required overlap go.
+   For the others the count goes on: the lists not met at the head, long ones
+   included, are probed by binary search until the overlap is known.
+4. Links make groups. Lists that still hold several groups are searched whole,
+   in blocks: pairs of different groups that sizes and parity bitmaps (a lower
+   bound of the symmetric difference) do not rule out are counted over all
+   lists that they share; those whose count and longer rest reach the overlap
+   are probed likewise.
 
 Nothing is capped: a pair is left out only if a bound proves that it cannot
 link or it is in one group already.
@@ -27,7 +33,7 @@ rows of one doc_id that have words are one document, linked by any of
 its texts; null doc_ids
 are one document that is larger than all others, and its component is null
 if it has no smaller member; an empty table gives no rows; only
-(doc_id, text) are read.
+(doc_id, text) are read, so that other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -41,8 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel.llm.components import components
-from gavel.llm.recompression import _cut
-from gavel.llm.store import chunk_of, pack, pack_sorted, settle, settled, settled_pair, stored, unpack, unpack_sorted, width
+from gavel.llm.exchange import BLOCK, BLOCK_SQL, answered, blocks_of, joined_answers
+from gavel.llm.store import document_chunk, settle, settled_pair, stored, width
 from gavel.llm.words import blocks, rolled, words
 
 _CHUNK = "_chunk_"
@@ -98,84 +104,90 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
     return -(-similar * (n + m) // (100 + similar))
 
 
-def _verify(similar: int):
+def _merge(similar: int):
+    """A set's short lists merged by head: the heads that the T-occurrence bound keeps, with the count so far and the tokens left to probe."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32()), ("merged", pa.int32()), ("rest", pa.binary())])
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            cols = [batch.column(c) for c in ("n", "m", "merged", "x", "y")]
-            for i in range(len(batch)):
-                n, m = cols[0][i].as_py(), cols[1][i].as_py()
-                least = int(overlap_needed(np.int64(n), np.int64(m), similar))
-                x, y = (np.sort(np.frombuffer(c[i].as_buffer(), "<u8")) for c in cols[3:])
-                if len(x) > len(y):
-                    x, y = y, x
-                if len(x) < least:
-                    continue
-                at = np.searchsorted(y, x)
-                keep[i] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x) >= least
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            out: list[tuple] = []
+            for node, n, short, raw, entries in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "short", "tokens", "entries")), strict=True):
+                tokens = np.frombuffer(raw, "<i8")
+                token, head, size, rest = (np.array([e[k] for e in entries], np.int64) for k in ("token", "b", "m", "long"))
+                heads, at, merged = np.unique(head, return_index=True, return_counts=True)
+                size, rest = size[at], rest[at]
+                need = overlap_needed(np.int64(n), size, similar)
+                most = np.cumsum(merged) + np.maximum(rest, len(tokens) - short)
+                fits = (most >= need) & (100 * np.minimum(size, n) >= similar * np.maximum(size, n))
+                for k in np.flatnonzero(fits).tolist():
+                    left = tokens[~np.isin(tokens, token[head == heads[k]])]
+                    if merged[k] + len(left) >= need[k]:
+                        out.append((node, int(heads[k]), int(need[k]), int(merged[k]), left.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ((),) * 5, schema, strict=True)], schema=schema)
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b, merged) whose sets link, by binary probes of the smaller set in the larger."""
-    x = sets.select(F.col("doc").alias("a"), "n", F.col("tokens").alias("x"))
-    y = sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "merged", "x", "y").mapInArrow(_verify(similar), "a long, b long")
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose count, with the rest of one set probed in the other, reaches what they need."""
+    last, held = None, np.zeros(0, np.int64)
+    for batch in batches:
+        keep = np.zeros(len(batch), bool)
+        need, merged, b = (batch.column(c).to_numpy() for c in ("need", "merged", "b"))
+        rest, other = batch.column("rest"), batch.column("y")
+        for i in range(len(batch)):
+            if b[i] != last:
+                last, held = b[i], np.sort(np.frombuffer(other[i].as_buffer(), "<i8"))
+            x = np.frombuffer(rest[i].as_buffer(), "<i8")
+            at = np.searchsorted(held, x)
+            keep[i] = len(held) > 0 and merged[i] + np.count_nonzero(held[np.minimum(at, len(held) - 1)] == x) >= need[i]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+
+def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, need, merged, rest) that link."""
+    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(y, "b").select("a", "b", "need", "merged", "rest", "y").mapInArrow(_probe, "a long, b long")
 
 
 def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n: int) -> DataFrame:
-    """(doc, n, short, tokens): documents with T shared shingles; tokens: those shared, shorter lists first; short: how many lists to merge.
+    """(node, n, short, tokens): sets with T shared shingles; tokens: those shared, shorter lists first; short: how many lists to merge.
 
-    docs: (doc_id, text, _chunk_) dealt by chunk. rows: (doc, sig1, sig2, chunk) of the documents that stand for their sets.
+    docs: (doc_id, text, _chunk_) dealt by chunk. rows: (node, doc, sig1, sig2, chunk) of the documents that stand for their sets.
     """
 
     def chosen(table: pa.Table, own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sets of the standing documents, each once: ids, shingles, firsts."""
+        """Sets of the standing documents, each once: nodes, shingles, firsts."""
         sets, first = shingle_sets(table, size)
         s1, s2 = _signatures(sets, first)
         ids = np.asarray(pc.fill_null(table.column("doc_id").cast(pa.int64()), _NULL), np.int64)
-        wanted = set(zip(own.column("doc").to_pylist(), own.column("sig1").to_pylist(), own.column("sig2").to_pylist(), strict=True))
-        keep = np.zeros(len(ids), bool)
+        wanted = dict(zip(zip(*(own.column(c).to_pylist() for c in ("doc", "sig1", "sig2")), strict=True), own.column("node").to_pylist(), strict=True))
+        keep, nodes = np.zeros(len(ids), bool), []
         for i, key in enumerate(zip(ids.tolist(), s1.tolist(), s2.tolist(), strict=True)):
-            if key in wanted and first[i + 1] > first[i]:
-                wanted.discard(key)
+            if first[i + 1] > first[i] and key in wanted:
+                nodes.append(wanted.pop(key))
                 keep[i] = True
         sizes = np.diff(first)
         inside = np.repeat(keep, sizes)
-        return ids[keep], sets[inside], np.concatenate([[0], np.cumsum(sizes[keep])]).astype(np.int64)
+        return np.array(nodes, np.int64), sets[inside], np.concatenate([[0], np.cumsum(sizes[keep])]).astype(np.int64)
 
     def emit(table: pa.Table, own: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary()), ("times", pa.binary())])
         if not len(table):
-            return schema.empty_table()
+            return BLOCK.empty_table()
         _, sets, _ = chosen(table, own)
         name, times = np.unique(sets >> np.uint64(64 - _KEPT), return_counts=True)
-        bounds, chunk = _cut(name, _KEPT, n), table.column(_CHUNK)[0].as_py()
-        times = np.minimum(times, 255).astype(np.uint8)
-        rows = [(b, chunk, pack_sorted(name[x:y]), pack(times[x:y])) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    def classify(table: pa.Table) -> pa.Table:
-        lists = [unpack_sorted(x) for x in table.column("names").to_pylist()]
-        times = np.concatenate([unpack(x, "u1") for x in table.column("times").to_pylist()])
-        value, at = np.unique(np.concatenate(lists), return_inverse=True)
-        cls = np.digitize(np.bincount(at, times, len(value)), CLASSES).astype(np.uint8)[at]
-        ends = np.cumsum([len(x) for x in lists])
-        answers = [pack(cls[e - len(x) : e]) for e, x in zip(ends, lists, strict=True)]
-        schema = pa.schema([("doc", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("bucket", pa.int32()), ("chunk", pa.int32()), ("classes", pa.binary())])
-        none = pa.nulls(len(answers), pa.int64())
-        return pa.Table.from_arrays([none, none, none, table.column("bucket").combine_chunks(), table.column("chunk").combine_chunks(), pa.array(answers, pa.binary())], schema=schema)
+        return blocks_of(name, [np.minimum(times, 255).astype(np.uint8)], table.column(_CHUNK)[0].as_py(), _KEPT)
+
+    def classify(names: np.ndarray, times: list[np.ndarray]) -> np.ndarray:
+        value, at = np.unique(names, return_inverse=True)
+        return np.digitize(np.bincount(at, times[0], len(value)), CLASSES)[at]
 
     def choose(table: pa.Table, own: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("short", pa.int32()), ("tokens", pa.binary())])
+        schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("short", pa.int32()), ("tokens", pa.binary())])
         if not len(table):
             return schema.empty_table()
-        replies = own.filter(pc.is_valid(own.column("classes")))
-        ids, sets, first = chosen(table, own.filter(pc.is_valid(own.column("doc"))))
-        got = sorted(zip(replies.column("bucket").to_pylist(), replies.column("classes").to_pylist(), strict=True))
-        classes = np.concatenate([np.zeros(0, np.uint8), *[unpack(c, "u1") for _, c in got]])
+        ids, sets, first = chosen(table, own.filter(pc.is_valid(own.column("node"))))
+        classes = joined_answers(own.filter(pc.is_valid(own.column("answers"))))
         cls = classes[np.unique(sets >> np.uint64(64 - _KEPT), return_inverse=True)[1]] if len(sets) else classes
         sizes = np.diff(first)
         alone = np.concatenate([[0], np.cumsum(cls == 0)])
@@ -188,17 +200,19 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
             rows.append((int(ids[i]), int(sizes[i]), int(sizes[i] - need[i] + 1 - alone[i]), shared.astype("<u8").tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 4, schema, strict=True)], schema=schema)
 
-    counted = docs.groupBy(_CHUNK).cogroup(rows.groupBy("chunk")).applyInArrow(settled_pair(emit), "bucket int, chunk int, names binary, times binary")
-    replies = counted.groupBy("bucket").applyInArrow(settled(classify), "doc long, sig1 long, sig2 long, bucket int, chunk int, classes binary")
-    both = replies.unionByName(rows, allowMissingColumns=True)
-    return docs.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(settled_pair(choose), "doc long, n int, short int, tokens binary")
+    blocks = docs.groupBy(_CHUNK).cogroup(rows.groupBy("chunk")).applyInArrow(settled_pair(emit), BLOCK_SQL)
+    both = answered(blocks, n, _KEPT, ["u1"], classify).unionByName(rows, allowMissingColumns=True)
+    return docs.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(settled_pair(choose), "node long, n int, short int, tokens binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the short lists; long: how many shared tokens of the set are not among them."""
     for batch in batches:
         short = batch.column("short").to_numpy()
         tokens = [np.frombuffer(t.as_buffer(), "<i8", int(k)) for t, k in zip(batch.column("tokens"), short, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<i8"), *tokens])), pa.array(np.repeat(batch.column("doc").to_numpy(), short)), pa.array(np.repeat(batch.column("n").to_numpy(), short))], ["token", "doc", "n"])
+        rest = np.asarray(pc.binary_length(batch.column("tokens"))) // 8 - short
+        wide = lambda x: pa.array(np.repeat(x, short))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<i8"), *tokens])), wide(batch.column("node").to_numpy()), wide(batch.column("n").to_numpy()), wide(rest.astype(np.int32))], ["token", "node", "n", "long"])
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,57 +223,61 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             odd = np.bincount((x % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
             maps.append(np.packbits(odd.astype(bool)).tobytes())
             alone.append(n - len(x))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(alone, pa.int32()), pa.array(maps, pa.binary())], ["doc", "alone", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(alone, pa.int32()), pa.array(maps, pa.binary())], ["node", "alone", "bitmap"])
 
 
 def _search(similar: int):
-    """Pairs of different groups in one block pair of a list that bounds do not rule out."""
+    """Pairs of different groups in one block pair of a list that bounds do not rule out; least: how many short lists they must share."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, n, label, alone, side = (table.column(c).to_numpy() for c in ("doc", "n", "label", "alone", "side"))
-        maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(doc), BITMAP_WORDS)
+        node, n, label, rest, alone, side, own = (table.column(c).to_numpy() for c in ("node", "n", "label", "long", "alone", "side", "own"))
+        maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(node), BITMAP_WORDS)
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != -1)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = [np.zeros((0, 3), np.int64)]
         for i in left.tolist():
             j = right[right != i]
-            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= similar * np.maximum(n[j], n[i]))]
+            j = j[(label[j] != label[i]) & (own[j] | own[i]) & (100 * np.minimum(n[j], n[i]) >= similar * np.maximum(n[j], n[i]))]
             if len(j):
                 apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
                 total = n[j].astype(np.int64) + n[i]
-                j = j[apart <= total - 2 * overlap_needed(total, np.int64(0), similar) - alone[j] - alone[i]]
-                a.append(np.maximum(doc[j], doc[i]))
-                b.append(np.minimum(doc[j], doc[i]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                need = overlap_needed(total, np.int64(0), similar)
+                fits = apart <= total - 2 * need - alone[j] - alone[i]
+                j, need = j[fits], need[fits]
+                found.append(np.stack([np.maximum(node[j], node[i]), np.minimum(node[j], node[i]), need - np.maximum(rest[j], rest[i])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "least": pa.array(pairs[:, 2])})
 
     return run
 
 
 def list_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, similar: int, parts: int) -> DataFrame:
-    """Pairs left to verify in lists that hold several groups.
+    """Pairs (a, b) left to probe in lists that hold several groups: those that share enough short lists.
 
     A list is searched by classes of size (neighbouring ones only can link) and, where a class is large, by
-    pairs of its blocks of about BLOCK_DOCS documents, so that no list is one task's.
+    pairs of its blocks of about BLOCK_DOCS sets, so that no list is one task's. Each list names a pair once, and every
+    list that holds both sets of a pair holds several groups, so that the pair's number of lists is its T-occurrence count.
     """
     step = float(np.log(100 / similar))
-    held = postings.join(labels, "doc")
+    held = postings.join(labels, "node")
     mixed = held.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     held = held.join(mixed, "token").withColumn("g", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    held = held.withColumn("at", F.explode(F.array(F.col("g"), F.col("g") + 1)))  # class g is compared with itself and with g - 1
+    # Class g is compared with itself and with g - 1; a pair of one class belongs where the class is its own.
+    held = held.withColumn("at", F.explode(F.array(F.col("g"), F.col("g") + 1))).withColumn("own", F.col("at") == F.col("g"))
     sizes = held.groupBy("token", "at").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "at", F.ceil(F.col("c") / BLOCK_DOCS).cast("int").alias("blocks"))
-    dealt = held.join(sizes, ["token", "at"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = held.join(sizes, ["token", "at"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Block i meets blocks j >= i: it is the left side there (-1), the right side (1), or both (0).
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum((F.col("block") - F.col("other")).cast("double")).cast("int").alias("side"), "doc", "n", "label")
+    dealt = dealt.select("token", "at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum((F.col("block") - F.col("other")).cast("double")).cast("int").alias("side"), "node", "n", "label", "long", "own")
     # Blocks are short in bytes and long in work: they are dealt to all tasks.
-    dealt = dealt.join(sets.mapInArrow(_bitmaps, "doc long, alone int, bitmap binary"), "doc").repartition(parts, "token", "at", "i", "j")
-    return dealt.groupBy("token", "at", "i", "j").applyInArrow(_search(similar), "a long, b long").distinct()
+    dealt = dealt.join(sets.mapInArrow(_bitmaps, "node long, alone int, bitmap binary"), "node").repartition(parts, "token", "at", "i", "j")
+    named = dealt.groupBy("token", "at", "i", "j").applyInArrow(_search(similar), "a long, b long, least long")
+    return named.groupBy("a", "b").agg(F.count("*").alias("merged"), F.max("least").alias("least")).where("merged >= least").select("a", "b")
 
 
 def groups(docs: DataFrame, size: int = 4, similar: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id): linked documents have one component, its smallest doc_id."""
     n = width(docs)
-    base = docs.select("doc_id", "text", chunk_of(F.col("doc_id"), n).alias(_CHUNK)).repartition(n, _CHUNK)
+    base = docs.select("doc_id", "text", document_chunk(n).alias(_CHUNK)).repartition(n, _CHUNK)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,20 +289,28 @@ def groups(docs: DataFrame, size: int = 4, similar: int = 85) -> DataFrame:
         settle()
 
     signed = stored(base.mapInArrow(sign, "doc_id long, chunk int, n_shingles long, sig1 long, sig2 long"), "signatures").withColumn("doc", F.coalesce("doc_id", F.lit(_NULL)))
-    alike = signed.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "chunk")).alias("r")).select("sig1", "sig2", F.col("r.doc").alias("rep"), F.col("r.chunk").alias("chunk"))
-    standing = alike.select(F.col("rep").alias("doc"), "sig1", "sig2", "chunk")
-    sets = stored(candidate_sets(base, standing, size, similar, n), "sets")
-    postings = stored(sets.mapInArrow(_postings, "token long, doc long, n int"), "postings")
-    heads = postings.groupBy("token").agg(F.min("doc").alias("b"), F.count("*").alias("c")).where("c > 1").select("token", "b")
-    merged = postings.join(heads, "token").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("merged"))
-    first = stored(verified(merged, sets, similar), "links")
-    labels = sets.select("doc").distinct().join(components(first), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("label", "doc").alias("label"))
-    labels = stored(labels, "labels")
-    second = verified(list_pairs(postings, labels, sets, similar, n).withColumn("merged", F.lit(1).cast("long")), sets, similar)
-    placed = signed.join(alike.select("sig1", "sig2", "rep"), ["sig1", "sig2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc")))
+    alike = signed.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "chunk")).alias("r"))
+    nodes = stored(alike.select(F.monotonically_increasing_id().alias("node"), F.col("r.doc").alias("doc"), "sig1", "sig2", F.col("r.chunk").alias("chunk")), "nodes")
+    sets = stored(candidate_sets(base, nodes, size, similar, n), "sets")
+    postings = stored(sets.mapInArrow(_postings, "token long, node long, n int, long int"), "postings")
+    heads = postings.groupBy("token").agg(F.min(F.struct("node", "n", "long")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.long").alias("long"))
+    met = postings.select("token", "node").join(heads, "token").where("node <> b").groupBy("node").agg(F.collect_list(F.struct("token", "b", "m", "long")).alias("entries"))
+    candidates = sets.join(met, "node").mapInArrow(_merge(similar), "a long, b long, need int, merged int, rest binary")
+    first = stored(probed(candidates, sets), "links")
+    labels = stored(sets.select("node").join(components(first).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("rest"))
+    y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    need = -F.floor(-(similar * (F.col("na") + F.col("nb"))) / (100 + similar))
+    pairs = list_pairs(postings, labels, sets, similar, n).join(x, "a").join(y, "b").select("a", "b", need.cast("int").alias("need"), F.lit(0).alias("merged"), "rest")
+    second = probed(pairs, sets)
     # A doc_id whose rows have different sets ties those sets.
-    several = placed.where("n_shingles > 0").groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc")
-    own = placed.where("n_shingles > 0").join(several, "doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    grouped = components(first.unionByName(second).unionByName(own))
-    label = F.coalesce("label", "rep")
-    return placed.join(grouped, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.when(label == _NULL, None).otherwise(label).alias("component_id"))
+    sig = F.struct("sig1", "sig2")
+    several = signed.where("n_shingles > 0").groupBy("doc").agg(F.min(sig).alias("lo"), F.max(sig).alias("hi")).where("lo <> hi").select("doc")
+    owners = signed.where("n_shingles > 0").join(several, "doc", "left_semi").select("doc", "sig1", "sig2").distinct().join(nodes.select("node", "sig1", "sig2"), ["sig1", "sig2"])
+    own = owners.join(owners.groupBy("doc").agg(F.min("node").alias("b")), "doc").select(F.col("node").alias("a"), "b")
+    grouped = stored(components(first.unionByName(second).unionByName(own)), "groups")
+    least = grouped.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("least"))
+    found = nodes.join(grouped.join(least, "label").select("node", "least"), "node", "left").select("sig1", "sig2", F.coalesce("least", "doc").alias("component"))
+    placed = signed.join(found, ["sig1", "sig2"], "left")
+    label = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))
+    return placed.select("doc_id", "n_shingles", F.when(label == _NULL, None).otherwise(label).alias("component_id"))

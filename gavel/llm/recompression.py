@@ -1,28 +1,29 @@
 """Substring dedup by recompression.
 
-A document's words are named by their hashes. The first round names runs of
-equal words; every round then splits names in two halves by a bit of a hash
-and names each pair of a left name followed by a right one. A new name is a
-hash of what it stands for, so all tasks give equal text the same names without
-a dictionary. A symbol's span is the words its making depended on: wherever
-the span's words stand again, the same symbol stands there too. So a window
-holding the span of a symbol that occurs once in the corpus is itself unique;
-shared symbols reveal the rest, which are verified by hashes of the windows'
-own words (96 bits) and dated by their first occurrence.
-
-Documents are dealt into chunks by doc_id. Chunks exchange packed blocks, not
-rows: each chunk's distinct symbols (a name once, however often it occurs
-there), one answer bit for each, then each chunk's distinct suspect windows
-with their first document, and again one bit for each. A passage in every
-document is one entry of each chunk, so hot passages make no hot task.
+A document's words are named by their hashes. Every round names runs of equal
+symbols, then splits names in two halves by a bit of a hash and names each pair
+of a left name followed by a right one. A new name is a hash of what it stands
+for, so all tasks give equal text the same names without a dictionary. A
+symbol's span is the words its making depended on: wherever the span's words
+stand again, the same symbol stands there too. So a window holding the span of
+a symbol that occurs once in the corpus is itself unique; shared symbols reveal
+the rest, which are verified by hashes of the windows' own words (96 bits) and
+dated by their first occurrence.
+
+Documents are dealt into chunks by doc_id (null ones by text, as they may be
+many). Chunks exchange packed blocks, not rows (see `exchange`): each chunk's
+distinct symbols (a name once, however often it occurs there), one answer for
+each, then each chunk's distinct suspect windows with their first document, and
+again one answer for each. A passage in every document is one entry of each
+chunk, so hot passages make no hot task.
 
 Defined results: a null text has no words and stays null, an empty one stays
 empty; texts shorter than a window lose nothing; a text that loses nothing
 stays as it is; where words are removed the others are joined by one space;
-null doc_ids come before all others; rows of one doc_id are ordered by text
-and the later of two equal rows loses all its words; an empty table gives no
-rows; other columns pass through, except those named n_words, n_removed or
-kept_sha256, which are replaced.
+null doc_ids come before all others, in order of a hash of their texts; rows of
+one other doc_id are ordered by text; the later of two equal rows loses all its
+words; an empty table gives no rows; other columns pass through, except those
+named n_words, n_removed or kept_sha256, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gavel.llm.store import bits, chunk_of, pack, pack_sorted, settled, settled_pair, unbits, unpack, unpack_sorted, width
+from gavel.llm.exchange import BLOCK, BLOCK_SQL, answered, blocks_of, joined_answers
+from gavel.llm.store import bits, document_chunk, free_name, settled, settled_pair, stored, unbits, width
 from gavel.llm.words import Words, blocks, joined, mix, rolled, words
 
 WINDOW = 20
-ROUNDS = 3
+ROUNDS = 4
 _CHUNK = "_chunk_"
 _KEPT = 48  # bits of a symbol's name that are exchanged; a clash only makes more windows suspect
+_MASK = -1  # in place of a range: the chunk's own starts that it asked about
 
 
 def _named(kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,17 +57,26 @@ def symbols(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.nd
     n = len(h)
     if not n:
         return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Runs of equal words: one symbol each, which depends on the words beside it.
-    edge = np.ones(n, bool)
-    edge[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(edge)
-    size = np.diff(np.append(first, n))
-    name, owner = h[first], doc[first]
-    name = np.where(size > 1, _named(1, name, size.astype(np.uint64)), name)
-    lo, hi = first - 1, first + size + 1
-    lo[np.append(True, owner[1:] != owner[:-1])] = -1
-    hi[np.append(owner[1:] != owner[:-1], True)] = n + 1
+    name, owner = h, doc
+    begin, end = np.arange(n), np.arange(1, n + 1)  # the words a symbol stands for
+    lo, hi = begin, end
     for r in range(rounds):
+        # Runs of equal symbols are one symbol. That a run ends depends on the symbol beside it: on its first word, if that
+        # differs from the run's own, else on all that the neighbour depends on.
+        edge = np.ones(len(name), bool)
+        edge[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(edge)
+        size = np.diff(np.append(first, len(name)))
+        last = first + size - 1
+        starts_text = np.append(True, owner[first][1:] != owner[first][:-1])
+        ends_text = np.append(starts_text[1:], True)
+        differs = h[begin[first] - 1] != h[end[first] - 1]
+        new_lo = np.where(starts_text, -1, np.minimum(lo[first], np.where(differs, begin[first] - 1, lo[first - 1])))
+        after = np.minimum(last + 1, len(name) - 1)
+        differs = h[np.minimum(end[last], n - 1)] != h[begin[last]]
+        new_hi = np.where(ends_text, n + 1, np.maximum(hi[last], np.where(differs, end[last] + 1, hi[after])))
+        name = np.where(size > 1, _named(10 + r, name[first], size.astype(np.uint64)), name[first])
+        owner, begin, end, lo, hi = owner[first], begin[first], end[last], new_lo, new_hi
         left = (mix(name + np.uint64(1000 + r)) & np.uint64(1)).astype(bool)
         m = len(name)
         beside = np.zeros(m, bool)  # the next symbol is of the same document
@@ -91,8 +103,10 @@ def symbols(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.nd
         new_hi[i] = np.maximum(hi[i], hi[i + 1])
         new_name = name.copy()
         new_name[i] = _named(2, name[i], name[i + 1])
+        new_end = end.copy()
+        new_end[i] = end[i + 1]
         keep = ~taken
-        name, owner, lo, hi = new_name[keep], owner[keep], new_lo[keep], new_hi[keep]
+        name, owner, begin, end, lo, hi = new_name[keep], owner[keep], begin[keep], new_end[keep], new_lo[keep], new_hi[keep]
     return name, lo, hi
 
 
@@ -100,8 +114,11 @@ class Chunk:
     """The documents of one chunk in corpus order, with their words."""
 
     def __init__(self, table: pa.Table, window: int) -> None:
-        order = pc.sort_indices(table.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        ties = [int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) if d is None else 0 for d, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)] if table.column("doc_id").null_count else [0] * len(table)
+        keys = pa.table({"doc_id": table.column("doc_id"), "tie": pa.array(ties, pa.int64()), "text": table.column("text")})
+        order = pc.sort_indices(keys, [("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")], null_placement="at_start")
         self.table, self.window = table.take(order), window
+        self.tie = np.asarray(keys.column("tie").take(order), np.int64)
         text = self.table.column("text").combine_chunks()
         text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
         self.parts = [(a, b) for a, b in blocks(text)]
@@ -158,21 +175,6 @@ class Chunk:
         return np.asarray(pc.fill_null(self.table.column("doc_id").cast(pa.int64()), np.iinfo(np.int64).min), np.int64)
 
 
-def _cut(values: np.ndarray, width_bits: int, n: int) -> np.ndarray:
-    """Bounds of n ranges of equal width in ascending values of some bits."""
-    edges = np.array([(i << width_bits) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
-
-
-_BLOCK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_BLOCK_SQL = "bucket int, chunk int, kind int, a binary, b binary, c binary"
-_NAMES, _WINDOWS, _MASK = 0, 1, 2
-
-
-def _chunk_id(table: pa.Table) -> int:
-    return table.column(_CHUNK)[0].as_py()
-
-
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, digests: bool = False) -> DataFrame:
     """docs without the words of windows that also start earlier; adds n_words and n_removed, and with digests kept_sha256.
 
@@ -180,62 +182,54 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, digests: bo
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     n = width(docs)
-    base = docs.withColumn(_CHUNK, chunk_of(F.col("doc_id"), n)).repartition(n, _CHUNK)
+    chunk_column = free_name(docs, _CHUNK)
+    base = docs.withColumn(chunk_column, document_chunk(n)).repartition(n, chunk_column)
     columns = docs.columns
 
+    def chunk_id(table: pa.Table) -> int:
+        return table.column(chunk_column)[0].as_py()
+
     def emit_names(table: pa.Table) -> pa.Table:
-        name = np.unique(Chunk(table, window).names()[0])
-        bounds, chunk = _cut(name, _KEPT, n), _chunk_id(table)
-        rows = [(b, chunk, _NAMES, pack_sorted(name[bounds[b] : bounds[b + 1]]), None, None) for b in range(n)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
-
-    def share(table: pa.Table) -> pa.Table:
-        """One bit for each name of each chunk: another chunk has it."""
-        lists = [unpack_sorted(a) for a in table.column("a").to_pylist()]
-        value, at, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        several, ends = times[at] > 1, np.cumsum([len(x) for x in lists])
-        answers = [bits(several[e - len(x) : e]) for e, x in zip(ends, lists, strict=True)]
-        return _answers(table.column("bucket"), table.column("chunk"), _NAMES, answers)
+        return blocks_of(np.unique(Chunk(table, window).names()[0]), [], chunk_id(table), _KEPT)
+
+    def shared(names: np.ndarray, _: list[np.ndarray]) -> np.ndarray:
+        """Whether another chunk has a name."""
+        _, at, times = np.unique(names, return_inverse=True, return_counts=True)
+        return times[at] > 1
 
     def emit_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
-            return _BLOCK.empty_table()
+            return BLOCK.empty_table()
         chunk = Chunk(table, window)
-        starts = chunk.suspects(_joined_bits(replies, _NAMES))
+        starts = chunk.suspects(joined_answers(replies).astype(bool))
         hash_, check, first, _ = chunk.windows(starts)
-        owner = chunk.ids()[chunk.doc[first]]
-        bounds, k = _cut(hash_, 64, n), _chunk_id(table)
-        rows = [(b, k, _WINDOWS, pack_sorted(hash_[x:y]), pack(check[x:y].astype("<u4")), pack(owner[x:y].astype("<i8"))) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+        owner = chunk.doc[first]
         mask = np.zeros(len(chunk.h), bool)
         mask[starts] = True
-        rows.append((k % n, k, _MASK, bits(mask), None, None))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
-
-    def date(table: pa.Table) -> pa.Table:
-        """One bit for each window of each chunk: an earlier document of another chunk has it. Masks go through."""
-        own = table.filter(pc.equal(table.column("kind"), _WINDOWS))
-        lists = [unpack_sorted(a) for a in own.column("a").to_pylist()]
-        sizes = [len(x) for x in lists]
-        h = np.concatenate([np.zeros(0, np.uint64), *lists])
-        c = np.concatenate([np.zeros(0, "<u4"), *[unpack(x, "<u4") for x in own.column("b").to_pylist()]])
-        d = np.concatenate([np.zeros(0, "<i8"), *[unpack(x, "<i8") for x in own.column("c").to_pylist()]])
-        order = np.lexsort((d, c, h))
+        own = blocks_of(hash_, [check.astype("<u4"), chunk.ids()[owner].astype("<i8"), chunk.tie[owner].astype("<i8")], chunk_id(table), 64)
+        # Which starts were asked for goes along, for the chunk itself.
+        masks = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(([_MASK], [chunk_id(table)], [bits(mask)], [b""], [b""], [[]]), BLOCK, strict=True)], schema=BLOCK)
+        return pa.concat_tables([own, masks])
+
+    def later(hashes: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+        """Whether an earlier document of another chunk has a window."""
+        check, owner, tie = sides
+        order = np.lexsort((tie, owner, check, hashes))
         new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
-        later = np.empty(len(order), bool)
-        later[order] = ~new
-        ends = np.cumsum(sizes)
-        answers = [bits(later[e - s : e]) for e, s in zip(ends, sizes, strict=True)]
-        masks = table.filter(pc.equal(table.column("kind"), _MASK))
-        return pa.concat_tables([_answers(own.column("bucket"), own.column("chunk"), _WINDOWS, answers), _answers(masks.column("bucket"), masks.column("chunk"), _MASK, masks.column("a").to_pylist())])
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])
+        out = np.empty(len(order), bool)
+        out[order] = ~new
+        return out
 
     fields = [f for f in docs.schema.fields if texts or f.name != "text"] + [StructField("n_words", LongType()), StructField("n_removed", LongType())] + [StructField("kept_sha256", StringType())] * digests
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
-        starts = np.flatnonzero(_joined_bits(replies, _MASK)) if len(chunk.h) else np.zeros(0, np.int64)
+        mask = replies.filter(pc.equal(replies.column("range"), _MASK)).column("answers").to_pylist()
+        starts = np.flatnonzero(unbits(mask[0])) if mask else np.zeros(0, np.int64)
         _, _, first, index = chunk.windows(starts)
-        repeated = _joined_bits(replies, _WINDOWS)[index] if len(starts) else np.zeros(0, bool)
+        found = joined_answers(replies.filter(pc.not_equal(replies.column("range"), _MASK))).astype(bool)
+        repeated = found[index] if len(starts) else np.zeros(0, bool)
         repeated |= starts != first[index]
         cover = np.zeros(len(chunk.h) + 1, np.int64)
         np.add.at(cover, starts[repeated], 1)
@@ -260,20 +254,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, digests: bo
             out = out.append_column("kept_sha256", pa.array([hashlib.sha256(x.encode()).hexdigest() for x in text.to_pylist()] if text is not None else [], pa.string()))
         return out
 
-    answer = "bucket int, chunk int, kind int, bits binary"
-    shared = base.select("doc_id", "text", _CHUNK).groupBy(_CHUNK).applyInArrow(settled(emit_names), _BLOCK_SQL).groupBy("bucket").applyInArrow(settled(share), answer)
-    asked = base.select("doc_id", "text", _CHUNK).groupBy(_CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(settled_pair(emit_windows), _BLOCK_SQL)
-    dated = asked.groupBy("bucket").applyInArrow(settled(date), answer)
-    return base.groupBy(_CHUNK).cogroup(dated.groupBy("chunk")).applyInArrow(settled_pair(remove), StructType(fields))
-
-
-def _answers(bucket: pa.ChunkedArray, chunk: pa.ChunkedArray, kind: int, answers: list[bytes]) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
-    return pa.Table.from_arrays([bucket.combine_chunks(), chunk.combine_chunks(), pa.array([kind] * len(answers), pa.int32()), pa.array(answers, pa.binary())], schema=schema)
-
-
-def _joined_bits(replies: pa.Table, kind: int) -> np.ndarray:
-    """A chunk's answer bits of one kind, in the order of their buckets."""
-    own = replies.filter(pc.equal(replies.column("kind"), kind))
-    got = sorted(zip(own.column("bucket").to_pylist(), own.column("bits").to_pylist(), strict=True))
-    return np.concatenate([np.zeros(0, bool), *[unbits(b) for _, b in got]])
+    texts_only = base.select("doc_id", "text", chunk_column).groupBy(chunk_column)
+    named = answered(texts_only.applyInArrow(settled(emit_names), BLOCK_SQL), n, _KEPT, [], shared)
+    asked = stored(texts_only.cogroup(named.groupBy("chunk")).applyInArrow(settled_pair(emit_windows), BLOCK_SQL), "windows", compression="none")
+    dated = answered(asked.where(F.col("path") != _MASK), n, 64, ["<u4", "<i8", "<i8"], later)
+    masks = asked.where(F.col("path") == _MASK).select(F.col("home").cast("int").alias("chunk"), F.lit(_MASK).alias("range"), F.col("sources").alias("answers"))
+    return base.groupBy(chunk_column).cogroup(dated.unionByName(masks).groupBy("chunk")).applyInArrow(settled_pair(remove), StructType(fields))

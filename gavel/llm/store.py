@@ -19,9 +19,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). One machine may do without, as in tests; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -47,37 +49,23 @@ def width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(least, -(-size // bytes_each)) if size < 1 << 50 else least
 
 
-def chunk_of(key: Column, n: int) -> Column:
-    """The chunk, 0 to n-1, of a row by its key; null keys share one."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def document_chunk(n: int) -> Column:
+    """The chunk, 0 to n-1, of a row: all rows of a doc_id in one; rows without one, which may be many, by their texts."""
+    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).cast("int")
 
 
-def chunked(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """docs' columns with `chunk`, all rows of a doc_id in one chunk, dealt by chunk."""
-    return docs.select(chunk_of(F.col("doc_id"), n).alias("chunk"), *columns).repartition(n, "chunk")
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't use."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 _PRESS = zstandard.ZstdCompressor(level=1)
 _OPEN = zstandard.ZstdDecompressor()
 
 
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending unsigned 64-bit values as compressed byte planes of their gaps."""
-    x = np.asarray(x, np.uint64)
-    if not len(x):
-        return bytes(8)
-    gaps = np.diff(x, prepend=np.uint64(0))
-    return len(x).to_bytes(8, "little") + _PRESS.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    if not n:
-        return np.zeros(0, np.uint64)
-    planes = np.frombuffer(_OPEN.decompress(blob[8:]), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
-
-
 def pack(x: np.ndarray) -> bytes:
     """An array as compressed byte planes; its dtype is the reader's to know."""
     x = np.ascontiguousarray(x)
