@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,18 +103,24 @@ def _read(table: pa.Table, kinds: list[str]) -> tuple[list[tuple[int, int, int]]
 def answered(blocks: DataFrame, n: int, bits: int, kinds: list[str], answer: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], direct: int = DIRECT) -> DataFrame:
     """(chunk, range, answers): for each block of n chunks, one small number for each of its keys.
 
+    Rows of a negative path are a chunk's notes to itself: they come back with that range, and with `sources` as answers.
+
     answer gets all blocks' keys of a range, not in order, and the columns beside them (of dtypes `kinds`), and gives one number below 256 for each.
     """
     depth = levels(n, direct)
 
     def split(level: int):
         def run(table: pa.Table) -> pa.Table:
+            if _notes(table):
+                return table.select(BLOCK.names)
             heads, lists = _read(table, kinds)
             return _table([_row(heads[0][0] << FAN_BITS | d, heads[0][1] >> FAN_BITS, part) for d, part in _cut(lists, bits - FAN_BITS * (level + 1))], BLOCK)
 
         return run
 
     def resolve(table: pa.Table) -> pa.Table:
+        if _notes(table):
+            return pa.Table.from_arrays([table.column(c) for c in ("path", "home", "sources", "sizes", "sources")], schema=_ANSWER)
         heads, (sources, sizes, keys, columns) = _read(table, kinds)
         got = answer(keys, columns).astype(np.uint8)
         ends, rows, at = np.append(0, np.cumsum(sizes)), [], 0
@@ -126,6 +133,8 @@ def answered(blocks: DataFrame, n: int, bits: int, kinds: list[str], answer: Cal
         """Answers of finer ranges as those of the bundles that were cut."""
 
         def run(table: pa.Table) -> pa.Table:
+            if _notes(table):
+                return table.select(_ANSWER.names)
             held: dict[int, list[tuple[int, np.ndarray]]] = {}
             path = table.column("path")[0].as_py() >> FAN_BITS
             for fine, sources, sizes, got in zip(*(table.column(c).to_pylist() for c in ("path", "sources", "sizes", "answers")), strict=True):
@@ -144,14 +153,24 @@ def answered(blocks: DataFrame, n: int, bits: int, kinds: list[str], answer: Cal
         return run
 
     for level in range(1, depth):
-        blocks = blocks.groupBy("path", F.shiftright("home", FAN_BITS)).applyInArrow(settled(split(level)), BLOCK_SQL)
+        blocks = blocks.groupBy("path", F.shiftright("home", FAN_BITS).alias("_sender")).applyInArrow(settled(split(level)), BLOCK_SQL)
     got = blocks.groupBy("path").applyInArrow(settled(resolve), _ANSWER_SQL)
     for level in range(depth - 1, 0, -1):
-        got = got.groupBy(F.shiftright("path", FAN_BITS), "home").applyInArrow(settled(join(level)), _ANSWER_SQL)
+        got = got.groupBy(F.when(F.col("path") < 0, F.col("path")).otherwise(F.shiftright("path", FAN_BITS)).alias("_cut"), "home").applyInArrow(settled(join(level)), _ANSWER_SQL)
     return got.select(F.col("home").cast("int").alias("chunk"), F.col("path").cast("int").alias("range"), "answers")
 
 
+def note(text: bytes, chunk: int) -> pa.Table:
+    """A chunk's note to itself; each chunk's has a path, and so a group, of its own."""
+    return _table([(-1 - chunk, chunk, text, b"", b"", [])], BLOCK)
+
+
+def _notes(table: pa.Table) -> bool:
+    return table.column("path")[0].as_py() < 0
+
+
 def joined_answers(replies: pa.Table) -> np.ndarray:
-    """A chunk's answers in the order of its keys."""
+    """A chunk's answers in the order of its keys, without its notes."""
+    replies = replies.filter(pc.greater_equal(replies.column("range"), 0))
     got = sorted(zip(replies.column("range").to_pylist(), replies.column("answers").to_pylist(), strict=True))
     return np.concatenate([np.zeros(0, np.uint8), *[unpack(a, "u1") for _, a in got]])

@@ -11,7 +11,7 @@ one node. Then:
    shingles with any partner, so one with fewer than T shared shingles has
    none. Of the others, in the order of list classes, all lists but the T - 1
    longest are its short ones (DivideSkip): a partner stands in one of them.
-3. Merge of the short lists. Every list is met at its smallest node, its head;
+3. Merge of the short lists. Every list is met at the node of its smallest doc_id, its head;
    a set's lists are merged by head, which counts how often each head occurs.
    As all sets use one order of lists, the intersection is at most that count
    (with those of smaller heads, whose lists may hold the head, too) and the
@@ -113,8 +113,10 @@ def _merge(similar: int):
             out: list[tuple] = []
             for node, n, short, raw, entries in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "short", "tokens", "entries")), strict=True):
                 tokens = np.frombuffer(raw, "<i8")
-                token, head, size, rest = (np.array([e[k] for e in entries], np.int64) for k in ("token", "b", "m", "long"))
+                token, head, owner, size, rest = (np.array([e[k] for e in entries], np.int64) for k in ("token", "b", "owner", "m", "long"))
                 heads, at, merged = np.unique(head, return_index=True, return_counts=True)
+                order = np.lexsort((heads, owner[at]))
+                heads, at, merged = heads[order], at[order], merged[order]
                 size, rest = size[at], rest[at]
                 need = overlap_needed(np.int64(n), size, similar)
                 most = np.cumsum(merged) + np.maximum(rest, len(tokens) - short)
@@ -151,13 +153,13 @@ def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n: int) -> DataFrame:
-    """(node, n, short, tokens): sets with T shared shingles; tokens: those shared, shorter lists first; short: how many lists to merge.
+    """(node, doc, n, short, tokens): sets with T shared shingles; tokens: those shared, shorter lists first; short: how many lists to merge.
 
     docs: (doc_id, text, _chunk_) dealt by chunk. rows: (node, doc, sig1, sig2, chunk) of the documents that stand for their sets.
     """
 
-    def chosen(table: pa.Table, own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sets of the standing documents, each once: nodes, shingles, firsts."""
+    def chosen(table: pa.Table, own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sets of the standing documents, each once: nodes, doc_ids, shingles, firsts."""
         sets, first = shingle_sets(table, size)
         s1, s2 = _signatures(sets, first)
         ids = np.asarray(pc.fill_null(table.column("doc_id").cast(pa.int64()), _NULL), np.int64)
@@ -169,12 +171,12 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
                 keep[i] = True
         sizes = np.diff(first)
         inside = np.repeat(keep, sizes)
-        return np.array(nodes, np.int64), sets[inside], np.concatenate([[0], np.cumsum(sizes[keep])]).astype(np.int64)
+        return np.array(nodes, np.int64), ids[keep], sets[inside], np.concatenate([[0], np.cumsum(sizes[keep])]).astype(np.int64)
 
     def emit(table: pa.Table, own: pa.Table) -> pa.Table:
         if not len(table):
             return BLOCK.empty_table()
-        _, sets, _ = chosen(table, own)
+        _, _, sets, _ = chosen(table, own)
         name, times = np.unique(sets >> np.uint64(64 - _KEPT), return_counts=True)
         return blocks_of(name, [np.minimum(times, 255).astype(np.uint8)], table.column(_CHUNK)[0].as_py(), _KEPT)
 
@@ -183,10 +185,10 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
         return np.digitize(np.bincount(at, times[0], len(value)), CLASSES)[at]
 
     def choose(table: pa.Table, own: pa.Table) -> pa.Table:
-        schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("short", pa.int32()), ("tokens", pa.binary())])
+        schema = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("short", pa.int32()), ("tokens", pa.binary())])
         if not len(table):
             return schema.empty_table()
-        ids, sets, first = chosen(table, own.filter(pc.is_valid(own.column("node"))))
+        nodes, ids, sets, first = chosen(table, own.filter(pc.is_valid(own.column("node"))))
         classes = joined_answers(own.filter(pc.is_valid(own.column("answers"))))
         cls = classes[np.unique(sets >> np.uint64(64 - _KEPT), return_inverse=True)[1]] if len(sets) else classes
         sizes = np.diff(first)
@@ -197,12 +199,12 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
         for i in np.flatnonzero(sizes - alone >= need).tolist():
             s, c = sets[first[i] : first[i + 1]], cls[first[i] : first[i + 1]]
             shared = s[c > 0][np.argsort(c[c > 0], kind="stable")]
-            rows.append((int(ids[i]), int(sizes[i]), int(sizes[i] - need[i] + 1 - alone[i]), shared.astype("<u8").tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 4, schema, strict=True)], schema=schema)
+            rows.append((int(nodes[i]), int(ids[i]), int(sizes[i]), int(sizes[i] - need[i] + 1 - alone[i]), shared.astype("<u8").tobytes()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 5, schema, strict=True)], schema=schema)
 
     blocks = docs.groupBy(_CHUNK).cogroup(rows.groupBy("chunk")).applyInArrow(settled_pair(emit), BLOCK_SQL)
     both = answered(blocks, n, _KEPT, ["u1"], classify).unionByName(rows, allowMissingColumns=True)
-    return docs.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(settled_pair(choose), "node long, n int, short int, tokens binary")
+    return docs.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(settled_pair(choose), "node long, doc long, n int, short int, tokens binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [np.frombuffer(t.as_buffer(), "<i8", int(k)) for t, k in zip(batch.column("tokens"), short, strict=True)]
         rest = np.asarray(pc.binary_length(batch.column("tokens"))) // 8 - short
         wide = lambda x: pa.array(np.repeat(x, short))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<i8"), *tokens])), wide(batch.column("node").to_numpy()), wide(batch.column("n").to_numpy()), wide(rest.astype(np.int32))], ["token", "node", "n", "long"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<i8"), *tokens])), wide(batch.column("node").to_numpy()), wide(batch.column("doc").to_numpy()), wide(batch.column("n").to_numpy()), wide(rest.astype(np.int32))], ["token", "node", "doc", "n", "long"])
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +260,7 @@ def list_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, similar:
     list that holds both sets of a pair holds several groups, so that the pair's number of lists is its T-occurrence count.
     """
     step = float(np.log(100 / similar))
-    held = postings.join(labels, "node")
+    held = postings.drop("doc").join(labels, "node")
     mixed = held.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     held = held.join(mixed, "token").withColumn("g", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     # Class g is compared with itself and with g - 1; a pair of one class belongs where the class is its own.
@@ -292,9 +294,9 @@ def groups(docs: DataFrame, size: int = 4, similar: int = 85) -> DataFrame:
     alike = signed.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "chunk")).alias("r"))
     nodes = stored(alike.select(F.monotonically_increasing_id().alias("node"), F.col("r.doc").alias("doc"), "sig1", "sig2", F.col("r.chunk").alias("chunk")), "nodes")
     sets = stored(candidate_sets(base, nodes, size, similar, n), "sets")
-    postings = stored(sets.mapInArrow(_postings, "token long, node long, n int, long int"), "postings")
-    heads = postings.groupBy("token").agg(F.min(F.struct("node", "n", "long")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.long").alias("long"))
-    met = postings.select("token", "node").join(heads, "token").where("node <> b").groupBy("node").agg(F.collect_list(F.struct("token", "b", "m", "long")).alias("entries"))
+    postings = stored(sets.mapInArrow(_postings, "token long, node long, doc long, n int, long int"), "postings")
+    heads = postings.groupBy("token").agg(F.min(F.struct("doc", "node", "n", "long")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("b"), F.col("h.doc").alias("owner"), F.col("h.n").alias("m"), F.col("h.long").alias("long"))
+    met = postings.select("token", "node").join(heads, "token").where("node <> b").groupBy("node").agg(F.collect_list(F.struct("token", "b", "owner", "m", "long")).alias("entries"))
     candidates = sets.join(met, "node").mapInArrow(_merge(similar), "a long, b long, need int, merged int, rest binary")
     first = stored(probed(candidates, sets), "links")
     labels = stored(sets.select("node").join(components(first).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("label", "node").alias("label")), "labels")

@@ -37,15 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gavel.llm.exchange import BLOCK, BLOCK_SQL, answered, blocks_of, joined_answers
-from gavel.llm.store import bits, document_chunk, free_name, settled, settled_pair, stored, unbits, width
+from gavel.llm.exchange import BLOCK, BLOCK_SQL, answered, blocks_of, joined_answers, note
+from gavel.llm.store import bits, document_chunk, free_name, settled, settled_pair, unbits, width
 from gavel.llm.words import Words, blocks, joined, mix, rolled, words
 
 WINDOW = 20
 ROUNDS = 4
 _CHUNK = "_chunk_"
 _KEPT = 48  # bits of a symbol's name that are exchanged; a clash only makes more windows suspect
-_MASK = -1  # in place of a range: the chunk's own starts that it asked about
 
 
 def _named(kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -208,8 +207,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, digests: bo
         mask[starts] = True
         own = blocks_of(hash_, [check.astype("<u4"), chunk.ids()[owner].astype("<i8"), chunk.tie[owner].astype("<i8")], chunk_id(table), 64)
         # Which starts were asked for goes along, for the chunk itself.
-        masks = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(([_MASK], [chunk_id(table)], [bits(mask)], [b""], [b""], [[]]), BLOCK, strict=True)], schema=BLOCK)
-        return pa.concat_tables([own, masks])
+        return pa.concat_tables([own, note(bits(mask), chunk_id(table))])
 
     def later(hashes: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
         """Whether an earlier document of another chunk has a window."""
@@ -225,10 +223,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, digests: bo
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
-        mask = replies.filter(pc.equal(replies.column("range"), _MASK)).column("answers").to_pylist()
+        mask = replies.filter(pc.less(replies.column("range"), 0)).column("answers").to_pylist()
         starts = np.flatnonzero(unbits(mask[0])) if mask else np.zeros(0, np.int64)
         _, _, first, index = chunk.windows(starts)
-        found = joined_answers(replies.filter(pc.not_equal(replies.column("range"), _MASK))).astype(bool)
+        found = joined_answers(replies).astype(bool)
         repeated = found[index] if len(starts) else np.zeros(0, bool)
         repeated |= starts != first[index]
         cover = np.zeros(len(chunk.h) + 1, np.int64)
@@ -256,7 +254,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, digests: bo
 
     texts_only = base.select("doc_id", "text", chunk_column).groupBy(chunk_column)
     named = answered(texts_only.applyInArrow(settled(emit_names), BLOCK_SQL), n, _KEPT, [], shared)
-    asked = stored(texts_only.cogroup(named.groupBy("chunk")).applyInArrow(settled_pair(emit_windows), BLOCK_SQL), "windows", compression="none")
-    dated = answered(asked.where(F.col("path") != _MASK), n, 64, ["<u4", "<i8", "<i8"], later)
-    masks = asked.where(F.col("path") == _MASK).select(F.col("home").cast("int").alias("chunk"), F.lit(_MASK).alias("range"), F.col("sources").alias("answers"))
-    return base.groupBy(chunk_column).cogroup(dated.unionByName(masks).groupBy("chunk")).applyInArrow(settled_pair(remove), StructType(fields))
+    asked = texts_only.cogroup(named.groupBy("chunk")).applyInArrow(settled_pair(emit_windows), BLOCK_SQL)
+    dated = answered(asked, n, 64, ["<u4", "<i8", "<i8"], later)
+    return base.groupBy(chunk_column).cogroup(dated.groupBy("chunk")).applyInArrow(settled_pair(remove), StructType(fields))
