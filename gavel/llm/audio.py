@@ -76,13 +76,15 @@ def _mel() -> np.ndarray:
     return np.clip(np.minimum(rise, fall), 0, None)
 
 
+#: Frames whose spectra are held at once; longer texts are handled in overlapping blocks.
+BLOCK_FRAMES = 4096
 _PHASES, _MEL, _HANN = _phases(), _mel().T.copy(), np.hanning(FRAME + 1)[:-1]
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """x at 2/3 of its rate; len(x) is a multiple of 3."""
+def resample(x: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """x at 2/3 of its rate; len(x) is a multiple of 3. before, after: the samples around it, silence by default."""
     taps = _PHASES.shape[1]
-    padded = np.concatenate([np.zeros(taps // 2), x, np.zeros(taps)])
+    padded = np.concatenate([np.zeros(taps // 2) if before is None else before, x, np.zeros(taps) if after is None else after])
     out = np.zeros((len(x) // DOWN, UP))
     for p in range(UP):
         shift = p * DOWN // UP
@@ -93,16 +95,31 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Levels (frames x bands, half decibels above -60 dB as bytes) and frame energies in dB."""
-    raw = np.frombuffer(samples, np.uint8).astype(np.float64)
-    raw = np.concatenate([raw, np.full(-len(raw) % (DOWN * HOP // UP), 128.0)])
-    y = resample((raw - raw.mean()) / 128 if len(raw) else raw)
-    y = np.concatenate([y, np.zeros(HOP)])
-    frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] if len(y) >= FRAME else np.zeros((0, FRAME))
-    spectrum = np.fft.rfft(frames * _HANN)
-    power = spectrum.real**2 + spectrum.imag**2
-    mel = 10 * np.log10(power @ _MEL + 1e-6)
-    energy = np.round(10 * np.log10((frames * frames).mean(1) + 1e-9), 6)
-    return np.clip(np.rint(2 * (mel + 60)), 0, 255).astype(np.uint8), energy
+    raw, taps = np.frombuffer(samples, np.uint8), _PHASES.shape[1]
+    n = len(raw) + -len(raw) % (DOWN * HOP // UP)
+    middle = (int(raw.sum(dtype=np.int64)) + 128 * (n - len(raw))) / n if n else 0.0
+
+    def part(a: int, b: int) -> np.ndarray:
+        """Samples a to b: what lacks to a whole hop is 128, and silence stands around all."""
+        out = np.zeros(b - a)
+        lo, hi = max(a, 0), min(b, n)
+        out[lo - a : hi - a] = (128 - middle) / 128
+        out[lo - a : max(lo, min(hi, len(raw))) - a] = (raw[lo : min(hi, len(raw))] - middle) / 128
+        return out
+
+    frames = max(0, (n * UP // DOWN + HOP - FRAME) // HOP + 1)
+    levels, energy = [np.zeros((0, BANDS), np.uint8)], [np.zeros(0)]
+    for first in range(0, frames, BLOCK_FRAMES):
+        last = min(frames, first + BLOCK_FRAMES)
+        a, b = first * HOP * DOWN // UP, min(n, ((last - 1) * HOP + FRAME) * DOWN // UP)
+        y = resample(part(a, b), part(a - taps // 2, a), part(b, b + taps))
+        y = np.concatenate([y, np.zeros((last - first - 1) * HOP + FRAME - len(y))])
+        own = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
+        spectrum = np.fft.rfft(own * _HANN)
+        mel = 10 * np.log10((spectrum.real**2 + spectrum.imag**2) @ _MEL + 1e-6)
+        energy.append(np.round(10 * np.log10((own * own).mean(1) + 1e-9), 6))
+        levels.append(np.clip(np.rint(2 * (mel + 60)), 0, 255).astype(np.uint8))
+    return np.concatenate(levels), np.concatenate(energy)
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:

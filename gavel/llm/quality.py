@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.llm.store import stored
 from gavel.llm.words import blocks, rolled, words
 
 SAMPLE_ROWS = 20_000
@@ -156,9 +157,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled ids, those of the lowest hash; ids that are held out are left out."""
+    """(doc_id, text, label) of at most `rows` labelled ids, those of the lowest hash, stored; ids that are held out are left out; of several texts of one id the least counts."""
     chosen = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(label).alias(label))
+    return stored(found, "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
@@ -171,12 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
 
     got = labelled_sample(docs, labels, "quality", rows).mapInArrow(compute, "doc_id long, quality int, x array<double>").toPandas()
     got = got.sort_values("doc_id")
-    got = got.drop_duplicates("doc_id")
     return fit_trees(np.stack(got["x"]) if len(got) else np.zeros((0, len(FEATURES))), got["quality"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with `score`, the probability of good quality."""
+    """docs with `score`, the probability of good quality; a column of that name is replaced."""
+    docs = docs.drop("score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ordinal:
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v)) for v in (feature, n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), *lists], ["doc_id", "toxic", "feature", "n"])
 
-    got = sample.mapInArrow(rows_of, "doc_id long, toxic int, feature array<long>, n array<long>").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    got = sample.mapInArrow(rows_of, "doc_id long, toxic int, feature array<long>, n array<long>").toPandas().sort_values("doc_id")
     sizes = got["feature"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), sizes)
     feature = np.concatenate([np.zeros(0, np.int64), *got["feature"]]).astype(np.int64)
@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ordinal:
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """docs with expected_severity (0 to GRADES) and at_least, the probabilities of each grade or a higher one."""
+    """docs with expected_severity (0 to GRADES) and at_least, the probabilities of each grade or a higher one; columns of these names are replaced."""
+    docs = docs.drop("expected_severity", "at_least")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

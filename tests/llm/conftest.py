@@ -11,7 +11,7 @@ def shape(spark, rows, clash=True):
     """documents rows (doc_id, text), with columns whose names are used inside the operators."""
     df = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     if clash:
-        for name in ("chunk", "bucket", "bits", "n_words", "label", "rank", "digest", "feature"):
+        for name in ("chunk", "bucket", "bits", "n_words", "label", "rank", "digest", "feature", "score", "expected_severity", "at_least", "sequence_id", "offset", "_chunk_"):
             df = df.selectExpr("*", f"cast('x' as string) as {name}")
     return df
 

@@ -95,6 +95,73 @@ def test_resampling_keeps_a_tone():
     assert len(y) == 6400 and np.corrcoef(y[200:6000], want[200 - lag : 6000 - lag])[0, 1] > 0.98
 
 
+def plain_log_mel(samples):
+    """The levels by sums over single samples, with no shared code but the fixed values."""
+    x = [(b - 128) / 128 for b in samples] + [0.0] * (-len(samples) % 192)
+    mean = sum(x) / len(x)
+    x = [v - mean for v in x]
+    taps = 12
+    ideal = [np.sinc((k - (2 * taps - 1) / 2) / 3) * (0.54 - 0.46 * np.cos(2 * np.pi * k / (2 * taps - 1))) for k in range(2 * taps)]
+    y = []
+    for m in range(len(x) * 2 // 3):
+        h = ideal[m % 2 :: 2][::-1]
+        at = 3 * (m // 2) + (m % 2) * 3 // 2 - taps // 2
+        y.append(sum(c * (x[at + k] if 0 <= at + k < len(x) else 0.0) for k, c in enumerate(h)) / sum(h))
+    y = np.array(y + [0.0] * 128)
+    k = np.arange(256)
+    dft = np.exp(-2j * np.pi * np.outer(k, np.arange(129)) / 256)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * k / 256)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (v / 2595) - 1) for v in np.linspace(0, mel(4000), 34)]
+    out = []
+    for a in range(0, len(y) - 255, 128):
+        power = np.abs((y[a : a + 256] * window) @ dft) ** 2
+        row = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            f = np.arange(129) * 4000 / 128
+            row.append(10 * np.log10(float(np.clip(np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)), 0, None) @ power) + 1e-6))
+        out.append(row)
+    return np.clip(np.rint(2 * (np.array(out) + 60)), 0, 255)
+
+
+def test_log_mel_against_plain_sums(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (192, 500, 3000):
+        samples = rng.integers(32, 127, n, dtype=np.uint8).tobytes()
+        levels, energy = audio.log_mel(samples)
+        want = plain_log_mel(samples)
+        assert levels.shape == want.shape and (np.abs(levels - want) <= 1).all() and (levels == want).mean() > 0.99
+        monkeypatch.setattr(audio, "BLOCK_FRAMES", 3)
+        again, energy2 = audio.log_mel(samples)
+        assert (again == levels).all() and np.allclose(energy, energy2)
+        monkeypatch.undo()
+
+
+def test_ordinal_fit_is_an_optimum():
+    """No small change of weights or thresholds makes the grades likelier."""
+    rng = np.random.default_rng(2)
+    x = rng.poisson(1.0, (400, 5)).astype(float)
+    raw = x @ np.array([1.0, -1.0, 0.5, 0.0, 2.0]) + rng.logistic(0, 1, 400)
+    grade = np.digitize(raw, [1.0, 2.5, 4.0])
+    row, feature = np.nonzero(x)
+    w, cut = toxicity.fit_ordinal(row, feature, x[row, feature], grade, 5, steps=3000)
+
+    def loss(w, cut):
+        tail = np.concatenate([np.ones((400, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - cut))), np.zeros((400, 1))], 1)
+        i = np.arange(400)
+        return -np.log(tail[i, grade] - tail[i, grade + 1]).mean() + 0.5e-4 * (w @ w)
+
+    best = loss(w, cut)
+    for k in range(8):
+        for d in (-0.02, 0.02):
+            v, c = w.copy(), cut.copy()
+            if k < 5:
+                v[k] += d
+            else:
+                c[k - 5] += d
+            assert loss(v, c) > best - 1e-6
+
+
 def test_hysteresis():
     assert audio.segments(np.array([0, 0, 2, 0.5, -0.5, -2, 0, 0, 3.0])) == [(2, 5), (8, 9)]
     assert audio.segments(np.zeros(0)) == [] and audio.segments(np.zeros(5)) == []
