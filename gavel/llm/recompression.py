@@ -135,12 +135,18 @@ class Chunk:
         return words(self.text.slice(part[0], part[1] - part[0]))
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names (kept bits), spans of symbols that some window can hold."""
-        name, lo, hi = symbols(self.h, self.doc)
-        useful = (lo >= 0) & (hi <= len(self.h)) & (hi - lo <= self.window)
-        name, lo, hi = name[useful] >> np.uint64(64 - _KEPT), lo[useful], hi[useful]
-        inside = self.doc[lo] == self.doc[hi - 1] if len(lo) else np.zeros(0, bool)
-        return name[inside], lo[inside], hi[inside]
+        """Names (kept bits), spans of symbols that some window can hold; block by block, as symbols keep to their documents."""
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at = 0
+        for a, b in self.parts:
+            n = int(self.count[a:b].sum())
+            doc = self.doc[at : at + n]
+            name, lo, hi = symbols(self.h[at : at + n], doc)
+            useful = np.flatnonzero((lo >= 0) & (hi <= n) & (hi - lo <= self.window))
+            useful = useful[doc[lo[useful]] == doc[hi[useful] - 1]]
+            out.append((name[useful] >> np.uint64(64 - _KEPT), lo[useful] + at, hi[useful] + at))
+            at += n
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def starts(self) -> np.ndarray:
         """Places where a window of one document starts."""
