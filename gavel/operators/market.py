@@ -137,7 +137,7 @@ def win_rate_lookup(df: DataFrame, segment: str, least: int = 200, top: int = TO
 def parametric_fits(df: DataFrame) -> DataFrame:
     """Exponential, Weibull and log-normal fits to censored prices with AIC, best first; floor-bound winners are left out.
 
-    Spark counts (price, event) pairs, at most twice as many as prices; Newton steps run on that table.
+    Spark counts (price, event) pairs, at most twice as many as prices; a coordinate search runs on that table.
     """
     kept = durations(df).where("not (win = 1 and slotprice > 0 and payprice = slotprice)")
     table = kept.groupBy("t", "event").agg(F.count("*").alias("n")).collect()
