@@ -9,6 +9,7 @@ from gavel.operators import bidding as b
 from gavel.operators import market as m
 from gavel.operators.features import add_taxonomy
 from gavel.plans.market_queries import _MODEL, km_sql, model
+from gavel.plans.twins import hash_sql, uniform_sql
 from gavel.registry import query, r6
 from gavel.tables import BIDS_CTE, bids, scores
 
@@ -282,7 +283,14 @@ def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(b.pid_replay(spend, ideal, BUDGET).select("advertiser", "day", "hour", "spent", "ideal", "multiplier", "spend"), 4)
 
 
-@query("g5_throttle")
+_THROTTLE = f"""{hash_sql('hx', 'bids', 'bidid', 5)}, dm AS (SELECT bidid, advertiser, CAST(floor(day / 100) AS BIGINT) AS day, hour, payprice FROM bids),
+hs AS (SELECT advertiser, day, hour, sum(payprice) AS s FROM dm GROUP BY 1, 2, 3),
+sb AS (SELECT advertiser, day, hour, coalesce(sum(s) OVER (PARTITION BY advertiser, day ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM hs),
+rt AS (SELECT *, ({BUDGET} - b) / CAST(greatest(24 - hour, 1) AS DOUBLE) AS ideal, CASE WHEN hour > 0 THEN b / CAST(hour AS DOUBLE) ELSE ({BUDGET} - b) / 24.0 END AS rate FROM sb)
+SELECT advertiser, hour, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN rate > 1.2*ideal THEN CAST({uniform_sql()} > 1 - ideal / rate AS INT) ELSE 1 END) AS BIGINT) AS joined FROM dm JOIN rt USING (advertiser, day, hour) JOIN hx USING (bidid) GROUP BY 1, 2"""
+
+
+@query("g5_throttle", _THROTTLE)
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 

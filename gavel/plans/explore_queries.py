@@ -10,6 +10,7 @@ from gavel.operators import explore as e
 from gavel.operators import features as f
 from gavel.operators.order import quantiles
 from gavel.plans.feature_queries import _GROUP, _KIND, _WD
+from gavel.plans.twins import hash_sql
 from gavel.registry import query, r6
 from gavel.tables import bids
 
@@ -264,7 +265,11 @@ def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(e.tag_counts(*_vocab(spark, sf_dir), normalise=True))
 
 
-@query("u6_tag_hashes")
+_TAG_HASHES = f"""{_TAGS}{hash_sql('ha', 'tg', 'tag', 42)}{hash_sql('hb', 'tg', 'tag', 43)}
+SELECT bidid, CAST(ha.h % CAST('64' AS UHUGEINT) AS BIGINT) AS idx, CAST(sum(CASE WHEN hb.h % CAST('2' AS UHUGEINT) = 0 THEN 1.0 ELSE -1.0 END) AS DOUBLE) AS value FROM tg JOIN ha USING (tag) JOIN hb USING (tag) GROUP BY 1, 2"""
+
+
+@query("u6_tag_hashes", _TAG_HASHES)
 def u6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.tag_hashes(e.add_tags(bids(spark, sf_dir)), 64)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.columns import cross_entropy, effect_label
 from gavel.operators import features as f
+from gavel.plans.twins import fold_sql, hash_sql, signed, uniform_sql
 from gavel.registry import query, r6
 from gavel.tables import bids, scores
 
@@ -82,7 +83,21 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.catalogue(bids(spark, sf_dir)).where("kind = 'categorical'").select("feature", "vocab_size")
 
 
-@query("f11_engineered")
+_PLAIN = "bidid, day, season, timestamp, region, city, adexchange, advertiser, domain, creative, slotwidth, slotheight, slotvisibility, slotformat, slotprice, bidprice, payprice, market_truth, win, click, conversion, usertag"
+_ENGINEERED = f"""
+SELECT {_PLAIN}, round(p_a, 6) AS p_a, round(p_b, 6) AS p_b,
+  CAST(substr(timestamp, 9, 2) AS INT) AS hour, CAST(substr(timestamp, 11, 2) AS INT) AS minute, {_WD} AS weekday, CAST({_WD} >= 5 AS INT) AS is_weekend,
+  CAST(hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 20 AS INT) AS is_peak_hour, round(sin(2*pi()*hour/24), 6) + 0.0 AS hour_sin, round(cos(2*pi()*hour/24), 6) + 0.0 AS hour_cos,
+  CAST(slotwidth AS DOUBLE)*slotheight AS slot_area, round(ln(1 + CAST(slotwidth AS DOUBLE)*slotheight), 6) AS slot_area_log, round_even(slotwidth / CAST(slotheight AS DOUBLE), 2) AS slot_aspect_ratio, {_GROUP} AS slot_size_group,
+  least(greatest(round_even(bidprice / CAST(CASE WHEN slotprice = 0 THEN 1 ELSE slotprice END AS DOUBLE), 3), 0.0), 100.0) AS bid_floor_ratio,
+  {_horner('domain', 10000)} AS domain_hash, {_horner('creative', 10000)} AS creative_hash,
+  CAST(CASE WHEN domain IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY domain) END AS BIGINT) AS domain_freq,
+  round(ln(1 + CASE WHEN domain IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY domain) END), 6) AS domain_freq_log,
+  CAST(count(*) OVER (PARTITION BY creative) AS BIGINT) AS creative_freq, round(ln(1 + count(*) OVER (PARTITION BY creative)), 6) AS creative_freq_log
+FROM bids"""
+
+
+@query("f11_engineered", _ENGINEERED)
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(f.engineer(bids(spark, sf_dir)))
 
@@ -159,7 +174,7 @@ def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.vocabulary_audit(_splits(spark, sf_dir), "domain")
 
 
-@query("p5_stratified_sample")
+@query("p5_stratified_sample", f"{hash_sql('hx', 'bids', 'bidid', 42)} SELECT win, CAST(count(*) AS BIGINT) AS n FROM bids JOIN hx USING (bidid) WHERE {uniform_sql()} < 5000 / CAST((SELECT count(*) FROM bids) AS DOUBLE) GROUP BY 1")
 def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bids(spark, sf_dir)
     got = f.stratified_sample(df, "win", 5_000).groupBy("win").agg(F.count("*").alias("n"))
@@ -171,7 +186,13 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.keep_positives(bids(spark, sf_dir), "click", 3_000).groupBy("click").agg(F.count("*").alias("n"))
 
 
-@query("p7_folds")
+_FOLDS = f"""{hash_sql('hx', 'bids', 'bidid', 42)},
+fo AS (SELECT click, {fold_sql(5)} AS plain, CAST(row_number() OVER (PARTITION BY click, h // CAST('1048576' AS UHUGEINT) % CAST('64' AS UHUGEINT) ORDER BY {signed()}, bidid) % 5 AS INT) AS even FROM bids JOIN hx USING (bidid))
+SELECT 'plain' AS kind, plain AS fold, CAST(count(*) AS BIGINT) AS n, CAST(sum(click) AS BIGINT) AS clicks FROM fo GROUP BY 2
+UNION ALL SELECT 'stratified', even, CAST(count(*) AS BIGINT), CAST(sum(click) AS BIGINT) FROM fo GROUP BY 2"""
+
+
+@query("p7_folds", _FOLDS)
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = f.add_fold(bids(spark, sf_dir), 5).groupBy("fold").agg(F.count("*").alias("n"), F.sum("click").alias("clicks")).withColumn("kind", F.lit("plain"))
     even = f.add_fold(bids(spark, sf_dir), 5, label="click").groupBy("fold").agg(F.count("*").alias("n"), F.sum("click").alias("clicks")).withColumn("kind", F.lit("stratified"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.operators import metrics as m
 from gavel.operators.order import add_place
+from gavel.plans.twins import fold_sql, hash_sql, monotone_sql
 from gavel.registry import query, r6
 from gavel.tables import bids, scores
 
@@ -84,30 +85,42 @@ def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bids(spark, sf_dir).where("win = 1").withColumn("p", F.col("p_a"))
 
 
-@query("m11_m15_frozen_isotonic")
+# Won bids with score x, label y and weight w; with folds of the Spark hash; and what each fold learns from.
+_WON1 = ", wn AS (SELECT *, p_a AS x, click AS y, CAST(1 AS DOUBLE) AS w FROM bids WHERE win = 1)"
+_FOLDED = f"{_WON1}{hash_sql('hx', 'wn', 'bidid', 42)}, fd AS (SELECT wn.*, {fold_sql(5)} AS f FROM wn JOIN hx USING (bidid)), ks AS (SELECT CAST(unnest(range(5)) AS INT) AS f), tr AS (SELECT ks.f, x, y, w FROM ks JOIN fd ON ks.f <> fd.f)"
+_CROSS = f"{_FOLDED}{monotone_sql('mo', 'tr', 'fd', 'f')}"
+_SEGMENTS = f"{_CROSS}, ts0 AS (SELECT advertiser, ks.f, x, y, w FROM ks JOIN fd ON ks.f <> fd.f), ts AS (SELECT * FROM ts0 QUALIFY sum(y) OVER (PARTITION BY advertiser, f) >= 5){monotone_sql('ms', 'ts', 'fd', 'advertiser', 'f')}, sg AS (SELECT fd.*, mo.g AS whole, coalesce(ms.g, mo.g) AS own FROM fd JOIN mo USING (f, x) LEFT JOIN ms USING (advertiser, f, x))"
+_SEASONS = "tr2 AS (SELECT * FROM wn WHERE season = 2), te AS (SELECT * FROM wn WHERE season = 3)"
+_IEB = "round(abs(avg({0}) - avg(click)) / greatest(avg(click), 1e-8), 6)"
+
+
+@query("m11_m15_frozen_isotonic", f"{_WON1}, {_SEASONS}{monotone_sql('mf', 'tr2', 'te')} SELECT advertiser, {_IEB.format('x')} AS ieb_raw, {_IEB.format('g')} AS ieb_frozen, CAST(count(*) AS BIGINT) AS n FROM te JOIN mf USING (x) GROUP BY 1")
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _one(spark, sf_dir)
     got = m.isotonic(df.where("season = 2"), df.where("season = 3"))
     return r6(got.groupBy("advertiser").agg(m.ieb(p="p").alias("ieb_raw"), m.ieb(p="calibrated").alias("ieb_frozen"), F.count("*").alias("n")))
 
 
-@query("m12_cross_fit_isotonic")
+@query("m12_cross_fit_isotonic", f"{_CROSS} SELECT bidid, round(x, 6) AS p, round(g, 6) AS calibrated FROM fd JOIN mo USING (f, x)")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.cross_fit(_one(spark, sf_dir)).select("bidid", "p", "calibrated"))
 
 
-@query("m13_segment_isotonic")
+@query("m13_segment_isotonic", f"{_SEGMENTS} SELECT bidid, advertiser, round(x, 6) AS p, round(own, 6) AS calibrated FROM sg")
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.segment_cross_fit(_one(spark, sf_dir), "advertiser", least=5).select("bidid", "advertiser", "p", "calibrated"))
 
 
-@query("m14_averaged_isotonic")
+@query("m14_averaged_isotonic", f"{_FOLDED}, wa AS (SELECT ks.f, p_a AS x FROM ks, (SELECT DISTINCT p_a FROM bids)){monotone_sql('mo', 'tr', 'wa', 'f')}, av AS (SELECT x, avg(g) AS g FROM mo GROUP BY 1) SELECT bidid, round(p_a, 6) AS p, round(g, 6) AS calibrated FROM bids JOIN av ON p_a = x")
 def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bids(spark, sf_dir).withColumn("p", F.col("p_a"))
     return r6(m.averaged_maps(df.where("win = 1"), df).select("bidid", "p", "calibrated"))
 
 
-@query("m16_weighted_isotonic")
+_WEIGHTED = f", ra AS (SELECT adexchange, advertiser, 1 / greatest(avg(win), 0.05) AS w FROM bids GROUP BY 1, 2), tw AS (SELECT p_a AS x, click AS y, w FROM bids JOIN ra USING (adexchange, advertiser) WHERE win = 1), wa AS (SELECT DISTINCT p_a AS x FROM bids){monotone_sql('mo', 'tw', 'wa')}"
+
+
+@query("m16_weighted_isotonic", f"{_WEIGHTED} SELECT bidid, round(p_a, 6) AS p, round(g, 6) AS calibrated FROM bids JOIN mo ON p_a = x")
 def m16(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bids(spark, sf_dir).withColumn("p", F.col("p_a"))
     rates = df.groupBy("adexchange", "advertiser").agg(F.avg("win").alias("e"))
@@ -169,7 +182,12 @@ def m25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.average_ranks(g, "x", "y").agg(F.corr("x", "y").alias("pearson"), F.corr("x_rank", "y_rank").alias("spearman")))
 
 
-@query("m26_regimes")
+_REGIMES = f"""{_SEGMENTS}, {_SEASONS}{monotone_sql('mf', 'tr2', 'wn')},
+al AS (SELECT 'raw' AS regime, click, x AS c FROM sg UNION ALL SELECT 'cross_fit', click, whole FROM sg UNION ALL SELECT 'segment', click, own FROM sg UNION ALL SELECT 'frozen', click, g FROM wn JOIN mf USING (x)){auc_sql('regime', 'al', p='c')}
+SELECT regime, i AS ieb, n, round(auc, 6) AS auc FROM au JOIN (SELECT regime, {_IEB.format('c')} AS i, CAST(count(*) AS BIGINT) AS n FROM al GROUP BY 1) USING (regime)"""
+
+
+@query("m26_regimes", _REGIMES)
 def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _one(spark, sf_dir)
     tables = {"raw": df.withColumn("calibrated", F.col("p")), "cross_fit": m.cross_fit(df), "segment": m.segment_cross_fit(df, "advertiser", least=5), "frozen": m.isotonic(df.where("season = 2"), df)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.operators import bidding as b
-from gavel.plans.bidding_queries import CPC
+from gavel.plans.bidding_queries import CPC, _best_sql
 from gavel.plans.market_queries import model
 from gavel.registry import query, r6
 from gavel.streaming import jobs as j
@@ -18,12 +18,16 @@ def _stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return j.stream_of(df.select("ts", *columns), "bids")
 
 
-@query("z6_rolling_kpis", "SELECT CAST(floor(CAST(substr(timestamp, 1, 8) AS BIGINT) / 10000) AS BIGINT) AS year, adexchange, CAST(count(*) AS BIGINT) AS n, CAST(sum(win) AS BIGINT) AS wins FROM bids GROUP BY 1, 2")
+_KPIS = """, kp AS (SELECT strftime(strptime(CAST(day AS VARCHAR), '%Y%m%d'), '%Y-%m-%d') AS start, adexchange, count(*) AS n, avg(win) AS wr, sum(click) / CAST(greatest(sum(win), 1) AS DOUBLE) AS ctr, avg(CASE WHEN win = 1 THEN payprice END) AS mp FROM bids GROUP BY 1, 2)
+SELECT start, adexchange, CAST(n AS BIGINT) AS n, round(wr, 6) AS win_rate, round(ctr, 6) AS ctr, round(mp, 6) AS mean_price, CASE WHEN wr < 0.1 THEN 'low_win_rate' WHEN mp > 150 THEN 'high_price' END AS alert FROM kp"""
+
+
+@query("z6_rolling_kpis", _KPIS)
 def z6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily windows by exchange, added up by year so that open windows at the stream's end are seen in the state table's complete output."""
+    """Daily windows by exchange with their rates, mean price and alerts; the output is complete, so windows open at the stream's end are seen."""
     s = _stream(spark, sf_dir, "adexchange", "win", "click", "payprice")
     got = j.drain(j.kpis(s, ["adexchange"], "1 day", late="100000 days"), "kpis", "complete")
-    return got.groupBy(F.year("start").cast("long").alias("year"), "adexchange").agg(F.sum("n").alias("n"), F.sum(F.round(F.col("n") * F.col("win_rate"))).cast("long").alias("wins"))
+    return r6(got.drop("end").withColumn("start", F.date_format("start", "yyyy-MM-dd")))
 
 
 @query("z6_event_windows", "SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2", bids=False)
@@ -41,7 +45,15 @@ def z6s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-@query("z7_score_drift")
+_DRIFT = """, b AS (SELECT season, floor(date_diff('day', DATE '1970-01-01', CAST(strptime(CAST(day AS VARCHAR), '%Y%m%d') AS DATE)) / 30) * 30 AS d, CAST(least(floor(p_a * 50), 49) AS INT) AS bin FROM bids),
+r AS (SELECT bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS c FROM b WHERE season = 2 GROUP BY 1),
+t AS (SELECT d, count(*) AS n FROM b GROUP BY 1), c AS (SELECT d, bin, count(*) AS c FROM b GROUP BY 1, 2),
+g AS (SELECT t.d, n, abs(sum(coalesce(c.c, 0) / CAST(n AS DOUBLE) - coalesce(r.c, 0)) OVER (PARTITION BY t.d ORDER BY i)) AS gap FROM t CROSS JOIN (SELECT unnest(range(50)) AS i) LEFT JOIN c ON c.d = t.d AND c.bin = i LEFT JOIN r ON r.bin = i),
+worst AS (SELECT d, n, max(gap) AS ks FROM g GROUP BY 1, 2)
+SELECT strftime(DATE '1970-01-01' + CAST(d AS INT), '%Y-%m-%d') AS start, CAST(n AS BIGINT) AS n, round(ks, 6) AS ks, CASE WHEN ks >= 0.2 THEN 'severe' WHEN ks >= 0.15 THEN 'moderate' WHEN ks >= 0.1 THEN 'mild' ELSE 'none' END AS level FROM worst"""
+
+
+@query("z7_score_drift", _DRIFT)
 def z7(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = bids(spark, sf_dir).where("season = 2").select("p_a")
     got = j.drain(j.drift(_stream(spark, sf_dir, "p_a"), ref, late="100000 days"), "drift", "complete")
@@ -60,7 +72,12 @@ def z9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.drain(j.apply_blocklist(_stream(spark, sf_dir, "bidid", "domain"), blocked).select("bidid"), "allowed")
 
 
-@query("b31_decisions")
+_DECISIONS = f"""{_best_sql('(v - price) * cdf')},
+x AS (SELECT bidid, bids.adexchange, p_a, p_a*{CPC} AS v, slotprice > 0 AND slotprice > 0.1*p_a*{CPC} AS bound, slotprice, be.bid AS opt FROM bids JOIN be ON bids.adexchange = be.adexchange AND p_a*{CPC} = be.v)
+SELECT bidid, adexchange, round(p_a, 6) AS pctr, round(v, 6) AS v, round(least(least(greatest(CASE WHEN bound THEN least(greatest(slotprice*1.05, 1.0), v) ELSE opt END, 1.0), 300.0), v), 6) AS bid, CAST(bound AS INT) AS regime, CAST(adexchange AS VARCHAR) AS curve FROM x"""
+
+
+@query("b31_decisions", _DECISIONS)
 def b31(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bids(spark, sf_dir)
     hulls = b.envelope(model(df, "adexchange"), "adexchange")
