@@ -6,7 +6,7 @@ one node. Then:
 
 1. Inverted list lengths. Chunks exchange packed blocks of their distinct
    shingles and their numbers (see `exchange`); each gets back every shingle's
-   class: alone, short, middling or long list.
+   class: alone, or how long its list is, by powers of eight.
 2. T-occurrence bound. A set must share T = ceil(similar * n) of its n
    shingles with any partner, so one with fewer than T shared shingles has
    none. Of the others, in the order of list classes, all lists but the T - 1
@@ -54,8 +54,10 @@ from gavel.llm.words import blocks, rolled, words
 _CHUNK = "_chunk_"
 _KEPT = 48  # bits of a shingle that list lengths are counted by; a clash only makes a list look longer
 _NULL = (1 << 63) - 1
-#: Lower ends of the classes of list lengths above "alone".
-CLASSES = (2, 9, 65)
+#: Lower ends of the classes of list lengths above "alone": the longer a list, the later it stands in a set, however long lists get.
+CLASSES = (2, *(8**k + 1 for k in range(1, 12)))
+#: Documents of one chunk that a list's length counts at most; the order of lists is the same for all sets with or without it.
+_MOST = (1 << 16) - 1
 BITMAP_WORDS = 16
 BLOCK_DOCS = 1_000
 
@@ -178,7 +180,7 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
             return BLOCK.empty_table()
         _, _, sets, _ = chosen(table, own)
         name, times = np.unique(sets >> np.uint64(64 - _KEPT), return_counts=True)
-        return blocks_of(name, [np.minimum(times, 255).astype(np.uint8)], table.column(_CHUNK)[0].as_py(), _KEPT)
+        return blocks_of(name, [np.minimum(times, _MOST).astype("<u2")], table.column(_CHUNK)[0].as_py(), _KEPT)
 
     def classify(names: np.ndarray, times: list[np.ndarray]) -> np.ndarray:
         value, at = np.unique(names, return_inverse=True)
@@ -203,7 +205,7 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 5, schema, strict=True)], schema=schema)
 
     blocks = docs.groupBy(_CHUNK).cogroup(rows.groupBy("chunk")).applyInArrow(settled_pair(emit), BLOCK_SQL)
-    both = answered(blocks, n, _KEPT, ["u1"], classify).unionByName(rows, allowMissingColumns=True)
+    both = answered(blocks, n, _KEPT, ["<u2"], classify).unionByName(rows, allowMissingColumns=True)
     return docs.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(settled_pair(choose), "node long, doc long, n int, short int, tokens binary")
 
 
