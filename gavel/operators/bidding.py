@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.columns import col, ratio, uniform
 from gavel.operators.market import as_arrays, interpolate, with_market
+from gavel.sources.logs import kept
 
 CPC = 200_000.0
 MIN_BID, MAX_BID = 1.0, 300.0
@@ -88,10 +89,15 @@ def dual_regime(v: Column, floor: Column, optimal: Column, factor: float = 1.05)
 
 
 def strategies(df: DataFrame, model: DataFrame, overall: DataFrame, key: str = "adexchange") -> DataFrame:
-    """One row for each bid and strategy: strategy, bid, regime, win_prob. df has v (value); model and overall are market models (price, cdf, spend)."""
+    """One row for each bid and strategy: strategy, bid, regime, win_prob. df has v (value); model and overall are market models (price, cdf, spend).
+
+    A segment's arrays are one row of what is kept; the overall market's are one row in all.
+    """
     one = overall.withColumn("_k", F.lit(0))
-    everywhere = envelope(one, "_k").select(F.col("breaks").alias("breaks0"), F.col("best").alias("best0"))
-    out = with_market(df, as_arrays(model, key, values=("cdf",)).join(envelope(model, key), key), key, as_arrays(one, "_k", values=("cdf",)).join(envelope(one, "_k"), "_k").drop("_k")).crossJoin(F.broadcast(everywhere))
+    default = kept(as_arrays(one, "_k", values=("cdf",)).join(envelope(one, "_k"), "_k").drop("_k"), "market")
+    arrays = kept(as_arrays(model, key, values=("cdf",)).join(envelope(model, key), key), "markets")
+    everywhere = default.select(F.col("breaks").alias("breaks0"), F.col("best").alias("best0"))
+    out = with_market(df, arrays, key, default).crossJoin(F.broadcast(everywhere))
     v = F.col("v")
     low = F.least(F.greatest(v, F.lit(MIN_BID)), F.lit(MAX_BID))
     opt0 = best_bid(v, "breaks0", "best0")

@@ -23,10 +23,6 @@ def _won(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.won_only(bids(spark, sf_dir)).withColumn("v", b.value("p_a", CPC))
 
 
-def _overall(df: DataFrame) -> DataFrame:
-    return m.market_model(m.on_grid(m.kaplan_meier(df)))
-
-
 @query("b1_b3_values", f"{_SC} SELECT model, CAST(count(*) AS BIGINT) AS n, round(avg(p*{CPC}), 6) AS mean, round(stddev_pop(p*{CPC}), 6) AS std, round(quantile_cont(p*{CPC}, 0.25), 6) AS p25, round(quantile_cont(p*{CPC}, 0.5), 6) AS median, round(quantile_cont(p*{CPC}, 0.75), 6) AS p75, round(avg(CAST(p*{CPC} > 100 AS INT)), 6) AS above_market, round(avg(p*{CPC}) / 100, 6) AS overbid_ratio FROM sc GROUP BY 1")
 def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(b.value_summary(scores(bids(spark, sf_dir)).withColumn("v", b.value("p", CPC)), 100.0, "model"))
@@ -82,9 +78,8 @@ def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curves are a few hundred rows and are used several times each, so they are kept."""
     df = bids(spark, sf_dir)
-    return b.strategies(_won(spark, sf_dir), model(df, "adexchange").cache(), _overall(df).cache())
+    return b.strategies(_won(spark, sf_dir), model(df, "adexchange"), model(df))
 
 
 _OVERALL = km_sql("season * 0").replace("season * 0,", "0 AS z,").replace("PARTITION BY season * 0 ORDER", "ORDER").replace("SELECT season * 0", "SELECT z")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.operators import market as m
 from gavel.registry import query, r6
+from gavel.sources.logs import kept
 from gavel.tables import bids
 
 _Z = 1.959964
@@ -94,7 +95,8 @@ def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model(df: DataFrame, *keys: str) -> DataFrame:
-    return m.market_model(m.on_grid(m.kaplan_meier(df, *keys), *keys), *keys)
+    """W15 of bids. The curve, a row for each price of a segment, is kept: the grid reads it twice, and plans read the grid several times."""
+    return m.market_model(m.on_grid(kept(m.kaplan_meier(df, *keys), "curve"), *keys), *keys)
 
 
 _MODEL = km_sql() + grid_sql() + ", mo0 AS (SELECT *, (cdf - coalesce(lag(cdf) OVER o, cdf)) * (price + coalesce(lag(price) OVER o, price)) / 2 AS mass FROM gr WINDOW o AS (PARTITION BY adexchange ORDER BY price)), mo AS (SELECT adexchange, price, cdf, sum(mass) OVER (PARTITION BY adexchange ORDER BY price) AS spend FROM mo0)"
