@@ -64,6 +64,22 @@ def test_groups_against_all_pairs(spark, size, similar, seed):
     assert sorted(map(key, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == sorted(map(key, brute_groups(rows, size, similar)))
 
 
+def test_groups_of_long_lists(spark):
+    """Lists of three lengths: a passage that all texts hold, families of about 140 texts, and edited copies of few."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(700):
+        family = int(rng.integers(0, 5))
+        base = [f"p{k}" for k in range(25)] + [f"f{family}w{k}" for k in range(12 * int(rng.integers(0, 2)))] + [f"own{i // 6}w{k}" for k in range(int(rng.integers(0, 9)))]
+        if rng.random() < 0.3:
+            base[int(rng.integers(0, len(base)))] = f"edit{rng.integers(0, 400)}"
+        rows.append((i * 7, " ".join(base)))
+    want = brute_groups(rows, 4, 85)
+    assert 5 < len({c for _, _, c in want}) < 650
+    got = groups(shape(spark, rows), 4, 85).toPandas()
+    assert sorted(map(key, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == sorted(map(key, want))
+
+
 def test_groups_of_odd_rows(spark, odd_rows):
     got = groups(shape(spark, odd_rows)).toPandas()
     assert sorted(map(key, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == sorted(map(key, brute_groups(odd_rows, 4, 85)))
