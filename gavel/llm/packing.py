@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.llm.store import settle, stored
@@ -154,17 +154,17 @@ def _sweep_rest(capacity: int, sequences: int):
 
 def matched(counts: DataFrame, capacity: int) -> DataFrame:
     """Matches (size, first, count, sequence, offset) that place counts (size, count) pieces of each size: ranks first.. go to sequences sequence.., one each, at offset."""
-    spark = counts.sparkSession
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("sequence", "long"), ("offset", "int"))]
     state = stored(counts.select(F.lit(_PIECES).alias("kind"), F.col("size").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), F.col("count").cast("long").alias("count"), *nothing), "runs")
     rounds, pieces_left, sequences = [], None, 0
     while pieces_left is None or pieces_left:
-        watch = Observation()
         ranges = state.where(F.col("kind") < _MATCHES).groupBy(F.floor(F.col("size") * RANGES / (capacity + 1)).alias("range"))
         swept = ranges.applyInArrow(_sweep_range(capacity), _STATE).repartition(1).mapInArrow(_sweep_rest(capacity, sequences), _STATE)
-        state = stored(swept.observe(watch, F.count(F.when(F.col("kind") == _PIECES, 1)).alias("pieces"), F.max(F.when(F.col("kind") == _MATCHES, F.col("sequence") + F.col("count"))).alias("sequences")), "runs")
+        state = stored(swept, "runs")
         rounds.append(state)
-        pieces_left, sequences = watch.get["pieces"], max(sequences, watch.get["sequences"] or 0)
+        # The round's table has a few thousand rows at most.
+        told = state.agg(F.count(F.when(F.col("kind") == _PIECES, 1)).alias("pieces"), F.max(F.when(F.col("kind") == _MATCHES, F.col("sequence") + F.col("count"))).alias("sequences")).first()
+        pieces_left, sequences = told["pieces"], max(sequences, told["sequences"] or 0)
     return functools.reduce(DataFrame.unionByName, rounds).where(F.col("kind") == _MATCHES).select("size", "first", "count", "sequence", "offset")
 
 
