@@ -63,3 +63,22 @@ def components(edges: DataFrame) -> DataFrame:
             return nxt.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(nxt.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
         e = nxt
     return e.repartition(1).mapInArrow(_contract, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def labelled(signed: DataFrame, nodes: DataFrame, links: DataFrame, null_doc: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents whose sets are nodes, from links (a, b) of nodes.
+
+    signed: (doc_id, doc, n_shingles, sig1, sig2), a row for each row of the corpus; doc is doc_id, or null_doc without one.
+    nodes: (node, doc, sig1, sig2), a row for each distinct set, doc being the smallest that has it.
+    A doc whose rows have different sets ties those sets; null_doc alone is no component.
+    """
+    some = signed.where("n_shingles > 0")
+    sig = F.struct("sig1", "sig2")
+    several = some.groupBy("doc").agg(F.min(sig).alias("lo"), F.max(sig).alias("hi")).where("lo <> hi").select("doc")
+    owners = some.join(several, "doc", "left_semi").select("doc", "sig1", "sig2").distinct().join(nodes.select("node", "sig1", "sig2"), ["sig1", "sig2"])
+    own = owners.join(owners.groupBy("doc").agg(F.min("node").alias("b")), "doc").select(F.col("node").alias("a"), "b")
+    grouped = stored(components(links.select("a", "b").unionByName(own)), "groups")
+    least = grouped.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("least"))
+    found = nodes.join(grouped.join(least, "label").select("node", "least"), "node", "left").select("sig1", "sig2", F.coalesce("least", "doc").alias("component"))
+    label = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))
+    return signed.join(found, ["sig1", "sig2"], "left").select("doc_id", "n_shingles", F.when(label == null_doc, None).otherwise(label).alias("component_id"))

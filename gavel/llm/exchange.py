@@ -100,12 +100,12 @@ def _read(table: pa.Table, kinds: list[str]) -> tuple[list[tuple[int, int, int]]
     return heads, (sources, sizes, keys, [np.concatenate([p[3][k] for p in parts]) for k in range(len(kinds))])
 
 
-def answered(blocks: DataFrame, n: int, bits: int, kinds: list[str], answer: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], direct: int = DIRECT) -> DataFrame:
-    """(chunk, range, answers): for each block of n chunks, one small number for each of its keys.
+def answered(blocks: DataFrame, n: int, bits: int, kinds: list[str], answer: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], direct: int = DIRECT, reply: str = "u1") -> DataFrame:
+    """(chunk, range, answers): for each block of n chunks, one number of dtype `reply` for each of its keys.
 
     Rows of a negative path are a chunk's notes to itself: they come back with that range, and with `sources` as answers.
 
-    answer gets all blocks' keys of a range, not in order, and the columns beside them (of dtypes `kinds`), and gives one number below 256 for each.
+    answer gets all blocks' keys of a range, not in order, and the columns beside them (of dtypes `kinds`), and gives one number for each.
     """
     depth = levels(n, direct)
 
@@ -122,7 +122,7 @@ def answered(blocks: DataFrame, n: int, bits: int, kinds: list[str], answer: Cal
         if _notes(table):
             return pa.Table.from_arrays([table.column(c) for c in ("path", "home", "sources", "sizes", "sources")], schema=_ANSWER)
         heads, (sources, sizes, keys, columns) = _read(table, kinds)
-        got = answer(keys, columns).astype(np.uint8)
+        got = answer(keys, columns).astype(reply)
         ends, rows, at = np.append(0, np.cumsum(sizes)), [], 0
         for path, home, k in heads:
             rows.append((path, home, sources[at : at + k].tobytes(), sizes[at : at + k].tobytes(), pack(got[ends[at] : ends[at + k]])))
@@ -139,7 +139,7 @@ def answered(blocks: DataFrame, n: int, bits: int, kinds: list[str], answer: Cal
             path = table.column("path")[0].as_py() >> FAN_BITS
             for fine, sources, sizes, got in zip(*(table.column(c).to_pylist() for c in ("path", "sources", "sizes", "answers")), strict=True):
                 size = np.frombuffer(sizes, "<i8")
-                for source, part in zip(np.frombuffer(sources, "<i8").tolist(), np.split(unpack(got, "u1"), np.cumsum(size)[:-1]), strict=True):
+                for source, part in zip(np.frombuffer(sources, "<i8").tolist(), np.split(unpack(got, reply), np.cumsum(size)[:-1]), strict=True):
                     held.setdefault(source, []).append((fine, part))
             homes: dict[int, list[int]] = {}
             for source in sorted(held):
@@ -169,8 +169,8 @@ def _notes(table: pa.Table) -> bool:
     return table.column("path")[0].as_py() < 0
 
 
-def joined_answers(replies: pa.Table) -> np.ndarray:
+def joined_answers(replies: pa.Table, reply: str = "u1") -> np.ndarray:
     """A chunk's answers in the order of its keys, without its notes."""
     replies = replies.filter(pc.greater_equal(replies.column("range"), 0))
     got = sorted(zip(replies.column("range").to_pylist(), replies.column("answers").to_pylist(), strict=True))
-    return np.concatenate([np.zeros(0, np.uint8), *[unpack(a, "u1") for _, a in got]])
+    return np.concatenate([np.zeros(0, reply), *[unpack(a, reply) for _, a in got]])

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.components import components
+from gavel.llm.components import components, labelled
 from gavel.llm.exchange import BLOCK, BLOCK_SQL, answered, blocks_of, joined_answers
 from gavel.llm.store import document_chunk, settle, settled_pair, stored, width
 from gavel.llm.words import blocks, rolled, words
@@ -87,7 +87,7 @@ def shingle_sets(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
-def _signatures(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def set_signatures(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums of each set, by different functions of its members."""
     out = []
     for k in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
@@ -163,7 +163,7 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, size: int, similar: int, n:
     def chosen(table: pa.Table, own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sets of the standing documents, each once: nodes, doc_ids, shingles, firsts."""
         sets, first = shingle_sets(table, size)
-        s1, s2 = _signatures(sets, first)
+        s1, s2 = set_signatures(sets, first)
         ids = np.asarray(pc.fill_null(table.column("doc_id").cast(pa.int64()), _NULL), np.int64)
         wanted = dict(zip(zip(*(own.column(c).to_pylist() for c in ("doc", "sig1", "sig2")), strict=True), own.column("node").to_pylist(), strict=True))
         keep, nodes = np.zeros(len(ids), bool), []
@@ -288,7 +288,7 @@ def groups(docs: DataFrame, size: int = 4, similar: int = 85) -> DataFrame:
             for a, b in blocks(batch.column("text")):
                 part = batch.slice(a, b - a)
                 sets, first = shingle_sets(pa.Table.from_batches([part]), size)
-                s1, s2 = _signatures(sets, first)
+                s1, s2 = set_signatures(sets, first)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column(_CHUNK), pa.array(np.diff(first)), pa.array(s1), pa.array(s2)], ["doc_id", "chunk", "n_shingles", "sig1", "sig2"])
         settle()
 
@@ -307,14 +307,4 @@ def groups(docs: DataFrame, size: int = 4, similar: int = 85) -> DataFrame:
     need = -F.floor(-(similar * (F.col("na") + F.col("nb"))) / (100 + similar))
     pairs = list_pairs(postings, labels, sets, similar, n).join(x, "a").join(y, "b").select("a", "b", need.cast("int").alias("need"), F.lit(0).alias("merged"), "rest")
     second = probed(pairs, sets)
-    # A doc_id whose rows have different sets ties those sets.
-    sig = F.struct("sig1", "sig2")
-    several = signed.where("n_shingles > 0").groupBy("doc").agg(F.min(sig).alias("lo"), F.max(sig).alias("hi")).where("lo <> hi").select("doc")
-    owners = signed.where("n_shingles > 0").join(several, "doc", "left_semi").select("doc", "sig1", "sig2").distinct().join(nodes.select("node", "sig1", "sig2"), ["sig1", "sig2"])
-    own = owners.join(owners.groupBy("doc").agg(F.min("node").alias("b")), "doc").select(F.col("node").alias("a"), "b")
-    grouped = stored(components(first.unionByName(second).unionByName(own)), "groups")
-    least = grouped.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("least"))
-    found = nodes.join(grouped.join(least, "label").select("node", "least"), "node", "left").select("sig1", "sig2", F.coalesce("least", "doc").alias("component"))
-    placed = signed.join(found, ["sig1", "sig2"], "left")
-    label = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))
-    return placed.select("doc_id", "n_shingles", F.when(label == _NULL, None).otherwise(label).alias("component_id"))
+    return labelled(signed, nodes, first.unionByName(second), _NULL)

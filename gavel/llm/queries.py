@@ -85,6 +85,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_severity", grade.alias("grade"), (F.col("at_least")[0] >= 0.5).cast("int").alias("toxic"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gavel.llm.hamming import groups
+
+    return groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
