@@ -85,6 +85,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_severity", grade.alias("grade"), (F.col("at_least")[0] >= 0.5).cast("int").alias("toxic"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gavel.llm.merkle import manifest, tampered_rows, verified
+
+    return verified(manifest(_table(spark, sf_dir, "documents"), tamper=tampered_rows))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gavel.llm.hamming import groups
 
@@ -98,5 +104,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from gavel.llm.licenses import scan_sql
+    from gavel.llm.merkle import manifest_sql
 
-    return {"op3_licenses": scan_sql()}
+    return {"op3_licenses": scan_sql(), "op11_merkle": manifest_sql()}
