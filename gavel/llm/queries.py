@@ -91,6 +91,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(manifest(_table(spark, sf_dir, "documents"), tamper=tampered_rows))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gavel.llm.alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gavel.llm.hamming import groups
 
