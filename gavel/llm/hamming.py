@@ -14,11 +14,13 @@ these differ. Equal sets are one node. Then:
    whose keys nobody else has end here. A key that a third of all nodes have
    is one entry of each block.
 3. Nodes are compared with the heads of their keys: pairs beyond the distance,
-   or of sizes that can't reach the similarity, go; the others are confirmed
-   on their full sets, which are computed anew from the texts of these nodes.
+   or that sizes or parity bitmaps (a lower bound of the sets' symmetric
+   difference) rule out, go; the others are confirmed on their full sets,
+   which are computed anew from the texts of these nodes.
 4. Links make groups. Keys whose nodes are still in several groups (a second
    exchange finds them) are searched whole, in pairs of blocks: all pairs of
-   different groups within the distance are confirmed likewise.
+   different groups that are left by the same rules, each at the least key it
+   shares only, are confirmed likewise.
 
 With 64 values, 12 chunks and one error every pair of at most 23 differing
 values is found. Linked sets (similarity 0.85) differ in 9.6 on average and
@@ -53,10 +55,14 @@ from gavel.llm.words import blocks, mix
 
 VALUES, CHUNKS, ERRORS = 64, 12, 1
 BITS = 16
+#: Bits of a set's parity bitmap.
+PARITY = 1024
 _NULL = (1 << 63) - 1
 _KEY = 48  # bits of a key; a clash only makes a pair to be ruled out
-#: Nodes of a side of one search task.
+#: Nodes of a side of one pair of blocks.
 BLOCK_NODES = 1_000
+#: Pairs compared at once inside a task.
+_PAIRS = 200_000
 #: Into how many groups the pairs of one node are dealt when its set is laid beside them.
 SALTS = 32
 _NODE_BYTES = 2 << 20  # of stored nodes in one block of the exchange
@@ -79,6 +85,27 @@ def min_hashes(sets: np.ndarray, first: np.ndarray, values: int = VALUES) -> np.
     return out
 
 
+def parity_bitmaps(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(documents, PARITY / 8) bytes: whether an odd number of a set's members has each remainder."""
+    out = [np.zeros((0, PARITY // 8), np.uint8)]
+    for a in range(0, len(first) - 1, 1000):
+        ends = first[a : a + 1001]
+        doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        at = doc * PARITY + (sets[ends[0] : ends[-1]] % np.uint64(PARITY)).astype(np.int64)
+        odd = np.bincount(at, minlength=(len(ends) - 1) * PARITY) & 1
+        out.append(np.packbits(odd.astype(bool)).reshape(-1, PARITY // 8))
+    return np.concatenate(out)
+
+
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similar: int, most: int) -> np.ndarray:
+    """Which pairs of signatures are near enough, of sizes that can reach the similarity, and not ruled out by parity. A row is min-hashes, then parity bits."""
+    fits = 100 * np.minimum(n, m) >= similar * np.maximum(n, m)
+    values = x.shape[1] - PARITY // 16
+    fits &= np.count_nonzero(x[:, :values] != y[:, :values], axis=1) <= most
+    apart = np.bitwise_count(x[:, values:] ^ y[:, values:]).sum(1, dtype=np.int64)
+    return fits & (apart <= n + m - 2 * overlap_needed(n, m, similar))
+
+
 def distance_found(values: int = VALUES, chunks: int = CHUNKS, errors: int = ERRORS) -> int:
     """The distance up to which every pair of signatures shares a key."""
     if not 0 <= errors < values // chunks:
@@ -102,7 +129,8 @@ def chunk_keys(values: np.ndarray, chunks: int = CHUNKS, errors: int = ERRORS) -
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, values: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, values)
+    """Rows of min-hashes with their parity bits."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, values + PARITY // 16)
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -129,7 +157,7 @@ def shared_keys(nodes: DataFrame, n: int, chunks: int, errors: int, values: int)
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node = table.column("node").to_numpy()
-        keys = chunk_keys(_matrix(table.column("values"), values), chunks, errors)
+        keys = chunk_keys(_matrix(table.column("values"), values)[:, :values], chunks, errors)
         return np.repeat(node, keys.shape[1]), keys.ravel()
 
     def emit(table: pa.Table) -> pa.Table:
@@ -170,13 +198,13 @@ def beside(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
 
 
 def near(pairs: DataFrame, nodes: DataFrame, similar: int, most: int, values: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most `most` values and whose sizes can reach the similarity, with `need`."""
+    """The possible pairs of (a, b), with `need`."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (_matrix(batch.column(c), values) for c in ("x", "y"))
             n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
-            fits = (np.count_nonzero(x != y, axis=1) <= most) & (100 * np.minimum(n, m) >= similar * np.maximum(n, m))
+            fits = possible(x, y, n, m, similar, most)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap_needed(n, m, similar))], ["a", "b", "need"]).filter(pa.array(fits))
 
     held = beside(pairs, "a", nodes.select("node", F.col("values").alias("x"), "n"))
@@ -220,8 +248,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, na
     return stored(held.select("a", "b", "need", "x", "y").mapInArrow(_confirm, "a long, b long"), f"{name}-links")
 
 
-def mixed_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, n: int, similar: int, most: int, values: int) -> DataFrame:
-    """Pairs (a, b) of different groups as near() keeps them, from the keys whose nodes are in several groups."""
+def mixed_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, n: int, similar: int, chunks: int, errors: int, values: int) -> DataFrame:
+    """Possible pairs (a, b, need) of different groups, from the keys whose nodes are in several groups."""
+    most = distance_found(values, chunks, errors)
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
@@ -245,17 +274,53 @@ def mixed_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, n: int,
         mixed = joined_answers(replies)[np.unique(keys, return_inverse=True)[1]] > 0
         return pa.Table.from_arrays([pa.array(keys[mixed].astype(np.int64)), pa.array(node[mixed]), pa.array(label[mixed])], schema=schema)
 
-    def search(table: pa.Table) -> pa.Table:
-        node, label, side, size = (table.column(c).to_numpy() for c in ("node", "label", "side", "n"))
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        """Possible pairs of whole runs (key, i, j); a run of one block pairs its rows, others their left with their right rows."""
+        key, i, j, side, node, label, size = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "label", "n"))
         x = _matrix(table.column("values"), values)
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != -1)
-        found = [np.zeros((0, 3), np.int64)]
-        for i in left.tolist():
-            j = right[(label[right] != label[i]) & ((side[right] != 0) | (right > i))]
-            j = j[(np.count_nonzero(x[j] != x[i], axis=1) <= most) & (100 * np.minimum(size[j], size[i]) >= similar * np.maximum(size[j], size[i]))]
-            found.append(np.stack([np.maximum(node[j], node[i]), np.minimum(node[j], node[i]), overlap_needed(size[j], size[i], similar)], 1))
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        start = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        end = np.append(start[1:], len(key))[run]
+        middle = start[run] + np.bincount(run, side < 0, len(start)).astype(np.int64)[run]
+        low = np.where(side == 0, np.arange(len(key)) + 1, np.where(side < 0, middle, end))
+        total = np.append(0, np.cumsum(end - low))
+        found, at = [np.zeros((0, 3), np.int64)], 0
+        while at < len(key):
+            stop = max(at + 1, int(np.searchsorted(total, total[at] + _PAIRS, "right")) - 1)
+            each = (end - low)[at:stop]
+            p = np.repeat(np.arange(at, stop), each)
+            q = np.arange(len(p)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low[at:stop], each)
+            for rule in (lambda p, q: label[p] != label[q], lambda p, q: possible(x[p], x[q], size[p], size[q], similar, most)):
+                keep = rule(p, q)
+                p, q = p[keep], q[keep]
+            if len(p):
+                rows, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+                keys = chunk_keys(x[rows][:, :values], chunks, errors)
+                u, v = keys[back[: len(p)]], keys[back[len(p) :]]
+                here = np.where(u == v, u, np.uint64(1 << 63)).min(1) == key[p].astype(np.uint64)
+                p, q = p[here], q[here]
+                found.append(np.stack([np.maximum(node[p], node[q]), np.minimum(node[p], node[q]), overlap_needed(size[p], size[q], similar)], 1))
+            at = stop
         pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "need": pa.array(pairs[:, 2])})
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["a", "b", "need"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs, which may go on in the next batch, some at a time."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= 5 * BLOCK_NODES:
+                table = pa.Table.from_batches(held)
+                cols = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+                other = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield pairs_of(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
+        settle()
 
     told = shared.select("node", "block", "keys").join(labels, "node")
     replies = answered(told.groupBy("block").applyInArrow(settled(emit), BLOCK_SQL), n, _KEY, ["<i8", "<i8"], several)
@@ -265,8 +330,8 @@ def mixed_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, n: int,
     # Block i meets blocks j >= i: it is the left side there (-1), the right side (1), or both (0).
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum((F.col("own") - F.col("other")).cast("double")).cast("int").alias("side"), "node", "label")
-    dealt = dealt.join(nodes.select("node", "values", "n"), "node")
-    return dealt.groupBy("key", "i", "j").applyInArrow(search, "a long, b long, need long").distinct()
+    dealt = dealt.join(nodes.select("node", "values", "n"), "node").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return dealt.mapInArrow(search, "a long, b long, need long")
 
 
 def groups(docs: DataFrame, size: int = 5, similar: int = 85, values: int = VALUES, chunks: int = CHUNKS, errors: int = ERRORS) -> DataFrame:
@@ -280,7 +345,7 @@ def groups(docs: DataFrame, size: int = 5, similar: int = 85, values: int = VALU
                 part = batch.slice(a, b - a)
                 sets, first = shingle_sets(pa.Table.from_batches([part]), size)
                 s1, s2 = set_signatures(sets, first)
-                raw = [x.tobytes() for x in min_hashes(sets, first, values).astype("<u2")]
+                raw = [x.tobytes() for x in np.concatenate([min_hashes(sets, first, values).astype("<u2"), parity_bitmaps(sets, first).view("<u2")], 1)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "doc", "text_hash")), pa.array(np.diff(first)), pa.array(s1), pa.array(s2), pa.array(raw, pa.binary())], ["doc_id", "doc", "text_hash", "n_shingles", "sig1", "sig2", "values"])
         settle()
 
@@ -295,7 +360,7 @@ def groups(docs: DataFrame, size: int = 5, similar: int = 85, values: int = VALU
     first = confirmed(first_pairs, texts, nodes, size, "first")
     met = components(first).withColumnRenamed("node", "_node")
     labels = shared.select("node").join(met, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("label", "node").alias("label"))
-    second_pairs = mixed_pairs(shared, nodes, stored(labels, "labels"), n, similar, most, values).join(first_pairs, ["a", "b"], "left_anti")
+    second_pairs = mixed_pairs(shared, nodes, stored(labels, "labels"), n, similar, chunks, errors, values).join(first_pairs, ["a", "b"], "left_anti")
     second = confirmed(stored(second_pairs, "second-near"), texts, nodes, size, "second")
     found = labelled(signed, nodes, first.unionByName(second), _NULL)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
