@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.operators import bidding as b
@@ -18,6 +18,69 @@ def _stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return j.stream_of(df.select("ts", *columns), "bids")
 
 
+#: In how many parts the replayed tables arrive.
+PARTS = 5
+
+
+def _arrivals_sql(src: str, key: str, delay: str) -> str:
+    """CTEs over src (with ts): part_rows (with `part`), met (part, wm: the watermark that the part meets) and ended (the last watermark)."""
+    return f"""span AS (SELECT min(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))) AS lo, max(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))) AS hi FROM {src}),
+part_rows AS (SELECT s.*, least({PARTS} * (date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) - lo) // (hi - lo + 1) + CASE WHEN {key} % 97 = 0 THEN 1 WHEN {key} % 101 = 0 THEN 2 ELSE 0 END, {PARTS - 1}) AS part FROM {src} s, span),
+tops AS (SELECT part, date_trunc('milliseconds', max(ts)) AS m FROM part_rows GROUP BY 1),
+met AS (SELECT i AS part, (SELECT max(m) FROM tops WHERE tops.part < i) - INTERVAL {delay} AS wm FROM range({PARTS}) r(i)),
+ended AS (SELECT max(m) - INTERVAL {delay} AS wm FROM tops)"""
+
+
+def _arriving(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Bids in parts: most with the part of their day, some one or two parts later."""
+    df = bids(spark, sf_dir).withColumn("ts", j.event_time()).select("ts", "bidid", *columns)
+    return j.arrivals(df, PARTS, _behind("bidid"))
+
+
+def _behind(key: str) -> Column:
+    return F.when(F.col(key) % 97 == 0, 1).when(F.col(key) % 101 == 0, 2).otherwise(0)
+
+
+_TS = "tb AS (SELECT *, strptime(substr(timestamp, 1, 14), '%Y%m%d%H%M%S') AS ts FROM bids)"
+
+_LATE_KPIS = f""", {_TS}, {_arrivals_sql('tb', 'bidid', "'200 days'")},
+kp AS (SELECT date_trunc('day', ts) AS start, adexchange, count(*) AS n, avg(win) AS wr, sum(click) / CAST(greatest(sum(win), 1) AS DOUBLE) AS ctr, avg(CASE WHEN win = 1 THEN payprice END) AS mp FROM part_rows JOIN met USING (part) WHERE wm IS NULL OR date_trunc('day', ts) + INTERVAL '1 day' > wm GROUP BY 1, 2)
+SELECT strftime(start, '%Y-%m-%d') AS start, adexchange, CAST(n AS BIGINT) AS n, round(wr, 6) AS win_rate, round(ctr, 6) AS ctr, round(mp, 6) AS mean_price, CASE WHEN wr < 0.1 THEN 'low_win_rate' WHEN mp > 150 THEN 'high_price' END AS alert FROM kp, ended WHERE start + INTERVAL '1 day' <= wm"""
+
+
+@query("z6_late_kpis", _LATE_KPIS)
+def z6l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows that the watermark has closed, of bids that arrive in parts, some of them late; rows behind the watermark are in no window."""
+    rows = _arriving(spark, sf_dir, "adexchange", "win", "click", "payprice")
+    got, _ = j.replay(rows, lambda s: j.kpis(s, ["adexchange"], "1 day", late="200 days"), "kpis", PARTS)
+    return r6(got.drop("end").withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+
+
+@query("z6_late_rows", f""", {_TS}, {_arrivals_sql('tb', 'bidid', "'200 days'")} SELECT CAST(part AS INT) AS part, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (date_trunc('day', ts) + INTERVAL '1 day' <= wm) AS BIGINT) AS late FROM part_rows JOIN met USING (part) GROUP BY 1""")
+def z6r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each part were behind the watermark that the running job reported."""
+    rows = _arriving(spark, sf_dir, "adexchange", "win", "click", "payprice")
+    _, marks = j.replay(rows, lambda s: j.kpis(s, ["adexchange"], "1 day", late="200 days"), "kpis", PARTS)
+    return j.late_rows(rows, marks, F.date_trunc("day", "ts") + F.expr("interval 1 day"))
+
+
+_SPANNING = f"""WITH ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id FROM events), {_arrivals_sql('ev', 'event_id', "'2 days'")},
+x AS (SELECT user_id, ts FROM part_rows JOIN met USING (part) WHERE wm IS NULL OR ts + INTERVAL '12 hours' > wm),
+y AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS f FROM x),
+z AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM y),
+g AS (SELECT user_id, s, min(ts) AS a, max(ts) + INTERVAL '12 hours' AS b, count(*) AS n FROM z GROUP BY 1, 2)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS "end", CAST(n AS BIGINT) AS n FROM g, ended WHERE b <= wm"""
+
+
+@query("z6_spanning_sessions", _SPANNING, bids=False)
+def z6p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users whose events arrive in parts: one that spans parts is one session; those still open at the end are left out."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    rows = j.arrivals(e, PARTS, _behind("event_id"))
+    got, _ = j.replay(rows, lambda s: j.sessions(s, "user_id", "12 hours", late="2 days"), "sessions", PARTS)
+    return got.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "end")})
+
+
 _KPIS = """, kp AS (SELECT strftime(strptime(CAST(day AS VARCHAR), '%Y%m%d'), '%Y-%m-%d') AS start, adexchange, count(*) AS n, avg(win) AS wr, sum(click) / CAST(greatest(sum(win), 1) AS DOUBLE) AS ctr, avg(CASE WHEN win = 1 THEN payprice END) AS mp FROM bids GROUP BY 1, 2)
 SELECT start, adexchange, CAST(n AS BIGINT) AS n, round(wr, 6) AS win_rate, round(ctr, 6) AS ctr, round(mp, 6) AS mean_price, CASE WHEN wr < 0.1 THEN 'low_win_rate' WHEN mp > 150 THEN 'high_price' END AS alert FROM kp"""
 
@@ -60,6 +123,38 @@ def z7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(got.withColumn("start", F.date_format("start", "yyyy-MM-dd")))
 
 
+_ROLLING = f""", {_TS}, {_arrivals_sql('tb', 'bidid', "'200 days'")},
+b AS (SELECT to_timestamp(floor(epoch(ts) / 2592000) * 2592000) AT TIME ZONE 'UTC' AS d, CAST(least(floor(p_a * 50), 49) AS INT) AS bin FROM part_rows JOIN met USING (part) WHERE wm IS NULL OR (to_timestamp(floor(epoch(ts) / 2592000 + 1) * 2592000) AT TIME ZONE 'UTC') > wm),
+r AS (SELECT CAST(least(floor(p_a * 50), 49) AS INT) AS bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS c FROM bids WHERE season = 2 GROUP BY 1),
+t AS (SELECT d, count(*) AS n FROM b GROUP BY 1), c AS (SELECT d, bin, count(*) AS c FROM b GROUP BY 1, 2),
+g AS (SELECT t.d, n, abs(sum(coalesce(c.c, 0) / CAST(n AS DOUBLE) - coalesce(r.c, 0)) OVER (PARTITION BY t.d ORDER BY i)) AS gap FROM t CROSS JOIN (SELECT unnest(range(50)) AS i) LEFT JOIN c ON c.d = t.d AND c.bin = i LEFT JOIN r ON r.bin = i),
+worst AS (SELECT d, n, max(gap) AS ks FROM g GROUP BY 1, 2)
+SELECT strftime(d, '%Y-%m-%d') AS start, CAST(n AS BIGINT) AS n, round(ks, 6) AS ks, CASE WHEN ks >= 0.2 THEN 'severe' WHEN ks >= 0.15 THEN 'moderate' WHEN ks >= 0.1 THEN 'mild' ELSE 'none' END AS level FROM worst, ended WHERE d + INTERVAL '30 days' <= wm"""
+
+
+@query("z7_rolling_drift", _ROLLING)
+def z7r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of windows that the watermark has closed, of scores that arrive in parts, some late."""
+    ref = bids(spark, sf_dir).where("season = 2").select("p_a")
+    got, _ = j.replay(_arriving(spark, sf_dir, "p_a"), lambda s: j.drift(s, ref, late="200 days"), "drift", PARTS)
+    return r6(got.withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+
+
+_STOP = f""", {_TS}, paid AS (SELECT ts, bidid, advertiser, payprice AS cost FROM tb WHERE win = 1), {_arrivals_sql('paid', 'bidid', "'200 days'")},
+x AS (SELECT advertiser, date_trunc('day', ts) AS day, ts, bidid, cost FROM part_rows JOIN met USING (part) WHERE wm IS NULL OR ts > wm),
+y AS (SELECT *, sum(cost) OVER (PARTITION BY advertiser, day ORDER BY ts, bidid ROWS UNBOUNDED PRECEDING) AS cum FROM x),
+z AS (SELECT *, CAST(cum <= 300 AS INT) AS accepted FROM y)
+SELECT advertiser, strftime(day, '%Y-%m-%d') AS day, bidid, CAST(cost AS DOUBLE) AS cost, CAST(coalesce(max(CASE WHEN accepted = 1 THEN cum END) OVER (PARTITION BY advertiser, day ORDER BY ts, bidid ROWS UNBOUNDED PRECEDING), 0) AS DOUBLE) AS spent, accepted FROM z, ended WHERE ts <= wm"""
+
+
+@query("z8_hard_stop", _STOP)
+def z8h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paid bids in parts against a budget of 300 a campaign day, which stops it: a state for each day, over restarts."""
+    rows = j.arrivals(bids(spark, sf_dir).where("win = 1").select(j.event_time().alias("ts"), "bidid", "advertiser", F.col("payprice").alias("cost")), PARTS, _behind("bidid"))
+    got, _ = j.replay(rows, lambda s: j.hard_stop(s, 300.0, "200 days"), "stop", PARTS, j.STATE_STORE)
+    return got.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query("z8_budgets", "SELECT advertiser, day, CAST(sum(payprice) AS BIGINT) AS spent, CAST(greatest(500 - sum(payprice), 0) AS DOUBLE) AS left, CAST(sum(payprice) >= 500 AS INT) AS exhausted FROM bids GROUP BY 1, 2".replace("AS left", 'AS "left"'))
 def z8(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = j.drain(j.budgets(_stream(spark, sf_dir, "advertiser", "payprice"), 500.0, late="100000 days"), "budgets", "complete")

@@ -1,17 +1,21 @@
 """Streaming jobs over bids and events: KPIs with alerts, drift, budgets, blocklists and bid decisions.
 
 Each function takes a streaming (or plain) DataFrame and returns one; `drain` runs a stream over the files that are
-there and gives what it wrote, for tests and for jobs that run once a day.
+there and gives what it wrote, for tests and for jobs that run once a day. `replay` lets rows arrive in parts: each
+part's files are a micro-batch of their own, and the job starts anew from its checkpoint for each, as after a failure.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.operators.bidding import best_bid, dual_regime
 from gavel.operators.explore import invalid_traffic
-from gavel.sources.logs import fresh
+from gavel.sources.logs import fresh, kept
+from gavel.streaming.hard_stop import BudgetGate
 
 
 def event_time(ts: str = "timestamp") -> Column:
@@ -19,10 +23,10 @@ def event_time(ts: str = "timestamp") -> Column:
 
 
 def stream_of(df: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """df written as files in the shared folder and read as a stream."""
+    """df written as files in the shared folder and read as a stream, a micro-batch for each quarter of the files."""
     path = fresh(df.sparkSession, name)
     df.repartition(files).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(path)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -38,6 +42,51 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def arrivals(df: DataFrame, parts: int, delay: Column, ts: str = "ts") -> DataFrame:
+    """df with `part`, in which a row arrives: its days cut the table's span into equal parts, and `delay` is added (the last part takes what would come later)."""
+    number = F.datediff(F.col(ts), F.lit("1970-01-01"))
+    ends = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi")).first()
+    if ends["lo"] is None:
+        return df.withColumn("part", F.lit(0))
+    part = F.floor(parts * (number - ends["lo"]) / (ends["hi"] - ends["lo"] + 1)) + delay
+    return df.withColumn("part", F.least(part, F.lit(parts - 1)).cast("int"))
+
+
+def replay(df: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, parts: int, conf: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What `build` of a stream appends when df's rows arrive part by part, and (part, watermark): the watermark that each part met.
+
+    Every part is written as files behind those of the parts before it and handled by a new start of the job from the
+    checkpoint. conf is set while the job starts (a state store, for example). A row behind the watermark is dropped
+    by Spark; what the watermark hasn't passed stays in the state for later parts.
+    """
+    spark = df.sparkSession
+    held = kept(df, name)
+    path, out, state = (fresh(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    marks, schema = [], held.drop("part").schema
+    for k in range(parts):
+        held.where(F.col("part") == k).drop("part").write.mode("append").parquet(path)
+        result = build(spark.readStream.schema(schema).parquet(path))
+        before = {c: spark.conf.get(c, None) for c in conf or {}}
+        try:
+            for c, v in (conf or {}).items():
+                spark.conf.set(c, v)
+            query = result.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        finally:
+            for c, v in before.items():
+                spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+        query.awaitTermination()
+        met = [p["eventTime"]["watermark"] for p in query.recentProgress if p["numInputRows"] and "watermark" in p["eventTime"]]
+        marks.append((k, met[0] if met else None))
+    watermarks = spark.createDataFrame(marks, "part int, watermark string").select("part", F.to_timestamp("watermark").alias("watermark"))  # a row for each part
+    return spark.read.schema(result.schema).parquet(out), watermarks
+
+
+def late_rows(df: DataFrame, watermarks: DataFrame, end: Column) -> DataFrame:
+    """How many rows of each part came behind the watermark that the part met; end: when a row's window ends."""
+    late = F.coalesce(end <= F.col("watermark"), F.lit(False)).cast("long")
+    return df.join(F.broadcast(watermarks), "part").groupBy("part").agg(F.count("*").alias("n"), F.sum(late).alias("late"))
+
+
 def kpis(df: DataFrame, keys: list[str], size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", least_win_rate: float = 0.1, most_price: float = 150.0) -> DataFrame:
     """Rolling volume, win rate, CTR and mean price by window, with an alert where a threshold is passed. df has `ts`."""
     g = df.withWatermark("ts", late).groupBy(F.window("ts", size, slide), *keys).agg(F.count("*").alias("n"), F.avg("win").alias("win_rate"), (F.sum("click") / F.greatest(F.sum("win"), F.lit(1))).alias("ctr"), F.avg(F.when(F.col("win") == 1, F.col("payprice"))).alias("mean_price"))
@@ -73,6 +122,22 @@ def budgets(df: DataFrame, budget: float, late: str = "1 day") -> DataFrame:
     return g.select("advertiser", F.col("window.start").alias("day"), "spent", F.greatest(F.lit(budget) - F.col("spent"), F.lit(0.0)).alias("left"), (F.col("spent") >= budget).cast("int").alias("exhausted"))
 
 
+#: A state store that keeps arbitrary state.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def hard_stop(df: DataFrame, budget: float, late: str = "1 day") -> DataFrame:
+    """Each paid bid (ts, bidid, advertiser, cost) with what its campaign day has spent with it and whether it is accepted.
+
+    One state is a campaign day. Bids wait in it until the watermark has passed them, so that they are taken in the
+    order of (ts, bidid) however they arrived; the first that doesn't fit the budget closes the day, and all behind it
+    are refused. A bid behind the watermark is dropped, as its place in that order is gone. The state goes when the
+    watermark has passed the day. Needs STATE_STORE.
+    """
+    rows = df.withWatermark("ts", late).select("advertiser", F.date_trunc("day", "ts").alias("day"), "ts", F.col("bidid").cast("long").alias("bidid"), F.col("cost").cast("double").alias("cost"))
+    return rows.groupBy("advertiser", "day").transformWithState(BudgetGate(budget), BudgetGate.OUTPUT, "Append", "EventTime")
+
+
 def blocklist(history: DataFrame, least: int) -> DataFrame:
     """Domains that never won in `least` bids."""
     return invalid_traffic(history, least).where("flag = 'zero_win'").select("domain")
