@@ -6,11 +6,11 @@ two list columns of ids. They are flattened with their parent indices; the
 tokens' byte lengths, summed up by segments, give the place in its document
 where each token ends; an Acero hash join on (document, end) finds the ends
 that A and B share. These cut the tokens into groups, and the tokens that end
-there are the links. Links are counted by Table.group_by over units of about
-`UNIT_BYTES` of text; Spark adds these partial counts up, takes each B id's
-highest, and joins them back to the units' pairs, so that a pair is one row of
-a unit however often it occurs; a unit's documents look their links up there
-by one more Acero join.
+there are the links. Links are counted by Table.group_by, by document and over
+units of about `UNIT_BYTES` of text; Spark adds the units' partial counts up,
+takes each B id's highest, and joins them back to the units' pairs, so that a
+pair is one row of a unit however often it occurs. A unit keeps its documents'
+links as places in its ascending pairs, where they find the counts again.
 
 sentencepiece is asked for units of text only (a run of spaces and what stands
 behind it), each once while a worker keeps it. That gives the ids of the whole
@@ -47,8 +47,11 @@ _MARK = "▁"
 _COMMA, _BAR, _SEMICOLON = (pa.scalar(x, pa.large_string()) for x in ",|;")
 _ID_BITS = 16
 
-_ROWS = "unit long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, pairs array<long>, times array<long>"
-_SCHEMA = pa.schema([("unit", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("links", pa.binary()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+#: Rows of documents (at from 0) and of units (at -1): what a unit's documents link, its pairs, and how often it links them.
+_FIELDS = [("unit", "long"), ("at", "long"), ("doc_id", "long"), ("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string"), ("links", "binary"), ("pairs", "array<long>"), ("times", "array<long>")]
+_ROWS = ", ".join(" ".join(f) for f in _FIELDS)
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_SCHEMA = pa.schema([(c, _ARROW[t]) for c, t in _FIELDS])
 
 
 def byte_level_bytes(enc: Encoder) -> pa.Array:
@@ -94,24 +97,27 @@ class Pieces:
         units = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data)])
         at = pc.index_in(units, value_set=self.units)
         if at.null_count:
-            fresh = pc.unique(units.filter(pc.is_null(at)))
+            new = pc.is_null(at)
+            missed = units.filter(new)
+            fresh = pc.unique(missed)
+            at = pc.replace_with_mask(at, new, pc.add(pc.index_in(missed, value_set=fresh), pa.scalar(len(self.units), pa.int32())))
             # The model adds one space itself; a space alone would be nothing to it.
             ids = self.model.encode([u[1:].decode() for u in fresh.to_pylist()], num_threads=1)
             lists = pa.array([i if i else [self.space] for i in ids], pa.large_list(pa.uint16()))
             self.units, self.lists = pa.concat_arrays([self.units, fresh]), pa.concat_arrays([self.lists, lists])
-            at = pc.index_in(units, value_set=self.units)
         found = self.lists.take(at)
         total = np.append(0, np.cumsum(np.asarray(pc.list_value_length(found))))
         return found.flatten(), total[np.searchsorted(begin, off)]
 
 
-_LOADED: dict[tuple[str, str], tuple[Encoder, pa.Array, Pieces]] = {}
+_LOADED: dict[tuple[str, str], tuple[Encoder, pa.Array, Pieces, pa.Array]] = {}
 
 
-def _loaded(a_path: str, b_path: str) -> tuple[Encoder, pa.Array, Pieces]:
+def _loaded(a_path: str, b_path: str) -> tuple[Encoder, pa.Array, Pieces, pa.Array]:
+    """A's encoder, the bytes of its ids, B's pieces, and ids as decimal text."""
     if (a_path, b_path) not in _LOADED:
         enc = encoder(a_path)
-        _LOADED[a_path, b_path] = enc, byte_level_bytes(enc), Pieces(b_path)
+        _LOADED[a_path, b_path] = enc, byte_level_bytes(enc), Pieces(b_path), pa.array(range(1 << _ID_BITS)).cast(pa.large_string())
     return _LOADED[a_path, b_path]
 
 
@@ -141,7 +147,7 @@ def _ends(lists: pa.Array, size_of: pa.Array) -> pa.Table:
 
 def aligned(text: pa.Array, a_path: str, b_path: str) -> tuple[pa.Table, pa.Table]:
     """A block of texts as (n_a, n_b, n_groups, n_links, groups_sha256), a row each, and (doc, pair) of the links; pair: the B id, then 16 bits of the A id."""
-    enc, a_bytes, pieces = _loaded(a_path, b_path)
+    enc, a_bytes, pieces, decimal = _loaded(a_path, b_path)
     data, off = text_bytes(text)
     data, off = np.insert(data, off[:-1], np.uint8(0x20)), off + np.arange(len(off))
     spaced = pa.Array.from_buffers(pa.large_string(), len(text), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
@@ -162,7 +168,7 @@ def aligned(text: pa.Array, a_path: str, b_path: str) -> tuple[pa.Table, pa.Tabl
 
     def groups(table: pa.Table, at: str) -> pa.Array:
         """The ids of each group, joined by commas: groups end where both tokenizers' tokens do."""
-        digits = pa.array([str(i) for i in range(1 << _ID_BITS)], pa.large_string()).take(table.column("id").combine_chunks())
+        digits = decimal.take(table.column("id").combine_chunks())
         cuts = pa.array(np.append(0, np.asarray(met.column(at)) + 1))
         return pc.binary_join(pa.LargeListArray.from_arrays(cuts, digits), _COMMA)
 
@@ -181,44 +187,51 @@ def aligned(text: pa.Array, a_path: str, b_path: str) -> tuple[pa.Table, pa.Tabl
     return pa.table(out | {"groups_sha256": pa.array(sha, pa.string())}), pa.table({"doc": pa.array(row).take(met.column("doc").combine_chunks()), "pair": pair.combine_chunks()})
 
 
-def _counted(held: list[pa.Table]) -> pa.Table:
-    """Partial counts (pair, times) of some tables of partial counts."""
-    got = pa.concat_tables(held).group_by("pair", use_threads=False).aggregate([("times", "sum")])
-    return got.rename_columns(["pair", "times"])
+def _unit_row(unit: int, n_docs: int, held: list[pa.Table]) -> pa.RecordBatch:
+    """A unit's row from its documents' partial counts (at, pair, times)."""
+    links = pa.concat_tables(held)
+    counts = links.group_by("pair", use_threads=False).aggregate([("times", "sum")]).sort_by("pair")
+    pairs = counts.column("pair").to_numpy()
+    doc, place, times = links.column("at").to_numpy(), np.searchsorted(pairs, links.column("pair").to_numpy()), links.column("times").to_numpy()
+    order = np.lexsort((place, doc))
+    sizes = np.bincount(doc, minlength=n_docs)
+    parts = [pack(sizes.astype("<u4")), pack(np.diff(place[order], prepend=0).astype("<i4")), pack(times[order].astype("<u4"))]
+    head = np.array([len(x) for x in parts[:2]], "<i8").tobytes()
+    row = {c: None for c in _SCHEMA.names} | {"unit": unit, "at": -1, "links": head + b"".join(parts), "pairs": pairs, "times": counts.column("times_sum").to_numpy()}
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row.values(), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def documents_and_counts(docs: DataFrame, a_path: str, b_path: str, unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """A row for each document, with its unit and its links packed, and one for each unit, with its pairs and how often they are linked."""
+def _unit_links(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document, the place among the unit's pairs, and the number of each document's links."""
+    a, b = np.cumsum(np.frombuffer(blob, "<i8", 2)) + 16
+    sizes, gaps, times = unpack(blob[16:a], "<u4"), unpack(blob[a:b], "<i4"), unpack(blob[b:], "<u4")
+    return np.repeat(np.arange(len(sizes)), sizes), np.cumsum(gaps, dtype=np.int64), times.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 32
-        unit, size, held = base, 0, []
+def documents_and_units(docs: DataFrame, a_path: str, b_path: str, unit_bytes: int | None = None) -> DataFrame:
+    """A row for each document, and one for each unit of documents with its links and partial counts."""
+    limit = unit_bytes or UNIT_BYTES
 
-        def counts() -> pa.RecordBatch:
-            got = _counted(held)
-            row = {c: None for c in _SCHEMA.names} | {"unit": unit, "pairs": got.column("pair").to_numpy(), "times": got.column("times").to_numpy()}
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row.values(), _SCHEMA, strict=True)], schema=_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        unit, size, n, held = TaskContext.get().partitionId() << 32, 0, 0, []
         for batch in batches:
             for x, y in blocks(batch.column("text")):
                 part = batch.slice(x, y - x)
                 rows, links = aligned(part.column("text"), a_path, b_path)
-                held.append(links.group_by("pair", use_threads=False).aggregate([("pair", "count")]).rename_columns(["pair", "times"]))
-                ends = np.searchsorted(np.asarray(links.column("doc")), np.arange(len(part) + 1))
-                pair = np.asarray(links.column("pair")).astype("<u4")
-                packed = [pack(pair[p:q]) for p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                none = pa.nulls(len(part), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), unit)), part.column("doc_id").cast(pa.int64()), *(rows.column(c).combine_chunks() for c in rows.column_names), pa.array(packed, pa.binary()), none, none], schema=_SCHEMA)
-                size += part.column("text").nbytes
-                if len(held) > 8:
-                    held = [_counted(held)]
-                if size >= unit_bytes:
-                    yield counts()
-                    unit, size, held = unit + 1, 0, []
+                counts = links.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
+                at = np.arange(n, n + len(part))
+                held.append(pa.table({"at": pc.add(counts.column("doc"), n), "pair": counts.column("pair"), "times": counts.column("count_all")}))
+                none = [pa.nulls(len(part), f.type) for f in _SCHEMA][-3:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), unit)), pa.array(at), part.column("doc_id").cast(pa.int64()), *(rows.column(c).combine_chunks() for c in rows.column_names), *none], schema=_SCHEMA)
+                size, n = size + part.column("text").nbytes, n + len(part)
+                if size >= limit:
+                    yield _unit_row(unit, n, held)
+                    unit, size, n, held = unit + 1, 0, 0, []
         if held:
-            yield counts()
+            yield _unit_row(unit, n, held)
+        held.clear()
         _LOADED.clear()
         settle()
 
@@ -233,24 +246,23 @@ def pair_counts(parts: DataFrame) -> DataFrame:
 
 
 def _score(rows: pa.Table, known: pa.Table) -> pa.Table:
-    """Documents of a unit with n_best and count_sum: their links joined to the unit's pairs."""
+    """A unit's documents with n_best and count_sum, from the corpus-wide counts of its pairs."""
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    links = [unpack(x, "<u4") for x in rows.column("links").to_pylist()]
-    doc = pa.array(np.repeat(np.arange(len(links)), [len(x) for x in links]))
-    table = pa.table({"doc": doc, "pair": pa.array(np.concatenate([np.zeros(0, "<u4"), *links]).astype(np.int64))})
-    known = known.select(["pair", "times", "best"]).set_column(2, "best", known.column("best").cast(pa.int64()))
-    sums = table.join(known, "pair", join_type="inner", use_threads=False).group_by("doc", use_threads=False).aggregate([("times", "sum"), ("best", "sum")])
-    out = {c: np.zeros(len(rows), np.int64) for c in ("best_sum", "times_sum")}
-    for c, x in out.items():
-        x[np.asarray(sums.column("doc"))] = np.asarray(sums.column(c))
-    return pa.table([*(rows.column(c) for c in names), pa.array(out["best_sum"]), pa.array(out["times_sum"])], [*names, "n_best", "count_sum"])
+    docs = rows.filter(pc.greater_equal(rows.column("at"), 0)).sort_by("at")
+    blob = rows.filter(pc.less(rows.column("at"), 0)).column("links")[0].as_py()
+    doc, place, times = _unit_links(blob)
+    known = known.sort_by("pair")
+    count, best = known.column("times").to_numpy(), known.column("best").to_numpy()
+    sums = [np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)]
+    for out, x in zip(sums, (best[place] * times, count[place] * times), strict=True):
+        np.add.at(out, doc, x)
+    return pa.table([*(docs.column(c) for c in names), *map(pa.array, sums)], [*names, "n_best", "count_sum"])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each document."""
-    rows = stored(documents_and_counts(docs, a_path, b_path), "aligned")
-    parts = rows.where("pairs is not null").select("unit", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("unit", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+    rows = stored(documents_and_units(docs, a_path, b_path), "aligned", compression="zstd")
+    parts = rows.where("at < 0").select("unit", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("unit", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     known = parts.select(F.col("unit").alias("of"), "pair").join(stored(pair_counts(parts), "pairs"), "pair")
-    own = rows.where("pairs is null").select("unit", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
-    scored = own.groupBy("unit").cogroup(known.groupBy("of")).applyInArrow(settled_pair(_score), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
+    scored = rows.drop("pairs", "times").groupBy("unit").cogroup(known.groupBy("of")).applyInArrow(settled_pair(_score), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

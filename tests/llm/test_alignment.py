@@ -88,7 +88,6 @@ def test_units_of_any_size(spark, monkeypatch):
     """Counts are of all units: many small ones give what one gives."""
     rows = [(i, f"the {i % 7} words of text {i} stand here, and the words stand there") for i in range(200)]
     monkeypatch.setattr("gavel.llm.alignment.UNIT_BYTES", 300)
-    monkeypatch.setattr("gavel.llm.alignment.documents_and_counts.__defaults__", (300,))
     assert rows_of(align(shape(spark, rows).repartition(5), A, B)) == sorted(brute(rows), key=str)
 
 
