@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.columns import col, ratio, uniform
 from gavel.operators.market import as_arrays, interpolate, with_market
+from gavel.operators.order import add_place
 from gavel.sources.logs import kept
 
 CPC = 200_000.0
@@ -246,31 +247,41 @@ def throttle(df: DataFrame, budget: float, seed: int = 5) -> DataFrame:
     return df.withColumn("joins", F.when(over, (uniform("bidid", seed) > 1 - ideal / rate).cast("int")).otherwise(1))
 
 
-def paced_auction(df: DataFrame, ideal: dict[int, float], budget: float, kp: float = 0.3, ki: float = 0.05, kd: float = 0.1) -> DataFrame:
+#: Bids of one block of a campaign day's hour, in the order of bidid.
+PACE_BLOCK = 10_000
+
+
+def paced_auction(df: DataFrame, ideal: dict[int, float], budget: float, kp: float = 0.3, ki: float = 0.05, kd: float = 0.1, block: int = PACE_BLOCK) -> DataFrame:
     """Bid-level replay of each (advertiser, day): hourly multipliers on bids, first price, stop at the budget.
 
-    Each hour's multiplier needs the spend before it, so a campaign day is one sequence; campaign days run side by side.
+    An hour's multiplier needs the spend before it, so there is a round for each hour, of all campaign days at once.
+    Within the hour it is fixed, and what still fits the budget is a running sum in the order of bidid. Bids are cut
+    into blocks of that order beforehand; a round sums blocks, cumulates the sums, and takes blocks whole except for
+    the one of a campaign day in which the budget ends, whose bids are cumulated one by one.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hour", "bidid"])
-        spent = integral = prev = 0.0
-        wins = clicks = 0
-        for hour in range(24):
-            part = pdf[pdf["hour"] == hour]
-            error = ideal[hour] - spent
-            integral += error
-            m = min(max(1 + (kp * error + ki * integral + kd * (error - prev)) / max(0.1 * budget, 1.0), 0.3), 2.0)
-            prev = error
-            bid = np.minimum(part["v"].to_numpy() * m, MAX_BID)
-            hit = bid >= part["payprice"].to_numpy()
-            cost = np.cumsum(np.where(hit, bid, 0.0))
-            take = hit & (spent + cost <= budget)
-            spent += float(bid[take].sum())
-            wins, clicks = wins + int(take.sum()), clicks + int(part["click"].to_numpy()[take].sum())
-        return pd.DataFrame({"advertiser": [pdf["advertiser"].iloc[0]], "day": [pdf["day"].iloc[0]], "spent": [spent], "wins": [wins], "clicks": [clicks]})
-
-    return df.select("advertiser", "day", "hour", "bidid", "v", "payprice", "click").groupBy("advertiser", "day").applyInPandas(run, "advertiser int, day long, spent double, wins long, clicks long")
+    key = ["advertiser", "day"]
+    rows = add_place(df.select(*key, "hour", "bidid", "v", "payprice", "click"), [*key, "hour", "bidid"])
+    rows = kept(rows.withColumn("block", F.floor(F.col("_at") / block)).drop("_at"), "auction", "hour")
+    none = {c: F.lit(0.0) for c in ("spent", "integral", "prev")} | {c: F.lit(0).cast("long") for c in ("wins", "clicks")}
+    state = kept(rows.select(*key).distinct().withColumns(none), "pace")
+    for hour in range(24):
+        error = F.lit(float(ideal[hour])) - F.col("spent")
+        m = 1 + (kp * error + ki * (F.col("integral") + error) + kd * (error - F.col("prev"))) / max(0.1 * budget, 1.0)
+        now = state.select(*key, "spent", "wins", "clicks", (F.col("integral") + error).alias("integral"), error.alias("prev"), F.least(F.greatest(m, F.lit(0.3)), F.lit(2.0)).alias("m"))
+        bid = F.least(F.col("v") * F.col("m"), F.lit(MAX_BID))
+        hits = rows.where(F.col("hour") == hour).join(now.select(*key, "spent", "m"), key).withColumn("bid", bid).where("bid >= payprice")
+        sums = hits.groupBy(*key, "block").agg(F.sum("bid").alias("s"), F.count("*").alias("n"), F.sum("click").alias("c"), F.first("spent").alias("spent"))
+        before = F.col("spent") + F.coalesce(F.sum("s").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        sums = sums.withColumn("base", before)
+        whole = sums.where(F.col("base") + F.col("s") <= budget).select(*key, "s", "n", "c")
+        ends = sums.where((F.col("base") <= budget) & (F.col("base") + F.col("s") > budget)).select(*key, "block", "base")
+        inside = Window.partitionBy(*key, "block").orderBy("bidid").rowsBetween(Window.unboundedPreceding, 0)
+        part = hits.join(ends, [*key, "block"]).withColumn("cum", F.col("base") + F.sum("bid").over(inside)).where(F.col("cum") <= budget)
+        taken = whole.unionByName(part.select(*key, F.col("bid").alias("s"), F.lit(1).cast("long").alias("n"), F.col("click").cast("long").alias("c")))
+        taken = taken.groupBy(*key).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+        add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        state = kept(now.join(taken, key, "left").select(*key, add("spent", "s"), "integral", "prev", add("wins", "n"), add("clicks", "c")), "pace")
+    return state.select(*key, "spent", "wins", "clicks")
 
 
 def hour_greedy(df: DataFrame, shares: DataFrame, budgets: list[float]) -> DataFrame:

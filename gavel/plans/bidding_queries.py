@@ -296,7 +296,21 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(b.throttle(rows, BUDGET).groupBy("advertiser", "hour").agg(F.count("*").alias("n"), F.sum("joins").alias("joined")))
 
 
-@query("g6_paced_auction")
+def _paced_sql(kp: float = 0.3, ki: float = 0.05, kd: float = 0.1) -> str:
+    """The replay hour by hour: a state of each campaign day before each hour."""
+    sql = f""", dm AS (SELECT advertiser, CAST(floor(day / 100) AS BIGINT) AS day, hour, bidid, p_a * {CPC} AS v, payprice, click FROM bids WHERE win = 1 AND payprice > 0),
+il AS (SELECT i AS hour, {BUDGET} * sum(raw) OVER (ORDER BY i) / sum(raw) OVER () AS ideal FROM (SELECT i, CASE WHEN count(bidid) > 0 THEN CAST(count(bidid) AS DOUBLE) ELSE 0.2 END AS raw FROM range(24) r(i) LEFT JOIN dm ON dm.hour = i GROUP BY 1)),
+st0 AS (SELECT DISTINCT advertiser, day, CAST(0 AS DOUBLE) AS spent, CAST(0 AS DOUBLE) AS integral, CAST(0 AS DOUBLE) AS prev, CAST(0 AS BIGINT) AS wins, CAST(0 AS BIGINT) AS clicks FROM dm)"""
+    for h in range(24):
+        sql += f""", e{h} AS (SELECT st{h}.*, ideal - spent AS error FROM st{h}, il WHERE hour = {h}),
+m{h} AS MATERIALIZED (SELECT advertiser, day, spent, wins, clicks, integral + error AS integral, error AS prev, least(greatest(1 + ({kp} * error + {ki} * (integral + error) + {kd} * (error - prev)) / {max(0.1 * BUDGET, 1.0)}, 0.3), 2.0) AS m FROM e{h}),
+x{h} AS (SELECT advertiser, day, click, spent, least(v * m, 300.0) AS bid, sum(least(v * m, 300.0)) OVER (PARTITION BY advertiser, day ORDER BY bidid ROWS UNBOUNDED PRECEDING) AS cum FROM dm JOIN m{h} USING (advertiser, day) WHERE hour = {h} AND least(v * m, 300.0) >= payprice),
+t{h} AS (SELECT advertiser, day, sum(bid) AS s, count(*) AS n, sum(click) AS c FROM x{h} WHERE spent + cum <= {BUDGET} GROUP BY 1, 2),
+st{h + 1} AS MATERIALIZED (SELECT advertiser, day, spent + coalesce(s, 0) AS spent, integral, prev, wins + coalesce(n, 0) AS wins, clicks + coalesce(c, 0) AS clicks FROM m{h} LEFT JOIN t{h} USING (advertiser, day))"""
+    return f"{sql} SELECT advertiser, day, round(spent, 4) AS spent, CAST(wins AS BIGINT) AS wins, CAST(clicks AS BIGINT) AS clicks FROM st24"
+
+
+@query("g6_paced_auction", _paced_sql())
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = b.won_only(_days(spark, sf_dir)).withColumn("v", b.value("p_a", CPC))
     ideal = {r["hour"]: r["ideal"] for r in b.ideal_spend(b.hourly_weights(df), BUDGET).collect()}  # 24 rows

@@ -27,13 +27,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df's rows, written to the shared folder and read back: for small results that a plan uses several times.
+def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df's rows, written to the shared folder (partitioned by some columns) and read back: for results that a plan uses several times.
 
     Their plan is a scan whose size Spark knows, so that a join broadcasts them only where they are small.
     """
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
