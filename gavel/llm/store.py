@@ -43,10 +43,17 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """How many partitions to deal df into: at least the session's, at most `bytes_each` of its estimated size each."""
+    """How many partitions to deal df into: at least the session's, at most `bytes_each` of its size each.
+
+    The size is the plan's estimate. A plan that has none multiplies Spark's stand-in for unknown sizes, or sizes of
+    inputs with each other; from a petabyte on the rows' own texts are counted instead, whatever the reason.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, -(-size // bytes_each)) if size < 1 << 50 else least
+    if size >= 1 << 50:
+        text = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in df.columns else F.lit(0)
+        size = int(df.agg(F.sum(text + 8 * len(df.columns))).first()[0] or 0)
+    return max(least, -(-size // bytes_each))
 
 
 def document_chunk(n: int) -> Column:

@@ -33,3 +33,15 @@ def test_every_key_is_answered(spark, direct, bits):
     for c in keys:
         want = [10 * min(20, sum(k in keys[o] for o in keys)) + max(weight[o][keys[o] == k].max() for o in keys if k in keys[o]) for k in keys[c]]
         assert joined_answers(got.take(np.flatnonzero(chunk == c))).tolist() == want
+
+
+def test_width_follows_the_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from gavel.llm.store import width
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(3000).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    unknown = spark.createDataFrame(df.rdd, df.schema)  # its plan has no size
+    assert width(unknown, 30_000) == -(-3000 * 1008 // 30_000) and width(unknown) == least
+    assert width(unknown.where("1 = 0"), 1) == least
