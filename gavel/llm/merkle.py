@@ -147,7 +147,15 @@ def manifest(rows: DataFrame, arity: int = ARITY, fields: tuple[str, ...] = FIEL
     upper, root = climb(subroots.select(top, F.col("tree").alias("idx"), F.lit(subroots.count()).cast("long").alias("n"), "h"), arity)
     over = descend(upper, root.select("tree", F.array().cast(_PATH).alias("path")), arity).select(F.col("idx").alias("tree"), "path")
     above = stored(over.join(subroots.withColumnRenamed("h", "subroot"), "tree"), "above")
-    joined = found.join(descend(levels, above, arity), ["tree", "idx"])
+    # Rows meet their own siblings first, and the long paths of their parents, 1/arity as many, last.
+    none = F.array().cast(_PATH)
+    if levels:
+        own = levels[0].select("tree", "idx", F.array(F.struct("before", "after")).cast(_PATH).alias("own"))
+        found = found.join(own, ["tree", "idx"], "left").withColumn("own", F.coalesce("own", none))
+    else:
+        found = found.withColumn("own", none)
+    up = descend(levels[1:], above, arity).withColumnRenamed("idx", "up")
+    joined = found.withColumn("up", F.floor(F.col("idx") / arity).cast("long")).join(up, ["tree", "up"]).withColumn("path", F.concat("own", "path"))
     return joined.crossJoin(F.broadcast(root.select(F.col("h").alias("root")))).select("doc_id", "lang", "idx", "leaf", "tampered_leaf", "subroot", "root", "path")  # one root
 
 
