@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.columns import cross_entropy, fold
+from gavel.operators import monotone
 from gavel.operators.features import bin_right_closed, quantile_edges
 from gavel.operators.order import quantiles
+from gavel.sources.logs import kept
 
 _RANGES = 4096
 
@@ -138,70 +138,49 @@ def by_group(df: DataFrame, key: str, y: str = "click", p: str = "p") -> DataFra
     return df.groupBy(key).agg(F.count("*").alias("n"), ieb(y, p).alias("ieb"), rel_bias(y, p).alias("rel_bias")).join(auc(df, key, y=y, p=p), key)
 
 
-def isotonic(train: DataFrame, df: DataFrame, y: str = "click", p: str = "p", out: str = "calibrated", weight: str | None = None) -> DataFrame:
-    """A monotone map fitted on train and applied to df, clipped outside train's scores.
+def _cells(df: DataFrame, y: str, p: str, weight: str | None, *keys: str) -> DataFrame:
+    """Sums of labels and weights of each score."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    return df.groupBy(*keys, F.col(p).alias("x")).agg(F.sum(F.col(y) * w).alias("s"), F.sum(w).alias("w"))
 
-    Scores are counted first; Spark pools adjacent ones inside ranges before it pools the ranges' blocks, so what meets
-    in one place are the blocks of the ranges, not the rows or scores.
-    """
-    from pyspark.ml.regression import IsotonicRegression
 
-    cells = train.groupBy(F.col(p).alias("_x")).agg((F.sum(F.col(y) * F.col(weight)) / F.sum(weight) if weight else F.avg(F.col(y).cast("double"))).alias("_y"), (F.sum(weight) if weight else F.count("*")).cast("double").alias("_w"))
-    model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol=out).fit(cells)
-    return model.transform(df.withColumn("_x", F.col(p))).drop("_x")
+def _other_folds(cells: DataFrame, k: int, *keys: str) -> DataFrame:
+    """Cells by fold `_f` as the cells that each fold's map is fitted on: those of all other folds."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col("_f"))
+    return cells.withColumn("_f", F.explode(others)).groupBy(*keys, "_f", "x").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+
+
+def isotonic(train: DataFrame, df: DataFrame, y: str = "click", p: str = "p", out: str = "calibrated", weight: str | None = None) -> DataFrame:
+    """A monotone map fitted on train and applied to df, clipped outside train's scores."""
+    return monotone.mapped(df, p, monotone.blocks(_cells(train, y, p, weight), []), [], out)
 
 
 def cross_fit(df: DataFrame, k: int = 5, y: str = "click", p: str = "p", key: str = "bidid") -> DataFrame:
-    """Each fold gets the map of the other folds."""
+    """Each fold gets the map of the other folds; the k maps are fitted in one pass."""
     df = df.withColumn("_f", fold(key, k))
-    parts = [isotonic(df.where(F.col("_f") != i), df.where(F.col("_f") == i), y, p) for i in range(k)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.drop("_f")
+    fitted = monotone.blocks(_other_folds(_cells(df, y, p, None, "_f"), k), ["_f"])
+    return monotone.mapped(df, p, fitted, ["_f"], "calibrated").drop("_f")
 
 
 def averaged_maps(train: DataFrame, df: DataFrame, k: int = 5, y: str = "click", p: str = "p", key: str = "bidid") -> DataFrame:
     """The mean of k out-of-fold maps, applied to all rows."""
-    train = train.withColumn("_f", fold(key, k))
-    for i in range(k):
-        df = isotonic(train.where(F.col("_f") != i), df, y, p, f"_c{i}")
-    return df.withColumn("calibrated", sum((F.col(f"_c{i}") for i in range(k)), F.lit(0.0)) / k).drop(*[f"_c{i}" for i in range(k)])
-
-
-def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Monotone fit of weighted means at ascending x."""
-    level: list[list[float]] = []
-    for v, n in zip(y, w, strict=True):
-        level.append([v, n, 1])
-        while len(level) > 1 and level[-2][0] >= level[-1][0]:
-            b, a = level.pop(), level.pop()
-            level.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-    return np.repeat([v[0] for v in level], [int(v[2]) for v in level])
+    fitted = monotone.blocks(_other_folds(_cells(train.withColumn("_f", fold(key, k)), y, p, None, "_f"), k), ["_f"])
+    points = df.select(F.col(p).alias("x")).distinct().withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    means = kept(monotone.values(points, fitted, ["_f"]).groupBy(F.col("x").alias("_x")).agg((F.sum("g") / k).alias("calibrated")), "maps")
+    return df.join(means, F.col(p) == F.col("_x"), "left").drop("_x")
 
 
 def segment_cross_fit(df: DataFrame, segment: str, k: int = 5, least: int = 50, y: str = "click", p: str = "p", key: str = "bidid") -> DataFrame:
     """Cross-fitted maps by segment where the other folds have `least` positives, else the global map's value.
 
-    Maps are fitted on counts of (segment, fold, score), in score cells of 1e-4, so a task's table is bounded.
+    The segments' maps are fitted on score cells of 1e-4, all in one pass.
     """
     df = df.withColumns({"_f": fold(key, k), "_x": F.bround(F.col(p), 4)})
-    whole = cross_fit(df, k, y, p, key)
-    cells = df.groupBy(segment, "_f", "_x").agg(F.sum(y).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for i in range(k):
-            train = pdf[pdf["_f"] != i].groupby("_x")[["s", "n"]].sum().reset_index()
-            mine = np.sort(pdf.loc[pdf["_f"] == i, "_x"].unique())
-            if train["s"].sum() >= least and len(mine):
-                fitted = pool_adjacent(train["_x"].to_numpy(), (train["s"] / train["n"]).to_numpy(), train["n"].to_numpy())
-                rows.append(pd.DataFrame({segment: pdf[segment].iloc[0], "_f": i, "_x": mine, "own": np.interp(mine, train["_x"], fitted)}))
-        return pd.concat(rows) if rows else pd.DataFrame({segment: pd.Series(dtype="int32"), "_f": pd.Series(dtype="int32"), "_x": pd.Series(dtype="float64"), "own": pd.Series(dtype="float64")})
-
-    maps = cells.groupBy(segment).applyInPandas(fit, f"{segment} {dict(df.dtypes)[segment]}, _f int, _x double, own double")
-    out = whole.withColumns({"_f": fold(key, k), "_x": F.bround(F.col(p), 4)}).join(maps, [segment, "_f", "_x"], "left")
-    return out.withColumn("calibrated", F.coalesce("own", "calibrated")).drop("own", "_f", "_x")
+    train = _other_folds(_cells(df, y, "_x", None, segment, "_f"), k, segment)
+    enough = train.groupBy(segment, "_f").agg(F.sum("s").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    fitted = monotone.blocks(train.join(enough, [segment, "_f"]), [segment, "_f"])
+    own = monotone.mapped(cross_fit(df.drop("_f"), k, y, p, key).withColumn("_f", fold(key, k)), "_x", fitted, [segment, "_f"], "own")
+    return own.withColumn("calibrated", F.coalesce("own", "calibrated")).drop("own", "_f", "_x")
 
 
 def feature_ranks(df: DataFrame, p: str, features: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions import tails
 from gavel.functions.columns import hash_bucket, wilson
-from gavel.operators import bidding, effects, explore, features, market, metrics
+from gavel.operators import bidding, effects, explore, features, market, metrics, monotone
 
 
 def scored(spark, pairs):
@@ -152,8 +152,10 @@ def test_parse_tags(spark):
 
 
 def test_pool_adjacent():
-    got = metrics.pool_adjacent(np.arange(4.0), np.array([1.0, 3.0, 2.0, 4.0]), np.ones(4))
-    assert got.tolist() == [1.0, 2.5, 2.5, 4.0]
+    held = monotone.Stack()
+    for x, y in zip(np.arange(4.0), [1.0, 3.0, 2.0, 4.0], strict=True):
+        held.push(x, x, y, 1.0)
+    assert [(lo, hi, s / w) for lo, hi, s, w in held.blocks] == [(0.0, 0.0, 1.0), (1.0, 2.0, 2.5), (3.0, 3.0, 4.0)]
 
 
 def test_bootstrap(spark):
