@@ -40,9 +40,9 @@ from gavel.llm.tokens import Encoder, encoder
 from gavel.llm.words import blocks, text_bytes
 
 #: Text whose links are counted together before Spark sees them.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 6 << 20
 #: Bytes of units of text, and number of them, whose pieces a worker keeps.
-_KEEP_BYTES, _KEEP_UNITS = 16 << 20, 300_000
+_KEEP_BYTES, _KEEP_UNITS = 8 << 20, 200_000
 _MARK = "▁"
 _COMMA, _BAR, _SEMICOLON = (pa.scalar(x, pa.large_string()) for x in ",|;")
 _ID_BITS = 16
@@ -229,6 +229,7 @@ def documents_and_units(docs: DataFrame, a_path: str, b_path: str, unit_bytes: i
                 if size >= limit:
                     yield _unit_row(unit, n, held)
                     unit, size, n, held = unit + 1, 0, 0, []
+                    settle(forget=False)
         if held:
             yield _unit_row(unit, n, held)
         held.clear()
