@@ -105,9 +105,10 @@ def strategies(df: DataFrame, model: DataFrame, overall: DataFrame, key: str = "
     opt = best_bid(v)
     dual, regime = dual_regime(v, F.col("slotprice"), opt0)
     rows = [("flat", F.col("bidprice").cast("double"), F.lit(0)), ("truthful", low, F.lit(0)), ("linear_80", linear_bid(v, 0.8), F.lit(0)), ("linear_60", linear_bid(v, 0.6), F.lit(0)), ("optimal", opt0, F.lit(0)), ("optimal_exchange", opt, F.lit(0)), ("dual_regime", dual, regime)]
+    # Each strategy's chance is looked up where the curves still are; what the explode copies are numbers.
     parts = F.array(*[F.struct(F.lit(n).alias("strategy"), b.cast("double").alias("bid"), r.alias("regime")) for n, b, r in rows])
-    out = out.withColumn("_s", F.explode(parts)).select("*", "_s.*").drop("_s", "breaks", "best", "breaks0", "best0")
-    return out.withColumn("win_prob", interpolate("cdf_grid", F.col("bid"))).drop("cdf_grid")
+    chances = F.transform(parts, lambda x: F.struct(x["strategy"].alias("strategy"), x["bid"].alias("bid"), x["regime"].alias("regime"), interpolate("cdf_grid", x["bid"]).alias("win_prob")))
+    return out.select(*[F.col(c) for c in df.columns], chances.alias("_s")).withColumn("_s", F.explode("_s")).select(*df.columns, "_s.*")
 
 
 def settle(df: DataFrame, second_price: bool, price: str = "payprice") -> DataFrame:
@@ -163,6 +164,40 @@ def regret(surplus: DataFrame, key: str, oracle: str, biased: str, debiased: str
     return wide.select(key, r(biased).alias("regret_biased"), r(debiased).alias("regret_debiased"), (100 * (r(biased) - r(debiased))).alias("edge"))
 
 
+#: Where a uniform number passes to the next count of a Poisson draw of mean 1.
+POISSON_EDGES = [float(x) for x in np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) if k else np.exp(-1.0) for k in range(8)])]
+
+
+def replicate_sums(df: DataFrame, a: str, b: str, draws: int = 500, seed: int = 7, key: str = "bidid") -> DataFrame:
+    """(rep, gap): Poisson bootstrap sums of a - b, exact for every row.
+
+    A row's weight in a replicate is a Poisson draw made of its key's hash and the replicate's number. A task folds its
+    rows into one array of `draws` sums, and Spark adds the arrays up: no row leaves its task.
+    """
+    edges = np.array(POISSON_EDGES)
+    salts = np.random.default_rng(seed).integers(1, 1 << 63, draws, dtype=np.uint64)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(draws)
+        for pdf in frames:
+            d, h = pdf["d"].to_numpy(float), pdf["h"].to_numpy(np.int64).view(np.uint64)
+            for at in range(0, len(d), 2_000):
+                x = h[at : at + 2_000, None] ^ salts
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = (x >> np.uint64(11)).astype(float) / float(1 << 53)
+                total += d[at : at + 2_000] @ np.searchsorted(edges, u, "right")
+        yield pd.DataFrame({"rep": np.arange(draws), "gap": total})
+
+    d = df.select((F.col(a) - F.col(b)).cast("double").alias("d"), F.xxhash64(key, F.lit(seed)).alias("h")).where("d is not null")
+    return d.mapInPandas(fold, "rep long, gap double").groupBy("rep").agg(F.sum("gap").alias("gap"))
+
+
+def replicate_interval(reps: DataFrame) -> DataFrame:
+    """95 % interval, share of positive gaps and standard error of replicates (a row each)."""
+    return reps.agg(F.percentile("gap", F.lit(0.025)).alias("ci_lo"), F.percentile("gap", F.lit(0.975)).alias("ci_hi"), F.avg((F.col("gap") > 0).cast("int")).alias("p_positive"), F.stddev_samp("gap").alias("se"))
+
+
 def _replicates(sampler, draws: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -186,16 +221,16 @@ def paired_bootstrap(df: DataFrame, a: str, b: str, draws: int = 1000, seed: int
         return float((rng.poisson(1.0, len(top)) * top).sum() + rest + spread * rng.standard_normal())
 
     reps = df.sparkSession.range(draws).mapInPandas(_replicates(sampler, draws, seed), "rep long, gap double")
-    return reps.agg(F.percentile("gap", F.lit(0.025)).alias("ci_lo"), F.percentile("gap", F.lit(0.975)).alias("ci_hi"), F.avg((F.col("gap") > 0).cast("int")).alias("p_positive"), F.stddev_samp("gap").alias("se")).withColumn("gap", F.lit(float(total["s"] or 0)))
+    return replicate_interval(reps).withColumn("gap", F.lit(float(total["s"] or 0)))
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """Bootstrap over clusters: Spark sums each cluster, replicates weigh clusters by Poisson draws that are a function of (replicate, cluster)."""
+    """Bootstrap over clusters: Spark sums each cluster, replicates weigh clusters, which are whole numbers below 2^20, by Poisson draws that are a function of (replicate, cluster)."""
     sums = df.groupBy(cluster).agg(F.sum(F.col(a) - F.col(b)).alias("d"))
     reps = df.sparkSession.range(draws).withColumnRenamed("id", "rep").crossJoin(F.broadcast(sums))  # clusters are few: advertisers
-    u = F.pmod(F.xxhash64("rep", F.col(cluster), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    edges = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) if k else np.exp(-1.0) for k in range(8)])
-    weight = sum(((u >= float(e)).cast("int") for e in edges), F.lit(0))
+    unit = F.col("rep") * (1 << 20) + F.col(cluster).cast("long")
+    u = F.pmod(F.xxhash64(unit, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    weight = sum(((u >= e).cast("int") for e in POISSON_EDGES), F.lit(0))
     g = reps.groupBy("rep").agg(F.sum(weight * F.col("d")).alias("gap"))
     return g.agg(F.percentile("gap", F.lit(0.025)).alias("ci_lo"), F.percentile("gap", F.lit(0.975)).alias("ci_hi"), F.avg((F.col("gap") > 0).cast("int")).alias("p_positive")).crossJoin(sums.agg(F.sum("d").alias("gap"), F.count("*").alias("n_clusters")))
 

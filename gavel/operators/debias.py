@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.columns import cross_entropy, effect_label, fold
@@ -11,6 +13,7 @@ from gavel.operators import metrics
 from gavel.operators.explore import ks
 from gavel.operators.features import bin_right_closed, quantile_edges
 from gavel.operators.order import add_sums_before
+from gavel.sources.logs import kept
 
 FEATURES = ["slotprice", "bidprice", "hour", "region", "slotwidth", "slotheight"]
 
@@ -21,13 +24,31 @@ def assemble(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def fit_probability(train: DataFrame, label: str, features: list[str] = FEATURES, kind: str = "linear", weight: str | None = None):
-    """A pipeline that gives `probability` of label: scaled logistic regression or boosted trees."""
+@dataclass
+class LinearProbability:
+    """A logistic regression as numbers: it scores by a column expression, whatever session or training data it comes from."""
+
+    features: list[str]
+    centre: list[float]
+    slope: list[float]  # per unit of the feature
+    intercept: float
+
+    def column(self) -> Column:
+        """The probability; a missing feature makes it NaN, as in fitted pipelines."""
+        z: Column = F.lit(self.intercept)
+        for c, m, k in zip(self.features, self.centre, self.slope, strict=True):
+            z = z + (F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) - m) * k
+        return 1 / (1 + F.exp(-z))
+
+
+def fit_pipeline(train: DataFrame, label: str, features: list[str] = FEATURES, kind: str = "linear", weight: str | None = None):
+    """A pipeline, which can be saved and loaded, that gives `probability` of label: scaled logistic regression or boosted trees."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     extra = {"weightCol": weight} if weight else {}
+    train = kept(train.select(*dict.fromkeys([*features, label, *extra.values()])), "train")  # fits read it several times
     join = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep")
     if kind == "linear":
         stages = [join, StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=25, **extra)]
@@ -36,13 +57,36 @@ def fit_probability(train: DataFrame, label: str, features: list[str] = FEATURES
     return Pipeline(stages=stages).fit(train)
 
 
+def fit_probability(train: DataFrame, label: str, features: list[str] = FEATURES, kind: str = "linear", weight: str | None = None):
+    """fit_pipeline's model; a linear one as a LinearProbability, as Spark's own drags its training session along."""
+    model = fit_pipeline(train, label, features, kind, weight)
+    if kind != "linear":
+        return model
+    _, scaler, fit = model.stages
+    spread, beta = scaler.std.toArray(), fit.coefficients.toArray()
+    slope = [float(b / s) if s else 0.0 for b, s in zip(beta, spread, strict=True)]
+    return LinearProbability(list(features), [float(m) for m in scaler.mean], slope, float(fit.intercept))
+
+
 def apply_probability(model, df: DataFrame, out: str) -> DataFrame:
+    if isinstance(model, LinearProbability):
+        return df.withColumn(out, model.column())
     from pyspark.ml.functions import vector_to_array
 
     keep = [F.col(c) for c in df.columns]
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(out))
 
 
+def importances(model, features: list[str], spread: dict[str, float]) -> list[tuple[str, float]]:
+    """How much each feature counts, in shares: split gains of trees, or slopes of a linear model in deviations of its features (`spread`)."""
+    if isinstance(model, LinearProbability):
+        raw = [abs(k) * spread[c] for c, k in zip(model.features, model.slope, strict=True)]
+    else:
+        raw = [float(x) for x in model.stages[-1].featureImportances.toArray()]
+    total = sum(raw)
+    return [(c, x / total if total else 0.0) for c, x in zip(features, raw, strict=True)]
+
+
 def cross_fit_propensity(df: DataFrame, label: str = "win", k: int = 3, features: list[str] = FEATURES, kind: str = "linear", calibrate: bool = False, out: str = "e") -> DataFrame:
     """Out-of-fold probability of winning; with calibrate, an isotonic map fitted on the other folds' scores."""
     df = df.withColumn("_f", fold("bidid", k))
@@ -177,8 +221,11 @@ def doubly_robust(df: DataFrame, p: str = "e") -> DataFrame:
     with_g = apply_probability(fit_probability(df.where("win = 1"), "click"), df, "_g")
     pseudo = F.least(F.greatest(F.col("_g") + F.col("win") / F.greatest(F.col(p), F.lit(0.05)) * (F.col("click") - F.col("_g")), F.lit(0.0)), F.lit(1.0))
     rows = assemble(with_g.withColumn("_y", pseudo))
-    model = LinearRegression(labelCol="_y", predictionCol="_dr", solver="normal").fit(rows)
-    return model.transform(rows).withColumn("p_dr", F.least(F.greatest("_dr", F.lit(0.0)), F.lit(1.0))).drop("_g", "_y", "_dr", "features")
+    model = LinearRegression(labelCol="_y", solver="normal").fit(rows)
+    value: Column = F.lit(float(model.intercept))
+    for c, k in zip(FEATURES, model.coefficients.toArray(), strict=True):
+        value = value + F.col(c) * float(k)
+    return with_g.withColumn("p_dr", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).drop("_g")
 
 
 def baselines(df: DataFrame, split: str = "split") -> DataFrame:
@@ -193,6 +240,31 @@ def baselines(df: DataFrame, split: str = "split") -> DataFrame:
     return out
 
 
+#: D16's tasks: name, label and the rows that it is fitted on.
+TASKS = (("ctr", "click", "win = 1"), ("win", "win", "1 = 1"), ("ctr_all", "click", "1 = 1"))
+
+
+def baseline_report(df: DataFrame, split: str = "split", features: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
+    """Metrics (task, model, split, M4's bundle) and importances (task, model, feature, importance, rank) of linear and tree fits on train.
+
+    The columns that the fits use are stored once; a fit reads them as often as it needs.
+    """
+    used = kept(df.select(*features, "win", "click", split), "baselines")
+    metrics_of, weights = None, []
+    for task, label, where in TASKS:
+        part = used.where(where)
+        train = part.where(F.col(split) == "train")
+        spread = train.agg(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(c) for c in features]).first().asDict()
+        for kind in ("linear", "trees"):
+            model = fit_probability(train, label, features, kind)
+            got = metrics.bundle(apply_probability(model, part, "p"), split, y=label, p="p").withColumns({"task": F.lit(task), "model": F.lit(kind)})
+            metrics_of = got if metrics_of is None else metrics_of.unionByName(got)
+            weights += [(task, kind, c, x) for c, x in importances(model, features, spread)]
+    table = df.sparkSession.createDataFrame(weights, "task string, model string, feature string, importance double")  # a row for each fit and feature
+    place = F.rank().over(Window.partitionBy("task", "model").orderBy(F.desc("importance")))
+    return metrics_of, table.withColumn("rank", place)
+
+
 def segment_weights(df: DataFrame, keys: list[str], p: str = "e") -> DataFrame:
     """Mean stabilised weight of each segment."""
     rate = df.agg(F.avg("win").alias("_r"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gavel.functions import tails
 from gavel.functions.columns import uniform
 from gavel.operators.debias import FEATURES, apply_probability, assemble, fit_probability
+from gavel.operators.order import add_place
 
 
 def varied(df: DataFrame, key: str = "advertiser", least: int = 2) -> DataFrame:
@@ -96,7 +97,7 @@ def effect_pivot(df: DataFrame, row: str = "adexchange", effect: str = "cate") -
 
 
 def dr_learner(df: DataFrame, outcome: str, features: list[str] = FEATURES) -> DataFrame:
-    """Doubly robust pseudo-outcomes with a cross-fitted propensity clipped at 0.01, regressed by trees. Honest-forest intervals are not reproduced; bootstrap the mean instead."""
+    """Doubly robust pseudo-outcomes with a cross-fitted propensity clipped at 0.01, regressed by trees. Honest-forest intervals are not reproduced; `effect_interval` gives those of means."""
     from pyspark.ml.regression import GBTRegressor
 
     df = df.withColumn("_half", (uniform("bidid", 11) < 0.5).cast("int"))
@@ -110,12 +111,38 @@ def dr_learner(df: DataFrame, outcome: str, features: list[str] = FEATURES) -> D
         parts.append(h_rows)
     rows = parts[0].unionByName(parts[1])
     e = F.least(F.greatest(F.col("_e"), F.lit(0.01)), F.lit(0.99))
-    y = F.col(outcome)
-    psi = F.col("_m1") - F.col("_m0") + F.when(F.col("arm") == 1, (y - F.col("_m1")) / e).otherwise(-(y - F.col("_m0")) / (1 - e))
-    rows = rows.withColumn("psi", psi)
+    rows = rows.withColumn("psi", pseudo_outcome(F.col(outcome), F.col("_m1"), F.col("_m0"), e))
     return GBTRegressor(labelCol="psi", predictionCol="cate", maxIter=5, maxDepth=3, seed=7).fit(rows).transform(rows).drop("_e", "_m0", "_m1", "features", "_half")
 
 
+def stratified_psi(df: DataFrame, outcome: str, stratum: str = "stratum", least: int = 5) -> DataFrame:
+    """`psi`, the doubly robust pseudo-outcome whose nuisances are the means of strata with `least` rows in each arm; rows of others go."""
+    hi, lo = F.when(F.col("arm") == 1, F.col(outcome)), F.when(F.col("arm") == 0, F.col(outcome))
+    cells = df.groupBy(stratum).agg(F.avg(hi).alias("_m1"), F.avg(lo).alias("_m0"), F.avg("arm").alias("_e"), F.count(hi).alias("_n1"), F.count(lo).alias("_n0"))
+    rows = df.join(cells.where((F.col("_n1") >= least) & (F.col("_n0") >= least)), stratum)
+    return rows.withColumn("psi", pseudo_outcome(F.col(outcome), F.col("_m1"), F.col("_m0"), F.col("_e"))).drop("_m1", "_m0", "_e", "_n1", "_n0")
+
+
+def pseudo_outcome(y: Column, m1: Column, m0: Column, e: Column) -> Column:
+    """The doubly robust pseudo-outcome of a row of column `arm`."""
+    return m1 - m0 + F.when(F.col("arm") == 1, (y - m1) / e).otherwise(-(y - m0) / (1 - e))
+
+
+def effect_interval(df: DataFrame, *keys: str, psi: str = "psi", cluster: str | None = None, z: float = 1.959964) -> DataFrame:
+    """Mean effect of pseudo-outcomes with its influence-function standard error and 95 % interval, of rows or of clusters.
+
+    An average's influence function is psi less the average, so its variance is one aggregate; with clusters it is that
+    of their sums, and rows are summed by cluster first. An interval of fewer than two units is null.
+    """
+    unit = df.where(F.col(psi).isNotNull())
+    unit = unit.groupBy(*keys, cluster).agg(F.sum(psi).alias("_s"), F.count("*").cast("double").alias("_c")) if cluster else unit.select(*keys, F.col(psi).cast("double").alias("_s"), F.lit(1.0).alias("_c"))
+    g = unit.groupBy(*keys).agg(F.sum("_c").cast("long").alias("n"), F.count("*").alias("units"), (F.sum("_s") / F.sum("_c")).alias("effect"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.sum(F.col("_s") * F.col("_c")).alias("_sc"), F.sum(F.col("_c") * F.col("_c")).alias("_cc"))
+    t = F.col("effect")
+    spread = F.greatest(F.col("_ss") - 2 * t * F.col("_sc") + t * t * F.col("_cc"), F.lit(0.0))
+    se = F.sqrt(spread * F.col("units") / F.when(F.col("units") > 1, F.col("units") - 1)) / F.col("n")
+    return g.select(*keys, "n", "units", "effect", se.alias("se"), (t - z * se).alias("ci_lo"), (t + z * se).alias("ci_hi"))
+
+
 def back_door(df: DataFrame, outcome: str, controls: list[str], treatment: str = "bidprice") -> DataFrame:
     """C11: the treatment's coefficient in a linear regression with controls, its interval, and the weighted contrast of arms."""
     from pyspark.ml.regression import LinearRegression
@@ -129,6 +156,15 @@ def back_door(df: DataFrame, outcome: str, controls: list[str], treatment: str =
     return ipw.withColumns({"beta": F.lit(beta), "ci_lo": F.lit(beta - 1.959964 * se), "ci_hi": F.lit(beta + 1.959964 * se)})
 
 
+def permuted(df: DataFrame, column: str, key: str = "bidid", seeds: tuple[int, int] = (4, 5)) -> DataFrame:
+    """df with a column's values dealt anew over the whole table: the row in k-th place by one hash gets the value of that in k-th place by another.
+
+    Both orders are ranges, so no task holds more than one range of rows.
+    """
+    placed = lambda rows, seed: add_place(rows.withColumn("_h", F.xxhash64(key, F.lit(seed))), ["_h", key], "_k").drop("_h")
+    return placed(df.drop(column), seeds[0]).join(placed(df.select(key, column), seeds[1]).select("_k", column), "_k").drop("_k")
+
+
 def refute(df: DataFrame, outcome: str, controls: list[str], treatment: str = "bidprice") -> DataFrame:
     """The coefficient again with a random control, with the treatment permuted, and on 80 % of rows; `passed` within a tenth of the effect."""
     from pyspark.ml.regression import LinearRegression
@@ -138,12 +174,7 @@ def refute(df: DataFrame, outcome: str, controls: list[str], treatment: str = "b
 
     base = beta(df, [treatment, *controls])
     noise = df.withColumn("_r", uniform("bidid", 21))
-    # A permutation by rank: the k-th row by one hash gets the treatment of the k-th by another, within 64 blocks.
-    block = F.pmod(F.xxhash64("bidid", F.lit(3)), F.lit(64))
-    at = lambda s: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("bidid", F.lit(s)), "bidid"))
-    left = df.withColumn("_b", block).withColumn("_k", at(4)).drop(treatment)
-    right = df.withColumn("_b", block).withColumn("_k", at(5)).select("_b", "_k", treatment)
-    rows = [("random_control", beta(noise, [treatment, *controls, "_r"])), ("permuted", beta(left.join(right, ["_b", "_k"]), [treatment, *controls])), ("subset", beta(df.where(uniform("bidid", 6) < 0.8), [treatment, *controls]))]
+    rows = [("random_control", beta(noise, [treatment, *controls, "_r"])), ("permuted", beta(permuted(df, treatment), [treatment, *controls])), ("subset", beta(df.where(uniform("bidid", 6) < 0.8), [treatment, *controls]))]
     found = [(n, base, b, int(abs(b) <= 0.1 * abs(base) if n == "permuted" else abs(b - base) <= 0.1 * abs(base))) for n, b in rows]
     return df.sparkSession.createDataFrame(found, "test string, effect double, again double, passed int")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.columns import guarded
 from gavel.operators.order import add_place, add_sums_before
+from gavel.sources.logs import kept
 
 
 def funnel(df: DataFrame, *keys: str) -> DataFrame:
@@ -50,6 +51,19 @@ def run_groupings(df: DataFrame, specs: list[GroupSpec]) -> dict[str, DataFrame]
     return out
 
 
+def reduce_counts(df: DataFrame, keys: list[str], value: str, reducers: dict[str, object], into: str = "double") -> DataFrame:
+    """Groups reduced by Python functions of (values, counts), two pandas Series that give one number.
+
+    Rows are counted by (keys, value) first, so what a function gets is a group's distinct values; use it for columns
+    whose values are few, such as prices. Functions become grouped pandas aggregates and run side by side.
+    """
+    from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    made = {n: pandas_udf(f, into, PandasUDFType.GROUPED_AGG) for n, f in reducers.items()}
+    return counts.groupBy(*keys).agg(*[u(F.col(value), F.col("_n")).alias(n) for n, u in made.items()])
+
+
 def win_rate_by(df: DataFrame, key: str) -> DataFrame:
     """Rows and win rate of each value, with the value as text."""
     return df.groupBy(F.col(key).cast("string").alias("value")).agg(F.count("*").alias("n"), F.avg("win").alias("win_rate")).withColumn("dimension", F.lit(key))
@@ -96,7 +110,7 @@ def pareto(df: DataFrame, key: str, level: float = 0.8) -> DataFrame:
 
     Keys are counted first, then placed by ranges of (count, key), and cumulated by blocks of places.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    counts = kept(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), "counts")  # several passes
     ranked = add_place(counts.withColumn("_down", -F.col("n")), ["_down", key], "_place")
     run = add_sums_before(ranked, "_place", ["n"])
     total = counts.agg(F.sum("n").alias("_all"))
@@ -146,6 +160,21 @@ def ks(df: DataFrame, group: Column, value: str, *keys: str) -> DataFrame:
 # --- user tags -------------------------------------------------------------
 
 
+def tag_rows(df: DataFrame, key: str = "bidid", column: str = "usertag") -> DataFrame:
+    """(key, place, tag): a row for each tag, by a Python table function in Arrow batches; the place counts from 0. Rows without tags give none."""
+    from pyspark.sql.functions import udtf
+
+    class Tags:
+        def eval(self, text: str):
+            parts = [x.strip() for x in (text or "").split(",")]
+            if all(x.isdigit() for x in parts):
+                for place, x in enumerate(parts):
+                    yield place, int(x)
+
+    rows = udtf(Tags, returnType="place: int, tag: int", useArrow=True)
+    return df.select(key, column).lateralJoin(rows(F.col(column).outer())).select(key, "place", "tag")
+
+
 def parse_tags(tags: str = "usertag") -> Column:
     """Whole numbers of a comma-separated string; null, empty, "null", "nan" and strings with any bad part give an empty array."""
     parts = F.transform(F.split(F.col(tags), ","), lambda x: F.trim(x).try_cast("bigint"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructField, StructType
 
 from gavel.functions.columns import bid_floor_ratio, col, fold, guarded, hash_bucket, is_peak, ts_hour, ts_minute, uniform, weekday
 from gavel.operators.order import add_place, below, lowest, quantiles, rows_at
+from gavel.sources.logs import kept
 
 # Slot sizes (width, height) and their groups.
 SLOT_GROUPS = {
@@ -180,12 +181,14 @@ def quality_flags(df: DataFrame, least: int = 20, top: int = 10) -> DataFrame:
 def split_temporal(df: DataFrame, order: list[str], train: float = 0.7, val: float = 0.15) -> DataFrame:
     """`split` by place in time, cut at whole numbers of n times the shares.
 
-    The order keys at the two cuts are found over the key columns alone; rows are then compared with them where they
-    are, without a shuffle. order should tell rows apart: rows of equal keys stay together.
+    The order keys at the two cuts are found over the key columns alone, which are stored for the passes over them;
+    rows are then compared with the cuts where they are, without a shuffle. order should tell rows apart: rows of
+    equal keys stay together.
     """
-    n = df.count()
+    keyed = kept(df.select(*order), "keys")
+    n = keyed.count()
     a, b = int(n * train), int(n * (train + val))
-    cuts = rows_at(df, order, [a, b])
+    cuts = rows_at(keyed, order, [a, b])
     before = lambda at: below(df, order, cuts[at]) if at in cuts else F.lit(True)
     return df.withColumn("split", F.when(before(a), "train").when(before(b), "val").otherwise("test"))
 
@@ -210,14 +213,15 @@ def split_by_group(df: DataFrame, group: str, order: list[str], train: float = 0
     As in split_temporal, the keys at each group's cuts are found over key columns alone, however large a group is;
     the cuts, a row for each group, are joined back. Groups are few: their sizes and cuts pass through the driver.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.col(group).asc_nulls_first()).collect()
+    keys = [group, *[c for c in order if c != group]]
+    keyed = kept(df.select(*keys), "keys")
+    sizes = keyed.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.col(group).asc_nulls_first()).collect()
     places, at = [], 0
     for r in sizes:
         # A cut behind the group's last row is no place of the group.
         places.append([at + i if i < r["n"] else None for i in (_first_at(r["n"], train), _first_at(r["n"], round(train + val, 9)))])
         at += r["n"]
-    keys = [group, *[c for c in order if c != group]]
-    found = rows_at(df, keys, [p for pair in places for p in pair if p is not None])
+    found = rows_at(keyed, keys, [p for pair in places for p in pair if p is not None])
     fields = [f for f in df.select(*keys[1:]).schema.fields]
     cut = StructType([StructField(f.name, f.dataType) for f in fields])
     schema = StructType([StructField("_g", df.schema[group].dataType), StructField("_a", cut), StructField("_b", cut)])
@@ -287,16 +291,17 @@ def join_market_stats(df: DataFrame, stats: DataFrame, keys: tuple[str, ...] = (
 def target_encode(train: DataFrame, other: DataFrame, column: str, target: str, smoothing: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold smoothed means for train (with `fold`), full-train ones for other; unseen values get train's mean.
 
-    A value's out-of-fold sums are its totals less its own fold's, so each column costs one aggregate.
+    A value's out-of-fold sums are its totals less its own fold's, so one aggregate by value and fold, which is stored,
+    has them, the whole sums and the mean.
     """
     name = f"{column}_te"
-    mean = train.agg(F.avg(target).alias("_g"))
-    cells = train.groupBy(column, "fold").agg(F.sum(target).alias("_s"), F.count("*").alias("_n"))
+    sums = kept(train.groupBy(column, "fold").agg(F.sum(target).cast("double").alias("_s"), F.count("*").alias("_n"), F.count(target).alias("_m")), "cells")
+    mean = sums.agg((F.sum("_s") / F.sum("_m")).alias("_g"))
     w = Window.partitionBy(column)
-    cells = cells.withColumns({"_os": F.sum("_s").over(w) - F.col("_s"), "_on": F.sum("_n").over(w) - F.col("_n")}).crossJoin(F.broadcast(mean))
+    cells = sums.withColumns({"_os": F.sum("_s").over(w) - F.col("_s"), "_on": F.sum("_n").over(w) - F.col("_n")}).crossJoin(F.broadcast(mean))
     smooth = lambda s, n: F.when(col(n) > 0, (col(s) + smoothing * F.col("_g")) / (col(n) + smoothing)).otherwise(F.col("_g"))
     oof = cells.select(F.col(column).alias("_k"), F.col("fold").alias("_f"), smooth("_os", "_on").alias(name))
-    whole = train.groupBy(column).agg(F.sum(target).alias("_s"), F.count("*").alias("_n")).crossJoin(F.broadcast(mean)).select(F.col(column).alias("_k"), smooth("_s", "_n").alias(name))
+    whole = sums.groupBy(column).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).crossJoin(F.broadcast(mean)).select(F.col(column).alias("_k"), smooth("_s", "_n").alias(name))
     enc_train = train.join(oof, F.col(column).eqNullSafe(F.col("_k")) & (F.col("fold") == F.col("_f")), "left").drop("_k", "_f")
     enc_other = other.join(whole, F.col(column).eqNullSafe(F.col("_k")), "left").drop("_k").crossJoin(F.broadcast(mean)).withColumn(name, F.coalesce(name, "_g")).drop("_g")
     return enc_train, enc_other

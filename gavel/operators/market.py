@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gavel.functions.columns import col, wilson
 from gavel.operators.features import bin_right_closed, quantile_edges
+from gavel.operators.newton import newton
+from gavel.sources.logs import kept
 
 TOP_PRICE = 300
 
@@ -134,53 +136,82 @@ def win_rate_lookup(df: DataFrame, segment: str, least: int = 200, top: int = TO
     return grid.select(segment, "price", value.alias("win_prob"))
 
 
-def parametric_fits(df: DataFrame) -> DataFrame:
-    """Exponential, Weibull and log-normal fits to censored prices with AIC, best first; floor-bound winners are left out.
+# --- parametric fits: the parameters are logarithms, except the log-normal's mean ---
+
+
+def _upper_tail(z: Column) -> Column:
+    """Log of the standard normal's upper tail at z; the relative error of the tail is about 1e-7."""
+    # A published rational Chebyshev fit of the complementary error function.
+    fit = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    u = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + u / 2)
+    poly: Column = F.lit(fit[-1])
+    for c in reversed(fit[:-1]):
+        poly = poly * t + c
+    log_tail = F.log(t) - u * u + poly - math.log(2)
+    return F.when(z >= 0, log_tail).otherwise(F.log(1 - F.exp(log_tail)))
 
-    Spark counts (price, event) pairs, at most twice as many as prices; a coordinate search runs on that table.
-    """
-    kept = durations(df).where("not (win = 1 and slotprice > 0 and payprice = slotprice)")
-    table = kept.groupBy("t", "event").agg(F.count("*").alias("n")).collect()
-    rows = [(float(r["t"]), int(r["event"]), int(r["n"])) for r in table]
-    fits = []
-    for name, start, loglik in (("exponential", [math.log(100.0)], _ll_exponential), ("weibull", [math.log(100.0), 0.0], _ll_weibull), ("lognormal", [4.5, 0.0], _ll_lognormal)):
-        x, best = _maximise(lambda v, f=loglik: sum(n * f(t, e, v) for t, e, n in rows), start)
-        count = sum(n for _, _, n in rows)
-        fits.append((name, len(start), *(x + [0.0])[:2], best, 2 * len(start) - 2 * best, len(start) * math.log(max(count, 1)) - 2 * best))
-    return df.sparkSession.createDataFrame(fits, "distribution string, n_params int, a double, b double, log_likelihood double, aic double, bic double").orderBy("aic")
 
+def _exponential(v: list[float]) -> tuple[Column, list[Column], list[Column]]:
+    t, e = F.col("t"), F.col("event")
+    r = t * math.exp(-v[0])
+    return -e * v[0] - r, [r - e], [-r]
 
-def _ll_exponential(t: float, e: int, v: list[float]) -> float:
-    return e * -v[0] - t * math.exp(-v[0])
 
+def _weibull(v: list[float]) -> tuple[Column, list[Column], list[Column]]:
+    t, e, k = F.col("t"), F.col("event"), math.exp(v[1])
+    z = k * (F.log(t) - v[0])
+    x = F.exp(F.least(z, F.lit(50.0)))
+    return e * (v[1] + z - F.log(t)) - x, [k * (x - e), e * (1 + z) - z * x], [-k * k * x, k * (x - e) + k * z * x, z * (e - x) - z * z * x]
 
-def _ll_weibull(t: float, e: int, v: list[float]) -> float:
-    k = math.exp(v[1])
-    z = k * (math.log(t) - v[0])
-    return e * (v[1] + z - math.log(t)) - math.exp(min(z, 50.0))
 
+def _log_normal(v: list[float]) -> tuple[Column, list[Column], list[Column]]:
+    t, e, s = F.col("t"), F.col("event"), math.exp(v[1])
+    z = (F.log(t) - v[0]) / s
+    tail = _upper_tail(z)
+    h = F.exp(-z * z / 2 - 0.5 * math.log(2 * math.pi) - tail)  # hazard
+    d = h * (h - z)
+    paid = -F.log(t) - v[1] - 0.5 * math.log(2 * math.pi) - z * z / 2
+    either = lambda a, b: F.when(e == 1, a).otherwise(b)
+    first = [either(z / s, h / s), either(z * z - 1, h * z)]
+    return either(paid, tail), first, [either(F.lit(-1 / s**2), -d / s**2), either(-2 * z / s, -(z * d + h) / s), either(-2 * z * z, -z * z * d - h * z)]
 
-def _ll_lognormal(t: float, e: int, v: list[float]) -> float:
-    s = math.exp(v[1])
-    z = (math.log(t) - v[0]) / s
-    return -math.log(t) - v[1] - 0.5 * math.log(2 * math.pi) - z * z / 2 if e else math.log(max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300))
 
+def parametric_fits(df: DataFrame) -> DataFrame:
+    """Exponential, Weibull and log-normal fits to censored prices with AIC, best first; floor-bound winners are left out.
 
-def _maximise(f, x: list[float], rounds: int = 60) -> tuple[list[float], float]:
-    """Coordinate steps with doubling and halving; the likelihoods are smooth and have one peak."""
-    best, step = f(x), [0.5] * len(x)
-    for _ in range(rounds):
-        for i in range(len(x)):
-            for sign in (1, -1):
-                y = [*x]
-                y[i] += sign * step[i]
-                v = f(y)
-                if v > best:
-                    x, best, step[i] = y, v, step[i] * 1.6
-                    break
-            else:
-                step[i] /= 2
-    return x, best
+    a and b are the logarithms of scale and shape, or the mean and the log of the deviation of log prices. Rows are
+    counted by (price, event) and stored; every Newton step is one aggregate of that table. `converged` is 0 where
+    the gradient didn't vanish.
+    """
+    used = durations(df).where("not (win = 1 and slotprice > 0 and payprice = slotprice)")
+    table = kept(used.groupBy("t", "event").agg(F.count("*").alias("n")), "durations")
+    n = F.col("n")
+    log = F.log("t")
+    sums = table.agg(F.sum(n), F.sum(n * F.col("event")), F.sum(n * F.col("t")), F.sum(n * log), F.sum(n * log * log)).first()
+    count, events, time, l1, l2 = (float(x or 0.0) for x in sums)
+    scale = math.log(time / events) if time and events else 0.0
+    mean = l1 / count if count else 0.0
+    spread = math.log(max(math.sqrt(max(l2 / count - mean * mean, 0.0)), 1e-3)) if count else 0.0
+    fits = []
+    for name, terms, start in (("exponential", _exponential, [scale]), ("weibull", _weibull, [scale, 0.0]), ("lognormal", _log_normal, [mean, spread])):
+        fit = newton(table, terms, start)
+        p, best = len(start), fit.log_likelihood
+        fits.append((name, p, *(fit.at + [0.0])[:2], best, 2 * p - 2 * best, p * math.log(max(count, 1.0)) - 2 * best, int(fit.converged)))
+    return df.sparkSession.createDataFrame(fits, "distribution string, n_params int, a double, b double, log_likelihood double, aic double, bic double, converged int").orderBy("aic")
+
+
+def parametric_curves(fits: DataFrame, top: int = TOP_PRICE) -> DataFrame:
+    """Distribution and density of fits (distribution, a, b) on the prices 1 to top."""
+    grid = fits.select("distribution", "a", "b").withColumn("price", F.explode(F.sequence(F.lit(1), F.lit(top)))).withColumn("price", F.col("price").cast("double"))
+    t, a, k = F.col("price"), F.col("a"), F.when(F.col("distribution") == "weibull", F.exp("b")).otherwise(1.0)
+    power = F.exp(k * (F.log(t) - a))
+    s = F.exp("b")
+    z = (F.log(t) - a) / s
+    normal = F.col("distribution") == "lognormal"
+    cdf = F.when(normal, 1 - F.exp(_upper_tail(z))).otherwise(1 - F.exp(-power))
+    pdf = F.when(normal, F.exp(-z * z / 2) / (t * s * math.sqrt(2 * math.pi))).otherwise(k / t * power * F.exp(-power))
+    return grid.select("distribution", "price", cdf.alias("cdf"), pdf.alias("pdf"))
 
 
 def compare_cdfs(df: DataFrame, top: int = TOP_PRICE) -> DataFrame:
@@ -200,17 +231,26 @@ def audit(df: DataFrame, model: DataFrame, segment: str, least: int) -> DataFram
 
 
 def logistic_win_rate(df: DataFrame, segment: str) -> DataFrame:
-    """Logistic win rate on the log of bid over floor (floor 0 counts as 1), and mean elasticity beta (1 - p) by segment."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    x = df.withColumn("_x", F.log(F.col("bidprice") / F.greatest(F.col("slotprice"), F.lit(1)).cast("double")))
-    x = VectorAssembler(inputCols=["_x"], outputCol="features").transform(x)
-    model = LogisticRegression(labelCol="win", maxIter=50, tol=1e-9).fit(x)
-    beta = float(model.coefficients[0])
-    scored = model.transform(x).withColumn("p", vector_to_array("probability")[1])
-    return scored.groupBy(segment).agg(F.avg("p").alias("mean_p"), F.avg(beta * (1 - F.col("p"))).alias("elasticity")).withColumn("beta", F.lit(beta))
+    """Logistic win rate on the log of bid over floor (floor 0 counts as 1), and mean elasticity beta (1 - p) by segment.
+
+    Rows are counted by (segment, bid, floor) and stored; every Newton step is one aggregate of that table. `converged`
+    is 0 where there is no maximum (a bid level above which all bids win, for example).
+    """
+    cells = kept(df.groupBy(segment, "bidprice", "slotprice").agg(F.count("*").alias("n"), F.avg("win").alias("y")), "cells")
+    x = F.log(F.col("bidprice") / F.greatest(F.col("slotprice"), F.lit(1)).cast("double"))
+
+    def terms(v: list[float]) -> tuple[Column, list[Column], list[Column]]:
+        z = v[0] + v[1] * x
+        p = 1 / (1 + F.exp(-z))
+        # log(1 + exp(z)) without overflow
+        value = F.col("y") * z - F.greatest(z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))
+        q = p * (1 - p)
+        return value, [F.col("y") - p, (F.col("y") - p) * x], [-q, -q * x, -q * x * x]
+
+    fit = newton(cells, terms, [0.0, 0.0])
+    p, beta, n = 1 / (1 + F.exp(-(fit.at[0] + fit.at[1] * x))), fit.at[1], F.col("n")
+    got = cells.groupBy(segment).agg((F.sum(n * p) / F.sum(n)).alias("mean_p"), (F.sum(n * beta * (1 - p)) / F.sum(n)).alias("elasticity"))
+    return got.withColumns({"beta": F.lit(beta), "converged": F.lit(int(fit.converged))})
 
 
 def log_normal_mle(df: DataFrame, *keys: str) -> DataFrame:

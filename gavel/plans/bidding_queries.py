@@ -39,8 +39,8 @@ def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(bids(spark, sf_dir).groupBy("advertiser").agg(F.avg(b.value_cpa("p_a", "p_b", 5000.0)).alias("mean")))
 
 
-def _best_sql(objective: str) -> str:
-    return f"{_MODEL}, vs AS (SELECT DISTINCT adexchange, p_a * {CPC} AS v FROM bids), ob AS (SELECT vs.adexchange, v, price, {objective} AS o FROM vs JOIN mo ON vs.adexchange = mo.adexchange AND price >= 1), be AS (SELECT adexchange, v, price AS bid FROM (SELECT *, row_number() OVER (PARTITION BY adexchange, v ORDER BY round(o, 8) DESC, price) AS place FROM ob) WHERE place = 1)"
+def _best_sql(objective: str, p: str = "p_a") -> str:
+    return f"{_MODEL}, vs AS (SELECT DISTINCT adexchange, {p} * {CPC} AS v FROM bids), ob AS (SELECT vs.adexchange, v, price, {objective} AS o FROM vs JOIN mo ON vs.adexchange = mo.adexchange AND price >= 1), be AS (SELECT adexchange, v, price AS bid FROM (SELECT *, row_number() OVER (PARTITION BY adexchange, v ORDER BY round(o, 8) DESC, price) AS place FROM ob) WHERE place = 1)"
 
 
 @query("b4_b8_optimal_bids", f"{_best_sql('(v - price) * cdf')} SELECT adexchange, round(v, 6) AS v, bid FROM be")
@@ -180,7 +180,23 @@ def b22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(b.paired_bootstrap(_two_surpluses(spark, sf_dir), "s_a", "s_b", 500), 4)
 
 
-@query("b23_cluster_bootstrap")
+@query("b22_replicate_sums")
+def b22r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bootstrap again with a weight of every row in every replicate: the check of b22's normal limit."""
+    return r6(b.replicate_interval(b.replicate_sums(_two_surpluses(spark, sf_dir), "s_a", "s_b", 500)), 4)
+
+
+def _real(p: str) -> str:
+    return f"CASE WHEN least({p} * {CPC}, 300.0) >= payprice THEN click * {CPC} - payprice ELSE 0 END"
+
+
+_CLUSTERS = f""", cl AS (SELECT advertiser, sum({_real('p_a')} - {_real('p_b')}) AS d FROM bids WHERE win = 1 AND payprice > 0 GROUP BY 1),
+kc AS (SELECT rep, advertiser, d, rep * 1048576 + advertiser AS unit FROM cl, range(1000) r(rep)){hash_sql('hc', 'kc', 'unit', 7)},
+gc AS (SELECT rep, sum(CAST(d AS DOUBLE) * ({' + '.join(f'CAST({uniform_sql()} >= {e!r} AS INT)' for e in b.POISSON_EDGES)})) AS gap FROM kc JOIN hc USING (unit) GROUP BY 1)
+SELECT round(quantile_cont(gap, 0.025), 4) AS ci_lo, round(quantile_cont(gap, 0.975), 4) AS ci_hi, round(avg(CAST(gap > 0 AS INT)), 4) AS p_positive, (SELECT round(sum(d), 4) FROM cl) AS gap, (SELECT count(*) FROM cl) AS n_clusters FROM gc"""
+
+
+@query("b23_cluster_bootstrap", _CLUSTERS)
 def b23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(b.cluster_bootstrap(_two_surpluses(spark, sf_dir), "advertiser", "s_a", "s_b", 1000), 4)
 

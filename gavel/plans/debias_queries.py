@@ -42,12 +42,13 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 80/20 fit, stored, loaded and applied to the held-out rows."""
     from pyspark.ml import PipelineModel
 
-    from gavel.sources.logs import fresh
+    from gavel.sources.logs import fresh, kept
 
     df = bids(spark, sf_dir).withColumn("f", fold("bidid", 5))
     path = fresh(spark, "model")
     d.fit_probability(df.where("f > 0"), "win", kind="trees").write().save(path)
-    return r6(d.diagnose(d.apply_probability(PipelineModel.load(path), df.where("f = 0"), "e")), 4)
+    scored = d.apply_probability(PipelineModel.load(path), df.where("f = 0").select("win", *d.FEATURES), "e")
+    return r6(d.diagnose(kept(scored, "scored")), 4)
 
 
 @query("d4_weights", f"{_E}, k AS (SELECT count(*) / greatest(sum(win / ec), 1e-8) AS k FROM be) SELECT bidid, round(win / ec * k, 6) AS w FROM be, k".replace(", k AS (SELECT count", ", kk AS (SELECT count").replace("FROM be, k", "FROM be, kk"))
@@ -119,6 +120,18 @@ def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(d.baselines(_splits(spark, sf_dir)), 4)
 
 
+@query("d16_metrics")
+def d16m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of the baselines on each split."""
+    return r6(d.baseline_report(_splits(spark, sf_dir))[0], 4)
+
+
+@query("d16_importances")
+def d16i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature counts for in the baselines, with ranks that X3 compares."""
+    return r6(d.baseline_report(_splits(spark, sf_dir))[1], 4)
+
+
 @query("d18_segment_weights", f"{_E}, r0 AS (SELECT avg(win) AS r FROM bids) SELECT hour, adexchange, round(avg(least(greatest(r / least(greatest(e, 0.05), 0.95), 0.5), 5.0)), 6) AS weight, CAST(count(*) AS BIGINT) AS n FROM be, r0 GROUP BY 1, 2")
 def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(d.segment_weights(_with_e(spark, sf_dir), ["hour", "adexchange"]))
@@ -211,6 +224,26 @@ def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(c.effect_summary(c.dr_learner(_arms(spark, sf_dir), "surplus"), "taxonomy"), 4)
 
 
+@query("c10_dr_intervals")
+def c10i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the learner's mean effects, by campaign kind, over days as clusters."""
+    return r6(c.effect_interval(c.dr_learner(_arms(spark, sf_dir), "surplus"), "taxonomy", cluster="day"), 4)
+
+
+_PSI = f"""{_T}, sm AS (SELECT stratum, avg(CASE WHEN arm = 1 THEN win END) AS m1, avg(CASE WHEN arm = 0 THEN win END) AS m0, avg(arm) AS e FROM ar GROUP BY 1 HAVING sum(arm) >= 5 AND sum(1 - arm) >= 5),
+ps AS (SELECT adexchange, day, m1 - m0 + CASE WHEN arm = 1 THEN (win - m1) / e ELSE -(win - m0) / (1 - e) END AS psi FROM ar JOIN sm USING (stratum)),
+cu AS (SELECT adexchange, day, sum(psi) AS s, CAST(count(*) AS DOUBLE) AS c FROM ps GROUP BY 1, 2),
+te AS (SELECT adexchange, sum(s) / sum(c) AS t, sum(c) AS n, count(*) AS k FROM cu GROUP BY 1),
+se AS (SELECT te.adexchange, t, n, k, sqrt(sum((s - t * c) * (s - t * c)) * k / (k - 1.0)) / n AS se FROM cu JOIN te USING (adexchange) GROUP BY 1, 2, 3, 4)
+SELECT adexchange, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS units, round(t, 6) AS effect, round(se, 6) AS se, round(t - 1.959964 * se, 6) AS ci_lo, round(t + 1.959964 * se, 6) AS ci_hi FROM se"""
+
+
+@query("c10_stratified_intervals", _PSI)
+def c10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubly robust effects on wins with strata as nuisances, and their intervals over days as clusters."""
+    return r6(c.effect_interval(c.stratified_psi(_arms(spark, sf_dir), "win"), "adexchange", cluster="day"))
+
+
 @query("c11_back_door")
 def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(c.back_door(_arms(spark, sf_dir), "surplus", ["slotprice", "hour", "region", "advertiser"]), 4)

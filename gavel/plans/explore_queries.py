@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -311,3 +313,33 @@ def z4(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (df.where(f"season = {s}").select("domain").distinct() for s in (2, 3))
     count = lambda t, n: t.agg(F.count("*").alias(n))
     return count(a.union(b).distinct(), "n_union").crossJoin(count(a.intersect(b), "n_both")).crossJoin(count(a.exceptAll(b), "n_gone"))
+
+
+@query("z5_tag_rows", ", tg AS (SELECT bidid, string_split(usertag, ',') AS t FROM bids WHERE usertag IS NOT NULL) SELECT bidid, CAST(i AS INT) AS place, CAST(t[i + 1] AS INT) AS tag FROM (SELECT bidid, t, unnest(range(len(t))) AS i FROM tg)")
+def z5t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python table function over user tags."""
+    return e.tag_rows(bids(spark, sf_dir))
+
+
+def _entropy(values: pd.Series, counts: pd.Series) -> float:
+    p = counts / counts.sum()
+    return float(-(p * np.log(p)).sum())
+
+
+def _gini(values: pd.Series, counts: pd.Series) -> float:
+    """Mean absolute difference of two draws, over twice the mean."""
+    order = np.argsort(values.to_numpy(), kind="stable")
+    v, n = values.to_numpy(float)[order], counts.to_numpy(float)[order]
+    below = np.cumsum(n) - n
+    return float((v * n * (2 * below + n)).sum() / (n.sum() * (v * n).sum()) - 1)
+
+
+_REDUCED = """, pc AS (SELECT adexchange, payprice, CAST(count(*) AS DOUBLE) AS n FROM bids WHERE win = 1 GROUP BY 1, 2),
+pt AS (SELECT *, sum(n) OVER (PARTITION BY adexchange) AS a, sum(n) OVER (PARTITION BY adexchange ORDER BY payprice) - n AS below FROM pc)
+SELECT adexchange, round(-sum(n / a * ln(n / a)), 6) AS entropy, round(sum(payprice * n * (2 * below + n)) / (any_value(a) * sum(payprice * n)) - 1, 6) AS gini FROM pt GROUP BY 1"""
+
+
+@query("z5_reduced_prices", _REDUCED)
+def z5r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python reducers of paid prices as arguments: entropy and Gini coefficient by exchange."""
+    return r6(e.reduce_counts(bids(spark, sf_dir).where("win = 1"), ["adexchange"], "payprice", {"entropy": _entropy, "gini": _gini}))

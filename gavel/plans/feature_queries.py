@@ -9,6 +9,7 @@ from gavel.functions.columns import cross_entropy, effect_label
 from gavel.operators import features as f
 from gavel.plans.twins import fold_sql, hash_sql, signed, uniform_sql
 from gavel.registry import query, r6
+from gavel.sources.logs import kept
 from gavel.tables import bids, scores
 
 _GROUP = """CASE WHEN (slotwidth = 728 AND slotheight = 90) OR (slotwidth = 970 AND slotheight IN (90, 250)) THEN 'leaderboard'
@@ -234,6 +235,6 @@ def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j6_target_encoding", f"{_SPLIT}, t AS (SELECT *, bidid % 5 AS fold FROM splits WHERE split = 'train'), g AS (SELECT avg(win) AS g FROM t), c AS (SELECT domain, fold, sum(win) AS s, count(*) AS n FROM t GROUP BY 1, 2), o AS (SELECT domain, fold, sum(s) OVER (PARTITION BY domain) - s AS s, sum(n) OVER (PARTITION BY domain) - n AS n FROM c), wh AS (SELECT domain, sum(win) AS s, count(*) AS n FROM t GROUP BY 1) SELECT bidid, round(CASE WHEN o.n > 0 THEN (o.s + 10*g) / (o.n + 10) ELSE g END, 6) AS domain_te FROM g, t JOIN o ON t.domain IS NOT DISTINCT FROM o.domain AND t.fold = o.fold UNION ALL SELECT bidid, round(CASE WHEN wh.n > 0 THEN (wh.s + 10*g) / (wh.n + 10) ELSE g END, 6) FROM g, splits LEFT JOIN wh ON splits.domain IS NOT DISTINCT FROM wh.domain WHERE split = 'val'")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _splits(spark, sf_dir)
+    s = kept(_splits(spark, sf_dir).select("bidid", "domain", "win", "split"), "split")
     train, val = f.target_encode(s.where("split = 'train'").withColumn("fold", F.col("bidid") % 5), s.where("split = 'val'"), "domain", "win")
     return r6(train.select("bidid", "domain_te").unionByName(val.select("bidid", "domain_te")))

@@ -89,6 +89,28 @@ def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.parametric_fits(bids(spark, sf_dir)), 4)
 
 
+_EXPONENTIAL = ", du AS (SELECT greatest(CAST(CASE WHEN win = 1 THEN payprice ELSE bidprice END AS DOUBLE), 0.01) AS t, win AS e FROM bids WHERE NOT (win = 1 AND slotprice > 0 AND payprice = slotprice)), ef AS (SELECT sum(t) / sum(e) AS scale, count(*) AS n, sum(e) AS k FROM du)"
+
+
+@query("w12_exponential", f"{_EXPONENTIAL} SELECT round(ln(scale), 4) AS a, round(-k * (ln(scale) + 1), 2) AS log_likelihood, round(2 + 2 * k * (ln(scale) + 1), 2) AS aic, round(ln(n) + 2 * k * (ln(scale) + 1), 2) AS bic, 1 AS converged FROM ef")
+def w12e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exponential's fit, whose closed form is the mean time at risk of an event."""
+    got = m.parametric_fits(bids(spark, sf_dir)).where("distribution = 'exponential'")
+    return r6(got.select(F.round("a", 4).alias("a"), *[F.round(c, 2).alias(c) for c in ("log_likelihood", "aic", "bic")], "converged"))
+
+
+@query("w12_exponential_curve", f"{_EXPONENTIAL} SELECT CAST(i AS DOUBLE) AS price, round(1 - exp(-i / scale), 6) AS cdf, round(exp(-i / scale) / scale, 6) AS pdf FROM ef, range(1, 301) r(i)")
+def w12c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = m.parametric_fits(bids(spark, sf_dir)).where("distribution = 'exponential'")
+    return r6(m.parametric_curves(fits).drop("distribution"))
+
+
+@query("w12_curves")
+def w12a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution and density of all three fits on the price grid."""
+    return r6(m.parametric_curves(m.parametric_fits(bids(spark, sf_dir))))
+
+
 @query("w14_cdf_comparison", ", one AS (SELECT 1)" + km_sql("season * 0").replace("season * 0,", "0 AS z,").replace("PARTITION BY season * 0 ORDER", "ORDER").replace("SELECT season * 0", "SELECT z") + km_sql("season * 0", "win = 1", "kw").replace("season * 0,", "0 AS z,").replace("PARTITION BY season * 0 ORDER", "ORDER").replace("SELECT season * 0", "SELECT z") + grid_sql("z") + grid_sql("z", "kw", "gw") + " SELECT round(avg(abs(gr.cdf - gw.cdf)), 6) AS mean_abs, round(max(abs(gr.cdf - gw.cdf)), 6) AS ks FROM gr JOIN gw USING (price)")
 def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.compare_cdfs(bids(spark, sf_dir)))
@@ -127,7 +149,15 @@ def w18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(cells.unionByName(m.price_stats(df).withColumn("segment", F.lit("_default"))))
 
 
-@query("w19_logistic_elasticity")
+def _logistic_sql(steps: int = 12) -> str:
+    """Newton's steps for an intercept and a slope, from 0."""
+    sql = ", lc AS (SELECT adexchange, ln(bidprice / CAST(greatest(slotprice, 1) AS DOUBLE)) AS x, CAST(count(*) AS DOUBLE) AS n, avg(win) AS y FROM bids GROUP BY adexchange, bidprice, slotprice), n0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b)"
+    for i in range(steps):
+        sql += f", s{i} AS (SELECT a, b, sum(n * (y - p)) AS g0, sum(n * (y - p) * x) AS g1, sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * x) AS h1, sum(n * p * (1 - p) * x * x) AS h2 FROM (SELECT lc.*, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM lc, n{i}) GROUP BY 1, 2), n{i + 1} AS MATERIALIZED (SELECT a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM s{i})"
+    return f"{sql} SELECT adexchange, round(sum(n / (1 + exp(-(a + b * x)))) / sum(n), 4) AS mean_p, round(sum(n * b * (1 - 1 / (1 + exp(-(a + b * x))))) / sum(n), 4) AS elasticity, round(any_value(b), 4) AS beta, 1 AS converged FROM lc, n{steps} GROUP BY 1"
+
+
+@query("w19_logistic_elasticity", _logistic_sql())
 def w19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m.logistic_win_rate(bids(spark, sf_dir), "adexchange"), 4)
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.operators import bidding as b
+from gavel.operators.debias import FEATURES, LinearProbability, fit_pipeline
+from gavel.operators.market import as_arrays
 from gavel.plans.bidding_queries import CPC, _best_sql
 from gavel.plans.market_queries import model
 from gavel.registry import query, r6
+from gavel.sources.logs import fresh, kept
 from gavel.streaming import jobs as j
 from gavel.tables import bids, table
 
@@ -167,14 +170,45 @@ def z9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.drain(j.apply_blocklist(_stream(spark, sf_dir, "bidid", "domain"), blocked).select("bidid"), "allowed")
 
 
-_DECISIONS = f"""{_best_sql('(v - price) * cdf')},
-x AS (SELECT bidid, bids.adexchange, p_a, p_a*{CPC} AS v, slotprice > 0 AND slotprice > 0.1*p_a*{CPC} AS bound, slotprice, be.bid AS opt FROM bids JOIN be ON bids.adexchange = be.adexchange AND p_a*{CPC} = be.v)
-SELECT bidid, adexchange, round(p_a, 6) AS pctr, round(v, 6) AS v, round(least(least(greatest(CASE WHEN bound THEN least(greatest(slotprice*1.05, 1.0), v) ELSE opt END, 1.0), 300.0), v), 6) AS bid, CAST(bound AS INT) AS regime, CAST(adexchange AS VARCHAR) AS curve FROM x"""
+def _decisions_sql(p: str = "p_a", where: str = "") -> str:
+    return f"""{_best_sql('(v - price) * cdf', p)},
+x AS (SELECT bidid, bids.adexchange, {p} AS p, {p} * {CPC} AS v, slotprice > 0 AND slotprice > 0.1 * {p} * {CPC} AS bound, slotprice, be.bid AS opt FROM bids JOIN be ON bids.adexchange = be.adexchange AND {p} * {CPC} = be.v {where}),
+y AS (SELECT *, least(least(greatest(CASE WHEN bound THEN least(greatest(slotprice * 1.05, 1.0), v) ELSE opt END, 1.0), 300.0), v) AS bid FROM x),
+z AS (SELECT *, CAST(least(floor(bid), 299) AS DOUBLE) AS low FROM y)
+SELECT bidid, z.adexchange, round(p, 6) AS pctr, round(v, 6) AS v, round(bid, 6) AS bid, round(a.cdf * (1 - least(bid - low, 1.0)) + b.cdf * least(bid - low, 1.0), 6) AS win_prob, CAST(bound AS INT) AS regime, CAST(z.adexchange AS VARCHAR) AS curve FROM z JOIN mo a ON a.adexchange = z.adexchange AND a.price = low JOIN mo b ON b.adexchange = z.adexchange AND b.price = low + 1"""
 
 
-@query("b31_decisions", _DECISIONS)
+def _markets(df: DataFrame) -> DataFrame:
+    """A row for each exchange: its envelope and its curve on whole prices."""
+    grid = model(df, "adexchange")
+    return kept(b.envelope(grid, "adexchange").join(as_arrays(grid, "adexchange", values=("cdf",)), "adexchange"), "markets")
+
+
+@query("b31_decisions", _decisions_sql())
 def b31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markets = _markets(bids(spark, sf_dir))
+    return r6(j.drain(j.decide(_stream(spark, sf_dir, "bidid", "adexchange", "p_a", "slotprice"), markets, CPC), "decisions"))
+
+
+#: A linear model with set numbers.
+SET_MODEL = LinearProbability(["hour", "slotprice"], [12.0, 40.0], [0.05, -0.01], -4.0)
+
+
+@query("b31_set_model", _decisions_sql("(1 / (1 + exp(-(-4.0 + (hour - 12.0) * 0.05 + (slotprice - 40.0) * -0.01))))"))
+def b31s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of a stream by a linear model of set numbers."""
+    stream = _stream(spark, sf_dir, "bidid", "adexchange", "hour", "slotprice")
+    return r6(j.drain(j.decide(stream, _markets(bids(spark, sf_dir)), CPC, SET_MODEL), "decisions"))
+
+
+@query("b31_fitted_pipeline")
+def b31f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline fitted on winners of the earlier season, saved, loaded, and applied to a stream of the later one with the earlier market's curves."""
+    from pyspark.ml import PipelineModel
+
     df = bids(spark, sf_dir)
-    hulls = b.envelope(model(df, "adexchange"), "adexchange")
-    hulls = spark.createDataFrame(hulls.collect(), hulls.schema)  # one row for each exchange
-    return r6(j.drain(j.decide(_stream(spark, sf_dir, "bidid", "adexchange", "p_a", "slotprice"), hulls, CPC), "decisions"))
+    early, late = df.where("season = 2"), df.where("season = 3").withColumn("ts", j.event_time())
+    path = fresh(spark, "pipeline")
+    fit_pipeline(early.where("win = 1"), "click", FEATURES).write().save(path)
+    stream = j.stream_of(late.select("ts", "bidid", "adexchange", *FEATURES), "bids")
+    return r6(j.drain(j.decide(stream, _markets(early), CPC, PipelineModel.load(path)), "decisions"))

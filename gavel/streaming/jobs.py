@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.operators.bidding import best_bid, dual_regime
+from gavel.operators.debias import apply_probability
 from gavel.operators.explore import invalid_traffic
+from gavel.operators.market import interpolate
 from gavel.sources.logs import fresh, kept
 from gavel.streaming.hard_stop import BudgetGate
 
@@ -148,18 +150,16 @@ def apply_blocklist(df: DataFrame, blocked: DataFrame) -> DataFrame:
     return df.join(blocked, "domain", "left_anti")
 
 
-def decide(df: DataFrame, hulls: DataFrame, cpc: float, model=None) -> DataFrame:
-    """Bid decisions: click probability (of a fitted pipeline, or p_a), value, shaded bid of at most the value, regime and the curve used."""
-    if model is not None:
-        from pyspark.ml.functions import vector_to_array
+def decide(df: DataFrame, markets: DataFrame, cpc: float, model=None) -> DataFrame:
+    """Bid decisions: click probability (of a fitted pipeline or a LinearProbability, or p_a), value, shaded bid of at most the value, its chance to win, regime and the curve used.
 
-        keep = [F.col(c) for c in df.columns]
-        df = model.transform(df).select(*keep, vector_to_array("probability")[1].alias("pctr"))
-    else:
-        df = df.withColumn("pctr", F.col("p_a"))
-    df = df.withColumn("v", F.col("pctr") * cpc).join(hulls, "adexchange", "left")
+    markets: a row for each exchange: breaks and best (see `envelope`) and cdf_grid (see `as_arrays`). A bid on an
+    exchange without a curve is its value, of unknown chance.
+    """
+    df = apply_probability(model, df, "pctr") if model is not None else df.withColumn("pctr", F.col("p_a"))
+    df = df.withColumn("v", F.col("pctr") * cpc).join(markets, "adexchange", "left")
     opt = F.when(F.col("best").isNotNull(), best_bid(F.col("v"))).otherwise(F.least("v", F.lit(300.0)))
     bid, regime = dual_regime(F.col("v"), F.col("slotprice"), opt)
-    return df.select("bidid", "adexchange", "pctr", "v", F.least(bid, F.col("v")).alias("bid"), regime.alias("regime"), F.when(F.col("best").isNotNull(), F.col("adexchange").cast("string")).otherwise("none").alias("curve"))
-
-
+    known = F.col("best").isNotNull()
+    out = df.withColumns({"bid": F.least(bid, F.col("v")), "regime": regime, "curve": F.when(known, F.col("adexchange").cast("string")).otherwise("none")})
+    return out.select("bidid", "adexchange", "pctr", "v", "bid", interpolate("cdf_grid", F.col("bid")).alias("win_prob"), "regime", "curve")
