@@ -95,13 +95,24 @@ def open_frame(data: bytes, frame: tuple[int, int, int]) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data[start : start + size], max_output_size=max(1, plain))
 
 
+#: Parts that the pages of one payload are dealt into.
+SALTS = 16
+
+
 def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages as (page_id, url, html, refers_to, revisit)."""
-    size, digest = F.octet_length(F.coalesce("html", F.lit(""))), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
-    keyed = pages.select("page_id", digest.alias("digest"), size.alias("size"))
-    heads = keyed.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
-    follow = keyed.where(F.col("size") >= least_bytes).join(heads, "digest").where("head is not null and (page_id is null or page_id < head)").groupBy("page_id", "digest").agg(F.max("head").alias("refers_to")).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
-    return pages.select("page_id", "url", "html", digest.alias("d0")).join(follow, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("d0") == F.col("d")), "left").select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
+    """pages as (page_id, url, html, refers_to, revisit).
+
+    Payloads that several pages have are one row each, copied to SALTS parts; a page joins the copy of its part, so a
+    payload that very many pages have is no hot key.
+    """
+    payload = F.coalesce("html", F.lit(""))
+    keyed = pages.select("page_id", "url", "html", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("size"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("part"))
+    heads = keyed.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null")
+    heads = heads.select("digest", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    met = keyed.join(heads, ["digest", "part"], "left")
+    follows = F.col("page_id").isNull() | (F.col("page_id") < F.col("head"))
+    found = met.withColumn("refers_to", F.when(follows, F.col("head")))
+    return found.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
 
 
 def write_bundles(records: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
