@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gavel.llm.packing import pack
 
-from .conftest import SF
+from .conftest import SF, shape
 from .test_duplicates import brute_dedup, brute_groups
 
 
@@ -71,3 +71,15 @@ def test_packing(spark, stages):
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, after.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+def test_stages_of_odd_rows_and_of_none(spark, odd_rows):
+    """Every stage takes nulls, empties, repeated rows and columns of clashing names, and an empty table."""
+    for rows in (odd_rows, []):
+        docs = shape(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, SF)
+            assert got.columns == docs.columns, name
+            assert got.count() <= len(rows)
+        packed = corpus_pipeline.packing(spark, docs, SF)
+        assert packed.select("doc_id").count() == 0 if not rows else packed.count() >= len(rows)
