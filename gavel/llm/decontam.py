@@ -1,8 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are lower-cased and parted at white space and ASCII punctuation. Every
-run of `LEAST` words of an item is a seed. Documents find the seeds they share;
-for each (document, item) that shares one, tiling marks the longest common runs
+run of `LEAST` words of an item is a seed. Documents find the seeds they share.
+Seeds that most items have are not what leads to an item: of each item, the
+most frequent seeds that together cover too little of it are set aside, and the
+rest are its probes, one of which any contaminated document has. So
+for each (document, item) that shares a probe, tiling marks the longest common runs
 of unmarked words, each word of either side once: Karp-Rabin hashes of the
 current length find matches, the longest are marked first, and the length falls
 to `LEAST`. A document is contaminated by an item when tiles cover at least
@@ -82,12 +85,43 @@ def _matches(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item:
                 yield a, b
 
 
-def seeds(items: list[tuple[int | None, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted seed hashes and the item each comes from; a seed that an item repeats is kept once."""
-    h = [np.unique(rolled(x, LEAST)) for _, x in items]
-    all_h, owner = np.concatenate([np.zeros(0, np.uint64), *h]), np.repeat(np.arange(len(h)), [len(x) for x in h])
-    order = np.argsort(all_h, kind="stable")
-    return all_h[order], owner[order]
+def probes(h: np.ndarray, often: np.ndarray, n_words: int, coverage: float) -> np.ndarray:
+    """Seeds of an item without its most frequent ones that together cover too little of it: a document that covers enough has one of the rest."""
+    covered, order = np.zeros(n_words, bool), np.argsort(-often, kind="stable")
+    for k, p in enumerate(order.tolist()):
+        covered[p : p + LEAST] = True
+        if covered.sum() >= coverage * n_words:
+            return np.unique(h[order[k:]])
+    return h[:0]
+
+
+def seeds(items: list[tuple[int | None, np.ndarray]], coverage: float = COVERAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted seed hashes of all items, and sorted probes with the item each comes from. A stem of many items is no probe unless it covers enough of one."""
+    h = [rolled(x, LEAST) for _, x in items]
+    none = np.zeros(0, np.uint64)
+    seed, often = np.unique(np.concatenate([none, *(np.unique(x) for x in h)]), return_counts=True)
+    asked = [probes(x, often[np.searchsorted(seed, x)], len(item), coverage) for x, (_, item) in zip(h, items, strict=True)]
+    probe, owner = np.concatenate([none, *asked]), np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+    order = np.argsort(probe, kind="stable")
+    return seed, probe[order], owner[order]
+
+
+def _all_from(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [lo, hi), one range after another."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _candidates(h: np.ndarray, at: np.ndarray, doc: np.ndarray, held: tuple) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document, item, ascending places of the item's seeds) of documents that hold a probe of the item; `at` are the places of all seeds."""
+    items, _, probe, owner, _ = held
+    for mine in np.split(at, np.flatnonzero(np.diff(doc[at])) + 1):
+        order = np.argsort(h[mine], kind="stable")
+        values = h[mine][order]
+        asked = np.unique(values)
+        for k in np.unique(owner[_all_from(np.searchsorted(probe, asked), np.searchsorted(probe, asked, "right"))]).tolist():
+            own = np.unique(rolled(items[k][1], LEAST))
+            yield int(doc[mine[0]]), k, np.sort(mine[order[_all_from(np.searchsorted(values, own), np.searchsorted(values, own, "right"))]])
 
 
 def short_items(items: list[tuple[int | None, np.ndarray]]) -> dict[int, dict[bytes, list[int]]]:
@@ -115,7 +149,7 @@ def _short_found(w: Words, short: dict[int, dict[bytes, list[int]]]) -> list[tup
     return sorted(found)
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator:
+def _passes(docs: DataFrame, benchmark: DataFrame, coverage: float, block_words: int) -> Iterator:
     """The benchmark's items, in broadcast blocks of bounded size."""
     spark = docs.sparkSession
     n_blocks = 1 + int(benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // (2 * block_words)  # a word and its space have two characters at least
@@ -123,12 +157,12 @@ def _passes(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).toArrow()
         w = words(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), plain=True)
         items = [(i, w.hash[a:b]) for i, a, b in zip(rows.column("item_id").to_pylist(), w.first[:-1], w.first[1:], strict=True)]
-        yield spark.sparkContext.broadcast((items, *seeds(items), short_items(items)))
+        yield spark.sparkContext.broadcast((items, *seeds(items, coverage), short_items(items)))
 
 
 def found_in(text: pa.Array, held: tuple, coverage: float) -> list[tuple[int, int, int, int, int]]:
     """(row, item, item's words, covered words, tiles) of the rows of a text column that hold an item."""
-    items, seed, owner, short = held
+    items, seed, _, _, short = held
     out: list[tuple[int, int, int, int, int]] = []
     for a, b in blocks(text) if len(seed) or short else ():
         w = words(text.slice(a, b - a), plain=True)
@@ -140,14 +174,10 @@ def found_in(text: pa.Array, held: tuple, coverage: float) -> list[tuple[int, in
         inside = doc[: len(h)] == doc[LEAST - 1 :] if len(h) else np.zeros(0, bool)
         at = np.searchsorted(seed, h)
         hits = np.flatnonzero(inside & (seed[np.minimum(at, len(seed) - 1)] == h))
-        places: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for p, lo, hi in zip(hits.tolist(), at[hits].tolist(), np.searchsorted(seed, h[hits], "right").tolist(), strict=True):
-            for k in owner[lo:hi].tolist():
-                places[int(doc[p]), k].append(p)
-        for (d, k), where in sorted(places.items()):
+        for d, k, where in _candidates(h, hits, doc, held) if len(hits) else ():
             item = items[k][1]
             # Tiles lie inside runs of seed places; runs are kept apart by a word that no item has.
-            runs = np.split(np.array(where), np.flatnonzero(np.diff(where) > 1) + 1)
+            runs = np.split(where, np.flatnonzero(np.diff(where) > 1) + 1)
             if sum(len(r) + LEAST - 1 for r in runs) < coverage * len(item):
                 continue
             tiles = tile(np.concatenate([np.append(w.hash[r[0] : r[-1] + LEAST], np.uint64(0)) for r in runs]), item)
@@ -169,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
         return run
 
-    parts = [docs.select("doc_id", "text").mapInArrow(scan(held), "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles long") for held in _passes(docs, benchmark, block_words)]
+    parts = [docs.select("doc_id", "text").mapInArrow(scan(held), "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles long") for held in _passes(docs, benchmark, coverage, block_words)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -186,6 +216,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
 
         return run
 
-    for held in _passes(docs, benchmark, block_words):
+    for held in _passes(docs, benchmark, coverage, block_words):
         docs = docs.mapInArrow(keep(held), docs.schema)
     return docs

@@ -341,3 +341,50 @@ def test_short_items(spark):
     only = bench.where("item_id = 2")
     assert {(r.doc_id, r.item_id, r.tiles, r.coverage) for r in decontam.contaminated(docs, only).collect()} == {(3, 2, 1, 1.0), (4, 2, 1, 1.0)}
     assert decontam.contaminated(docs.where("doc_id in (9, 10)"), bench).count() == 0
+
+
+def test_a_stem_of_many_items_leads_to_none(spark):
+    """Items that share a stem are candidates only where more than the stem is in a document, and none is lost."""
+    stem = " ".join(f"stem{i}" for i in range(8))
+    items = [(k, f"{stem} " + " ".join(f"i{k}x{i}" for i in range(12))) for k in range(3000)]
+    rest = lambda k, n: " ".join(f"i{k}x{i}" for i in range(n))
+    rows = [(1, f"a {stem} b"), (2, f"{stem} {rest(7, 12)}"), (3, f"{rest(9, 12)} middle {stem}"), (4, f"{stem} end {rest(11, 5)}"), (5, rest(12, 9)), (6, rest(12, 10)), (7, f"{stem} {stem}")]
+    got = {(r.doc_id, r.item_id, r.covered_words) for r in decontam.contaminated(shape(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(2, 7, 20), (3, 9, 20), (4, 11, 13), (6, 12, 10)}
+    hashed = [(k, decontam.words(pa.array([t]), plain=True).hash) for k, t in items]
+    held = (hashed, *decontam.seeds(hashed), {})
+    w = decontam.words(pa.array([t for _, t in rows]), plain=True)
+    h, doc = decontam.rolled(w.hash, decontam.LEAST), w.doc()
+    at = np.flatnonzero((doc[: len(h)] == doc[decontam.LEAST - 1 :]) & np.isin(h, held[1]))
+    led = [(d, k) for d, k, _ in decontam._candidates(h, at, doc, held)]
+    assert len(led) == len(set(led)) <= 6 and {(1, 7), (2, 9), (3, 11), (5, 12)} <= set(led)
+
+
+@pytest.mark.parametrize("coverage", [0.3, 0.5, 0.8])
+def test_decontamination_of_a_table(spark, coverage):
+    """Every pair of a document and an item of the whole tables, by plain greedy tiling."""
+    parted = str.maketrans({**{chr(i): chr(i + 32) for i in range(65, 91)}, **{chr(i): " " for i in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), *range(0x09, 0x0E))}})
+    plain = lambda t: [x for x in (t or "").translate(parted).split(" ") if x]
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = {r.item_id: plain(r.text) for r in bench.collect()}
+    grams = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    of_item = {k: grams(x) for k, x in items.items()}
+    want = {}
+    for r in docs.collect():
+        x = plain(r.text)
+        own = grams(x)
+        # Only windows that an item has can be tiled; others are kept apart by a word of no item.
+        for k, g in of_item.items():
+            if len(items[k]) >= 5 and own & g:
+                stay = [False] * len(x)
+                for i in range(len(x) - 4):
+                    if tuple(x[i : i + 5]) in g:
+                        stay[i : i + 5] = [True] * 5
+                kept = [y if s else None for i, (y, s) in enumerate(zip(x, stay, strict=True)) if s or (i and stay[i - 1])]
+                want[r.doc_id, k] = sum(n for _, _, n in brute_tiles(kept, items[k], 5)), len(items[k])
+    sure = {p for p, (n, size) in want.items() if n - 6 >= coverage * size}
+    may = {p for p, (n, size) in want.items() if n + 6 >= coverage * size}
+    got = {(r.doc_id, r.item_id): r.covered_words for r in decontam.contaminated(docs, bench, coverage).collect() if r.item_words >= 5}
+    assert sure and sure <= set(got) <= may
+    assert all(abs(n - want[p][0]) <= 6 for p, n in got.items())
+    assert sum(n == want[p][0] for p, n in got.items()) >= 0.95 * len(got)
