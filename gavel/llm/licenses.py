@@ -212,12 +212,41 @@ def _sql_canonical(text: str) -> str:
     return out
 
 
+def _sql_spelled(out: str) -> str:
+    for a, b in SPELLINGS:
+        if " " in a:
+            out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+def _sql_one_line(text: str) -> str:
+    return _sql_spelled(f"trim(regexp_replace({_sql_canonical(text)}, '[ \\n]+', ' ', 'g'), ' ')")
+
+
+def _sql_values(texts: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in texts)
+
+
 def scan_sql() -> str:
-    """scan() of `documents` with the fixed list, for DuckDB."""
-    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in known_texts())
+    """scan() of `documents` with the fixed list, for DuckDB: whole texts, lines and blocks of lines."""
+    entire, notices = sorted(set(bodies(TEXTS))), known_texts()
+    names = [(k, t) for k, found in titles(NAMES).items() for t in found]
+    flat = "regexp_replace(t, ' *\\n[ \\n]*', chr(10), 'g')"
+    for a, b in SPELLINGS:
+        if " " in a:
+            flat = f"replace(replace({flat}, '{a.replace(' ', chr(10))}', '{b}'), '{a}', '{b}')"
     return f"""
-    WITH known AS (SELECT DISTINCT license_id, trim(regexp_replace({_sql_canonical("text")}, '[ \\n]+', ' ', 'g'), ' ') AS t FROM (VALUES {values}) AS v(license_id, text)),
-    made AS (SELECT doc_id, {_sql_canonical("text")} AS t FROM documents WHERE text IS NOT NULL),
-    units AS (SELECT doc_id, 'text' AS scope, trim(regexp_replace(t, '[ \\n]+', ' ', 'g'), ' ') AS t FROM made
-              UNION ALL SELECT doc_id, 'line' AS scope, trim(unnest(string_split(t, chr(10))), ' ') AS t FROM made)
-    SELECT u.doc_id, k.license_id, u.scope, CAST(count(*) AS BIGINT) AS n FROM units u JOIN known k ON u.t = k.t AND u.t <> '' GROUP BY ALL"""
+    WITH entire AS (SELECT DISTINCT license_id, {_sql_one_line("text")} AS t FROM (VALUES {_sql_values(entire)}) AS v(license_id, text)),
+    notices AS (SELECT DISTINCT license_id, {_sql_one_line("text")} AS t FROM (VALUES {_sql_values(notices)}) AS v(license_id, text)),
+    names AS (SELECT DISTINCT license_id, {_sql_one_line("text")} AS t FROM (VALUES {_sql_values(names)}) AS v(license_id, text)),
+    known AS (SELECT * FROM entire UNION SELECT * FROM notices UNION SELECT e.license_id, concat(n.t, ' ', e.t) FROM names n JOIN entire e USING (license_id)),
+    made AS (SELECT row_number() OVER () AS r, doc_id, {_sql_canonical("text")} AS t FROM documents WHERE text IS NOT NULL),
+    units AS (SELECT doc_id, 'text' AS scope, {_sql_spelled("trim(regexp_replace(t, '[ \\n]+', ' ', 'g'), ' ')")} AS t FROM made
+              UNION ALL SELECT doc_id, 'line' AS scope, trim(unnest(string_split(t, chr(10))), ' ') AS t FROM made),
+    parted AS (SELECT r, doc_id, string_split({flat}, chr(10)) AS l, heads FROM made, (SELECT list(DISTINCT split_part(t, ' ', 1)) AS heads FROM entire)),
+    begins AS (SELECT r, doc_id, l, unnest(list_filter(range(1, len(l) + 1), lambda i: list_contains(heads, split_part(l[i], ' ', 1)))) AS i FROM parted),
+    rests AS (SELECT r, doc_id, i, split_part(l[i], ' ', 1) AS head, rtrim(array_to_string(l[i:], chr(10)), ' ') AS rest FROM begins),
+    found AS (SELECT r, doc_id, i, license_id, e.t FROM rests JOIN entire e ON head = split_part(e.t, ' ', 1) AND replace(substr(rest, 1, length(e.t)), chr(10), ' ') = e.t AND substr(rest, length(e.t) + 1, 1) IN ('', chr(10))),
+    blocks AS (SELECT * FROM found x WHERE NOT EXISTS (SELECT 1 FROM found y WHERE y.r = x.r AND y.i = x.i AND y.license_id = x.license_id AND starts_with(x.t, concat(y.t, ' '))))
+    SELECT u.doc_id, k.license_id, u.scope, CAST(count(*) AS BIGINT) AS n FROM units u JOIN known k ON u.t = k.t AND u.t <> '' GROUP BY ALL
+    UNION ALL SELECT doc_id, license_id, 'block' AS scope, CAST(count(*) AS BIGINT) AS n FROM blocks GROUP BY ALL"""
