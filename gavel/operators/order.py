@@ -2,15 +2,19 @@
 
 A table is cut into ranges first: numbers by cells that keep their order, other keys by bounds that one
 range-partitioned job over the key columns alone finds. Sums of ranges are small tables; windows run inside ranges.
-Bounds are literals in the plan, so every branch of it cuts the rows at the same places.
+Bounds are literals in the plan, so every branch of it cuts the rows at the same places; of very many ranges, only those
+of groups of ranges are, and the rest is a small table with one row a group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 Totals = dict[str, Column]
+#: Bounds that are literals in a plan.
+LITERALS = 256
 
 
 def cell(value: str) -> Column:
@@ -45,6 +49,24 @@ def _range_of(df: DataFrame, order: list[str], lows: list[Row]) -> Column:
     return halve(0, len(lows))
 
 
+def _with_range(df: DataFrame, order: list[str], lows: list[Row], starts: list[int]) -> DataFrame:
+    """df with its rows' ranges, _r, and the ranges' first places, _start.
+
+    Beyond LITERALS ranges, a row's group of ranges is found by literals, and its range among the group's bounds, which
+    are joined to it: as many bounds as shuffle partitions at most, so that table is broadcast.
+    """
+    if len(lows) <= LITERALS:
+        ranged = df.withColumn("_r", _range_of(df, order, lows))
+        return ranged.withColumn("_start", F.array(*map(F.lit, starts or [0]))[F.col("_r")].cast("long"))
+    width = -(-len(lows) // LITERALS)
+    groups = [(k // width, lows[k : k + width], starts[k : k + width]) for k in range(0, len(lows), width)]
+    fields = [StructField("_g", IntegerType()), StructField("_lows", ArrayType(df.select(*order).schema)), StructField("_starts", ArrayType(LongType()))]
+    grouped = df.withColumn("_g", _range_of(df, order, lows[::width])).join(F.broadcast(df.sparkSession.createDataFrame(groups, StructType(fields))), "_g")
+    inside = F.greatest(F.size(F.filter("_lows", lambda low: low <= F.struct(*order))) - 1, F.lit(0))
+    ranged = grouped.withColumn("_r", inside).withColumn("_start", F.col("_starts")[F.col("_r")])
+    return ranged.withColumn("_r", F.col("_g") * width + F.col("_r")).select(*df.columns, "_r", "_start")
+
+
 def add_place(df: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
     """Each row's place from 0 in ascending order (nulls first) of the whole table."""
     got = _bounds(df, order)
@@ -52,21 +74,21 @@ def add_place(df: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
     for r in got:
         before.append(total)
         total += r["n"]
-    ranged = df.withColumn("_r", _range_of(df, order, [r["low"] for r in got]))
     inside = F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1
-    return ranged.withColumn(name, F.array(*map(F.lit, before or [0]))[F.col("_r")].cast("long") + inside).drop("_r")
+    return _with_range(df, order, [r["low"] for r in got], before).withColumn(name, F.col("_start") + inside).drop("_r", "_start")
 
 
 def rows_at(df: DataFrame, order: list[str], places: list[int]) -> dict[int, Row]:
     """The order keys at some places (from 0) of the whole table; places beyond it are left out. Only the ranges that hold them are sorted."""
     got = _bounds(df, order)
-    lows, wanted, total = [r["low"] for r in got], {}, 0
+    lows, starts, wanted, total = [r["low"] for r in got], [], {}, 0
     for k, r in enumerate(got):
+        starts.append(total)
         wanted |= {(k, p - total): p for p in set(places) if total <= p < total + r["n"]}
         total += r["n"]
     if not wanted:
         return {}
-    ranged = df.select(*order).withColumn("_r", _range_of(df, order, lows)).where(F.col("_r").isin(sorted({k for k, _ in wanted})))
+    ranged = _with_range(df.select(*order), order, lows, starts).where(F.col("_r").isin(sorted({k for k, _ in wanted})))
     at = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1)
     pairs = F.array(*[F.struct(F.lit(k).alias("r"), F.lit(p).alias("p")) for k, p in sorted(wanted)])
     return {wanted[r["_r"], r["_at"]]: r for r in at.where(F.array_contains(pairs, F.struct(F.col("_r").alias("r"), F.col("_at").alias("p")))).collect()}

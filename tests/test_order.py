@@ -64,3 +64,23 @@ def test_quantiles_and_sums(spark):
     counted = df.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
     for r in o.add_sums_before(counted, "v", ["n"], ("k",)).where("k = 1").limit(300).collect():
         assert r["n_before"] == ((k == 1) & (x < r["v"])).sum()
+
+
+@pytest.mark.parametrize("literals", [1, 3, 7])
+def test_bounds_of_very_many_ranges(spark, wide, monkeypatch, literals):
+    """Bounds in two levels give the places that literals alone give, with nulls, ties and rows below none lost."""
+    monkeypatch.setattr(o, "LITERALS", literals)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        keys = wide.where("bidid < 20000").select(F.when(F.col("bidid") % 11 > 0, F.col("timestamp")).alias("timestamp"), "bidid", "payload")
+        got = o.add_place(keys, ["timestamp", "bidid"], "at")
+        assert got.columns == ["timestamp", "bidid", "payload", "at"]
+        pdf = got.toPandas().sort_values("at")
+        assert pdf["at"].tolist() == list(range(keys.count()))
+        assert list(zip(pdf["timestamp"], pdf["bidid"], strict=True)) == [(r[0], r[1]) for r in keys.orderBy("timestamp", "bidid").select("timestamp", "bidid").collect()]
+        places = [0, 1, 777, len(pdf) - 1, len(pdf)]
+        assert {k: (r["timestamp"], r["bidid"]) for k, r in o.rows_at(keys, ["timestamp", "bidid"], places).items()} == {k: (pdf["timestamp"].iloc[k], pdf["bidid"].iloc[k]) for k in places[:-1]}
+        assert o.add_place(keys.limit(0), ["bidid"]).count() == 0 and o.rows_at(keys.limit(0), ["bidid"], [0]) == {}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
