@@ -24,6 +24,17 @@ def assemble(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
+#: Rows of a task of a fit.
+FIT_ROWS = 200_000
+
+
+def dealt(df: DataFrame, name: str) -> DataFrame:
+    """df's rows, stored, in tasks of about FIT_ROWS rows: fits unpack a task's rows several times over, however few bytes they take in files."""
+    held = kept(df, name)
+    n = held.count()
+    return held.repartition(-(-n // FIT_ROWS)) if n > FIT_ROWS else held
+
+
 @dataclass
 class LinearProbability:
     """A logistic regression as numbers: it scores by a column expression, whatever session or training data it comes from."""
@@ -48,7 +59,7 @@ def fit_pipeline(train: DataFrame, label: str, features: list[str] = FEATURES, k
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     extra = {"weightCol": weight} if weight else {}
-    train = kept(train.select(*dict.fromkeys([*features, label, *extra.values()])), "train")  # fits read it several times
+    train = dealt(train.select(*dict.fromkeys([*features, label, *extra.values()])), "train")  # fits read it several times
     join = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep")
     if kind == "linear":
         stages = [join, StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=25, **extra)]
@@ -228,41 +239,67 @@ def doubly_robust(df: DataFrame, p: str = "e") -> DataFrame:
     return with_g.withColumn("p_dr", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).drop("_g")
 
 
-def baselines(df: DataFrame, split: str = "split") -> DataFrame:
-    """For the tasks ctr (winners), win (all) and ctr_all (all, click), linear and tree fits on train and AUC on each split."""
+#: D16's tasks: name, label and the rows that it is fitted on.
+TASKS = (("ctr", "click", "win = 1"), ("win", "win", "1 = 1"), ("ctr_all", "click", "1 = 1"))
+
+
+def baseline_fits(df: DataFrame, split: str = "split", features: list[str] = FEATURES) -> tuple[DataFrame, dict]:
+    """The columns that the fits use, stored once, and by (task, model) the linear and tree fits on train."""
+    used = kept(df.select(*features, "win", "click", split), "baselines")
+    fits = {}
+    for task, label, where in TASKS:
+        train = used.where(where).where(F.col(split) == "train")
+        for kind in ("linear", "trees"):
+            fits[task, kind] = fit_probability(train, label, features, kind)
+    return used, fits
+
+
+def baseline_scores(used: DataFrame, fits: dict, split: str = "split") -> DataFrame:
+    """(task, model, split, y, p) of each task's rows, stored, so that no metric scores them again."""
     out = None
-    for task, label, rows in (("ctr", "click", "win = 1"), ("win", "win", "1 = 1"), ("ctr_all", "click", "1 = 1")):
-        part = df.where(rows)
+    for task, label, where in TASKS:
         for kind in ("linear", "trees"):
-            scored = apply_probability(fit_probability(part.where(F.col(split) == "train"), label, kind=kind), part, "p")
-            got = metrics.auc(scored, split, y=label, p="p").withColumns({"task": F.lit(task), "model": F.lit(kind)})
+            scored = apply_probability(fits[task, kind], used.where(where), "p")
+            got = scored.select(F.lit(task).alias("task"), F.lit(kind).alias("model"), split, F.col(label).alias("y"), "p")
             out = got if out is None else out.unionByName(got)
-    return out
+    return kept(out, "scored")
 
 
-#: D16's tasks: name, label and the rows that it is fitted on.
-TASKS = (("ctr", "click", "win = 1"), ("win", "win", "1 = 1"), ("ctr_all", "click", "1 = 1"))
+def baselines(df: DataFrame, split: str = "split") -> DataFrame:
+    """For the tasks ctr (winners), win (all) and ctr_all (all, click), linear and tree fits on train and AUC on each split."""
+    scored = baseline_scores(*baseline_fits(df, split), split)
+    return metrics.auc(scored, split, "task", "model", y="y", p="p").select(split, "auc", "task", "model")
+
+
+def baseline_metrics(df: DataFrame, split: str = "split", features: list[str] = FEATURES) -> DataFrame:
+    """(task, model, split, M4's bundle) of linear and tree fits on train."""
+    return _baseline_metrics(*baseline_fits(df, split, features), split)
+
+
+def baseline_importances(df: DataFrame, split: str = "split", features: list[str] = FEATURES) -> DataFrame:
+    """(task, model, feature, importance, rank) of linear and tree fits on train."""
+    return _baseline_importances(*baseline_fits(df, split, features), split, features)
 
 
 def baseline_report(df: DataFrame, split: str = "split", features: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
-    """Metrics (task, model, split, M4's bundle) and importances (task, model, feature, importance, rank) of linear and tree fits on train.
+    """baseline_metrics and baseline_importances of the same fits."""
+    used, fits = baseline_fits(df, split, features)
+    return _baseline_metrics(used, fits, split), _baseline_importances(used, fits, split, features)
 
-    The columns that the fits use are stored once; a fit reads them as often as it needs.
-    """
-    used = kept(df.select(*features, "win", "click", split), "baselines")
-    metrics_of, weights = None, []
-    for task, label, where in TASKS:
-        part = used.where(where)
-        train = part.where(F.col(split) == "train")
+
+def _baseline_metrics(used: DataFrame, fits: dict, split: str) -> DataFrame:
+    return metrics.bundle(baseline_scores(used, fits, split), split, "task", "model", y="y", p="p")
+
+
+def _baseline_importances(used: DataFrame, fits: dict, split: str, features: list[str]) -> DataFrame:
+    weights = []
+    for task, _, where in TASKS:
+        train = used.where(where).where(F.col(split) == "train")
         spread = train.agg(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(c) for c in features]).first().asDict()
         for kind in ("linear", "trees"):
-            model = fit_probability(train, label, features, kind)
-            got = metrics.bundle(apply_probability(model, part, "p"), split, y=label, p="p").withColumns({"task": F.lit(task), "model": F.lit(kind)})
-            metrics_of = got if metrics_of is None else metrics_of.unionByName(got)
-            weights += [(task, kind, c, x) for c, x in importances(model, features, spread)]
-    table = df.sparkSession.createDataFrame(weights, "task string, model string, feature string, importance double")  # a row for each fit and feature
-    place = F.rank().over(Window.partitionBy("task", "model").orderBy(F.desc("importance")))
-    return metrics_of, table.withColumn("rank", place)
+            weights += [(task, kind, c, x) for c, x in importances(fits[task, kind], features, spread)]
+    table = used.sparkSession.createDataFrame(weights, "task string, model string, feature string, importance double")  # a row for each fit and feature
+    return table.withColumn("rank", F.rank().over(Window.partitionBy("task", "model").orderBy(F.desc("importance"))))
 
 
 def segment_weights(df: DataFrame, keys: list[str], p: str = "e") -> DataFrame:

@@ -123,13 +123,13 @@ def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d16_metrics")
 def d16m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of the baselines on each split."""
-    return r6(d.baseline_report(_splits(spark, sf_dir))[0], 4)
+    return r6(d.baseline_metrics(_splits(spark, sf_dir)), 4)
 
 
 @query("d16_importances")
 def d16i(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature counts for in the baselines, with ranks that X3 compares."""
-    return r6(d.baseline_report(_splits(spark, sf_dir))[1], 4)
+    return r6(d.baseline_importances(_splits(spark, sf_dir)), 4)
 
 
 @query("d18_segment_weights", f"{_E}, r0 AS (SELECT avg(win) AS r FROM bids) SELECT hour, adexchange, round(avg(least(greatest(r / least(greatest(e, 0.05), 0.95), 0.5), 5.0)), 6) AS weight, CAST(count(*) AS BIGINT) AS n FROM be, r0 GROUP BY 1, 2")
