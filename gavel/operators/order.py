@@ -127,7 +127,7 @@ def quantiles(df: DataFrame, value: str, qs: list[float], keys: tuple[str, ...]
     found = run.join(F.broadcast(places), cond)  # one row for each key and quantile
     lo, hi = F.max(F.when(holds("_lo"), F.col("_v"))), F.max(F.when(holds("_hi"), F.col("_v")))
     at = F.first("_at")
-    edge = F.when(F.first("_lo") == F.first("_hi"), lo).otherwise((F.first("_hi") - at) * lo + (at - F.first("_lo")) * hi)
+    edge = lo + (hi - lo) * (at - F.first("_lo"))  # between equal values exactly their value, so that rows at an edge are all on one side
     return found.groupBy(*keys, "q").agg(edge.alias("edge"))
 
 
