@@ -184,7 +184,10 @@ def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p6_keep_positives", "SELECT click, CASE WHEN click = 1 THEN count(*) ELSE least(count(*), greatest(0, 3000 - (SELECT count(*) FROM bids WHERE click = 1))) END AS n FROM bids GROUP BY 1")
 def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.keep_positives(bids(spark, sf_dir), "click", 3_000).groupBy("click").agg(F.count("*").alias("n"))
+    """How many rows of each label are kept; 0 where positives alone fill the table."""
+    df = bids(spark, sf_dir)
+    counts = f.keep_positives(df, "click", 3_000).groupBy("click").agg(F.count("*").alias("n"))
+    return df.select("click").distinct().join(counts, "click", "left").select("click", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _FOLDS = f"""{hash_sql('hx', 'bids', 'bidid', 42)},
