@@ -95,6 +95,6 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("s13_first_rows", "SELECT round(least(greatest((l_quantity - 25.0) / 14.0, -5.0), 5.0), 6) + 0.0 AS l_quantity, round(least(greatest((l_discount - 0.05) / 0.03, -5.0), 5.0), 6) + 0.0 AS l_discount FROM (SELECT * FROM lineitem LIMIT 500)", bids=False)
+@query("s13_first_rows", "SELECT round(least(greatest((l_quantity - 25.0) / 14.0, -5.0), 5.0), 6) + 0.0 AS l_quantity, round(least(greatest((l_discount - 0.05) / 0.03, -5.0), 5.0), 6) + 0.0 AS l_discount FROM (SELECT * FROM lineitem ORDER BY l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_quantity NULLS FIRST, l_discount NULLS FIRST LIMIT 500)", bids=False)
 def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(s.first_rows(spark, f"{sf_dir}/lineitem.parquet", 500, {"l_quantity": (25.0, 14.0), "l_discount": (0.05, 0.03)}))
+    return r6(s.first_rows(spark, f"{sf_dir}/lineitem.parquet", 500, {"l_quantity": (25.0, 14.0), "l_discount": (0.05, 0.03)}, ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"]))
