@@ -67,17 +67,29 @@ def z6r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.late_rows(rows, marks, F.date_trunc("day", "ts") + F.expr("interval 1 day"))
 
 
+def _part_sql(k: int) -> str:
+    """CTEs of a part: open_k (sessions that the part meets, and its events that aren't late, by start), done_k (as one where they overlap) with the watermark behind the part."""
+    met = f"SELECT user_id, ts AS a, ts + INTERVAL '12 hours' AS b, 1 AS n FROM part_rows JOIN met USING (part) WHERE part = {k} AND (wm IS NULL OR ts + INTERVAL '12 hours' > wm)"
+    held = f" UNION ALL SELECT user_id, a, b, n FROM done_{k - 1} WHERE wm IS NULL OR b > wm" if k else ""
+    return f"""open_{k} AS ({met}{held}),
+at_{k} AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM open_{k}),
+run_{k} AS (SELECT *, sum(CASE WHEN a <= top THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS s FROM at_{k}),
+done_{k} AS (SELECT user_id, min(a) AS a, max(b) AS b, sum(n) AS n, {f'(SELECT wm FROM met WHERE part = {k + 1})' if k + 1 < PARTS else '(SELECT wm FROM ended)'} AS wm FROM run_{k} GROUP BY user_id, s)"""
+
+
+# A session goes out when the watermark has passed its end; events that come later start another one, so parts are told one after another.
 _SPANNING = f"""WITH ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id FROM events), {_arrivals_sql('ev', 'event_id', "'2 days'")},
-x AS (SELECT user_id, ts FROM part_rows JOIN met USING (part) WHERE wm IS NULL OR ts + INTERVAL '12 hours' > wm),
-y AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS f FROM x),
-z AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM y),
-g AS (SELECT user_id, s, min(ts) AS a, max(ts) + INTERVAL '12 hours' AS b, count(*) AS n FROM z GROUP BY 1, 2)
-SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS "end", CAST(n AS BIGINT) AS n FROM g, ended WHERE b <= wm"""
+{', '.join(map(_part_sql, range(PARTS)))},
+g AS ({' UNION ALL '.join(f'SELECT user_id, a, b, n FROM done_{k} WHERE b <= wm' for k in range(PARTS))})
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS "end", CAST(n AS BIGINT) AS n FROM g"""
 
 
 @query("z6_spanning_sessions", _SPANNING, bids=False)
 def z6p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users whose events arrive in parts: one that spans parts is one session; those still open at the end are left out."""
+    """Sessions of users whose events arrive in parts: one that spans parts is one session; those still open at the end are left out.
+
+    A session that the watermark has passed is out; an event that comes later, but isn't late itself, starts another one.
+    """
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
     rows = j.arrivals(e, PARTS, _behind("event_id"))
     got, _ = j.replay(rows, lambda s: j.sessions(s, "user_id", "12 hours", late="2 days"), "sessions", PARTS)
