@@ -100,7 +100,7 @@ def importances(model, features: list[str], spread: dict[str, float]) -> list[tu
 
 def cross_fit_propensity(df: DataFrame, label: str = "win", k: int = 3, features: list[str] = FEATURES, kind: str = "linear", calibrate: bool = False, out: str = "e") -> DataFrame:
     """Out-of-fold probability of winning; with calibrate, an isotonic map fitted on the other folds' scores."""
-    df = df.withColumn("_f", fold("bidid", k))
+    df = kept(df.withColumn("_f", fold("bidid", k)), "folds")
     parts = []
     for i in range(k):
         train = df.where(F.col("_f") != i)
@@ -117,7 +117,7 @@ def cross_fit_propensity(df: DataFrame, label: str = "win", k: int = 3, features
 
 def ensemble_propensity(train: DataFrame, df: DataFrame, label: str = "win", k: int = 3, out: str = "e") -> DataFrame:
     """The mean over the folds' models on new rows."""
-    train = train.withColumn("_f", fold("bidid", k))
+    train = kept(train.withColumn("_f", fold("bidid", k)), "folds")
     for i in range(k):
         df = apply_probability(fit_probability(train.where(F.col("_f") != i), label), df, f"_e{i}")
     return df.withColumn(out, sum((F.col(f"_e{i}") for i in range(k)), F.lit(0.0)) / k).drop(*[f"_e{i}" for i in range(k)])
@@ -188,7 +188,7 @@ def feature_sensitivity(df: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
     """Weighted CTR under propensities of several feature sets."""
     out = None
     for name, features in sets.items():
-        row = cross_fit_propensity(df, k=2, features=features).agg(*_ctr("e")).withColumn("features", F.lit(name))
+        row = cross_fit_propensity(df.select(*dict.fromkeys(["bidid", "win", "click", *features])), k=2, features=features).agg(*_ctr("e")).withColumn("features", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from gavel.functions import tails
 from gavel.functions.columns import uniform
-from gavel.operators.debias import FEATURES, apply_probability, assemble, fit_probability
+from gavel.operators.debias import FEATURES, apply_probability, assemble, dealt, fit_probability
 from gavel.operators.order import add_place
+from gavel.sources.logs import kept
 
 
 def varied(df: DataFrame, key: str = "advertiser", least: int = 2) -> DataFrame:
     """Rows of keys with `least` bid levels at least."""
     keep = df.groupBy(key).agg(F.count_distinct("bidprice").alias("_n")).where(F.col("_n") >= least)
-    return df.join(F.broadcast(keep.select(key)), key, "left_semi") if key == "advertiser" else df.join(keep.select(key), key, "left_semi")
+    return df.join(kept(keep.select(key), "varied"), key, "left_semi")  # broadcast where it is small, so that a key of very many rows is no hot one
 
 
 def treatment_table(df: DataFrame, cpc: float) -> DataFrame:
@@ -31,7 +32,7 @@ def strata(taxonomy: str = "taxonomy") -> Column:
 def arms(df: DataFrame, key: str = "advertiser") -> DataFrame:
     """`arm`: 1 at a key's highest bid, 0 at its lowest; others go."""
     w = df.groupBy(key).agg(F.max("bidprice").alias("_hi"), F.min("bidprice").alias("_lo"))
-    return df.join(w, key).where("_hi > _lo and (bidprice = _hi or bidprice = _lo)").withColumn("arm", (F.col("bidprice") == F.col("_hi")).cast("int")).drop("_hi", "_lo")
+    return df.join(kept(w, "levels"), key).where("_hi > _lo and (bidprice = _hi or bidprice = _lo)").withColumn("arm", (F.col("bidprice") == F.col("_hi")).cast("int")).drop("_hi", "_lo")
 
 
 def stratified_effect(df: DataFrame, outcome: str, stratum: str = "stratum", least: int = 5) -> DataFrame:
@@ -56,9 +57,11 @@ def t_learner(df: DataFrame, outcome: str, features: list[str] = FEATURES) -> Da
     """Difference of two tree regressions, one for each arm, for all rows."""
     from pyspark.ml.regression import GBTRegressor
 
-    rows = assemble(df, features)
+    held = kept(df, "arms")
+    rows = assemble(held, features)
     for arm in (0, 1):
-        model = GBTRegressor(labelCol=outcome, predictionCol=f"_m{arm}", maxIter=6, maxDepth=3, seed=7).fit(rows.where(F.col("arm") == arm))
+        train = dealt(held.where(F.col("arm") == arm).select(outcome, *features), "arm")
+        model = GBTRegressor(labelCol=outcome, predictionCol=f"_m{arm}", maxIter=6, maxDepth=3, seed=7).fit(assemble(train, features))
         rows = model.transform(rows)
     return rows.withColumn("cate", F.col("_m1") - F.col("_m0")).drop("_m0", "_m1", "features")
 
@@ -100,19 +103,20 @@ def dr_learner(df: DataFrame, outcome: str, features: list[str] = FEATURES) -> D
     """Doubly robust pseudo-outcomes with a cross-fitted propensity clipped at 0.01, regressed by trees. Honest-forest intervals are not reproduced; `effect_interval` gives those of means."""
     from pyspark.ml.regression import GBTRegressor
 
-    df = df.withColumn("_half", (uniform("bidid", 11) < 0.5).cast("int"))
+    df, names = kept(df.withColumn("_half", (uniform("bidid", 11) < 0.5).cast("int")), "halves"), [f for f in features if f != "bidprice"]
     parts = []
     for side in (0, 1):
         train, held = df.where(F.col("_half") != side), df.where(F.col("_half") == side)
-        held = apply_probability(fit_probability(train, "arm", [f for f in features if f != "bidprice"]), held, "_e")
-        t_rows, h_rows = assemble(train, [f for f in features if f != "bidprice"]), assemble(held, [f for f in features if f != "bidprice"])
+        h_rows = assemble(apply_probability(fit_probability(train, "arm", names), held, "_e"), names)
         for arm in (0, 1):
-            h_rows = GBTRegressor(labelCol=outcome, predictionCol=f"_m{arm}", maxIter=5, maxDepth=3, seed=7).fit(t_rows.where(F.col("arm") == arm)).transform(h_rows)
-        parts.append(h_rows)
+            own = dealt(train.where(F.col("arm") == arm).select(outcome, *names), "arm")
+            h_rows = GBTRegressor(labelCol=outcome, predictionCol=f"_m{arm}", maxIter=5, maxDepth=3, seed=7).fit(assemble(own, names)).transform(h_rows)
+        parts.append(h_rows.drop("features"))
     rows = parts[0].unionByName(parts[1])
     e = F.least(F.greatest(F.col("_e"), F.lit(0.01)), F.lit(0.99))
-    rows = rows.withColumn("psi", pseudo_outcome(F.col(outcome), F.col("_m1"), F.col("_m0"), e))
-    return GBTRegressor(labelCol="psi", predictionCol="cate", maxIter=5, maxDepth=3, seed=7).fit(rows).transform(rows).drop("_e", "_m0", "_m1", "features", "_half")
+    rows = kept(rows.withColumn("psi", pseudo_outcome(F.col(outcome), F.col("_m1"), F.col("_m0"), e)).drop("_e", "_m0", "_m1", "_half"), "psi")
+    train = assemble(dealt(rows.select("psi", *names), "psi"), names)
+    return GBTRegressor(labelCol="psi", predictionCol="cate", maxIter=5, maxDepth=3, seed=7).fit(train).transform(assemble(rows, names)).drop("features")
 
 
 def stratified_psi(df: DataFrame, outcome: str, stratum: str = "stratum", least: int = 5) -> DataFrame:
@@ -147,6 +151,7 @@ def back_door(df: DataFrame, outcome: str, controls: list[str], treatment: str =
     """C11: the treatment's coefficient in a linear regression with controls, its interval, and the weighted contrast of arms."""
     from pyspark.ml.regression import LinearRegression
 
+    df = kept(df.select(*dict.fromkeys([outcome, "arm", treatment, *controls])), "controlled")
     rows = assemble(df, [treatment, *controls])
     fit = LinearRegression(labelCol=outcome, solver="normal").fit(rows)
     beta, se = float(fit.coefficients[0]), float(fit.summary.coefficientStandardErrors[0])
@@ -172,6 +177,7 @@ def refute(df: DataFrame, outcome: str, controls: list[str], treatment: str = "b
     def beta(rows: DataFrame, names: list[str]) -> float:
         return float(LinearRegression(labelCol=outcome, solver="normal").fit(assemble(rows, names)).coefficients[0])
 
+    df = kept(df.select(*dict.fromkeys(["bidid", outcome, treatment, *controls])), "refuted")
     base = beta(df, [treatment, *controls])
     noise = df.withColumn("_r", uniform("bidid", 21))
     rows = [("random_control", beta(noise, [treatment, *controls, "_r"])), ("permuted", beta(permuted(df, treatment), [treatment, *controls])), ("subset", beta(df.where(uniform("bidid", 6) < 0.8), [treatment, *controls]))]

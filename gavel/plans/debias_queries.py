@@ -12,6 +12,7 @@ from gavel.operators.features import add_taxonomy
 from gavel.plans.feature_queries import _KIND, _splits
 from gavel.plans.metric_queries import auc_sql
 from gavel.registry import query, r6
+from gavel.sources.logs import kept
 from gavel.tables import bids
 
 CPC = 10_000.0
@@ -27,13 +28,13 @@ def _with_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d1_cross_fit_propensity")
 def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = d.cross_fit_propensity(bids(spark, sf_dir), kind="linear", calibrate=True)
-    return r6(d.diagnose(scored), 4)
+    scored = d.cross_fit_propensity(bids(spark, sf_dir).select("bidid", "win", *d.FEATURES), kind="linear", calibrate=True)
+    return r6(d.diagnose(kept(scored.select("win", "e"), "scored")), 4)
 
 
 @query("d2_ensemble_propensity")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bids(spark, sf_dir)
+    df = bids(spark, sf_dir).select("bidid", "season", "advertiser", "win", *d.FEATURES)
     return r6(d.ensemble_propensity(df.where("season = 2"), df.where("season = 3")).groupBy("advertiser").agg(F.avg("e").alias("mean_e"), F.avg("win").alias("win_rate")), 4)
 
 
@@ -42,7 +43,7 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 80/20 fit, stored, loaded and applied to the held-out rows."""
     from pyspark.ml import PipelineModel
 
-    from gavel.sources.logs import fresh, kept
+    from gavel.sources.logs import fresh
 
     df = bids(spark, sf_dir).withColumn("f", fold("bidid", 5))
     path = fresh(spark, "model")
@@ -111,7 +112,8 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d14_d15_click_models")
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = d.doubly_robust(d.click_models(_with_e(spark, sf_dir)))
+    rows = kept(_with_e(spark, sf_dir).select("advertiser", "win", "click", "e", *d.FEATURES), "rows")
+    got = d.doubly_robust(d.click_models(rows))
     return r6(got.groupBy("advertiser").agg(F.avg("p_biased").alias("biased"), F.avg("p_ipw").alias("ipw"), F.avg("p_dr").alias("dr"), F.avg("click").alias("click_rate")), 4)
 
 
@@ -150,9 +152,12 @@ def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
 _T = f", tt AS (SELECT *, p_a*{CPC} AS v, CASE WHEN win = 1 THEN payprice ELSE 0 END AS payment, CASE WHEN win = 1 THEN p_a*{CPC} - payprice ELSE 0 END AS surplus, {_KIND} AS taxonomy FROM bids), mx AS (SELECT advertiser, max(bidprice) AS hi, min(bidprice) AS lo FROM bids GROUP BY 1 HAVING count(DISTINCT bidprice) >= 2), ar AS (SELECT tt.*, CAST(bidprice = hi AS INT) AS arm, concat_ws('_', taxonomy, adexchange, CAST(least(floor(hour/6), 3) AS INT)) AS stratum FROM tt JOIN mx ON tt.advertiser = mx.advertiser AND (bidprice = hi OR bidprice = lo))"
 
 
+_ARM_COLUMNS = ["bidid", "day", "hour", "region", "adexchange", "advertiser", "slotwidth", "slotheight", "slotprice", "bidprice", "win", "click", "payment", "v", "surplus", "taxonomy", "arm", "stratum"]
+
+
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = add_taxonomy(c.treatment_table(c.varied(bids(spark, sf_dir)), CPC))
-    return c.arms(df).withColumn("stratum", c.strata())
+    return c.arms(df).withColumn("stratum", c.strata()).select(*_ARM_COLUMNS)
 
 
 @query("c1_c2_treatment_table", f"{_T} SELECT advertiser, arm, CAST(count(*) AS BIGINT) AS n, round(avg(win), 6) AS win, round(avg(payment), 6) AS payment, round(avg(surplus), 6) AS surplus FROM ar GROUP BY 1, 2")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gavel.operators import debias
+from gavel.operators import debias, effects
 
 
 @pytest.fixture
@@ -11,7 +11,7 @@ def rows(spark, tmp_path):
     """Bids in files, so that a plan shows whether it still reads them."""
     path = str(tmp_path / "rows")
     cols = [(F.col("id") % k).cast("int").alias(c) for c, k in zip(debias.FEATURES, (7, 5, 24, 35, 3, 2), strict=True)]
-    made = spark.range(600).select(F.col("id").alias("bidid"), *cols, (F.col("id") % 3 > 0).cast("int").alias("win"), (F.col("id") % 6 == 1).cast("int").alias("click"), F.element_at(F.array(*map(F.lit, ("train", "train", "val", "test"))), (F.col("id") % 4 + 1).cast("int")).alias("split"))
+    made = spark.range(600).select(F.col("id").alias("bidid"), (F.col("id") % 3).cast("int").alias("advertiser"), *cols, (F.col("id") % 3 > 0).cast("int").alias("win"), (F.col("id") % 6 == 1).cast("int").alias("click"), F.element_at(F.array(*map(F.lit, ("train", "train", "val", "test"))), (F.col("id") % 4 + 1).cast("int")).alias("split"))
     made.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -25,3 +25,20 @@ def test_baselines_score_rows_once(rows):
 def test_fits_deal_rows_to_tasks(spark):
     held = debias.dealt(spark.range(2 * debias.FIT_ROWS + 1).coalesce(1), "rows")
     assert held.rdd.getNumPartitions() == 3
+
+
+def test_arms_meet_a_stored_table_of_levels(rows):
+    """A table of a row for each key whose size Spark knows, so that a key of very many rows is no hot one."""
+    assert any("levels-" in f for f in effects.arms(rows).inputFiles())
+    assert any("varied-" in f for f in effects.varied(rows).inputFiles())
+
+
+def test_effect_fits_read_stored_rows(rows):
+    two = rows.withColumns({"advertiser": F.col("bidid") % 3, "arm": (F.col("bidid") % 2).cast("int"), "y": F.col("hour") * 1.0})
+    for got in (effects.t_learner(two, "y"), effects.dr_learner(two, "y")):
+        assert not set(got.inputFiles()) & set(rows.inputFiles()) and got.count() == 600
+
+
+def test_propensities_read_stored_rows(rows):
+    got = debias.cross_fit_propensity(rows, calibrate=True)
+    assert not set(got.inputFiles()) & set(rows.inputFiles()) and got.where("e is not null").count() == 600
