@@ -172,7 +172,9 @@ def tag_rows(df: DataFrame, key: str = "bidid", column: str = "usertag") -> Data
                     yield place, int(x)
 
     rows = udtf(Tags, returnType="place: int, tag: int", useArrow=True)
-    return df.select(key, column).lateralJoin(rows(F.col(column).outer())).select(key, "place", "tag")
+    texts = df.select(column).where(F.col(column).isNotNull()).distinct()
+    tags = kept(texts.lateralJoin(rows(F.col(column).outer())).select(F.col(column).alias("_text"), "place", "tag"), "tags")
+    return df.select(key, column).join(tags, F.col(column) == F.col("_text")).select(key, "place", "tag")
 
 
 def parse_tags(tags: str = "usertag") -> Column:
