@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gavel.operators import debias, effects
+from gavel.operators import debias, effects, explore
+from gavel.streaming import jobs
 
 
 @pytest.fixture
@@ -42,3 +43,16 @@ def test_effect_fits_read_stored_rows(rows):
 def test_propensities_read_stored_rows(rows):
     got = debias.cross_fit_propensity(rows, calibrate=True)
     assert not set(got.inputFiles()) & set(rows.inputFiles()) and got.where("e is not null").count() == 600
+
+
+def test_a_text_of_tags_is_split_once(spark, rows):
+    df = rows.select("bidid", F.when(F.col("bidid") % 2 == 0, "7,9").when(F.col("bidid") % 5 > 0, "4").alias("usertag"))
+    got = explore.tag_rows(df)
+    assert any("tags-" in f for f in got.inputFiles())
+    assert got.where("tag = 9 and place = 1").count() == 300 and got.where("tag = 4").count() == 240 and got.count() == 840
+
+
+def test_a_micro_batch_has_a_file_for_each_core(spark):
+    stream = jobs.stream_of(spark.range(5000).withColumnRenamed("id", "v"), "many")
+    batches = jobs.drain(stream.withColumn("file", F.input_file_name()), "many-out")
+    assert batches.select("file").distinct().count() == 4 * spark.sparkContext.defaultParallelism and batches.count() == 5000
