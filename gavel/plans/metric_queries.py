@@ -9,6 +9,7 @@ from gavel.operators import metrics as m
 from gavel.operators.order import add_place
 from gavel.plans.twins import fold_sql, hash_sql, monotone_sql
 from gavel.registry import query, r6
+from gavel.sources.logs import kept
 from gavel.tables import bids, scores
 
 _SC = ", sc AS (SELECT * FROM (UNPIVOT (SELECT * FROM bids) ON p_a, p_b INTO NAME model VALUE p) WHERE win = 1)"
@@ -108,7 +109,8 @@ def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m13_segment_isotonic", f"{_SEGMENTS} SELECT bidid, advertiser, round(x, 6) AS p, round(own, 6) AS calibrated FROM sg")
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(m.segment_cross_fit(_one(spark, sf_dir), "advertiser", least=5).select("bidid", "advertiser", "p", "calibrated"))
+    df = kept(_one(spark, sf_dir).select("bidid", "advertiser", "click", "p"), "won")
+    return r6(m.segment_cross_fit(df, "advertiser", least=5).select("bidid", "advertiser", "p", "calibrated"))
 
 
 @query("m14_averaged_isotonic", f"{_FOLDED}, wa AS (SELECT ks.f, p_a AS x FROM ks, (SELECT DISTINCT p_a FROM bids)){monotone_sql('mo', 'tr', 'wa', 'f')}, av AS (SELECT x, avg(g) AS g FROM mo GROUP BY 1) SELECT bidid, round(p_a, 6) AS p, round(g, 6) AS calibrated FROM bids JOIN av ON p_a = x")
@@ -189,13 +191,14 @@ SELECT regime, i AS ieb, n, round(auc, 6) AS auc FROM au JOIN (SELECT regime, {_
 
 @query("m26_regimes", _REGIMES)
 def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _one(spark, sf_dir)
+    df = kept(_one(spark, sf_dir).select("bidid", "advertiser", "season", "click", "p"), "won")
     tables = {"raw": df.withColumn("calibrated", F.col("p")), "cross_fit": m.cross_fit(df), "segment": m.segment_cross_fit(df, "advertiser", least=5), "frozen": m.isotonic(df.where("season = 2"), df)}
     out = None
     for name, t in tables.items():
-        got = t.agg(m.ieb(p="calibrated").alias("ieb"), F.count("*").alias("n")).crossJoin(m.auc(t, p="calibrated")).withColumn("regime", F.lit(name))
+        got = t.select(F.lit(name).alias("regime"), "click", "calibrated")
         out = got if out is None else out.unionByName(got)
-    return r6(out)
+    rows = kept(out, "regimes")
+    return r6(rows.groupBy("regime").agg(m.ieb(p="calibrated").alias("ieb"), F.count("*").alias("n")).join(m.auc(rows, "regime", p="calibrated"), "regime"))
 
 
 _RANKED = """, c AS (SELECT abs(corr(hour, {p})) AS hour, abs(corr(slotprice, {p})) AS slotprice, abs(corr(bidprice, {p})) AS bidprice, abs(corr(region, {p})) AS region FROM bids), l AS (UNPIVOT c ON hour, slotprice, bidprice, region INTO NAME feature VALUE strength)"""
