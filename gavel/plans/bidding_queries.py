@@ -11,6 +11,7 @@ from gavel.operators.features import add_taxonomy
 from gavel.plans.market_queries import _MODEL, km_sql, model
 from gavel.plans.twins import hash_sql, uniform_sql
 from gavel.registry import query, r6
+from gavel.sources.logs import kept
 from gavel.tables import BIDS_CTE, bids, scores
 
 #: Values of 10..600 beside prices of 1..1000, so that strategies differ.
@@ -78,8 +79,9 @@ def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bids(spark, sf_dir)
-    return b.strategies(_won(spark, sf_dir), model(df, "adexchange"), model(df))
+    df = kept(bids(spark, sf_dir).select("bidid", "adexchange", "bidprice", "payprice", "slotprice", "win", "click", "p_a", "p_b"), "bids")
+    won = b.won_only(df).withColumn("v", b.value("p_a", CPC))
+    return b.strategies(won, model(df, "adexchange"), model(df))
 
 
 _OVERALL = km_sql("season * 0").replace("season * 0,", "0 AS z,").replace("PARTITION BY season * 0 ORDER", "ORDER").replace("SELECT season * 0", "SELECT z")
