@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gavel.operators import debias, effects, explore
+from gavel.operators import debias, effects, explore, features
 from gavel.streaming import jobs
 
 
@@ -56,3 +56,12 @@ def test_a_micro_batch_has_a_file_for_each_core(spark):
     stream = jobs.stream_of(spark.range(5000).withColumnRenamed("id", "v"), "many")
     batches = jobs.drain(stream.withColumn("file", F.input_file_name()), "many-out")
     assert batches.select("file").distinct().count() == 4 * spark.sparkContext.defaultParallelism and batches.count() == 5000
+
+
+def test_frequencies_meet_rows_without_a_shuffle(spark, rows):
+    """Counts are a stored table whose size Spark knows, however large it takes the rows to be."""
+    df = rows.select("bidid", F.col("hour").cast("string").alias("domain"), F.col("advertiser").cast("string").alias("creative"))
+    got = features.engineer(df, time=False, slot=False, competition=False, hashes=False)
+    assert sum("counts-" in f for f in got.inputFiles()) >= 2
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.where("domain_freq = 25 and creative_freq = 200").count() == 600
