@@ -16,8 +16,9 @@ from gavel.tables import bids, scores
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The bid table written as raw logs and read back."""
+    """The bid table written as raw logs and read back; its rows are stored for the four logs."""
     df = bids(spark, sf_dir).withColumn("bidid", F.col("bidid").cast("string"))
+    df = s.kept(df.select(*[c for c in df.columns if c in (*s.EVENT_COLUMNS, "win", "click", "conversion")]), "logged")
     out = {}
     for kind, flag in (("bid", None), ("imp", "win"), ("clk", "click"), ("conv", "conversion")):
         path = s.fresh(spark, f"raw-{kind}")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavel.operators import debias, effects, explore, features
+from gavel.plans import source_queries
 from gavel.streaming import jobs
 
 
@@ -65,3 +66,11 @@ def test_frequencies_meet_rows_without_a_shuffle(spark, rows):
     assert sum("counts-" in f for f in got.inputFiles()) >= 2
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.where("domain_freq = 25 and creative_freq = 200").count() == 600
+
+
+def test_four_logs_are_written_from_stored_bids(spark, monkeypatch):
+    seen, write = [], source_queries.s.write_logs
+    monkeypatch.setattr(source_queries.s, "write_logs", lambda df, path, columns: (seen.append(df.inputFiles()), write(df, path, columns)))
+    raw = source_queries._raw(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 4 and all(files and all("logged-" in f for f in files) for files in seen)
+    assert raw["bid"].count() > raw["imp"].count() > raw["clk"].count() > 0 and all(f.endswith(".bz2") for f in raw["bid"].inputFiles())
