@@ -79,6 +79,31 @@ def fit_probability(train: DataFrame, label: str, features: list[str] = FEATURES
     return LinearProbability(list(features), [float(m) for m in scaler.mean], slope, float(fit.intercept))
 
 
+def moments(df: DataFrame, columns: list[str], count: str) -> tuple[dict[str, float], dict[str, float]]:
+    """Means and deviations (0 of a single row) of columns of which a row stands for `count` equal ones."""
+    rows = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col(count)))
+    mean = df.agg(*[(F.sum(F.col(c).cast("double") * F.col(count)) / rows(c)).alias(c) for c in columns]).first().asDict()
+    off = lambda c: F.col(c) - F.lit(mean[c])
+    spread = df.agg(*[F.sqrt(F.sum(off(c) * off(c) * F.col(count)) / F.nullif(rows(c) - 1, F.lit(0))).alias(c) for c in columns]).first().asDict()
+    return mean, {c: x or 0.0 for c, x in spread.items()}
+
+
+def fit_counted(train: DataFrame, label: str, features: list[str] = FEATURES, kind: str = "linear", count: str = "_n"):
+    """fit_probability's model of stored rows that stand for `count` equal ones each: the same likelihood and gains, of fewer rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    if kind != "linear":
+        join = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep")
+        return Pipeline(stages=[join, GBTClassifier(featuresCol="raw", labelCol=label, weightCol=count, maxIter=8, maxDepth=4, seed=7)]).fit(train)
+    mean, spread = moments(train, features, count)
+    scaled = [((F.col(c) - mean[c]) / spread[c] if spread[c] else F.lit(0.0)).alias(c) for c in features]
+    fit = LogisticRegression(labelCol=label, weightCol=count, maxIter=25).fit(assemble(train.select(*scaled, label, count), features))
+    slope = [float(b / spread[c]) if spread[c] else 0.0 for b, c in zip(fit.coefficients.toArray(), features, strict=True)]
+    return LinearProbability(list(features), [float(mean[c]) for c in features], slope, float(fit.intercept))
+
+
 def apply_probability(model, df: DataFrame, out: str) -> DataFrame:
     if isinstance(model, LinearProbability):
         return df.withColumn(out, model.column())
@@ -244,23 +269,29 @@ TASKS = (("ctr", "click", "win = 1"), ("win", "win", "1 = 1"), ("ctr_all", "clic
 
 
 def baseline_fits(df: DataFrame, split: str = "split", features: list[str] = FEATURES) -> tuple[DataFrame, dict]:
-    """The columns that the fits use, stored once, and by (task, model) the linear and tree fits on train."""
-    used = kept(df.select(*features, "win", "click", split), "baselines")
+    """The distinct rows of the columns that the fits use, counted (_n) and stored, and by (task, model) the linear and tree fits on train."""
+    used = kept(df.groupBy(*features, "win", "click", split).agg(F.count("*").alias("_n")), "baselines")
     fits = {}
     for task, label, where in TASKS:
-        train = used.where(where).where(F.col(split) == "train")
+        train = _task_train(used, label, where, split, features)
         for kind in ("linear", "trees"):
-            fits[task, kind] = fit_probability(train, label, features, kind)
+            fits[task, kind] = fit_counted(train, label, features, kind)
     return used, fits
 
 
+def _task_train(used: DataFrame, label: str, where: str, split: str, features: list[str]) -> DataFrame:
+    """A task's counted train rows, stored; in an order, as tree fits sample their split points by places."""
+    rows = used.where(where).where(F.col(split) == "train").groupBy(*features, label).agg(F.sum("_n").alias("_n"))
+    return dealt(rows.sortWithinPartitions(*features, label), "train")
+
+
 def baseline_scores(used: DataFrame, fits: dict, split: str = "split") -> DataFrame:
-    """(task, model, split, y, p) of each task's rows, stored, so that no metric scores them again."""
+    """(task, model, split, y, p, n) of each task's counted rows, stored, so that no metric scores them again."""
     out = None
     for task, label, where in TASKS:
         for kind in ("linear", "trees"):
             scored = apply_probability(fits[task, kind], used.where(where), "p")
-            got = scored.select(F.lit(task).alias("task"), F.lit(kind).alias("model"), split, F.col(label).alias("y"), "p")
+            got = scored.select(F.lit(task).alias("task"), F.lit(kind).alias("model"), split, F.col(label).alias("y"), "p", F.col("_n").alias("n"))
             out = got if out is None else out.unionByName(got)
     return kept(out, "scored")
 
@@ -268,7 +299,7 @@ def baseline_scores(used: DataFrame, fits: dict, split: str = "split") -> DataFr
 def baselines(df: DataFrame, split: str = "split") -> DataFrame:
     """For the tasks ctr (winners), win (all) and ctr_all (all, click), linear and tree fits on train and AUC on each split."""
     scored = baseline_scores(*baseline_fits(df, split), split)
-    return metrics.auc(scored, split, "task", "model", y="y", p="p").select(split, "auc", "task", "model")
+    return metrics.auc(scored, split, "task", "model", y="y", p="p", count="n").select(split, "auc", "task", "model")
 
 
 def baseline_metrics(df: DataFrame, split: str = "split", features: list[str] = FEATURES) -> DataFrame:
@@ -288,14 +319,14 @@ def baseline_report(df: DataFrame, split: str = "split", features: list[str] = F
 
 
 def _baseline_metrics(used: DataFrame, fits: dict, split: str) -> DataFrame:
-    return metrics.bundle(baseline_scores(used, fits, split), split, "task", "model", y="y", p="p")
+    return metrics.bundle(baseline_scores(used, fits, split), split, "task", "model", y="y", p="p", count="n")
 
 
 def _baseline_importances(used: DataFrame, fits: dict, split: str, features: list[str]) -> DataFrame:
     weights = []
     for task, _, where in TASKS:
         train = used.where(where).where(F.col(split) == "train")
-        spread = train.agg(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(c) for c in features]).first().asDict()
+        _, spread = moments(train, features, "_n")
         for kind in ("linear", "trees"):
             weights += [(task, kind, c, x) for c, x in importances(fits[task, kind], features, spread)]
     table = used.sparkSession.createDataFrame(weights, "task string, model string, feature string, importance double")  # a row for each fit and feature

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gavel.functions.columns import fold
 from gavel.operators import debias as d
 from gavel.operators import effects as c
-from gavel.operators.features import add_taxonomy
-from gavel.plans.feature_queries import _KIND, _splits
+from gavel.operators.features import add_taxonomy, split_by_group
+from gavel.plans.feature_queries import _KEY, _KIND
 from gavel.plans.metric_queries import auc_sql
 from gavel.registry import query, r6
 from gavel.sources.logs import kept
@@ -117,21 +117,27 @@ def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(got.groupBy("advertiser").agg(F.avg("p_biased").alias("biased"), F.avg("p_ipw").alias("ipw"), F.avg("p_dr").alias("dr"), F.avg("click").alias("click_rate")), 4)
 
 
+def _task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that D16 uses, stored once, with their splits."""
+    rows = kept(bids(spark, sf_dir).select(*dict.fromkeys([*_KEY, *d.FEATURES, "win", "click"])), "rows")
+    return split_by_group(rows, "advertiser", _KEY[1:])
+
+
 @query("d16_baselines")
 def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(d.baselines(_splits(spark, sf_dir)), 4)
+    return r6(d.baselines(_task_rows(spark, sf_dir)), 4)
 
 
 @query("d16_metrics")
 def d16m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of the baselines on each split."""
-    return r6(d.baseline_metrics(_splits(spark, sf_dir)), 4)
+    return r6(d.baseline_metrics(_task_rows(spark, sf_dir)), 4)
 
 
 @query("d16_importances")
 def d16i(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature counts for in the baselines, with ranks that X3 compares."""
-    return r6(d.baseline_importances(_splits(spark, sf_dir)), 4)
+    return r6(d.baseline_importances(_task_rows(spark, sf_dir)), 4)
 
 
 @query("d18_segment_weights", f"{_E}, r0 AS (SELECT avg(win) AS r FROM bids) SELECT hour, adexchange, round(avg(least(greatest(r / least(greatest(e, 0.05), 0.95), 0.5), 5.0)), 6) AS weight, CAST(count(*) AS BIGINT) AS n FROM be, r0 GROUP BY 1, 2")

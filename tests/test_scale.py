@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gavel.operators import debias, effects, explore, features
-from gavel.plans import source_queries
+from gavel.operators import debias, effects, explore, features, metrics
+from gavel.plans import debias_queries, source_queries
 from gavel.streaming import jobs
 
 
@@ -24,6 +24,41 @@ def test_baselines_score_rows_once(rows):
     assert {(r.split, r.task, r.model) for r in got.collect()} == {(s, t, m) for s in ("train", "val", "test") for t in ("ctr", "win", "ctr_all") for m in ("linear", "trees")}
 
 
+def repeated(rows):
+    """The rows in one to four copies, with some noise in their labels."""
+    odd = rows.withColumns({"win": F.when(F.col("bidid") % 11 == 0, 1 - F.col("win")).otherwise(F.col("win"))})
+    return odd.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("bidid") % 4).cast("int"))))
+
+
+def test_baselines_fit_and_score_distinct_rows(rows):
+    many = repeated(rows)
+    used, fits = debias.baseline_fits(many)
+    columns = [*debias.FEATURES, "win", "click", "split"]
+    assert used.count() == many.select(*columns).distinct().count() < many.count() == used.agg(F.sum("_n")).first()[0]
+    scored = debias.baseline_scores(used, fits)
+    won = used.where("win = 1").count()
+    assert scored.count() == 4 * used.count() + 2 * won
+    assert scored.where("task = 'win' and model = 'trees'").agg(F.sum("n")).first()[0] == many.count()
+
+
+@pytest.mark.parametrize("kind", ["linear", "trees"])
+def test_a_counted_fit_is_the_fit_of_all_rows(rows, kind):
+    many = repeated(rows)
+    counted = many.groupBy(*debias.FEATURES, "win").agg(F.count("*").alias("_n"))
+    got = debias.apply_probability(debias.fit_counted(counted, "win", kind=kind), rows, "e").orderBy("bidid").toPandas()["e"]
+    want = debias.apply_probability(debias.fit_probability(many, "win", kind=kind), rows, "e").orderBy("bidid").toPandas()["e"]
+    assert got.nunique() > 5 and abs(got - want).max() < 1e-6
+
+
+def test_counted_metrics_are_those_of_all_rows(rows):
+    many = repeated(rows).withColumns({"p": F.when(F.col("hour") == 7, F.lit(float("nan"))).otherwise((F.col("hour") + 1) / 30), "y": F.col("win")})
+    counted = many.groupBy("split", "p", "y").agg(F.count("*").alias("copies"))
+    want = metrics.bundle(many, "split", y="y").orderBy("split").toPandas()
+    got = metrics.bundle(counted, "split", y="y", count="copies").orderBy("split").toPandas()
+    assert list(got.columns) == list(want.columns) and len(got) == 3 and (got["n"] == want["n"]).all()
+    assert abs(got.drop(columns="split") - want.drop(columns="split")).max().max() < 1e-9
+
+
 def test_fits_deal_rows_to_tasks(spark):
     held = debias.dealt(spark.range(2 * debias.FIT_ROWS + 1).coalesce(1), "rows")
     assert held.rdd.getNumPartitions() == 3
@@ -74,3 +109,11 @@ def test_four_logs_are_written_from_stored_bids(spark, monkeypatch):
     raw = source_queries._raw(spark, "/root/testdata/sf0.001")
     assert len(seen) == 4 and all(files and all("logged-" in f for f in files) for files in seen)
     assert raw["bid"].count() > raw["imp"].count() > raw["clk"].count() > 0 and all(f.endswith(".bz2") for f in raw["bid"].inputFiles())
+
+
+def test_baseline_rows_are_split_where_they_are_stored(spark):
+    got = debias_queries._task_rows(spark, "/root/testdata/sf0.001")
+    assert any("rows-" in f for f in got.inputFiles()) and not any("lineitem" in f for f in got.inputFiles())
+    want = features.split_by_group(debias_queries.bids(spark, "/root/testdata/sf0.001"), "advertiser", debias_queries._KEY[1:])
+    columns = ["bidid", *debias.FEATURES, "win", "click", "split"]
+    assert got.count() == want.count() and got.select(*columns).exceptAll(want.select(*columns)).count() == 0
