@@ -78,6 +78,11 @@ def add_place(df: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
     return _with_range(df, order, [r["low"] for r in got], before).withColumn(name, F.col("_start") + inside).drop("_r", "_start")
 
 
+def _marks(wanted: set[int], n: int) -> list[int]:
+    """The first of n ranges and where wanted ranges begin and end: other ranges need not be told apart, so a row is compared with few bounds."""
+    return sorted({0} | {j for k in wanted for j in (k, k + 1) if j < n})
+
+
 def rows_at(df: DataFrame, order: list[str], places: list[int]) -> dict[int, Row]:
     """The order keys at some places (from 0) of the whole table; places beyond it are left out. Only the ranges that hold them are sorted."""
     got = _bounds(df, order)
@@ -88,7 +93,9 @@ def rows_at(df: DataFrame, order: list[str], places: list[int]) -> dict[int, Row
         total += r["n"]
     if not wanted:
         return {}
-    ranged = _with_range(df.select(*order), order, lows, starts).where(F.col("_r").isin(sorted({k for k, _ in wanted})))
+    marks = _marks({k for k, _ in wanted}, len(lows))
+    wanted = {(marks.index(k), p): place for (k, p), place in wanted.items()}
+    ranged = _with_range(df.select(*order), order, [lows[k] for k in marks], [starts[k] for k in marks]).where(F.col("_r").isin(sorted({k for k, _ in wanted})))
     at = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1)
     pairs = F.array(*[F.struct(F.lit(k).alias("r"), F.lit(p).alias("p")) for k, p in sorted(wanted)])
     return {wanted[r["_r"], r["_at"]]: r for r in at.where(F.array_contains(pairs, F.struct(F.col("_r").alias("r"), F.col("_at").alias("p")))).collect()}

@@ -84,3 +84,20 @@ def test_bounds_of_very_many_ranges(spark, wide, monkeypatch, literals):
         assert o.add_place(keys.limit(0), ["bidid"]).count() == 0 and o.rows_at(keys.limit(0), ["bidid"], [0]) == {}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_places_compare_rows_with_few_bounds(spark, wide, monkeypatch):
+    """As many bounds as the ranges that hold the places have, however many ranges there are."""
+    seen, with_range = [], o._with_range
+    monkeypatch.setattr(o, "_with_range", lambda df, order, lows, starts: (seen.append(len(lows)), with_range(df, order, lows, starts))[1])
+    keys = wide.select("timestamp", "bidid")
+    rows = keys.orderBy("timestamp", "bidid").collect()
+    n = len(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        for places in ([0], [n - 1], [int(n * 0.7), int(n * 0.85)], [0, 1, n // 2, n - 1]):
+            assert {p: (r["timestamp"], r["bidid"]) for p, r in o.rows_at(keys, ["timestamp", "bidid"], places).items()} == {p: tuple(rows[p]) for p in places}
+            assert seen.pop() <= 2 * len(places) + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
