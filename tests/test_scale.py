@@ -59,6 +59,19 @@ def test_counted_metrics_are_those_of_all_rows(rows):
     assert abs(got.drop(columns="split") - want.drop(columns="split")).max().max() < 1e-9
 
 
+def test_importances_of_counted_rows_are_those_of_all_rows(rows):
+    many = repeated(rows)
+    got = {(r.task, r.model, r.feature): r.importance for r in debias.baseline_importances(many).collect()}
+    train = many.where("split = 'train'")
+    spread = train.agg(*[F.stddev_samp(c).alias(c) for c in debias.FEATURES]).first().asDict()
+    counted = train.groupBy(*debias.FEATURES).agg(F.count("*").alias("_n"))
+    assert debias.moments(counted, debias.FEATURES, "_n")[1] == pytest.approx(spread, abs=1e-9)
+    for kind in ("linear", "trees"):
+        want = debias.importances(debias.fit_probability(train, "win", kind=kind), debias.FEATURES, spread)
+        assert {c: got["win", kind, c] for c, _ in want} == pytest.approx(dict(want), abs=1e-5) and max(x for _, x in want) < 1
+    assert len(got) == 36 and debias.moments(counted.limit(1).withColumn("_n", F.lit(1)), ["hour"], "_n")[1] == {"hour": 0.0}
+
+
 def test_fits_deal_rows_to_tasks(spark):
     held = debias.dealt(spark.range(2 * debias.FIT_ROWS + 1).coalesce(1), "rows")
     assert held.rdd.getNumPartitions() == 3
